@@ -85,8 +85,8 @@ def _batch(df: DataFrame, domains: Sequence[Domain], catalog: Catalog, design: D
         finite(df, design.weight).alias("w"),
         F.col(design.stratum).alias("h"),
         F.col(design.psu).alias("a"),
-        F.inline(F.array_compact(F.array(*members))),
-    )
+        F.inline(F.array(*members)),
+    ).where(F.col("domain").isNotNull())
     # One row per domain, PSU and (for quantiles) value: small, and every estimate below comes from it.
     w, y, valid = F.col("w"), F.col("y"), F.col("valid")
     cells = written(

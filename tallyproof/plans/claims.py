@@ -139,9 +139,10 @@ def trend_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.max(F.when(F.col("wave") == NEW_WAVE, F.round("value_pct", 2))).alias("new"),
     )
     years = F.array(F.lit(OLD_WAVE), F.lit(NEW_WAVE))
+    keys = years.cast("array<string>")
 
     def per_year(old, new):
-        return F.map_from_arrays(years, F.array(old, new))
+        return F.map_from_arrays(keys, F.array(old, new))
 
     def record(key, canonical, title, seeded, prose, statistic, columns, single, values):
         return F.struct(
@@ -150,7 +151,7 @@ def trend_records(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.lit(prose).alias("prose"),
             F.struct(
                 F.lit(statistic).alias("statistic"),
-                F.struct(columns.cast("map<int,string>").alias("per_year_variable"),
+                F.struct(columns.cast("map<string,string>").alias("per_year_variable"),
                          F.lit(single).cast("string").alias("single_variable")).alias("method"),
                 values.alias("values_pct"), F.lit(0.3).alias("tolerance_pct"),
             ).alias("claim"),

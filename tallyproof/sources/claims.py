@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CLAIM_SCHEMA = """
@@ -17,8 +17,8 @@ TREND_SCHEMA = """
     id string, canonical string, years array<int>, title string, seeded_defect boolean, links array<string>,
     prose string,
     claim struct<statistic: string,
-        method: struct<per_year_variable: map<int, string>, single_variable: string>,
-        values_pct: map<int, double>, tolerance_pct: double>
+        method: struct<per_year_variable: map<string, string>, single_variable: string>,
+        values_pct: map<string, double>, tolerance_pct: double>
 """
 
 # Tolerances of claims that state none, in the unit of the claim.
@@ -58,6 +58,11 @@ def load_claims(spark: SparkSession, path: str) -> DataFrame:
     return flat_claims(spark.read.schema(CLAIM_SCHEMA).json(path))
 
 
+def _by_year(values: Column) -> Column:
+    """JSON keys are text; years are numbers."""
+    return F.transform_keys(values, lambda year, _: year.cast("int"))
+
+
 def flat_trend_claims(records: DataFrame) -> DataFrame:
     claim = F.col("claim")
     return records.select(
@@ -66,9 +71,9 @@ def flat_trend_claims(records: DataFrame) -> DataFrame:
         "years",
         F.coalesce("title", "id").alias("title"),
         F.coalesce(claim["statistic"], F.lit("")).alias("statistic"),
-        claim["method"]["per_year_variable"].alias("per_year_variable"),
+        _by_year(claim["method"]["per_year_variable"]).alias("per_year_variable"),
         claim["method"]["single_variable"].alias("single_variable"),
-        F.coalesce(claim["values_pct"], F.create_map().cast("map<int,double>")).alias("values_pct"),
+        F.coalesce(_by_year(claim["values_pct"]), F.create_map().cast("map<int,double>")).alias("values_pct"),
         F.coalesce(claim["tolerance_pct"], F.lit(DEFAULT_TREND_TOLERANCE)).alias("tolerance"),
         F.coalesce("links", F.array().cast("array<string>")).alias("links"),
         F.trim(F.coalesce("prose", F.lit(""))).alias("prose"),

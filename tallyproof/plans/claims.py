@@ -54,6 +54,9 @@ SPECS = [
     ("ht_a", "ht_a", "Mean height", None, False, [],
      "Mean height of all respondents.", "Weighted mean height", "mean", None, "inches", None, True, 0.1,
      (7, "estimate"), None),
+    ("inc_a", "inc_a", "Mean income", None, False, [],
+     "Mean income of all respondents.", "Weighted mean income", "mean", None, "thousand", None, True, 0.3,
+     (8, "estimate"), None),
     ("med_a_naive", "med_a", "Medication, whole sample", EVER, True, ["ever_a"],
      "Share on medication.", "Share on medication among people with the condition", "prevalence", None, "%", None,
      False, 0.5, ("naive", None), None),

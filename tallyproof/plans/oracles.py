@@ -660,7 +660,7 @@ def _documents() -> None:
         parts.append(f"SELECT CAST({place} AS INT) AS place, '{name}' AS variable, {none} AS summary")
     ORACLES["rows_with_column_summary"] = with_(base, " UNION ALL ".join(parts))
 
-    q9, q5 = woodruff("d9", "0.9", "w9"), woodruff("d5", "0.5", "w5")
+    q9, q5 = woodruff("d9", "0.6", "w9"), woodruff("d5", "0.5", "w5")
     ORACLES["grounded_or_refuse"] = with_(
         [MICRO,
          f"d1 AS ({rows('ever_a = 1 AND sex_a = 2 AND ' + VALID['med_a'], yes('med_a'))})", taylor("d1", "t1"),

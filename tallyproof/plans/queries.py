@@ -655,7 +655,7 @@ REQUESTS = [
     ("r2", "sex_a", None, "mean", None),
     ("r3", "med_a", "ever_a == 999", "prevalence", None),
     ("r4", "age_a", "ever_a.__class__", "mean", None),
-    ("r5", "inc_a", None, "quantile", 0.9),
+    ("r5", "inc_a", None, "quantile", 0.6),
     ("r6", "age_a", None, "mode", None),
     ("r7", "ht_a", "sex_a == 1", "mean", None),
     ("r8", "age_a", "ever_a == 1", "quantile", None),

@@ -61,33 +61,38 @@ def _comparison(piece: re.Match, kind: T.DataType) -> str:
     return f"{name} {'=' if op == '==' else op} {number}"
 
 
-def universe_filter(df: DataFrame, expr: str | None) -> Column:
-    """The predicate as a column for ``where``. AND binds tighter than OR, as in Spark SQL."""
+def universe_sql(df: DataFrame, expr: str | None) -> str:
+    """The predicate as Spark SQL text. AND binds tighter than OR, as in the input."""
     if expr is None:
-        return F.lit(True)
+        return "true"
     kinds = {f.name: f.dataType for f in df.schema.fields}
-    return F.expr(
-        "".join(
-            _JOINTS[p["joint"]] if p["joint"] else _comparison(p, kinds[p["column"]])
-            for p in _pieces(expr, kinds)
-        )
+    return "".join(
+        _JOINTS[p["joint"]] if p["joint"] else _comparison(p, kinds[p["column"]]) for p in _pieces(expr, kinds)
     )
 
 
+def universe_filter(df: DataFrame, expr: str | None) -> Column:
+    """The predicate as a column for ``where``."""
+    return F.expr(universe_sql(df, expr))
+
+
 def universe_columns(expr: str | None) -> list[str]:
     """Columns named by a predicate, in order of first use."""
     return list(dict.fromkeys(re.findall(r"[A-Za-z_][A-Za-z0-9_]*", expr or "")))
 
 
-def in_codes(df: DataFrame, name: str, codes: Sequence[int]) -> Column:
-    """Membership in a code list; a contiguous range becomes an interval test."""
-    value = F.col(name)
+def codes_sql(df: DataFrame, name: str, codes: Sequence[int]) -> str:
+    """Membership in a code list as Spark SQL text; a contiguous range becomes an interval test."""
     if len(codes) == 0:
-        return F.lit(False)
+        return "false"
     if isinstance(codes, range) and codes.step == 1:
-        inside = value.between(codes[0], codes[-1])
-        return inside if is_integral(df, name) else inside & (value == F.floor(value))
-    return value.isin(*codes)
+        inside = f"`{name}` BETWEEN {codes[0]} AND {codes[-1]}"
+        return inside if is_integral(df, name) else f"({inside} AND `{name}` = floor(`{name}`))"
+    return f"`{name}` IN ({', '.join(str(int(c)) for c in codes)})"
+
+
+def in_codes(df: DataFrame, name: str, codes: Sequence[int]) -> Column:
+    return F.expr(codes_sql(df, name, codes))
 
 
 def is_integral(df: DataFrame, name: str) -> bool:
@@ -104,15 +109,22 @@ def threshold_flag(value: Column, point: Column) -> Column:
     return as_flag(value <= point)
 
 
+def integer_sql(df: DataFrame, name: str) -> str:
+    return f"`{name}` IS NOT NULL" if is_integral(df, name) else f"`{name}` = floor(`{name}`)"
+
+
 def integer_like(df: DataFrame, name: str) -> Column:
     """True for whole numbers; missing values are not."""
-    value = F.col(name)
-    return value.isNotNull() if is_integral(df, name) else value == F.floor(value)
+    return F.expr(integer_sql(df, name))
 
 
-def finite(df: DataFrame, name: str) -> Column:
-    """The column as double with NaN turned into NULL."""
-    value = F.col(name).cast("double")
+def finite_sql(df: DataFrame, name: str) -> str:
+    value = f"CAST(`{name}` AS DOUBLE)"
     if isinstance(df.schema[name].dataType, (T.FloatType, T.DoubleType)):
-        return F.nanvl(value, F.lit(None).cast("double"))
+        return f"nanvl({value}, CAST(NULL AS DOUBLE))"
     return value
+
+
+def finite(df: DataFrame, name: str) -> Column:
+    """The column as double with NaN turned into NULL."""
+    return F.expr(finite_sql(df, name))

@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..catalog import Catalog, Design
-from ..functions.predicates import as_flag, finite, in_codes, integer_like, universe_filter
+from ..functions.predicates import codes_sql, finite_sql, integer_sql, universe_sql
 from ..session import written
-from .estimates import Z95, design_effect, stratified_ratio
-from .quantiles import interpolate, running_weight, woodruff
+from .estimates import Z95, stratified_ratio
+from .quantiles import interpolate, number_sql, running_weight, woodruff
 
 BATCH = 50
 
@@ -43,37 +43,33 @@ def domain_key(kind: Column, variable: Column, universe: Column, q: Column) -> C
     return F.concat_ws("|", kind, variable, F.coalesce(universe, F.lit("")), shown)
 
 
-def _membership(df: DataFrame, domain: Domain, place: int, catalog: Catalog) -> Column:
-    """What a row contributes to a domain; NULL if it does not belong.
+def _member(inside: str, place: int, y: str, valid: str, run: str) -> str:
+    return (f"CASE WHEN {inside} THEN struct({place} AS domain, {y} AS y, {valid} AS valid, "
+            f"CAST({run} AS DOUBLE) AS run) END")
+
+
+def _membership(df: DataFrame, domain: Domain, place: int, catalog: Catalog) -> str:
+    """What a row contributes to a domain, as SQL text; NULL if it does not belong.
 
     For means and quantiles reserved codes belong too, marked as not valid: the same pass then tells what the
     estimate would be if they were kept.
     """
-    meta = catalog[domain.variable]
-    valid = F.coalesce(in_codes(df, domain.variable, meta.valid), F.lit(False))
-    inside = universe_filter(df, domain.universe)
-    value = finite(df, domain.variable)
+    meta, name = catalog[domain.variable], domain.variable
+    valid = f"coalesce({codes_sql(df, name, meta.valid)}, false)"
+    inside = f"({universe_sql(df, domain.universe)})"
     if domain.kind == "prevalence":
-        inside = inside & valid
-        y = as_flag(in_codes(df, domain.variable, meta.affirmative))
-    else:
-        inside = inside & integer_like(df, domain.variable)
-        y = value
-    run = value if domain.kind == "quantile" else F.lit(None).cast("double")
-    return F.when(
-        inside,
-        F.struct(F.lit(place).alias("domain"), y.alias("y"), valid.alias("valid"), run.alias("run")),
-    )
+        yes = f"CASE WHEN {codes_sql(df, name, meta.affirmative)} THEN 1D ELSE 0D END"
+        return _member(f"{inside} AND {valid}", place, yes, "true", "NULL")
+    value = finite_sql(df, name)
+    run = value if domain.kind == "quantile" else "NULL"
+    return _member(f"{inside} AND {integer_sql(df, name)}", place, value, valid, run)
 
 
-def _retained_codes(df: DataFrame, variable: str, place: int, catalog: Catalog) -> Column:
+def _retained_codes(df: DataFrame, name: str, place: int, catalog: Catalog) -> str:
     """Reserved codes that occur anywhere in the column, as a domain of its own."""
-    valid = F.coalesce(in_codes(df, variable, catalog[variable].valid), F.lit(False))
-    value = finite(df, variable)
-    return F.when(
-        integer_like(df, variable) & ~valid,
-        F.struct(F.lit(place).alias("domain"), value.alias("y"), valid.alias("valid"), value.alias("run")),
-    )
+    reserved = f"NOT coalesce({codes_sql(df, name, catalog[name].valid)}, false)"
+    value = finite_sql(df, name)
+    return _member(f"{integer_sql(df, name)} AND {reserved}", place, value, "false", value)
 
 
 def _batch(df: DataFrame, domains: Sequence[Domain], catalog: Catalog, design: Design, z: float) -> DataFrame:
@@ -81,28 +77,24 @@ def _batch(df: DataFrame, domains: Sequence[Domain], catalog: Catalog, design: D
     code_place = {v: len(domains) + i for i, v in enumerate(continuous)}
     members = [_membership(df, d, i, catalog) for i, d in enumerate(domains)]
     members += [_retained_codes(df, v, i, catalog) for v, i in code_place.items()]
-    exploded = df.select(
-        finite(df, design.weight).alias("w"),
-        F.col(design.stratum).alias("h"),
-        F.col(design.psu).alias("a"),
-        F.inline(F.array(*members)),
-    ).where(F.col("domain").isNotNull())
+    exploded = df.selectExpr(
+        f"{finite_sql(df, design.weight)} AS w", f"`{design.stratum}` AS h", f"`{design.psu}` AS a",
+        f"inline(array({', '.join(members)}))",
+    ).where("domain IS NOT NULL")
     # One row per domain, PSU and (for quantiles) value: small, and every estimate below comes from it.
-    w, y, valid = F.col("w"), F.col("y"), F.col("valid")
     cells = written(
-        exploded.groupBy("domain", "h", "a", "run").agg(
-            F.coalesce(F.sum(F.when(valid, w * y)), F.lit(0.0)).alias("s_wy"),
-            F.coalesce(F.sum(F.when(valid, w)), F.lit(0.0)).alias("s_w"),
-            F.coalesce(F.sum(F.when(valid & w.isNotNull(), y)), F.lit(0.0)).alias("s_y"),
-            F.count_if(valid & w.isNotNull()).alias("n"),
-            F.count_if(valid & w.isNull()).alias("n_dropped_weight"),
-            F.sum(w * y).alias("kept_wy"),
-            F.sum(w).alias("kept_w"),
-            F.count(w).alias("kept_n"),
-            F.min(F.when(w > 0, w)).alias("low"),
-            F.max(F.when(w > 0, w)).alias("high"),
-            F.bool_or(valid).alias("valid"),
-        ),
+        exploded.groupBy("domain", "h", "a", "run").agg(*map(F.expr, [
+            "coalesce(sum(CASE WHEN valid THEN w * y END), 0D) AS s_wy",
+            "coalesce(sum(CASE WHEN valid THEN w END), 0D) AS s_w",
+            "coalesce(sum(CASE WHEN valid AND w IS NOT NULL THEN y END), 0D) AS s_y",
+            "count_if(valid AND w IS NOT NULL) AS n",
+            "count_if(valid AND w IS NULL) AS n_dropped_weight",
+            "sum(w * y) AS kept_wy",
+            "sum(w) AS kept_w",
+            "min(CASE WHEN w > 0 THEN w END) AS low",
+            "max(CASE WHEN w > 0 THEN w END) AS high",
+            "bool_or(valid) AS valid",
+        ])),
         "domain_cells",
     )
     spark = df.sparkSession
@@ -112,16 +104,11 @@ def _batch(df: DataFrame, domains: Sequence[Domain], catalog: Catalog, design: D
     )
 
     per_psu = cells.where(F.col("run").isNull())
-    ratio = F.col("ratio")
-    ratios = stratified_ratio(per_psu, ["domain"], carry=["s_y", "kept_wy", "kept_w"]).select(
-        "domain",
-        ratio.alias("estimate"),
-        F.sqrt("variance").alias("se"),
-        (ratio - z * F.sqrt("variance")).alias("lci"),
-        (ratio + z * F.sqrt("variance")).alias("uci"),
-        design_effect(ratio, F.col("variance"), F.col("n")).alias("deff"),
-        F.try_divide("s_y", "n").alias("unweighted"),
-        F.try_divide("kept_wy", "kept_w").alias("reserved_kept"),
+    half = f"{z!r}D * sqrt(variance)"
+    ratios = stratified_ratio(per_psu, ["domain"], carry=["s_y", "kept_wy", "kept_w"]).selectExpr(
+        "domain", "ratio AS estimate", "sqrt(variance) AS se", f"ratio - {half} AS lci", f"ratio + {half} AS uci",
+        "CASE WHEN ratio * (1 - ratio) > 0 THEN variance * n / (ratio * (1 - ratio)) END AS deff",
+        "try_divide(s_y, n) AS unweighted", "try_divide(kept_wy, kept_w) AS reserved_kept",
         "n", "denominator_weighted", "n_psu", "n_strata",
     )
     estimates = ratios
@@ -133,16 +120,16 @@ def _batch(df: DataFrame, domains: Sequence[Domain], catalog: Catalog, design: D
         .groupBy(F.col("domain").alias("code_domain"))
         .agg(F.array_sort(F.collect_set(F.col("run").cast("bigint"))).alias("retained_codes"))
     )
-    scale = F.when(F.col("kind") == "prevalence", 100.0).otherwise(1.0)
+    scale = "CASE WHEN kind = 'prevalence' THEN 100D ELSE 1D END"
+    scaled = ("estimate", "se", "lci", "uci", "unweighted", "reserved_kept")
     return (
         labels.join(estimates, "domain")
         .join(retained, "code_domain", "left")
-        .select(
-            "domain_key", "variable", "kind", "q",
-            *[(scale * F.col(c)).alias(c) for c in ("estimate", "se", "lci", "uci", "unweighted", "reserved_kept")],
-            F.when(F.col("kind") == "prevalence", F.col("deff")).alias("deff"),
+        .selectExpr(
+            "domain_key", "variable", "kind", "q", *[f"{scale} * {c} AS {c}" for c in scaled],
+            "CASE WHEN kind = 'prevalence' THEN deff END AS deff",
             "n", "denominator_weighted", "n_psu", "n_strata",
-            F.coalesce("retained_codes", F.array().cast("array<bigint>")).alias("retained_codes"),
+            "coalesce(retained_codes, CAST(array() AS array<bigint>)) AS retained_codes",
         )
     )
 
@@ -151,35 +138,33 @@ def _quantiles(cells: DataFrame, domains: Sequence[Domain], catalog: Catalog, z:
     """Quantile domains: the weighted point with its interval, and the two flawed points."""
     wanted = [(i, d.q) for i, d in enumerate(domains) if d.kind == "quantile"]
     codes = max((catalog[d.variable].valid for d in domains if d.kind == "quantile"), key=len)
-    q = F.element_at(F.create_map(*[F.lit(x) for i, value in wanted for x in (i, float(value))]), F.col("domain"))
+    q = f"element_at(map({', '.join(f'{i}, {number_sql(value)}' for i, value in wanted)}), domain)"
     by_value = cells.where(F.col("run").isNotNull() & (F.col("domain") < len(domains))).withColumnRenamed("run", "y")
-
-    cells = by_value.where("valid").select(
+    mass = by_value.where("valid").select(
         "domain", "h", "a", "y", F.col("s_w").alias("s"), "n", "n_dropped_weight"
     )
-    runs = by_value.groupBy("domain", "y").agg(
-        F.sum(F.col("s_w")).alias("s"), F.sum("n").cast("double").alias("count"), F.sum("kept_w").alias("kept"),
-        F.min("low").alias("low"), F.max("high").alias("high"),
-    )
+    runs = by_value.groupBy("domain", "y").agg(*map(F.expr, [
+        "sum(s_w) AS s", "CAST(sum(n) AS DOUBLE) AS count", "sum(kept_w) AS kept", "min(low) AS low",
+        "max(high) AS high",
+    ]))
     summed = running_weight(runs, ["domain"], codes, ("s", "count", "kept"))
 
-    def marks(mass: str, low: Column, high: Column) -> tuple[Column, Column]:
-        here, total = F.col(mass) > 0, F.col(f"total_{mass}")
-        first = (F.col(f"c_{mass}") - F.col(mass) + 0.5 * low) / total
-        return F.when(here, first), F.when(here, (F.col(f"c_{mass}") - 0.5 * high) / total)
+    def marks(name: str, mass: str, low: str, high: str) -> tuple[str, str]:
+        """First and last midpoint on the scale of one kind of mass; none where that mass is missing."""
+        return (
+            f"CASE WHEN {mass} > 0 THEN (c_{mass} - {mass} + 0.5D * {low}) / total_{mass} END AS {name}_first",
+            f"CASE WHEN {mass} > 0 THEN (c_{mass} - 0.5D * {high}) / total_{mass} END AS {name}_last",
+        )
 
-    one, low, high = F.lit(1.0), F.col("low"), F.col("high")
-    sound, plain, kept = marks("s", low, high), marks("count", one, one), marks("kept", low, high)
-    knots = summed.select(
-        "domain", "y", sound[0].alias("k_first"), sound[1].alias("k_last"), plain[0].alias("u_first"),
-        plain[1].alias("u_last"), kept[0].alias("a_first"), kept[1].alias("a_last"),
+    knots = summed.selectExpr(
+        "domain", "y", *marks("k", "s", "low", "high"), *marks("u", "count", "1D", "1D"),
+        *marks("a", "kept", "low", "high"),
     )
-    y = F.col("y")
     flawed = [
-        interpolate(q, y, F.col("u_first"), F.col("u_last")).alias("unweighted"),
-        interpolate(q, y, F.col("a_first"), F.col("a_last")).alias("reserved_kept"),
+        interpolate(q, "y", "u_first", "u_last").alias("unweighted"),
+        interpolate(q, "y", "a_first", "a_last").alias("reserved_kept"),
     ]
-    points = woodruff(cells, knots, q, ["domain"], flawed, z)
+    points = woodruff(mass, knots, q, ["domain"], flawed, z)
     return points.select(
         "domain", "estimate", "se", "lci", "uci", F.lit(None).cast("double").alias("deff"), "unweighted",
         "reserved_kept", "n", "denominator_weighted", "n_psu", "n_strata",

@@ -118,40 +118,33 @@ def stratified_ratio(psus: DataFrame, by: Sequence[str] = (), carry: Sequence[st
     and a covariance that do not depend on R. Strata with one PSU add nothing. PSUs without a design key
     count in R but not in the variance. ``carry`` names further PSU columns to sum up.
     """
-    usable = F.col("h").isNotNull() & F.col("a").isNotNull() & (F.col("n") > 0)
-    top, bottom = F.when(usable, F.col("s_wy")), F.when(usable, F.col("s_w"))
-    n_psu = F.count_if(usable)
-
-    def moment(value: Column) -> Column:
-        return F.coalesce(n_psu * value, F.lit(0.0))
-
-    strata = psus.groupBy(*by, "h").agg(
-        n_psu.alias("n_psu"),
-        moment(F.var_samp(top)).alias("m_tt"),
-        moment(F.covar_samp(top, bottom)).alias("m_tb"),
-        moment(F.var_samp(bottom)).alias("m_bb"),
-        F.sum("s_wy").alias("s_wy"),
-        F.sum("s_w").alias("s_w"),
-        F.sum("n").alias("n"),
-        F.sum(F.when(~usable, F.col("n"))).alias("n_dropped_design"),
-        F.sum("n_dropped_weight").alias("n_dropped_weight"),
-        *[F.sum(c).alias(c) for c in carry],
-    )
-    r = F.try_divide(F.sum("s_wy"), F.sum("s_w"))
-    spread = F.greatest(
-        F.sum("m_tt") - 2 * r * F.sum("m_tb") + r * r * F.sum("m_bb"), F.lit(0.0)
-    )
-    return strata.groupBy(*by).agg(
-        r.alias("ratio"),
-        F.try_divide(spread, F.sum("s_w") * F.sum("s_w")).alias("variance"),
-        F.coalesce(F.sum("n"), F.lit(0)).alias("n"),
-        F.coalesce(F.sum("s_w"), F.lit(0.0)).alias("denominator_weighted"),
-        F.coalesce(F.sum("n_psu"), F.lit(0)).alias("n_psu"),
-        F.count_if(F.col("n_psu") > 0).alias("n_strata"),
-        F.coalesce(F.sum("n_dropped_weight"), F.lit(0)).alias("n_dropped_weight"),
-        F.coalesce(F.sum("n_dropped_design"), F.lit(0)).alias("n_dropped_design"),
-        *[F.sum(c).alias(c) for c in carry],
-    )
+    usable = "(h IS NOT NULL AND a IS NOT NULL AND n > 0)"
+    top, bottom = f"CASE WHEN {usable} THEN s_wy END", f"CASE WHEN {usable} THEN s_w END"
+    strata = psus.groupBy(*by, "h").agg(*map(F.expr, [
+        f"count_if({usable}) AS n_psu",
+        f"coalesce(count_if({usable}) * var_samp({top}), 0D) AS m_tt",
+        f"coalesce(count_if({usable}) * covar_samp({top}, {bottom}), 0D) AS m_tb",
+        f"coalesce(count_if({usable}) * var_samp({bottom}), 0D) AS m_bb",
+        "sum(s_wy) AS s_wy",
+        "sum(s_w) AS s_w",
+        "sum(n) AS n",
+        f"sum(CASE WHEN NOT {usable} THEN n END) AS n_dropped_design",
+        "sum(n_dropped_weight) AS n_dropped_weight",
+        *[f"sum({c}) AS {c}" for c in carry],
+    ]))
+    r = "try_divide(sum(s_wy), sum(s_w))"
+    spread = f"greatest(sum(m_tt) - 2 * {r} * sum(m_tb) + {r} * {r} * sum(m_bb), 0D)"
+    return strata.groupBy(*by).agg(*map(F.expr, [
+        f"{r} AS ratio",
+        f"try_divide({spread}, sum(s_w) * sum(s_w)) AS variance",
+        "coalesce(sum(n), 0) AS n",
+        "coalesce(sum(s_w), 0D) AS denominator_weighted",
+        "coalesce(sum(n_psu), 0) AS n_psu",
+        "count_if(n_psu > 0) AS n_strata",
+        "coalesce(sum(n_dropped_weight), 0) AS n_dropped_weight",
+        "coalesce(sum(n_dropped_design), 0) AS n_dropped_design",
+        *[f"sum({c}) AS {c}" for c in carry],
+    ]))
 
 
 COUNTS = ("n", "denominator_weighted", "n_psu", "n_strata", "n_dropped_weight", "n_dropped_design")

@@ -87,27 +87,26 @@ def knots(runs: DataFrame, by: Sequence[str], codes: Sequence[int]) -> DataFrame
     )
 
 
-def interpolate(q: Column, y: Column | None = None, k_first: Column | None = None,
-                k_last: Column | None = None) -> Column:
-    """Aggregate over knots: piecewise linear lookup at ``q``, clamped at both ends."""
-    y = F.col("y") if y is None else y
-    k_first = F.col("k_first") if k_first is None else k_first
-    k_last = F.col("k_last") if k_last is None else k_last
-
-    def knot(x: Column) -> Column:
-        return F.struct(x.alias("x"), y.alias("y"))
-
-    left = F.max(F.when(k_last <= q, knot(k_last)).when(k_first <= q, knot(k_first)))
-    right = F.min(F.when(k_first > q, knot(k_first)).when(k_last > q, knot(k_last)))
-    slope = F.try_divide(right["y"] - left["y"], right["x"] - left["x"])
-    at = F.max(q)  # q may be a column that is constant within the group
-    return (
-        F.when(left.isNull(), right["y"])
-        .when(right.isNull(), left["y"])
-        .otherwise(left["y"] + (at - left["x"]) * slope)
+def interpolate(q: str, y: str = "y", first: str = "k_first", last: str = "k_last") -> Column:
+    """Aggregate over knots: piecewise linear lookup at ``q``, clamped at both ends.
+
+    ``q`` is SQL text that is constant within a group: a number or a column.
+    """
+    left = (f"max(CASE WHEN {last} <= {q} THEN struct({last} AS x, {y} AS v) "
+            f"WHEN {first} <= {q} THEN struct({first} AS x, {y} AS v) END)")
+    right = (f"min(CASE WHEN {first} > {q} THEN struct({first} AS x, {y} AS v) "
+             f"WHEN {last} > {q} THEN struct({last} AS x, {y} AS v) END)")
+    slope = f"try_divide({right}.v - {left}.v, {right}.x - {left}.x)"
+    return F.expr(
+        f"CASE WHEN {left} IS NULL THEN {right}.v WHEN {right} IS NULL THEN {left}.v "
+        f"ELSE {left}.v + (max({q}) - {left}.x) * {slope} END"
     )
 
 
+def number_sql(value: float) -> str:
+    return f"{float(value)!r}D"
+
+
 def quantile(
     df: DataFrame,
     variable: str,
@@ -137,7 +136,7 @@ def quantile(
         marks.withColumn("k_first", k_first).withColumn("k_last", k_last)
         .groupBy(*by)
         .agg(
-            F.coalesce(interpolate(F.lit(float(q))), F.lit(0.0)).alias("value"),
+            F.coalesce(interpolate(number_sql(q)), F.lit(0.0)).alias("value"),
             F.coalesce(F.sum("n"), F.lit(0)).alias("n"),
             F.coalesce(F.sum("s"), F.lit(0.0)).alias("denominator_weighted"),
             F.coalesce(F.sum("n_dropped_weight"), F.lit(0)).alias("n_dropped_weight"),
@@ -168,7 +167,7 @@ def quantile_ci(
         rows = rows.withColumn(WHOLE, F.lit(0))
     cells = written(value_cells(rows, keys), "value_cells")
     marks = knots(value_runs(cells, keys), keys, valid)
-    found = woodruff(cells, marks, F.lit(float(q)), keys, z=z)
+    found = woodruff(cells, marks, number_sql(q), keys, z=z)
     if not by:  # one row also when there is nothing to estimate
         found = found.agg(*[F.max(c).alias(c) for c in found.columns if c != WHOLE])
         found = found.fillna(0, ["n", "denominator_weighted", "n_psu", "n_strata"])
@@ -176,11 +175,11 @@ def quantile_ci(
 
 
 def woodruff(
-    cells: DataFrame, marks: DataFrame, q: Column, by: Sequence[str], extra: Sequence[Column] = (), z: float = Z95
+    cells: DataFrame, marks: DataFrame, q: str, by: Sequence[str], extra: Sequence[Column] = (), z: float = Z95
 ) -> DataFrame:
     """Point, standard error of its cumulative share, and bounds, from cells and their knots; one row per group.
 
-    ``q`` may depend on the group, ``extra`` are further aggregates of the knots. Tables with one row per group
+    ``q`` is SQL text and may depend on the group, ``extra`` are further aggregates of the knots. Tables with one row per group
     are broadcast: groups are capped.
     """
     point = marks.groupBy(*by).agg(interpolate(q).alias("estimate"))
@@ -196,10 +195,9 @@ def woodruff(
         )
     )
     spread = stratified_ratio(psus, by).withColumn("se", F.sqrt("variance"))
-    reach = spread.select(
+    reach = spread.selectExpr(
         *by, "se", *COUNTS,
-        F.greatest(F.lit(0.0), q - z * F.col("se")).alias("p_low"),
-        F.least(F.lit(1.0), q + z * F.col("se")).alias("p_high"),
+        f"greatest(0D, {q} - {number_sql(z)} * se) AS p_low", f"least(1D, {q} + {number_sql(z)} * se) AS p_high",
     )
     return (
         marks.join(F.broadcast(reach), list(by))
@@ -207,8 +205,8 @@ def woodruff(
         .agg(
             interpolate(q).alias("estimate"),
             F.max("se").alias("se"),
-            interpolate(F.col("p_low")).alias("lci"),
-            interpolate(F.col("p_high")).alias("uci"),
+            interpolate("p_low").alias("lci"),
+            interpolate("p_high").alias("uci"),
             *[F.max(c).alias(c) for c in COUNTS],
             *extra,
         )

@@ -723,7 +723,7 @@ def interp_lookup(spark, sf_dir):
     rows = E.measured(data, "inc_a", universe=None, valid=CATALOG["inc_a"].valid, design=DESIGN, by=("yr",))
     marks = Q.knots(Q.value_runs(Q.value_cells(rows, ["yr"]), ["yr"]), ["yr"], CATALOG["inc_a"].valid)
     return tidy(marks.groupBy("yr").agg(
-        *[Q.interpolate(F.lit(q)).alias(f"at_{int(q * 100)}") for q in LOOKUPS]))
+        *[Q.interpolate(Q.number_sql(q)).alias(f"at_{int(q * 100)}") for q in LOOKUPS]))
 
 
 def _documents(spark, sf_dir):

@@ -21,7 +21,7 @@ from ..operators import tables as TB
 from ..operators import trends as TR
 from ..operators import verify as V
 from ..operators.batch import batch_estimates
-from ..session import scratch_dir, written
+from ..session import scratch_dir
 from ..sources import bundle as B
 from ..sources import microdata as M
 from ..survey import Survey
@@ -676,15 +676,15 @@ def grounded_or_refuse(spark, sf_dir):
 @query
 def tfidf_index(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return tidy(S.tfidf_index(docs, "doc_id", "text"))
+    return tidy(S.tfidf_index(docs, "doc_id", "text").postings)
 
 
 @query
 def tfidf_topk(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     asked = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
-    index = written(S.tfidf_index(docs, "doc_id", "text"), "tfidf_index")
-    return tidy(S.tfidf_topk(index, asked, key="doc_id", query_key="item_id", text="text", k=3))
+    index = S.write_index(S.tfidf_index(docs, "doc_id", "text"))
+    return tidy(S.tfidf_topk(index, asked, query_key="item_id", text="text", k=3))
 
 
 def _hits(spark, sf_dir):

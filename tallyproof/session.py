@@ -33,7 +33,7 @@ def scratch_dir(spark: SparkSession) -> str:
     Only where the session names none (tests on one machine) a local temporary folder is taken, and
     the session is told of it.
     """
-    root = spark.conf.get(CHECKPOINT_KEY, None)
+    root = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
     if not root:
         root = tempfile.mkdtemp(prefix="tallyproof-")
         spark.conf.set(CHECKPOINT_KEY, root)

@@ -77,7 +77,7 @@ def brute_search(query, k):
     return [(i, scores[i]) for i in ranked[:k]]
 
 
-@pytest.mark.parametrize("share", [1_000, 3, 10_000_000])
+@pytest.mark.parametrize("share", [200_000, 8, 1])
 def test_topk_equals_brute_force(spark, monkeypatch, share):
     """Also when terms are split between the frequent and the other path."""
     monkeypatch.setattr(S, "FREQUENT_SHARE", share)
@@ -85,7 +85,7 @@ def test_topk_equals_brute_force(spark, monkeypatch, share):
     queries = ["insulin pump", "café 42 the", "zzz", "x_y insulin insulin"]
     asked = spark.createDataFrame(list(enumerate(queries)), "q long, text string")
     index = S.tfidf_index(docs, "doc", "text")
-    found = S.tfidf_topk(index, asked, key="doc", query_key="q", text="text", k=3).collect()
+    found = S.tfidf_topk(index, asked, query_key="q", text="text", k=3).collect()
     for i, query in enumerate(queries):
         got = sorted((r["rank"], r["doc"], r["score"]) for r in found if r["q"] == i)
         want = brute_search(query, 3)

@@ -773,6 +773,15 @@ def _blocks() -> None:
         '\\[\\[([A-Za-z0-9_]+)\\]\\]', '[\\1](./\\1.md)', 'g'), '"', '''')) AS digest FROM (SELECT doc_id,
         CASE WHEN h <> '' THEN regexp_replace(h, '\\.+$', '') || '.' END AS s FROM (SELECT doc_id,
         trim(split_part(trim(text), '. ', 1)) AS h FROM documents))"""
+    ORACLES["number_text"] = """SELECT o_orderkey, printf('%.2f', o_totalprice) AS fixed,
+        format('{:,.0f}', o_totalprice) AS grouped FROM orders"""
+    ORACLES["year_map_text"] = with_([MICRO], """SELECT sex_a,
+        '{' || string_agg(printf('%d: %.2f', yr, m), ', ' ORDER BY yr) || '}' AS years
+        FROM (SELECT sex_a, yr, avg(ht_a) AS m FROM micro GROUP BY sex_a, yr) GROUP BY sex_a""")
+    ORACLES["codes_text"] = with_([MICRO], """SELECT sex_a,
+        (SELECT string_agg(CAST(c AS VARCHAR), ', ' ORDER BY c) FROM (SELECT DISTINCT ever_a AS c FROM micro i
+          WHERE i.sex_a = m.sex_a)) AS short,
+        printf('%d-%d (%d values)', min(qty), max(qty), count(DISTINCT qty)) AS long FROM micro m GROUP BY sex_a""")
 
 
 for _part in (_sources, _filters, _estimates, _trends, _claims, _documents, _search, _blocks):

@@ -749,3 +749,27 @@ def frontmatter_split(spark, sf_dir):
 @query
 def first_sentence(spark, sf_dir):
     return _documents(spark, sf_dir).select("doc_id", F.md5(X.one_line(X.first_sentence(F.col("text")))).alias("digest"))
+
+
+@query
+def number_text(spark, sf_dir):
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    price = F.col("o_totalprice")
+    return orders.select("o_orderkey", X.number_text(price).alias("fixed"), X.thousands_text(price).alias("grouped"))
+
+
+@query
+def year_map_text(spark, sf_dir):
+    """Mean height code per year as one text per sex code."""
+    yearly = micro(spark, sf_dir).groupBy("sex_a", "yr").agg(F.avg("ht_a").alias("mean"))
+    maps = yearly.groupBy("sex_a").agg(F.map_from_entries(F.collect_list(F.struct("yr", "mean"))).alias("years"))
+    return maps.select("sex_a", X.year_map_text(F.col("years")).alias("years"))
+
+
+@query
+def codes_text(spark, sf_dir):
+    """The codes that occur in a short and in a long code list, per sex code."""
+    data = micro(spark, sf_dir)
+    sets = data.groupBy("sex_a").agg(
+        F.array_sort(F.collect_set("ever_a")).alias("short"), F.collect_set("qty").alias("long"))
+    return sets.select("sex_a", X.codes_text(F.col("short")).alias("short"), X.codes_text(F.col("long")).alias("long"))

@@ -89,3 +89,17 @@ def test_scan_reads_only_needed_columns(spark, small):
     text = plan._jdf.queryExecution().executedPlan().toString()
     schema = text[text.index("ReadSchema"):]
     assert "l_returnflag" not in schema and "l_tax" not in schema
+
+
+def test_public_catalog(spark):
+    from tallyproof.catalogs import ADULT_2023, ADULT_DESIGN, ADULT_WAVES
+    from tallyproof.operators import tables
+
+    assert len(list(ADULT_2023)) == 9 and ADULT_WAVES.resolve("bmi", 2023).variable == "BMICAT_A"
+    with pytest.raises(KeyError):
+        ADULT_WAVES.resolve("bmi", 1900)
+    rows = [(1, 50, 2.0, 1, 1), (1, 97, 5.0, 1, 2), (2, None, 1.0, 1, 3), (1, 40, 2.0, 1, 3)]
+    data = spark.createDataFrame(rows, "DIBEV_A int, DIBAGETC_A int, WTFA_A double, PSTRAT int, PPSU int")
+    got = tables.subpopulation_stat(data, "DIBAGETC_A", universe="DIBEV_A == 1", stat="mean", catalog=ADULT_2023,
+                                    design=ADULT_DESIGN).first()
+    assert (got["estimate"], got["n"]) == (45.0, 2)

@@ -77,15 +77,17 @@ def brute_search(query, k):
     return [(i, scores[i]) for i in ranked[:k]]
 
 
-@pytest.mark.parametrize("share", [200_000, 8, 1])
-def test_topk_equals_brute_force(spark, monkeypatch, share):
-    """Also when terms are split between the frequent and the other path."""
+@pytest.mark.parametrize("share, broadcast", [(200_000, "10MB"), (8, "10MB"), (1, "-1")])
+def test_topk_equals_brute_force(spark, monkeypatch, share, broadcast):
+    """Also when terms are split between the frequent and the other path, and when all joins shuffle."""
     monkeypatch.setattr(S, "FREQUENT_SHARE", share)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
     docs = spark.createDataFrame(CORPUS, "doc long, text string")
     queries = ["insulin pump", "café 42 the", "zzz", "x_y insulin insulin"]
     asked = spark.createDataFrame(list(enumerate(queries)), "q long, text string")
     index = S.tfidf_index(docs, "doc", "text")
     found = S.tfidf_topk(index, asked, query_key="q", text="text", k=3).collect()
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     for i, query in enumerate(queries):
         got = sorted((r["rank"], r["doc"], r["score"]) for r in found if r["q"] == i)
         want = brute_search(query, 3)

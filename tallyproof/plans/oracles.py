@@ -94,7 +94,7 @@ def midpoints(source: str, name: str, w: str = "w") -> str:
             f"- 0.5 * {w}) / sum({w}) OVER (PARTITION BY g) AS k FROM {source})")
 
 
-def lookup(points: str, q: str, alias: str, source_alias: str = "m") -> str:
+def lookup(q: str, alias: str) -> str:
     """Piecewise linear lookup as an aggregate over knots."""
     x0, y0 = f"max(k) FILTER (k <= {q})", f"max(y) FILTER (k <= {q})"
     x1, y1 = f"min(k) FILTER (k > {q})", f"min(y) FILTER (k > {q})"
@@ -106,14 +106,13 @@ def woodruff(source: str, q: str, p: str = "wq") -> list[str]:
     """``q`` is an expression over g; result table named ``p``."""
     return [
         midpoints(source, f"{p}_m"),
-        f"{p}_e AS (SELECT g, {lookup('', q, 'point')} FROM {p}_m GROUP BY g)",
+        f"{p}_e AS (SELECT g, {lookup(q, 'point')} FROM {p}_m GROUP BY g)",
         f"{p}_d AS (SELECT d.g, CASE WHEN y <= point THEN 1.0 ELSE 0.0 END AS y, w, h, a FROM {source} d "
         f"JOIN {p}_e e ON d.g = e.g)",
         taylor(f"{p}_d", f"{p}_t"),
-        f"{p}_b AS (SELECT m.*, greatest(0.0, {q.replace('g', 'm.g') if q != 'g' and 'g' in q else q} - 1.96 * se) "
-        f"AS q0, least(1.0, {q.replace('g', 'm.g') if q != 'g' and 'g' in q else q} + 1.96 * se) AS q1 "
-        f"FROM {p}_m m JOIN {p}_t t ON m.g = t.g)",
-        f"{p}_c AS (SELECT g, {lookup('', 'q0', 'lci')}, {lookup('', 'q1', 'uci')} FROM {p}_b GROUP BY g)",
+        f"{p}_b AS (SELECT g, y, k, greatest(0.0, {q} - 1.96 * se) AS q0, least(1.0, {q} + 1.96 * se) AS q1 "
+        f"FROM {p}_m m JOIN (SELECT g, se FROM {p}_t) t USING (g))",
+        f"{p}_c AS (SELECT g, {lookup('q0', 'lci')}, {lookup('q1', 'uci')} FROM {p}_b GROUP BY g)",
         f"{p} AS (SELECT e.g, point, se, c.lci, c.uci, tw, n, n_psu, n_strata FROM {p}_e e JOIN {p}_t t ON e.g = t.g "
         f"JOIN {p}_c c ON e.g = c.g)",
     ]
@@ -205,7 +204,7 @@ def _estimates() -> None:
     def quantile(where: str, y: str, q: float, w: str = "wt") -> str:
         return with_(
             [MICRO, f"d AS ({rows(where, y, w=w)})", midpoints("d", "m"),
-             f"e AS (SELECT g, {lookup('', str(q), 'value')} FROM m GROUP BY g)",
+             f"e AS (SELECT g, {lookup(str(q), 'value')} FROM m GROUP BY g)",
              "c AS (SELECT g, count(*) AS n, sum(w) AS tw FROM d GROUP BY g)"],
             """SELECT round(value, 6) AS value, n, round(tw, 4) AS denominator_weighted,
             CAST(0 AS BIGINT) AS n_dropped_weight FROM e JOIN c ON e.g = c.g""")
@@ -382,8 +381,8 @@ def _estimate_tables(domains) -> list[str]:
         taylor("dr"), "rk AS (SELECT g, sum(w * y) / sum(w) AS kept FROM dk GROUP BY g)",
         *woodruff("dq", q, "wq"),
         "dq1 AS (SELECT g, y, 1.0 AS w FROM dq)", midpoints("dq1", "mu"), midpoints("dqk", "mk"),
-        f"qu AS (SELECT g, {lookup('', q, 'plain')} FROM mu GROUP BY g)",
-        f"qk AS (SELECT g, {lookup('', q, 'kept')} FROM mk GROUP BY g)",
+        f"qu AS (SELECT g, {lookup(q, 'plain')} FROM mu GROUP BY g)",
+        f"qk AS (SELECT g, {lookup(q, 'kept')} FROM mk GROUP BY g)",
         """est AS (
         SELECT t.g AS domain_key, f * r AS estimate, f * se AS se, f * lci AS lci, f * uci AS uci,
           f * plain AS unweighted, f * kept AS reserved_kept,
@@ -539,8 +538,6 @@ def _doc_tables() -> list[str]:
 
     meta = ", ".join(f"({text(v.name)}, {text(v.universe_text)}, {text(v.label)}, {text(v.notes)})" for v in CATALOG)
     lines = "chr(10)"
-    columns = ("array_to_string(list_distinct_ordered, ',')")
-    del columns
     related = (f"CASE WHEN links <> '' THEN concat_ws({lines}, '## Related', array_to_string(list_transform("
                f"string_split(links, '; '), lambda x: '- [' || x || '](./' || x || '.md)'), {lines}), '') END")
     return _claim_tables() + _trend_claims()[1:] + [
@@ -758,7 +755,7 @@ def _blocks() -> None:
     ORACLES["running_weight"] = with_([MICRO, source, "r AS (SELECT g, y, sum(w) AS s FROM d GROUP BY g, y)"],
         """SELECT g AS yr, y, round(s, 4) AS s, round(sum(s) OVER (PARTITION BY g ORDER BY y), 4) AS c_s,
         round(sum(s) OVER (PARTITION BY g), 4) AS total_s FROM r""")
-    at = ", ".join(lookup("", str(q), f"at_{int(q * 100)}") for q in Q.LOOKUPS)
+    at = ", ".join(lookup(str(q), f"at_{int(q * 100)}") for q in Q.LOOKUPS)
     shown = ", ".join(f"round(at_{int(q * 100)}, 6) AS at_{int(q * 100)}" for q in Q.LOOKUPS)
     ORACLES["interp_lookup"] = with_([MICRO, source, midpoints("d", "m"), f"e AS (SELECT g, {at} FROM m GROUP BY g)"],
                                      f"SELECT g AS yr, {shown} FROM e")

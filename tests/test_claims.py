@@ -2,7 +2,7 @@ import json
 
 import pytest
 
-from tallyproof import Catalog, Design, Variable, WaveCatalog, WaveVariable
+from tallyproof import WaveCatalog, WaveVariable
 from tallyproof.operators import requests as R
 from tallyproof.operators import rows as RW
 from tallyproof.operators import trends as TR
@@ -182,4 +182,3 @@ def test_column_summary(spark):
     backed = spark.createDataFrame([("v",)], "variable string")
     got = {r["variable"]: r["summary"] for r in RW.column_summary(["v", "x"], CATALOG, backed).collect()}
     assert "0-29 (30 values)" in got["v"] and "no summary" in got["x"]
-    assert Catalog([]) is not None and Design("w", "h", "p") == DESIGN and Variable

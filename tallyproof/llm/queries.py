@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyproof.llm import decontamination, idfiles
+from tallyproof.llm import decontamination, idfiles, packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -29,3 +29,8 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idfiles.document_digests(idfiles.write_id_files(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+@query
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packing_digest(table(spark, sf_dir, "documents").select("doc_id", "text"))

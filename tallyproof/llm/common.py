@@ -8,10 +8,11 @@ its own, so texts are never cut.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyproof.session import written
@@ -154,6 +155,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return written(df, name)
 
 
+def importable(spark: SparkSession) -> None:
+    """Let Python workers on this machine find the package wherever they start. A cluster is given it with --py-files."""
+    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
+
+
 def id_text(column: str = "doc_id") -> str:
     return f"crc32(encode(cast({column} as string), 'UTF-8'))"
 

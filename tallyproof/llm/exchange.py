@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyproof.llm.common import SLICE_BYTES, slices, stored
+from tallyproof.llm.common import SLICE_BYTES, mix, slices, stored
 
 SLICES_PER_PART = 8
 LEAST_PARTS = 16
@@ -56,24 +56,25 @@ def store_slices(df: DataFrame, text: str, limit: int = SLICE_BYTES) -> DataFram
     return stored(df.mapInArrow(cut, "batch long, blob binary"), "slices")
 
 
-def parts_for(slices_: DataFrame) -> int:
-    return max(LEAST_PARTS, slices_.count() // SLICES_PER_PART)
+def parts_for(slices_: DataFrame, slices_per_part: int = SLICES_PER_PART) -> int:
+    return max(LEAST_PARTS, slices_.count() // slices_per_part)
 
 
 def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
-    return ((keys >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
+    return ((mix(keys) >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
 
 
 Make = Callable[[pa.RecordBatch, int, list], list[np.ndarray]]
-Judge = Callable[[list[np.ndarray], np.ndarray], np.ndarray]
+Judge = Callable[[list[np.ndarray], np.ndarray], tuple[np.ndarray, int]]
 
 
 def answers(rows: DataFrame, make: Make, judge: Judge, parts: int) -> DataFrame:
-    """(batch, replies): what ``judge`` says about the keys of each slice.
+    """(batch, p, reply, note): what ``judge`` says about the keys of each slice, and about each part as a whole.
 
     rows: (batch, blob) and any columns of earlier replies. ``make(slice, batch, replies)`` gives [keys, ...]: the distinct keys
     of a slice in ascending order and arrays beside them. ``judge([keys, ...], batch)`` gets those of all messages of a
-    part, laid end to end, with the slice each entry is from, and gives one value for each entry.
+    part, laid end to end, with the slice each entry is from, and gives one value for each entry and a number for the part.
+    ``by_slice`` brings the replies of a slice together.
     """
     earlier = rows.columns[2:]
 
@@ -93,14 +94,19 @@ def answers(rows: DataFrame, make: Make, judge: Judge, parts: int) -> DataFrame:
         messages = [unpack(x) for x in table.column("message").to_pylist()]
         sizes = [len(m[0]) for m in messages]
         name = np.repeat(table.column("batch").to_numpy(), sizes)
-        said = judge([np.concatenate(x) for x in zip(*messages, strict=True)], name)
+        said, note = judge([np.concatenate(x) for x in zip(*messages, strict=True)], name)
         ends = np.cumsum(sizes)
         out = [pack([said[b - n: b]]) for n, b in zip(sizes, ends.tolist(), strict=True)]
-        return pa.table({"batch": table.column("batch"), "p": table.column("p"), "reply": pa.array(out, pa.binary())})
+        return pa.table({"batch": table.column("batch"), "p": table.column("p"), "reply": pa.array(out, pa.binary()),
+                         "note": pa.array(np.full(len(out), note, dtype=np.int64))})
 
     sent = rows.mapInArrow(send, "p int, batch long, message binary")
-    got = sent.groupBy("p").applyInArrow(reply, "batch long, p int, reply binary")
-    return got.groupBy("batch").agg(F.collect_list(F.struct("p", "reply")).alias("replies"))
+    return sent.groupBy("p").applyInArrow(reply, "batch long, p int, reply binary, note long")
+
+
+def by_slice(got: DataFrame, name: str) -> DataFrame:
+    """(batch, name): the replies to each slice, one for each part at most."""
+    return got.groupBy("batch").agg(F.collect_list(F.struct("p", "reply")).alias(name))
 
 
 def gather(keys: np.ndarray, replies: list, parts: int, dtype: type) -> np.ndarray:

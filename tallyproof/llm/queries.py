@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyproof.llm import decontamination, embeddings, idfiles, language, neardup, packing, repeats
+from tallyproof.llm import decontamination, embeddings, idfiles, language, licenses, neardup, ngrams, packing, repeats
 from tallyproof.llm.common import importable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,3 +61,13 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_digest(table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngrams.score_digest(table(spark, sf_dir, "documents"))

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyproof.llm.common import LOWER, SPACED, U64, hash_spans, mix, texts_of, words_of
-from tallyproof.llm.exchange import answers, from_blob, gather, parts_for, store_slices
+from tallyproof.llm.exchange import answers, by_slice, from_blob, gather, parts_for, store_slices
 
 MIN_WORDS = 50
 GRAM = 25
@@ -129,11 +129,11 @@ def _solve(docs: DataFrame, id_col: str, text: str, size: int, gram: int) -> tup
         own = np.unique(np.stack([inverse, place]), axis=1)[0] if len(place) else inverse
         return [keys, np.minimum(np.bincount(own, minlength=len(keys)), 255).astype(np.uint8)]
 
-    def repeated(values: list[np.ndarray], _: np.ndarray) -> np.ndarray:
+    def repeated(values: list[np.ndarray], _: np.ndarray) -> tuple[np.ndarray, int]:
         _, inverse = np.unique(values[0], return_inverse=True)
-        return (np.bincount(inverse, weights=values[1])[inverse] > 1).astype(np.uint8)
+        return (np.bincount(inverse, weights=values[1])[inverse] > 1).astype(np.uint8), 0
 
-    flags = answers(parts_at, suffixes, repeated, parts).withColumnRenamed("replies", "flags")
+    flags = by_slice(answers(parts_at, suffixes, repeated, parts), "flags")
     rows = parts_at.join(flags, "batch", "left")
 
     def passages(batch: pa.RecordBatch, name: int, earlier: list) -> list[np.ndarray]:
@@ -141,16 +141,16 @@ def _solve(docs: DataFrame, id_col: str, text: str, size: int, gram: int) -> tup
         words, starts, keys, _, count, first = _windows(batch, ids, text, size, gram, earlier[0], parts)
         return [keys, np.minimum(count, 2).astype(np.uint8), ids[words.text[starts[first]]]]
 
-    def first_of(values: list[np.ndarray], name: np.ndarray) -> np.ndarray:
+    def first_of(values: list[np.ndarray], name: np.ndarray) -> tuple[np.ndarray, int]:
         keys, count, ids = values
         _, inverse = np.unique(keys, return_inverse=True)
         total = np.bincount(inverse, weights=count)
         order = np.lexsort((name, ids, inverse))
         lead = np.zeros(len(keys), dtype=bool)
         lead[order[np.searchsorted(inverse[order], np.arange(len(total)))]] = True
-        return (total[inverse] > 1).astype(np.uint8) + 2 * lead.astype(np.uint8)
+        return (total[inverse] > 1).astype(np.uint8) + 2 * lead.astype(np.uint8), 0
 
-    found = answers(rows, passages, first_of, parts)
+    found = by_slice(answers(rows, passages, first_of, parts), "replies")
     return rows.join(found, "batch", "left"), parts
 
 

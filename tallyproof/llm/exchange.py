@@ -86,7 +86,7 @@ def answers(rows: DataFrame, make: Make, judge: Judge, parts: int) -> DataFrame:
                 part = part_of(values[0], parts)
                 order = np.argsort(part, kind="stable")
                 used, at = np.unique(part[order], return_index=True)
-                ends = np.append(at[1:], len(order))
+                ends = np.append(at[1:], len(order))[: len(at)]
                 out = [pack([x[order[a:b]] for x in values]) for a, b in zip(at.tolist(), ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(np.full(len(used), name)), pa.array(out, pa.binary())], names=["p", "batch", "message"])
 

@@ -164,6 +164,25 @@ def id_text(column: str = "doc_id") -> str:
     return f"crc32(encode(cast({column} as string), 'UTF-8'))"
 
 
+def forest(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Hook the pairs into ``root`` (each row's label, changed in place); which pairs joined two trees."""
+    used = np.zeros(len(i), dtype=bool)
+    while True:
+        a, b = root[i], root[j]
+        open_ = np.flatnonzero(a != b)
+        if not len(open_):
+            return used
+        high, low = np.maximum(a[open_], b[open_]), np.minimum(a[open_], b[open_])
+        _, one = np.unique(high, return_index=True)
+        used[open_[one]] = True
+        root[high[one]] = low[one]
+        while True:  # labels point to roots again
+            up = root[root]
+            if (up == root).all():
+                break
+            root[:] = up
+
+
 def components(links: DataFrame) -> DataFrame:
     """Connected components of ``links`` (a, b: long): one row (node, component) for each node that is not the smallest
     of its component. Links with null or of a node with itself say nothing.

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyproof.llm.common import components, stored
+from tallyproof.llm.common import components, forest, stored
 
 THRESHOLD = 0.9
 PROBES = 6
@@ -77,25 +77,6 @@ def _links(left: np.ndarray, right: np.ndarray, probes_l: np.ndarray, probes_r:
                 yield p[own], q[own]
 
 
-def _forest(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Hook the pairs into ``root`` (each row's label, changed in place); which pairs joined two trees."""
-    used = np.zeros(len(i), dtype=bool)
-    while True:
-        a, b = root[i], root[j]
-        open_ = np.flatnonzero(a != b)
-        if not len(open_):
-            return used
-        high, low = np.maximum(a[open_], b[open_]), np.minimum(a[open_], b[open_])
-        _, one = np.unique(high, return_index=True)
-        used[open_[one]] = True
-        root[high[one]] = low[one]
-        while True:  # labels point to roots again
-            up = root[root]
-            if (up == root).all():
-                break
-            root[:] = up
-
-
 def near_vectors(vectors: DataFrame, *, id_col: str = "vec_id", column: str = "embedding", threshold: float = THRESHOLD, probes: int = PROBES,
                  sample: int = SAMPLE, max_cells: int = MAX_CELLS, cell_rows: int = CELL_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """One row per row of ``vectors``: vec_id, n_links, component_id, kept.
@@ -157,7 +138,7 @@ def near_vectors(vectors: DataFrame, *, id_col: str = "vec_id", column: str = "e
             i, j = left[i], right[j]
             np.add.at(count, i, n[j])
             np.add.at(count, j, n[i])
-            used = _forest(root, i, j)
+            used = forest(root, i, j)
             a.append(i[used])
             b.append(j[used])
         a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))

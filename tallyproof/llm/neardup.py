@@ -4,9 +4,9 @@ Steps: (1) one pass over the texts makes the set of hashed shingles of each, its
 (leading zeros and mantissa of the smallest hash of a bucket) and the band keys of the registers; (2) texts with equal
 sets become one node; (3) nodes that share a band key are candidates: each is paired with the pivot of its bucket, and
 the pair's similarity is estimated from the registers; (4) pairs that may reach the threshold are verified on their full
-sets; (5) members of a bucket that are still in different components are paired with each other and go the same
-way. So each candidate pair is either verified, ruled out by its estimate, or joined already: a large group of near
-copies costs a pass over its members, not over its pairs.
+sets; (5) members of a pivot's buckets that are still in different components are compared on their full sets, block by
+block. So each candidate pair is verified, ruled out by its estimate, or joined already, and a large group of near
+copies costs a pass over its members where its pivot is like them.
 
 Chances: with 51 bands of 5 registers a pair at similarity 0.75 shares no band once in a million; the margin below the
 threshold is five standard deviations of the estimate.
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyproof.llm.common import SPACED, U64, components, hashed_words, list_array, mix, slices, stored
+from tallyproof.llm.common import SPACED, U64, components, forest, hashed_words, list_array, mix, slices, stored
 
 SHINGLE = 5
 PERCENT = 75
@@ -31,6 +31,8 @@ BANDS = 51
 MANTISSA = 10
 MARGIN = 5.0
 PROBES = 32
+#: Rows of a block in which members of a bucket are compared.
+BLOCK = 512
 
 _rng = np.random.default_rng(20240608)
 _ODD = _rng.integers(1, 2**62, 16, dtype=np.int64).astype(U64) * U64(2) + U64(1)
@@ -197,9 +199,8 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int, size: int = SHING
                 for i, other in _slices_at(part, 3):
                     h_b, at_b = shingle_sets(other, size)
                     n = len(at_b) - 1
-                    own = h_a[at_a[i]: at_a[i + n]]
                     n_a, n_b = np.diff(at_a[i: i + n + 1]), np.diff(at_b)
-                    _, at = distinct(np.concatenate([np.repeat(np.arange(n), n_a), np.repeat(np.arange(n), n_b)]), np.concatenate([own, h_b]), n)
+                    _, at = distinct(np.concatenate([np.repeat(np.arange(n), n_a), np.repeat(np.arange(n), n_b)]), np.concatenate([h_a[at_a[i]: at_a[i + n]], h_b]), n)
                     union = np.diff(at)
                     keep = 100 * (n_a + n_b - union) >= percent * union
                     yield part.slice(i, n).select([0, 1]).filter(pa.array(keep & (union > 0)))
@@ -215,6 +216,73 @@ def _slices_at(part: pa.RecordBatch, column: int) -> Iterator[tuple[int, pa.Arra
         at += piece.num_rows
 
 
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of each set on the left with each on the right (distinct values in each)."""
+    h = np.concatenate([*left, *right]) if left or right else np.zeros(0, dtype=U64)
+    row = np.repeat(np.arange(len(left) + len(right)), [len(x) for x in (*left, *right)])
+    keys, inverse = np.unique(h, return_inverse=True)
+    on_left = row < len(left)
+    both = (np.bincount(inverse[on_left], minlength=len(keys)) > 0) & (np.bincount(inverse[~on_left], minlength=len(keys)) > 0)
+    column = np.cumsum(both) - 1
+    use = both[inverse]
+    row, column = row[use], column[inverse[use]]
+    out = np.zeros((len(left), len(right)), dtype=np.float32)
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    for a in range(0, int(both.sum()), 4096):  # incidence matrices of 4096 shingles at a time
+        lo, hi = np.searchsorted(column, [a, a + 4096])
+        cells = np.zeros((len(left) + len(right), 4096), dtype=np.float32)
+        cells[row[lo:hi], column[lo:hi] - a] = 1
+        out += cells[: len(left)] @ cells[len(left):].T
+    return out
+
+
+def residual(groups: DataFrame, joined: DataFrame, texts: DataFrame, percent: int, size: int = SHINGLE) -> DataFrame:
+    """Links between members of a group (pivot, node) that are in different components, verified on full sets: (a, b), stored.
+
+    In each group the largest component is compared with all other members, and those with each other, block by block:
+    a row is copied to the blocks it meets, pairs are never rows, and a task gives back a spanning forest of its links.
+    """
+    rows = groups.join(joined, "node", "left").select("pivot", "node", F.coalesce("component", "node").alias("c"))
+    counts = rows.groupBy("pivot", "c").agg(F.count("*").alias("n"))
+    about = counts.groupBy("pivot").agg(F.max(F.struct("n", "c")).alias("main"), F.sum("n").alias("all")).where("all > main.n").select(
+        "pivot", F.col("main.c").alias("main"), F.expr(f"cast(ceil(main.n / {BLOCK}) as int)").alias("mains"), F.expr(f"cast(ceil((all - main.n) / {BLOCK}) as int)").alias("others"))
+    rows = stored(rows.join(about, "pivot"), "mixed")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                h, at = shingle_sets(part.column(1), size)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([h[a:b].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary())], names=["node", "h"])
+
+    of = texts.join(rows.select("node").distinct(), "node", "left_semi").select("node", "text").mapInArrow(sets, "node long, h binary")
+    rows = rows.join(of, "node").withColumn("rest", F.expr("c != main")).withColumn(
+        "block", F.expr("cast(pmod(xxhash64(node), if(rest, others, mains)) as int)"))
+    meet = "struct({0} as same, cast({1} as int) as i, cast({2} as int) as j)"
+    dealt = rows.withColumn("to", F.explode(F.expr(
+        f"if(rest, concat(transform(sequence(0, mains - 1), k -> {meet.format('false', 'block', 'k')}),"
+        f" transform(sequence(0, others - 1), k -> {meet.format('true', 'least(block, k)', 'greatest(block, k)')})),"
+        f" transform(sequence(0, others - 1), k -> {meet.format('false', 'k', 'block')}))")))
+    dealt = dealt.select("pivot", "to.same", "to.i", "to.j", "rest", "block", "node", "c", "h")
+
+    def compare(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        same, i, j = (table.column(k)[0].as_py() for k in (1, 2, 3))
+        rest, block, node, c = (table.column(k).to_numpy(zero_copy_only=False) for k in (4, 5, 6, 7))
+        every = [np.frombuffer(x, dtype=U64) for x in table.column(8).to_pylist()]
+        left = np.flatnonzero(block == i) if same else np.flatnonzero(rest)
+        right = np.flatnonzero(block == j) if same else np.flatnonzero(~rest)
+        shared = overlaps([every[k] for k in left], [every[k] for k in right])
+        n = np.array([len(x) for x in every])
+        union = n[left][:, None] + n[right][None, :] - shared
+        a, b = np.nonzero((100 * shared >= percent * union) & (c[left][:, None] != c[right][None, :]))
+        _, root = np.unique(c, return_inverse=True)
+        used = forest(root, left[a], right[b])
+        return pa.table({"a": node[left[a][used]], "b": node[right[b][used]]})
+
+    return stored(dealt.groupBy("pivot", "same", "i", "j").applyInArrow(compare, "a long, b long"), "residual")
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept.
 
@@ -228,40 +296,21 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "tex
     classes = sign.where("n_shingles > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("node"))
     nodes = stored(sign.join(classes, ["f1", "f2"]).where("doc_id = node").select("node", "n_shingles", "regs", "keys"), "nodes")
     bands = nodes.select("node", F.explode("keys").alias("key"))
-    buckets = bands.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", "key").alias("h"), "node")).alias("low"), F.count("*").alias("n")).where("n > 1")
-    members = stored(bands.join(buckets.select("key", F.col("low.node").alias("pivot"), "n"), "key"), "members")
-
-    first = members.where("node != pivot").selectExpr("least(node, pivot) a", "greatest(node, pivot) b").distinct()
-    close = estimated(first, nodes, percent)
-    # each node with the likeliest partner first; then what is not joined by that
-    best = close.selectExpr("a as node", "a", "b", "est").unionByName(close.selectExpr("b as node", "a", "b", "est")).groupBy("node").agg(
-        F.max(F.struct("est", "a", "b")).alias("x")).select("x.a", "x.b").distinct()
+    shared = bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    members = stored(bands.join(shared, "key"), "members")
+    # the pivot of a bucket is its member that meets most others in all its buckets: in a family of copies, the original
+    weight = members.groupBy("node").agg(F.sum("n").alias("w"))
+    pivots = members.join(weight, "node").groupBy("key").agg(F.max(F.struct("w", F.expr("-node").alias("m"))).alias("x")).select("key", F.expr("-x.m").alias("pivot"))
+    groups = stored(members.join(pivots, "key").select("pivot", "node").distinct(), "groups")
     source = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text).alias("text"))
-    involved = close.selectExpr("a as node").unionByName(close.selectExpr("b as node")).distinct()
-    texts = stored(source.join(involved, "node", "left_semi"), "texts")
-    links = verified(best, texts, percent)
-    joined = components(links)
+    texts = stored(source.join(groups.select("node").distinct(), "node", "left_semi"), "texts")
 
-    def apart(pairs: DataFrame, joined: DataFrame) -> DataFrame:
-        return (pairs.join(joined.selectExpr("node as a", "component as c_a"), "a", "left").join(joined.selectExpr("node as b", "component as c_b"), "b", "left")
-                .where("coalesce(c_a, a) != coalesce(c_b, b)").select("a", "b"))
-
-    rest = verified(apart(close.join(best, ["a", "b"], "left_anti"), joined), texts, percent)
-    links = links.unionByName(rest)
-    if not rest.isEmpty():
-        joined = components(links)
-    # members of a bucket other than its pivot, still in different components
-    wide = members.where("n > 2 and node != pivot").join(joined, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    mixed = wide.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    wide = stored(wide.join(mixed, "key"), "wide")
-    left = (wide.selectExpr("key", "node as a", "component as c_a").join(wide.selectExpr("key", "node as b", "component as c_b"), "key")
-            .where("a < b and c_a != c_b").select("a", "b").distinct())
-    more = estimated(left, nodes, percent)
+    pairs = groups.where("node != pivot").selectExpr("least(node, pivot) a", "greatest(node, pivot) b").distinct()
+    links = verified(estimated(pairs, nodes, percent), texts, percent)
+    joined = components(links)
+    more = residual(groups, joined, texts, percent)
     if not more.isEmpty():
-        involved = more.selectExpr("a as node").unionByName(more.selectExpr("b as node")).distinct()
-        more = verified(more, source.join(involved, "node", "left_semi"), percent)
-        if not more.isEmpty():
-            joined = components(links.unionByName(more))
+        joined = components(links.unionByName(more))
     named = classes.join(joined, "node", "left").select("f1", "f2", F.coalesce("component", "node").alias("component"))
     return (sign.select("doc_id", "n_shingles", "f1", "f2").join(named, ["f1", "f2"], "left")
             .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyproof.llm import decontamination, embeddings, idfiles, language, licenses, neardup, ngrams, packing, repeats
+from tallyproof.llm import decontamination, embeddings, html, idfiles, language, licenses, neardup, ngrams, packing, repeats
 from tallyproof.llm.common import importable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,3 +71,8 @@ def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngrams.score_digest(table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.page_texts(table(spark, sf_dir, "pages"))

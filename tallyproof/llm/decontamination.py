@@ -49,6 +49,15 @@ class TestBlock:
         width = np.minimum(np.repeat(sizes, sizes), window)
         self.width = np.where(self.left >= width, width, 0)
         self.depth = int(sizes.max()) if len(items) else 0
+        #: The suffixes of the items themselves in order, to see which of them goes on longest with a text.
+        self.known, ids = np.unique(self.words, return_inverse=True)
+        at = np.arange(len(self.words)) + self.item
+        self.spread = np.zeros(len(self.words) + len(items), dtype=np.int64)
+        self.spread[at] = ids + 1
+        self.suffix_of = np.full(len(self.spread), -1, dtype=np.int64)
+        self.suffix_of[at] = np.arange(len(self.words))
+        self.order = suffix_array(self.spread, self.depth)
+        self.spread = np.concatenate([self.spread, np.zeros(self.depth + 1, dtype=np.int64)])
 
 
 def suffix_array(ids: np.ndarray, depth: int) -> np.ndarray:
@@ -100,11 +109,11 @@ def _bound(ids: np.ndarray, order: np.ndarray, lo: np.ndarray, hi: np.ndarray, d
         hi[open_] = np.where(go, hi[open_], mid)
 
 
-def search(words: np.ndarray, bounds: np.ndarray, block: TestBlock) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Occurrences of the block's windows in a shard: word position, width, suffix of the block, match length.
+def search(words: np.ndarray, bounds: np.ndarray, block: TestBlock) -> tuple[np.ndarray, ...]:
+    """Occurrences of the block's windows in a shard: word position, width, suffix of the block, match length and its suffix.
 
     words: hashes of the shard's words; bounds: where each text starts in them. The match length is that of the longest
-    verbatim match from there on. Windows of equal words are reported once, with one of their suffixes.
+    verbatim match with any item from there on. Windows of equal words are reported once, with one of their suffixes.
     """
     known, ids = np.unique(words, return_inverse=True)
     # a 0 after each text: no match reaches over it
@@ -136,14 +145,26 @@ def search(words: np.ndarray, bounds: np.ndarray, block: TestBlock) -> tuple[np.
     one = hit[np.sort(one)]
     places = order[runs(window_lo[one], window_hi[one] - window_lo[one])]
     source = np.repeat(one, window_hi[one] - window_lo[one])
-    length = block.width[source].copy()
-    grow = np.arange(len(places))
-    while len(grow):
-        grow = grow[block.left[source[grow]] > length[grow]]
-        grow = grow[symbols[source[grow] + length[grow]] == spread[places[grow] + length[grow]]]
-        length[grow] += 1
+    # how far a text goes on with any suffix of the items: narrowed word by word in the items' own order
+    mine = np.zeros(len(spread), dtype=np.int64)
+    if len(words) and len(block.known):
+        at = np.minimum(np.searchsorted(block.known, words), len(block.known) - 1)
+        mine[np.arange(len(words)) + np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))] = np.where(block.known[at] == words, at + 1, -1)
+    low, high = np.zeros(len(places), dtype=np.int64), np.full(len(places), len(block.order), dtype=np.int64)
+    length, go = np.zeros(len(places), dtype=np.int64), np.arange(len(places))
+    for depth in range(block.depth):
+        symbol = mine[places[go] + depth]
+        go, symbol = go[symbol > 0], symbol[symbol > 0]
+        left = _bound(block.spread, block.order, low[go], high[go], depth, symbol, False)
+        right = _bound(block.spread, block.order, left, high[go], depth, symbol, True)
+        more = left < right
+        go, left, right = go[more], left[more], right[more]
+        if not len(go):
+            break
+        low[go], high[go], length[go] = left, right, depth + 1
+    best = block.suffix_of[block.order[low]] if len(places) else source
     text = np.searchsorted(bounds[1:] + np.arange(1, len(bounds)), places, side="right")
-    return places - text, block.width[source], source, length
+    return places - text, block.width[source], source, length, best
 
 
 def same_windows(block: TestBlock) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -169,7 +190,7 @@ def _find(batches: Iterator[pa.RecordBatch], text: str, out: str, block, schema:
     for batch in batches:
         for part in slices(batch, text, SHARD_BYTES):
             words, bounds = hashed_words(part.column(part.schema.get_field_index(text)), ALNUM)
-            place, width, source, length = search(words, bounds, block)
+            place, width, source, length, best = search(words, bounds, block)
             doc = np.searchsorted(bounds, place, side="right") - 1
             delta = np.zeros(len(words) + 1, dtype=np.int64)
             np.add.at(delta, place, 1)
@@ -200,7 +221,7 @@ def _find(batches: Iterator[pa.RecordBatch], text: str, out: str, block, schema:
             for i in np.lexsort((place, -length, doc)).tolist():
                 d = int(doc[i])
                 if not longest[d][0]:
-                    longest[d] = (int(length[i]), int(place[i] - bounds[d]), block.names[block.item[source[i]]])
+                    longest[d] = (int(length[i]), int(place[i] - bounds[d]), block.names[block.item[best[i]]])
             if more:
                 for i, x in enumerate(old):
                     items[i] += x["items"]

@@ -255,11 +255,11 @@ def _render(node: Node, lines: Lines, depth: int, verbatim: bool) -> None:
         start = node.attributes.get("start", "1")
         number = int(start) if re.fullmatch(r"-?\d{1,9}", start) else 1
     for child in node.children:
+        if node.name == "details" and "open" not in node.attributes and (isinstance(child, str) or child.name != "summary" or seen_summary):
+            continue
         if isinstance(child, str):
             lines.verbatim(child) if verbatim else lines.text(child)
             continue
-        if node.name == "details" and "open" not in node.attributes and (child.name != "summary" or seen_summary):
-            continue
         seen_summary |= child.name == "summary"
         if hidden(child):
             continue

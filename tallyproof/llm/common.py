@@ -165,7 +165,7 @@ def id_text(column: str = "doc_id") -> str:
 
 
 def forest(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Hook the pairs into ``root`` (each row's label, changed in place); which pairs joined two trees."""
+    """Join the trees of the pairs (i, j) of nodes; which pairs joined two trees. root: arange of all nodes, changed in place."""
     used = np.zeros(len(i), dtype=bool)
     while True:
         a, b = root[i], root[j]

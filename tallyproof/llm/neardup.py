@@ -276,8 +276,8 @@ def residual(groups: DataFrame, joined: DataFrame, texts: DataFrame, percent: in
         n = np.array([len(x) for x in every])
         union = n[left][:, None] + n[right][None, :] - shared
         a, b = np.nonzero((100 * shared >= percent * union) & (c[left][:, None] != c[right][None, :]))
-        _, root = np.unique(c, return_inverse=True)
-        used = forest(root, left[a], right[b])
+        names, label = np.unique(c, return_inverse=True)
+        used = forest(np.arange(len(names)), label[left[a]], label[right[b]])
         return pa.table({"a": node[left[a][used]], "b": node[right[b][used]]})
 
     return stored(dealt.groupBy("pivot", "same", "i", "j").applyInArrow(compare, "a long, b long"), "residual")

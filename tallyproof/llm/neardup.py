@@ -255,7 +255,7 @@ def residual(groups: DataFrame, joined: DataFrame, texts: DataFrame, percent: in
                 h, at = shingle_sets(part.column(1), size)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([h[a:b].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary())], names=["node", "h"])
 
-    of = texts.join(rows.select("node").distinct(), "node", "left_semi").select("node", "text").mapInArrow(sets, "node long, h binary")
+    of = texts.join(rows.select("node").distinct().hint("merge"), "node", "left_semi").select("node", "text").mapInArrow(sets, "node long, h binary")
     rows = rows.join(of, "node").withColumn("rest", F.expr("c != main")).withColumn(
         "block", F.expr("cast(pmod(xxhash64(node), if(rest, others, mains)) as int)"))
     meet = "struct({0} as same, cast({1} as int) as i, cast({2} as int) as j)"
@@ -303,7 +303,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "tex
     pivots = members.join(weight, "node").groupBy("key").agg(F.max(F.struct("w", F.expr("-node").alias("m"))).alias("x")).select("key", F.expr("-x.m").alias("pivot"))
     groups = stored(members.join(pivots, "key").select("pivot", "node").distinct(), "groups")
     source = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text).alias("text"))
-    texts = stored(source.join(groups.select("node").distinct(), "node", "left_semi"), "texts")
+    # by shuffle at every size: the list of nodes grows with the corpus, so the plan for small ones would not last
+    texts = stored(source.join(groups.select("node").distinct().hint("merge"), "node", "left_semi"), "texts")
 
     pairs = groups.where("node != pivot").selectExpr("least(node, pivot) a", "greatest(node, pivot) b").distinct()
     links = verified(estimated(pairs, nodes, percent), texts, percent)
@@ -324,4 +325,4 @@ def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFr
     """
     found = near_duplicates(docs, id_col=id_col, **options)
     gone = stored(found.where("not kept and doc_id is not null").select(F.col("doc_id").alias("gone_id")).distinct(), "gone")
-    return docs.join(gone, docs[id_col] == gone["gone_id"], "left_anti")
+    return docs.join(gone.hint("merge"), docs[id_col] == gone["gone_id"], "left_anti")

@@ -7,7 +7,7 @@ hand, and lives on the driver; ``as_frame`` turns it into a table for joins.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,6 +43,10 @@ class Variable:
     notes: str = ""
     related: tuple[str, ...] = field(default_factory=tuple)
 
+    def design(self, design: Design) -> Design:
+        """The survey's design with this variable's own weight, if it has one."""
+        return replace(design, weight=self.weight) if self.weight else design
+
 
 VARIABLE_SCHEMA = T.StructType(
     [

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,52 +33,56 @@ class Domain:
 
     @property
     def key(self) -> str:
+        """A short name for reading; domains are told apart by their four fields."""
         q = "" if self.q is None else f"{self.q:.6f}"
         return f"{self.kind}|{self.variable}|{self.universe or ''}|{q}"
 
 
-def domain_key(kind: Column, variable: Column, universe: Column, q: Column) -> Column:
-    """The key of a domain as a column."""
-    shown = F.when(q.isNull(), "").otherwise(F.format_string("%.6f", q))
-    return F.concat_ws("|", kind, variable, F.coalesce(universe, F.lit("")), shown)
+def join_estimates(rows: DataFrame, estimates: DataFrame, *, kind: str, variable: str, universe: str, q: str, how: str = "left") -> DataFrame:
+    """``rows`` with the estimate of the domain that their columns name; missing values are equal to each other."""
+    names = {"kind": kind, "variable": variable, "universe": universe, "q": q}
+    found = estimates.select(*[F.col(c).alias(f"estimate_{c}") if c in names else F.col(c) for c in estimates.columns])
+    same = [F.col(f"estimate_{c}").eqNullSafe(F.col(own)) for c, own in names.items()]
+    return rows.join(found, same[0] & same[1] & same[2] & same[3], how).drop(*[f"estimate_{c}" for c in names])
 
 
-def _member(inside: str, place: int, y: str, valid: str, run: str) -> str:
+def _member(inside: str, place: int, y: str, valid: str, run: str, w: str) -> str:
     return (f"CASE WHEN {inside} THEN struct({place} AS domain, {y} AS y, {valid} AS valid, "
-            f"CAST({run} AS DOUBLE) AS run) END")
+            f"CAST({run} AS DOUBLE) AS run, CAST({w} AS DOUBLE) AS w) END")
 
 
-def _membership(df: DataFrame, domain: Domain, place: int, catalog: Catalog) -> str:
+def _membership(df: DataFrame, domain: Domain, place: int, catalog: Catalog, design: Design) -> str:
     """What a row contributes to a domain, as SQL text; NULL if it does not belong.
 
     For means and quantiles reserved codes belong too, marked as not valid: the same pass then tells what the
     estimate would be if they were kept.
     """
     meta, name = catalog[domain.variable], domain.variable
+    w = finite_sql(df, meta.design(design).weight)
     valid = f"coalesce({codes_sql(df, name, meta.valid)}, false)"
     inside = f"({universe_sql(df, domain.universe)})"
     if domain.kind == "prevalence":
         yes = f"CASE WHEN {codes_sql(df, name, meta.affirmative)} THEN 1D ELSE 0D END"
-        return _member(f"{inside} AND {valid}", place, yes, "true", "NULL")
+        return _member(f"{inside} AND {valid}", place, yes, "true", "NULL", w)
     value = finite_sql(df, name)
     run = value if domain.kind == "quantile" else "NULL"
-    return _member(f"{inside} AND {integer_sql(df, name)}", place, value, valid, run)
+    return _member(f"{inside} AND {integer_sql(df, name)}", place, value, valid, run, w)
 
 
 def _retained_codes(df: DataFrame, name: str, place: int, catalog: Catalog) -> str:
     """Reserved codes that occur anywhere in the column, as a domain of its own."""
     reserved = f"NOT coalesce({codes_sql(df, name, catalog[name].valid)}, false)"
     value = finite_sql(df, name)
-    return _member(f"{integer_sql(df, name)} AND {reserved}", place, value, "false", value)
+    return _member(f"{integer_sql(df, name)} AND {reserved}", place, value, "false", value, "NULL")
 
 
 def _batch(df: DataFrame, domains: Sequence[Domain], catalog: Catalog, design: Design, z: float) -> DataFrame:
     continuous = sorted({d.variable for d in domains if d.kind != "prevalence"})
     code_place = {v: len(domains) + i for i, v in enumerate(continuous)}
-    members = [_membership(df, d, i, catalog) for i, d in enumerate(domains)]
+    members = [_membership(df, d, i, catalog, design) for i, d in enumerate(domains)]
     members += [_retained_codes(df, v, i, catalog) for v, i in code_place.items()]
     exploded = df.selectExpr(
-        f"{finite_sql(df, design.weight)} AS w", f"`{design.stratum}` AS h", f"`{design.psu}` AS a",
+        f"`{design.stratum}` AS h", f"`{design.psu}` AS a",
         f"inline(array({', '.join(members)}))",
     ).where("domain IS NOT NULL")
     # One row per domain, PSU and (for quantiles) value: small, and every estimate below comes from it.
@@ -86,7 +90,8 @@ def _batch(df: DataFrame, domains: Sequence[Domain], catalog: Catalog, design: D
         exploded.groupBy("domain", "h", "a", "run").agg(*map(F.expr, [
             "coalesce(sum(CASE WHEN valid THEN w * y END), 0D) AS s_wy",
             "coalesce(sum(CASE WHEN valid THEN w END), 0D) AS s_w",
-            "coalesce(sum(CASE WHEN valid AND w IS NOT NULL THEN y END), 0D) AS s_y",
+            "coalesce(sum(CASE WHEN valid THEN y END), 0D) AS s_y",  # the unweighted variants need no weight
+            "CAST(count_if(valid) AS DOUBLE) AS n_all",
             "count_if(valid AND w IS NOT NULL) AS n",
             "count_if(valid AND w IS NULL) AS n_dropped_weight",
             "sum(w * y) AS kept_wy",
@@ -99,16 +104,16 @@ def _batch(df: DataFrame, domains: Sequence[Domain], catalog: Catalog, design: D
     )
     spark = df.sparkSession
     labels = spark.createDataFrame(
-        [(i, d.key, d.variable, d.kind, d.q, code_place.get(d.variable)) for i, d in enumerate(domains)],
-        "domain int, domain_key string, variable string, kind string, q double, code_domain int",
+        [(i, d.key, d.variable, d.universe, d.kind, d.q, code_place.get(d.variable)) for i, d in enumerate(domains)],
+        "domain int, domain_key string, variable string, universe string, kind string, q double, code_domain int",
     )
 
     per_psu = cells.where(F.col("run").isNull())
     half = f"{z!r}D * sqrt(variance)"
-    ratios = stratified_ratio(per_psu, ["domain"], carry=["s_y", "kept_wy", "kept_w"]).selectExpr(
+    ratios = stratified_ratio(per_psu, ["domain"], carry=["s_y", "n_all", "kept_wy", "kept_w"]).selectExpr(
         "domain", "ratio AS estimate", "sqrt(variance) AS se", f"ratio - {half} AS lci", f"ratio + {half} AS uci",
         "CASE WHEN ratio * (1 - ratio) > 0 THEN variance * n / (ratio * (1 - ratio)) END AS deff",
-        "try_divide(s_y, n) AS unweighted", "try_divide(kept_wy, kept_w) AS reserved_kept",
+        "try_divide(s_y, n_all) AS unweighted", "try_divide(kept_wy, kept_w) AS reserved_kept",
         "n", "denominator_weighted", "n_psu", "n_strata",
     )
     estimates = ratios
@@ -126,7 +131,7 @@ def _batch(df: DataFrame, domains: Sequence[Domain], catalog: Catalog, design: D
         labels.join(estimates, "domain")
         .join(retained, "code_domain", "left")
         .selectExpr(
-            "domain_key", "variable", "kind", "q", *[f"{scale} * {c} AS {c}" for c in scaled],
+            "domain_key", "variable", "universe", "kind", "q", *[f"{scale} * {c} AS {c}" for c in scaled],
             "CASE WHEN kind = 'prevalence' THEN deff END AS deff",
             "n", "denominator_weighted", "n_psu", "n_strata",
             "coalesce(retained_codes, CAST(array() AS array<bigint>)) AS retained_codes",
@@ -144,7 +149,7 @@ def _quantiles(cells: DataFrame, domains: Sequence[Domain], catalog: Catalog, z:
         "domain", "h", "a", "y", F.col("s_w").alias("s"), "n", "n_dropped_weight"
     )
     runs = by_value.groupBy("domain", "y").agg(*map(F.expr, [
-        "sum(s_w) AS s", "CAST(sum(n) AS DOUBLE) AS count", "sum(kept_w) AS kept", "min(low) AS low",
+        "sum(s_w) AS s", "sum(n_all) AS count", "sum(kept_w) AS kept", "min(low) AS low",
         "max(high) AS high",
     ]))
     summed = running_weight(runs, ["domain"], codes, ("s", "count", "kept"))
@@ -175,6 +180,7 @@ ESTIMATE_SCHEMA = T.StructType(
     [
         T.StructField("domain_key", T.StringType()),
         T.StructField("variable", T.StringType()),
+        T.StructField("universe", T.StringType()),
         T.StructField("kind", T.StringType()),
         T.StructField("q", T.DoubleType()),
         *[T.StructField(c, T.DoubleType())
@@ -196,7 +202,7 @@ def batch_estimates(
     Runs one scan of the data per ``BATCH`` domains when called. The flawed variants ``unweighted`` and
     ``reserved_kept`` come from the same scan.
     """
-    todo = sorted(set(domains), key=lambda d: d.key)
+    todo = sorted(set(domains), key=lambda d: (d.key, d.q or 0.0))
     if not todo:
         return df.sparkSession.createDataFrame([], ESTIMATE_SCHEMA)
     parts = [_batch(df, todo[i:i + BATCH], catalog, design, z) for i in range(0, len(todo), BATCH)]

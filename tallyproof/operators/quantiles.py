@@ -17,8 +17,6 @@ from ..catalog import Design
 from ..session import written
 from .estimates import COUNTS, Z95, measured, stratified_ratio
 
-# One sorted task takes at most this many runs; longer code lists use bucketed prefix sums.
-SINGLE_TASK_CODES = 100_000
 _BUCKETS = 1_024
 WHOLE = "whole"  # key column of an estimate without groups
 
@@ -49,17 +47,12 @@ def running_weight(
 ) -> DataFrame:
     """Adds to each run ``c_s``, the weight ``s`` up to and including the run, and ``total_s``.
 
-    Few runs are summed by one ordered window per group. For code lists beyond ``SINGLE_TASK_CODES`` the value
-    range is cut into buckets: totals per bucket are accumulated first and added to sums within buckets.
+    The value range is cut into buckets: totals per bucket are accumulated first and added to sums within buckets, so no
+    task orders more than a bucket of a code list, however long it is.
     """
     everything = Window.partitionBy(*by)
-    if len(codes) <= SINGLE_TASK_CODES:
-        upto = everything.orderBy("y").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return runs.select(
-            "*",
-            *[F.sum(m).over(upto).alias(f"c_{m}") for m in masses],
-            *[F.sum(m).over(everything).alias(f"total_{m}") for m in masses],
-        )
+    if len(codes) == 0:
+        return runs.select("*", *[F.lit(0.0).alias(f"{c}_{m}") for c in ("c", "total") for m in masses]).where("false")
     width = (max(codes) - min(codes) + 1) / _BUCKETS
     cut = runs.withColumn("bucket", F.floor((F.col("y") - min(codes)) / width))
     before = everything.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -185,7 +178,7 @@ def woodruff(
     point = marks.groupBy(*by).agg(interpolate(q).alias("estimate"))
     below = F.when(F.col("y") <= F.col("estimate"), F.col("s")).otherwise(0.0)
     psus = (
-        cells.join(F.broadcast(point), list(by))
+        cells.join(point, list(by))
         .groupBy(*by, "h", "a")
         .agg(
             F.sum(below).alias("s_wy"),
@@ -200,7 +193,7 @@ def woodruff(
         f"greatest(0D, {q} - {number_sql(z)} * se) AS p_low", f"least(1D, {q} + {number_sql(z)} * se) AS p_high",
     )
     return (
-        marks.join(F.broadcast(reach), list(by))
+        marks.join(reach, list(by))
         .groupBy(*by)
         .agg(
             interpolate(q).alias("estimate"),

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..catalog import Catalog, Design
 from ..functions.predicates import validate_universe
-from .batch import Domain, batch_estimates, domain_key
-from .tables import STATS
+from .batch import Domain, batch_estimates, join_estimates
+from .tables import STATS, grouped_table
 
 REQUEST_SCHEMA = "request_id string, variable string, universe string, stat string, q double"
 
@@ -35,14 +35,11 @@ def grounded_or_refuse(
             continue
         if row["variable"] in catalog and row["stat"] in STATS and (row["q"] is None or 0 <= row["q"] <= 1):
             domains.append(Domain(row["variable"], row["universe"], row["stat"], row["q"]))
-    estimates = batch_estimates(df, domains, catalog, design).drop("variable", "kind", "q")
+    estimates = batch_estimates(df, domains, catalog, design).drop("domain_key")
     rejected = spark.createDataFrame(sorted(set(bad)), "universe string, rejection string")
     backed = verified.select("variable").distinct().withColumn("backed", F.lit(True))
-    key = domain_key(F.col("stat"), F.col("variable"), F.col("universe"), F.col("q"))
-    found = (
-        asked.join(backed, "variable", "left").join(rejected, "universe", "left")
-        .withColumn("domain_key", key).join(estimates, "domain_key", "left")
-    )
+    found = asked.join(backed, "variable", "left").join(rejected, "universe", "left")
+    found = join_estimates(found, estimates, kind="stat", variable="variable", universe="universe", q="q")
     reason = (
         F.when(F.col("backed").isNull(), F.concat("variable", F.lit(" is not backed by a published document")))
         .when(F.col("rejection").isNotNull(), F.col("rejection"))
@@ -57,3 +54,12 @@ def grounded_or_refuse(
         *[F.when(F.col("reason").isNull(), F.col(c)).alias(c)
           for c in ("estimate", "lci", "uci", "se", "n", "denominator_weighted")],
     )
+
+
+def grounded_table(
+    df: DataFrame, verified: DataFrame, variable: str, groupby: str, *, catalog: Catalog, design: Design, **options
+) -> DataFrame:
+    """``grouped_table`` for a variable that a published document stands behind; others are refused with ValueError."""
+    if verified.where(F.col("variable") == variable).isEmpty():
+        raise ValueError(f"{variable} is not backed by a published document")
+    return grouped_table(df, variable, groupby, catalog=catalog, design=design, **options)

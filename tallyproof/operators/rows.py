@@ -1,71 +1,77 @@
-"""A few raw rows for inspection, with the meaning of their columns."""
+"""Single records, and what their columns mean."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..catalog import Catalog
 from ..functions.predicates import universe_filter
 from ..functions.text import codes_text
 
-# Caps of a row inspection.
-DEFAULT_ROWS = 20
-MAX_ROWS = 500
-MAX_COLUMNS = 12
-
-CAVEAT = (
-    "Raw, unweighted records for inspection only: not verified, and no estimate of any population. "
-    "Use a weighted estimate for figures."
-)
+WARNING = "These are single answers without weights. They show how the data is coded and estimate nothing."
 
 
 def inspect_rows(
     df: DataFrame,
     columns: Sequence[str],
     *,
+    limit: int,
     universe: str | None = None,
-    limit: int = DEFAULT_ROWS,
     order_by: Sequence[str] = (),
 ) -> DataFrame:
-    """The named columns of the first matching rows, never more than ``MAX_ROWS``.
+    """``limit`` matching rows with the named columns; both are the caller's choice and are taken as they are.
 
     With ``order_by`` the choice of rows is repeatable, at the price of a scan of all matching rows; Spark keeps
     only the best rows of each task. Without it reading stops as soon as enough rows are found.
     """
-    columns = [c for c in columns or [] if c]
-    if not columns:
-        raise ValueError("name the columns to inspect")
-    if len(columns) > MAX_COLUMNS:
-        raise ValueError(f"{len(columns)} columns requested, at most {MAX_COLUMNS} are allowed")
-    if limit < 1:
-        raise ValueError(f"limit must be at least 1, got {limit}")
-    missing = [c for c in columns if c not in df.columns]
-    if missing:
-        raise ValueError(f"unknown columns: {missing}")
+    unknown = sorted(set(columns) - set(df.columns))
+    if unknown or not columns:
+        raise ValueError(f"no such columns: {', '.join(unknown)}" if unknown else "which columns shall be shown?")
+    if limit <= 0:
+        raise ValueError(f"a limit of {limit} shows no rows")
     rows = df.where(universe_filter(df, universe))
-    if order_by:
-        rows = rows.orderBy(*order_by)
-    return rows.limit(min(limit, MAX_ROWS)).select(*columns)
+    rows = rows.orderBy(*order_by) if order_by else rows
+    return rows.limit(limit).select(*columns)
+
+
+def _meaning() -> Column:
+    yes = F.when(F.size("affirmative_codes") > 0, F.concat(F.lit(" (yes: "), codes_text(F.col("affirmative_codes")), F.lit(")"))).otherwise("")
+    notes = F.when(F.col("notes") != "", F.concat(F.lit(" "), "notes")).otherwise("")
+    return F.concat(F.col("variable"), F.lit(" = "), "variable_label", F.lit("; codes "), codes_text(F.col("valid_codes")), yes,
+                    F.lit("; "), "universe_text", notes)
 
 
 def column_summary(columns: Sequence[str], catalog: Catalog, verified: DataFrame) -> DataFrame:
-    """The meaning of each column if a published document backs it, else a note that none is asserted."""
+    """(place, variable, summary): the meaning of each column that a published document stands behind."""
     spark = verified.sparkSession
-    asked = spark.createDataFrame([(i, c) for i, c in enumerate(columns)], "place int, variable string")
-    known = catalog.as_frame(spark).join(verified, "variable", "left_semi")
-    meaning = F.concat_ws(
-        "\n",
-        F.format_string("[%s] %s", "variable", "variable_label"),
-        F.concat(F.lit("  valid codes: "), codes_text(F.col("valid_codes"))),
-        F.when(F.size("affirmative_codes") > 0, F.concat(
-            F.lit("  yes codes: "), F.array_join(F.col("affirmative_codes").cast("array<string>"), ", "))),
-        F.concat(F.lit("  asked of: "), "universe_text"),
-        F.when(F.col("notes") != "", F.concat(F.lit("  notes: "), "notes")),
-    )
-    none = F.format_string("[%s] no summary: no published document backs this column", "variable")
-    return asked.join(known, "variable", "left").select(
-        "place", "variable", F.when(F.col("variable_label").isNotNull(), meaning).otherwise(none).alias("summary")
-    )
+    asked = spark.createDataFrame(list(enumerate(columns)), "place int, variable string")
+    backed = catalog.as_frame(spark).join(verified.select("variable").distinct(), "variable", "left_semi")
+    unbacked = F.concat(F.col("variable"), F.lit(": nothing published explains this column"))
+    return asked.join(backed.withColumn("meaning", _meaning()), "variable", "left").select(
+        "place", "variable", F.coalesce("meaning", unbacked).alias("summary"))
+
+
+def rows_with_meanings(
+    df: DataFrame,
+    columns: Sequence[str],
+    catalog: Catalog,
+    verified: DataFrame,
+    *,
+    limit: int,
+    universe: str | None = None,
+    order_by: Sequence[str] = (),
+) -> DataFrame:
+    """(part, place, text): a warning, the meaning of each column, and ``limit`` rows as ``name=value`` lists."""
+    present = [c for c in columns if c in df.columns]
+    rows = inspect_rows(df, present, limit=limit, universe=universe, order_by=order_by)
+    shown = F.concat_ws(", ", *[F.concat(F.lit(f"{c}="), F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("missing"))) for c in present])
+    place = F.row_number().over(Window.orderBy(*(order_by or [F.lit(0)])))  # over the rows shown only
+    parts = [
+        df.sparkSession.createDataFrame([("warning", 0, WARNING)], "part string, place int, text string"),
+        column_summary(columns, catalog, verified).select(F.lit("column").alias("part"), "place", F.col("summary").alias("text")),
+        rows.select(F.lit("row").alias("part"), place.alias("place"), shown.alias("text")),
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])

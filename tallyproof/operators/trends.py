@@ -19,11 +19,15 @@ CATEGORICAL_MAX = 20
 def wave_answers(frames: Mapping[int, DataFrame], entries: Iterable[WaveVariable]) -> DataFrame:
     """Substantive answers of all waves, each measure read from its own column, weight and codes.
 
-    One scan per wave: a row carries all its measures, exploded just before the aggregation.
+    One scan per wave: a row carries all its measures, exploded just before the aggregation. A wave that lacks the column
+    or the weight of one of its measures is an error: no share can be made up for it.
     """
     parts = []
     for wave, df in sorted(frames.items()):
-        here = [e for e in entries if e.wave == wave and e.variable in df.columns and e.weight in df.columns]
+        here = [e for e in entries if e.wave == wave]
+        lacking = sorted({c for e in here for c in (e.variable, e.weight)} - set(df.columns))
+        if lacking:
+            raise ValueError(f"wave {wave} has no column {', '.join(lacking)}")
         if not here:
             continue
         answers = F.array_compact(
@@ -64,7 +68,7 @@ def _wave_summary(frames: Mapping[int, DataFrame], catalog: WaveCatalog) -> Data
     share = F.try_divide(F.sum(F.col("yes") * F.col("s_w")), F.sum("s_w"))
     categorical = (F.count("v") <= CATEGORICAL_CODES) & (F.max("v") <= CATEGORICAL_MAX)
     found = value_table(frames, catalog).groupBy("canonical", "wave").agg(
-        (100 * F.coalesce(share, F.lit(0.0))).alias("value_pct"),
+        (100 * share).alias("value_pct"),
         F.sum("n").alias("n_denominator"),
         F.coalesce(F.sum("s_w"), F.lit(0.0)).alias("denominator_weighted"),
         F.min("v").alias("lo"),
@@ -76,7 +80,7 @@ def _wave_summary(frames: Mapping[int, DataFrame], catalog: WaveCatalog) -> Data
     declared = declared.select("canonical", "wave", "variable", "encoding")
     return declared.join(found, ["canonical", "wave"], "left").select(
         "canonical", "wave", "variable",
-        F.coalesce("value_pct", F.lit(0.0)).alias("value_pct"),
+        "value_pct",
         F.coalesce("n_denominator", F.lit(0)).alias("n_denominator"),
         F.coalesce("denominator_weighted", F.lit(0.0)).alias("denominator_weighted"),
         "lo", "hi",
@@ -86,13 +90,13 @@ def _wave_summary(frames: Mapping[int, DataFrame], catalog: WaveCatalog) -> Data
 
 
 def trend_prevalence(frames: Mapping[int, DataFrame], canonical: str, catalog: WaveCatalog) -> DataFrame:
-    """Weighted share per wave, each wave with its own variable, weight and codes."""
+    """Weighted share per wave, each wave with its own variable, weight and codes; NULL where no answer has a weight."""
     entries = [e for e in catalog if e.canonical == canonical]
     if not entries:
         raise KeyError(f"{canonical!r} is not in the wave catalog")
     share = F.try_divide(F.sum(F.col("w") * F.col("yes")), F.sum("w"))
     return wave_answers(frames, entries).groupBy("wave").agg(
-        (100 * F.coalesce(share, F.lit(0.0))).alias("value_pct"),
+        (100 * share).alias("value_pct"),
         F.count_if((F.col("yes") == 1.0) & F.col("w").isNotNull()).alias("n_numerator"),
         F.count("w").alias("n_denominator"),
         F.coalesce(F.sum("w"), F.lit(0.0)).alias("denominator_weighted"),

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..catalog import Catalog, Design, Variable, WaveCatalog, WaveVariable
 
 DESIGN = Design(weight="wt", stratum="pstrat", psu="ppsu")
-OLD_WAVE, NEW_WAVE = 1996, 2000
+#: Waves are periods named by their last year: the old questionnaire up to 1997, the new one after that.
+OLD_WAVE, NEW_WAVE = 1997, 2001
 
 CATALOG = Catalog(
     [
@@ -83,15 +84,15 @@ def micro(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def wave_frames(spark: SparkSession, sf_dir: str) -> dict[int, DataFrame]:
-    """Two waves of one survey: the later one renamed a column and recoded another."""
+    """Two waves of one survey, every row in one of them: the later one renamed a column and recoded another."""
     data = micro(spark, sf_dir)
     unknown, qty = F.col("resp_id") % 71 == 0, F.col("qty")
-    old = data.where(F.col("yr") == OLD_WAVE).select(
+    old = data.where(F.col("yr") <= OLD_WAVE).select(
         F.when((F.col("ever_a") == 2) & (F.col("pre_a") == 1), 3).otherwise(F.col("ever_a")).alias("ever1"),
         F.when(unknown, 9999).otherwise(1500 + qty * 50).alias("bmi"),
         F.col("wt").alias("wt_sa"), "pstrat", "ppsu",
     )
-    new = data.where(F.col("yr") == NEW_WAVE).select(
+    new = data.where(F.col("yr") > OLD_WAVE).select(
         "ever_a",
         F.when(unknown, 9).when(qty <= 8, 1).when(qty <= 25, 2).when(qty <= 38, 3).otherwise(4).alias("bmicat_a"),
         "wt", "pstrat", "ppsu",

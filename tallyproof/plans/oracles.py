@@ -6,6 +6,7 @@ operators.
 
 from __future__ import annotations
 
+from ..operators.rows import WARNING
 from . import claims as C
 from . import queries as Q
 from .bundle import QUESTIONS, SOURCE, STAMP
@@ -31,11 +32,11 @@ SELECT k AS resp_id, yr, ever_a, pre_a,
 WAVE_TABLES = f"""old_wave AS (
 SELECT CASE WHEN ever_a = 2 AND pre_a = 1 THEN 3 ELSE ever_a END AS ever1,
        CASE WHEN resp_id % 71 = 0 THEN 9999 ELSE 1500 + qty * 50 END AS bmi,
-       wt AS wt_sa, pstrat, ppsu FROM micro WHERE yr = {OLD_WAVE}),
+       wt AS wt_sa, pstrat, ppsu FROM micro WHERE yr <= {OLD_WAVE}),
 new_wave AS (
 SELECT ever_a, CASE WHEN resp_id % 71 = 0 THEN 9 WHEN qty <= 8 THEN 1 WHEN qty <= 25 THEN 2
                     WHEN qty <= 38 THEN 3 ELSE 4 END AS bmicat_a,
-       wt, pstrat, ppsu FROM micro WHERE yr = {NEW_WAVE}),
+       wt, pstrat, ppsu FROM micro WHERE yr > {OLD_WAVE}),
 answers AS (
 SELECT 'condition_ever' AS canonical, {OLD_WAVE} AS wave, ever1 AS v, CASE WHEN ever1 = 1 THEN 1.0 ELSE 0.0 END AS yes,
        wt_sa AS w FROM old_wave WHERE ever1 IN (1, 2, 3)
@@ -157,8 +158,8 @@ def _filters() -> None:
     mixed = "(((med_a IS NULL OR med_a <> 2) AND ever_a = 1) OR (pre_a = 1 AND age_a >= 30))"
     ORACLES["filter_universe"] = with_([MICRO], f"""SELECT yr, count(*) AS n, round(sum(wt), 4) AS sum_wt FROM micro
         WHERE {mixed} GROUP BY yr""")
-    counted = ["ever_a = 1", "ever_a = 1 OR pre_a = 1", "ever_a = 1 AND sex_a = 2", "med_a IS DISTINCT FROM 2",
-               "age_a >= 40", "ever_a = 999"]
+    counted = ["inc_a <= 120", "ht_a > 62", "(ht_a > 62 AND ht_a <= 70) OR sex_a <> 1", "inc_a <> 12.5",
+               "wt >= 300 OR (qty < 3 AND med_a = 2)"]
     parts = [f"SELECT CAST({i} AS INT) AS probe, true AS accepted, count(*) FILTER ({c}) AS n FROM micro"
              for i, c in enumerate(counted)]
     parts += [f"SELECT {i}, false, NULL" for i in range(len(counted), len(Q.PROBES))]
@@ -277,9 +278,9 @@ def _estimates() -> None:
         FROM micro WHERE {VALID['ht_a']} GROUP BY ht_a
         UNION ALL SELECT yr, yr, 'yr' FROM micro GROUP BY yr""")
     ORACLES["group_cap"] = with_([MICRO], """
-        SELECT least(count(DISTINCT sex_a), 21) AS groups_seen, count(DISTINCT sex_a) <= 20 AS within_cap,
+        SELECT count(DISTINCT sex_a) AS groups, count(DISTINCT sex_a) <= 20 AS within_cap,
         'sex_a' AS "column" FROM micro WHERE sex_a NOT IN (7, 8, 9)
-        UNION ALL SELECT least(count(DISTINCT qty), 21), count(DISTINCT qty) <= 20, 'qty' FROM micro
+        UNION ALL SELECT count(DISTINCT qty), count(DISTINCT qty) <= 20, 'qty' FROM micro
         WHERE qty NOT IN (7, 8, 9)""")
     ORACLES["table_text"] = with_(
         [MICRO, f"d AS ({rows('ever_a = 1 AND sex_a IN (1, 2) AND ' + VALID['age_a'], 'age_a', 'CAST(sex_a AS BIGINT)')})",
@@ -431,17 +432,16 @@ def _claim_tables() -> list[str]:
         round(value + width * half, 2) AS claimed_high
         FROM specs s LEFT JOIN figures f ON s.source = f.source AND s.figure = f.figure)""",
         f"retained AS ({retained})",
-        f"""lint AS (SELECT id, concat_ws('; ', CASE WHEN prose = '' THEN 'empty prose' END,
-        (SELECT string_agg('dead link: ' || x, '; ') FROM (SELECT unnest(string_split(c.links, '; ')) AS x)
+        f"""lint AS (SELECT id, concat_ws('; ', CASE WHEN prose = '' THEN 'there is no text' END,
+        (SELECT string_agg('link to nothing: ' || x, '; ') FROM (SELECT unnest(string_split(c.links, '; ')) AS x)
          WHERE x <> '' AND x NOT IN ({known}))) AS lint_messages FROM claims c)""",
         """judged AS (SELECT c.*, e.estimate, e.se, e.lci, e.uci, e.deff, e.unweighted, e.reserved_kept, lint_messages,
         r.codes, abs(claimed - estimate) > tolerance AS off,
-        concat_ws('; ', CASE WHEN NOT mw THEN 'the method is unweighted; estimates need the survey weight wt' END,
-          CASE WHEN method_universe IS DISTINCT FROM right_universe THEN printf('the method''s universe is %s; the right'
-            || ' universe is %s', coalesce(method_universe, 'the whole sample'),
-            coalesce(right_universe, 'all respondents')) END) AS method_text,
-        CASE WHEN (claimed_high - claimed_low) / 2 < (uci - lci) / 2 - 0.1 THEN printf('the claimed 95%% CI half-width'
-          || ' %.2f understates the design-based %.2f; the design effect %.2f is ignored',
+        concat_ws('; ', CASE WHEN NOT mw THEN 'rows were counted without the weight wt' END,
+          CASE WHEN method_universe IS DISTINCT FROM right_universe THEN printf('figures are about %s, but should be about %s',
+            coalesce(method_universe, 'all rows'), coalesce(right_universe, 'everybody')) END) AS method_text,
+        CASE WHEN (claimed_high - claimed_low) / 2 < (uci - lci) / 2 - 0.1 THEN printf('the interval claims %.2f to'
+          || ' either side where strata and clusters give %.2f (design effect %.2f)',
           (claimed_high - claimed_low) / 2, (uci - lci) / 2, deff) ELSE '' END AS ci_text,
         CASE WHEN abs(claimed - reserved_kept) <= tolerance AND abs(reserved_kept - estimate) > tolerance
           THEN abs(claimed - reserved_kept) END AS gap_kept,
@@ -485,7 +485,11 @@ def _claims() -> None:
     ORACLES["batch_estimate"] = with_(base, """SELECT domain_key, split_part(domain_key, '|', 2) AS variable,
         split_part(domain_key, '|', 1) AS kind, round(estimate, 6) AS estimate, round(se, 6) AS se, round(lci, 6) AS lci,
         round(uci, 6) AS uci, round(unweighted, 6) AS unweighted, round(reserved_kept, 6) AS reserved_kept,
-        round(deff, 6) AS deff, n, round(tw, 4) AS denominator_weighted, n_psu, n_strata FROM est""")
+        round(deff, 6) AS deff, n, round(tw, 4) AS denominator_weighted, n_psu, n_strata,
+        nullif(regexp_extract(domain_key, '^[^|]*[|][^|]*[|](.*)[|]([^|]*)$', 1), '') AS universe,
+        CAST(nullif(regexp_extract(domain_key, '^[^|]*[|][^|]*[|](.*)[|]([^|]*)$', 2), '') AS DOUBLE) AS q,
+        coalesce(CASE WHEN domain_key NOT LIKE 'prevalence%' THEN codes END, '') AS retained_codes
+        FROM est LEFT JOIN retained r ON split_part(domain_key, '|', 2) = r.variable""")
     ORACLES["lint_claims"] = with_(base, "SELECT id, lint_ok, lint_messages FROM verdicts")
     columns = "id, verdict, claimed, right_value, delta, diagnosis, detail"
     ORACLES["verify_prevalence_claims"] = with_(base, f"""SELECT {columns}, round(lci, 6) AS lci, round(uci, 6) AS uci,
@@ -639,22 +643,27 @@ def _documents() -> None:
         AND printf('%.2f', b.claimed) NOT IN (SELECT printf('%.2f', claimed) FROM verdicts WHERE verdict = 'PASS')""")
     ORACLES["verified_variables"] = with_(base, "SELECT DISTINCT variable FROM docs WHERE variable IS NOT NULL")
 
-    def codes(v) -> str:
-        if len(v.valid) <= 12:
-            return ", ".join(str(c) for c in v.valid)
-        return f"{v.valid[0]}-{v.valid[-1]} ({len(v.valid)} values)"
+    def codes(values) -> str:
+        found, run = [], []
+        for c in sorted(values):
+            if run and c == run[-1] + 1:
+                run.append(c)
+            else:
+                found, run = found + [run] if run else found, [c]
+        return ", ".join(f"{r[0]}..{r[-1]}" if len(r) > 2 else ", ".join(map(str, r)) for r in found + [run] if r)
 
-    parts = []
+    parts = [f"SELECT 'warning' AS part, CAST(0 AS INT) AS place, {text(WARNING)} AS text"]
     for place, name in enumerate(Q.INSPECTED):
-        none = f"'[{name}] no summary: no published document backs this column'"
+        meaning = text(f"{name}: nothing published explains this column")
         if name in CATALOG:
             v = CATALOG[name]
-            found = "\n".join(filter(None, [
-                f"[{name}] {v.label}", f"  valid codes: {codes(v)}",
-                "  yes codes: " + ", ".join(str(c) for c in v.affirmative) if v.affirmative else None,
-                f"  asked of: {v.universe_text}", f"  notes: {v.notes}" if v.notes else None]))
-            none = f"CASE WHEN '{name}' IN (SELECT variable FROM docs) THEN {text(found)} ELSE {none} END"
-        parts.append(f"SELECT CAST({place} AS INT) AS place, '{name}' AS variable, {none} AS summary")
+            found = (f"{name} = {v.label}; codes {codes(v.valid)}" + (f" (yes: {codes(v.affirmative)})" if v.affirmative else "")
+                     + f"; {v.universe_text}" + (f" {v.notes}" if v.notes else ""))
+            meaning = f"CASE WHEN '{name}' IN (SELECT variable FROM docs) THEN {text(found)} ELSE {meaning} END"
+        parts.append(f"SELECT 'column', {place}, {meaning}")
+    order = "med_a NULLS FIRST, sex_a NULLS FIRST, age_a NULLS FIRST, inc_a NULLS FIRST"
+    shown = " || ', ' || ".join(f"'{c}=' || coalesce(CAST({c} AS VARCHAR), 'missing')" for c in Q.INSPECTED if c != "no_column")
+    parts.append(f"SELECT 'row', CAST(row_number() OVER (ORDER BY {order}) AS INT), {shown} FROM (SELECT * FROM micro WHERE ever_a = 1 ORDER BY {order} LIMIT 25)")
     ORACLES["rows_with_column_summary"] = with_(base, " UNION ALL ".join(parts))
 
     q9, q5 = woodruff("d9", "0.6", "w9"), woodruff("d5", "0.5", "w5")
@@ -668,13 +677,19 @@ def _documents() -> None:
            n, tw FROM t1 UNION ALL SELECT 'r7', r, lci, uci, se, n, tw FROM t7
            UNION ALL SELECT 'r5', point, lci, uci, se, n, tw FROM w9
            UNION ALL SELECT 'r8', point, lci, uci, se, n, tw FROM w5)""",
-         "asked(request_id, variable, stat, q) AS (VALUES " + ", ".join(
-             f"({text(r[0])}, {text(r[1])}, {text(r[3])}, "
+         "asked(request_id, variable, universe, stat, q) AS (VALUES " + ", ".join(
+             f"({text(r[0])}, {text(r[1])}, {text(r[2])}, {text(r[3])}, "
              f"{'NULL' if r[3] != 'quantile' else (r[4] if r[4] is not None else 0.5)})" for r in Q.REQUESTS) + ")"],
-        """SELECT a.request_id, variable, stat, CAST(q AS DOUBLE) AS q,
+        """SELECT a.request_id, variable, universe, stat, CAST(q AS DOUBLE) AS q,
+        CASE a.request_id WHEN 'r2' THEN 'sex_a is not backed by a published document' WHEN 'r3' THEN 'empty subpopulation'
+          WHEN 'r4' THEN 'this universe cannot be read at place 0: ''ever_a.__class__'''
+          WHEN 'r6' THEN 'unknown statistic: mode' END AS reason,
         CASE WHEN f.request_id IS NULL THEN 'refused' ELSE 'answered' END AS status, round(estimate, 6) AS estimate,
         round(lci, 6) AS lci, round(uci, 6) AS uci, round(se, 6) AS se, n, round(tw, 4) AS denominator_weighted
         FROM asked a LEFT JOIN found f ON a.request_id = f.request_id""")
+    ORACLES["grounded_table"] = with_(
+        [MICRO, f"d AS ({rows('ever_a = 1 AND qty NOT IN (7, 8, 9) AND ' + VALID['age_a'], 'age_a', 'CAST(qty AS BIGINT)')})", taylor("d")],
+        """SELECT g AS group_value, round(r, 6) AS estimate, round(se, 6) AS se, round(lci, 6) AS lci, round(uci, 6) AS uci, n FROM t""")
 
 
 # The English stop words of Spark ML that consist of word characters only.
@@ -775,10 +790,11 @@ def _blocks() -> None:
     ORACLES["year_map_text"] = with_([MICRO], """SELECT sex_a,
         '{' || string_agg(printf('%d: %.2f', yr, m), ', ' ORDER BY yr) || '}' AS years
         FROM (SELECT sex_a, yr, avg(ht_a) AS m FROM micro GROUP BY sex_a, yr) GROUP BY sex_a""")
-    ORACLES["codes_text"] = with_([MICRO], """SELECT sex_a,
-        (SELECT string_agg(CAST(c AS VARCHAR), ', ' ORDER BY c) FROM (SELECT DISTINCT ever_a AS c FROM micro i
-          WHERE i.sex_a = m.sex_a)) AS short,
-        printf('%d-%d (%d values)', min(qty), max(qty), count(DISTINCT qty)) AS long FROM micro m GROUP BY sex_a""")
+    runs = """(SELECT string_agg(CASE WHEN lo = hi THEN CAST(lo AS VARCHAR) WHEN lo + 1 = hi THEN lo || ', ' || hi
+          ELSE lo || '..' || hi END, ', ' ORDER BY lo) FROM (SELECT min(c) AS lo, max(c) AS hi FROM (SELECT c,
+          c - row_number() OVER (ORDER BY c) AS k FROM (SELECT DISTINCT {0} AS c FROM micro i WHERE i.sex_a = m.sex_a)) GROUP BY k))"""
+    ORACLES["codes_text"] = with_([MICRO], f"""SELECT sex_a, {runs.format('ever_a')} AS short, {runs.format('qty')} AS long
+        FROM (SELECT DISTINCT sex_a FROM micro) m""")
 
 
 for _part in (_sources, _filters, _estimates, _trends, _claims, _documents, _search, _blocks):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -30,11 +31,14 @@ def local_session(cores: int | str = "*", *, app: str = "tallyproof", **conf: st
 def scratch_dir(spark: SparkSession) -> str:
     """A new folder name below the cluster's shared checkpoint folder.
 
-    Only where the session names none (tests on one machine) a local temporary folder is taken, and
-    the session is told of it.
+    Only where the session names none and runs on one machine is a local temporary folder taken, and the session
+    told of it. On a cluster executors would not see such a folder, so there the setting is required.
     """
     root = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
     if not root:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder that all executors of {master} share")
         root = tempfile.mkdtemp(prefix="tallyproof-")
         spark.conf.set(CHECKPOINT_KEY, root)
     return f"{root.rstrip('/')}/tallyproof/{uuid.uuid4().hex}"

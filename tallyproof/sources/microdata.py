@@ -18,11 +18,22 @@ def present_columns(df: DataFrame, columns: Sequence[str] | None) -> list[str]:
 def scan_csv(
     spark: SparkSession, path: str, columns: Sequence[str] | None = None, schema: T.StructType | None = None
 ) -> DataFrame:
-    """CSV with a header. Without a schema Spark infers one, at the price of a second pass over the file."""
-    reader = spark.read.option("header", True)
-    reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
-    df = reader.csv(path)
-    return df.select(*present_columns(df, columns))
+    """CSV with a header. Without a schema Spark infers one, at the price of a second pass over the file.
+
+    The types of a schema go to the columns of the same names, wherever they stand in the file; columns that it does not
+    name are text. A line that does not fit its types, or a file with another header, is an error, never a NULL.
+    """
+    reader = spark.read.option("header", True).option("mode", "FAILFAST")
+    if schema is None:
+        df = reader.option("inferSchema", True).csv(path)
+    else:
+        kinds = {f.name: f for f in schema.fields}
+        header = spark.read.option("header", True).csv(path).columns
+        in_file = T.StructType([kinds.get(name, T.StructField(name, T.StringType())) for name in header])
+        df = reader.option("enforceSchema", False).schema(in_file).csv(path)
+        if columns is None:
+            df = df.select(*[f"`{f.name}`" for f in schema.fields if f.name in header])
+    return df.select(*[f"`{c}`" for c in present_columns(df, columns)])
 
 
 def scan_parquet(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:

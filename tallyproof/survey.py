@@ -12,7 +12,7 @@ from .operators import estimates, quantiles, tables
 
 @dataclass(frozen=True)
 class Survey:
-    """Estimates with the catalog's codes. The ``universe`` given replaces the question universe."""
+    """Estimates with the catalog's codes and each variable's own weight. The ``universe`` given replaces the question universe."""
 
     data: DataFrame
     catalog: Catalog
@@ -25,26 +25,26 @@ class Survey:
         meta = self.catalog[variable]
         return estimates.prevalence(
             self.data, variable, universe=self._universe(variable, universe), affirmative=meta.affirmative,
-            valid=meta.valid, design=self.design,
+            valid=meta.valid, design=meta.design(self.design),
         )
 
     def prevalence_ci(self, variable: str, universe: str | None = None) -> DataFrame:
         meta = self.catalog[variable]
         return estimates.prevalence_ci(
             self.data, variable, universe=self._universe(variable, universe), affirmative=meta.affirmative,
-            valid=meta.valid, design=self.design,
+            valid=meta.valid, design=meta.design(self.design),
         )
 
     def mean(self, variable: str, universe: str | None = None) -> DataFrame:
         return estimates.mean(
             self.data, variable, universe=self._universe(variable, universe),
-            valid=self.catalog[variable].valid, design=self.design,
+            valid=self.catalog[variable].valid, design=self.catalog[variable].design(self.design),
         )
 
     def quantile(self, variable: str, q: float, universe: str | None = None) -> DataFrame:
         return quantiles.quantile(
             self.data, variable, q, universe=self._universe(variable, universe),
-            valid=self.catalog[variable].valid, design=self.design,
+            valid=self.catalog[variable].valid, design=self.catalog[variable].design(self.design),
         )
 
     def subpopulation(self, variable: str, universe: str | None, stat: str = "prevalence", q: float = 0.5) -> DataFrame:
@@ -54,8 +54,8 @@ class Survey:
         )
 
     def table(self, variable: str, groupby: str, stat: str = "prevalence", q: float = 0.5,
-              universe: str | None = None) -> DataFrame:
+              universe: str | None = None, cap: int | None = None) -> DataFrame:
         return tables.grouped_table(
             self.data, variable, groupby, stat=stat, q=q, universe=universe, catalog=self.catalog,
-            design=self.design,
+            design=self.design, cap=cap,
         )

@@ -87,12 +87,12 @@ def test_verdicts(spark, tmp_path, data, rows):
         "odd": "FAIL", "empty": "FAIL", "bad": "FAIL"}
     text = {k: " ".join(r["diagnosis"]) for k, r in got.items()}
     assert "differs from the right value" in text["wrong"]
-    assert "unweighted" in text["method"] and "universe is g == 1" in text["method"]
-    assert "understates" in text["tight"] and "keeps reserved codes (97)" in text["reserved"]
+    assert "without the weight w" in text["method"] and "about g == 1" in text["method"]
+    assert "to either side" in text["tight"] and "keeps reserved codes (97)" in text["reserved"]
     assert "equals the unweighted estimate" in text["plain"] and "differs" in text["far"]
-    assert got["dead"]["lint_messages"] == ["dead link: nowhere"] and not got["dead"]["lint_ok"]
-    assert got["bare"]["lint_messages"] == ["empty prose"] and not got["bare"]["caught"]
-    assert "unknown variable: nothing" in got["odd"]["lint_messages"]
+    assert got["dead"]["lint_messages"] == ["link to nothing: nowhere"] and not got["dead"]["lint_ok"]
+    assert got["bare"]["lint_messages"] == ["there is no text"] and not got["bare"]["caught"]
+    assert "not in the catalog: nothing" in got["odd"]["lint_messages"]
     assert got["wrong"]["caught"] and got["wrong"]["delta"] == pytest.approx(5.0)
     assert got["right"]["right_value"] == pytest.approx(share, abs=0.005)
 
@@ -163,22 +163,39 @@ def test_requests(spark, data):
     got = {r["request_id"]: r for r in R.grounded_or_refuse(data, asked, backed, CATALOG, DESIGN).collect()}
     assert {k for k, r in got.items() if r["status"] == "answered"} == {"a", "b"}
     assert "not backed" in got["c"]["reason"] and got["d"]["reason"] == "empty subpopulation"
-    assert "rejected" in got["e"]["reason"] and "unknown statistic" in got["f"]["reason"] and "between" in got["g"]["reason"]
+    assert "universe" in got["e"]["reason"] and "unknown statistic" in got["f"]["reason"] and "between" in got["g"]["reason"]
 
 
 def test_rows(data):
     got = RW.inspect_rows(data, ["g", "x"], universe="x == 1", limit=5)
     assert got.columns == ["g", "x"] and got.count() == 5
-    assert RW.inspect_rows(data, ["x"], limit=10_000).count() == 500
-    for columns, limit, message in ([[], 5, "name the columns"], [["x"] * 13, 5, "at most 12"], [["x"], 0, "at least 1"],
-                                    [["x", "nothing"], 5, "unknown columns"]):
+    assert RW.inspect_rows(data, ["x"], limit=10_000).count() == data.count()
+    for columns, limit, message in ([[], 5, "which columns"], [["x"], 0, "shows no rows"], [["x", "nothing"], 5, "no such columns: nothing"]):
         with pytest.raises(ValueError, match=message):
             RW.inspect_rows(data, columns, limit=limit)
-    with pytest.raises(ValueError, match="rejected"):
-        RW.inspect_rows(data, ["x"], universe="x.__class__")
+    with pytest.raises(ValueError, match="universe"):
+        RW.inspect_rows(data, ["x"], universe="x.__class__", limit=1)
 
 
-def test_column_summary(spark):
+def test_rows_with_meanings(spark, data):
     backed = spark.createDataFrame([("v",)], "variable string")
-    got = {r["variable"]: r["summary"] for r in RW.column_summary(["v", "x"], CATALOG, backed).collect()}
-    assert "0-29 (30 values)" in got["v"] and "no summary" in got["x"]
+    got = RW.rows_with_meanings(data, ["v", "x", "nothing"], CATALOG, backed, limit=4, universe="x == 2", order_by=["v"]).collect()
+    texts = {(r["part"], r["place"]): r["text"] for r in got}
+    assert len(got) == 8 and texts["warning", 0] == RW.WARNING
+    assert "codes 0..29" in texts["column", 0] and "nothing published" in texts["column", 1] and "nothing published" in texts["column", 2]
+    assert all("x=2" in texts["row", k] for k in range(1, 5))
+
+
+def test_grounded_table(spark, data):
+    backed = spark.createDataFrame([("v",)], "variable string")
+    table = R.grounded_table(data, backed, "v", "g", catalog=CATALOG, design=DESIGN, stat="mean")
+    assert sorted(r["group_value"] for r in table.collect()) == [1, 2, 3]
+    with pytest.raises(ValueError, match="not backed"):
+        R.grounded_table(data, backed, "x", "g", catalog=CATALOG, design=DESIGN)
+
+
+def test_a_wave_without_a_column_is_an_error(spark, data):
+    waves = WaveCatalog([WaveVariable("m", 1, "x", "w", (1, 2), (1,), "categorical"), WaveVariable("m", 2, "x", "w2", (1, 2), (1,), "categorical")])
+    with pytest.raises(ValueError, match="wave 2 has no column w2"):
+        TR.trend_prevalence({1: data, 2: data}, "m", waves)
+    assert {r["wave"] for r in TR.trend_prevalence({1: data}, "m", waves).collect()} == {1}

@@ -2,11 +2,11 @@ import random
 
 import pytest
 
-from tallyproof import Catalog, Design, Variable
+from tallyproof import Catalog, Design, Survey, Variable
 from tallyproof.operators import estimates as E
 from tallyproof.operators import quantiles as Q
 from tallyproof.operators import tables as TB
-from tallyproof.operators.batch import Domain, batch_estimates
+from tallyproof.operators.batch import Domain, batch_estimates, join_estimates
 
 from . import brute
 
@@ -90,10 +90,10 @@ def test_unweighted_quantile(data, rows):
     assert got["value"] == pytest.approx(brute.quantile(used, 0.37), abs=1e-9)
 
 
-@pytest.mark.parametrize("single_task", [100_000, 5])
-def test_woodruff(data, rows, single_task, monkeypatch):
-    """Both forms of the running sum: one window per group, and bucketed prefix sums."""
-    monkeypatch.setattr(Q, "SINGLE_TASK_CODES", single_task)
+@pytest.mark.parametrize("buckets", [1, 5, 1024])
+def test_woodruff(data, rows, buckets, monkeypatch):
+    """The running sum does not depend on how the value range is cut."""
+    monkeypatch.setattr(Q, "_BUCKETS", buckets)
     used = [(r[1], r[3], r[4], r[5]) for r in rows if valid_v(r)]
     got = Q.quantile_ci(data, "v", 0.37, universe=None, valid=range(0, 30), design=DESIGN).first()
     close(got, brute.quantile_ci(used, 0.37))
@@ -151,7 +151,7 @@ def test_batch_equals_single(data, rows):
                                                design=DESIGN).first().asDict(), keys)
     mean = found[domains[1].key]
     used = [r for r in rows if r[0] == 1 and not brute.missing(r[1]) and r[1] == int(r[1]) and not brute.missing(r[3])]
-    sound = [r for r in used if r[1] < 30]
+    sound = [r for r in rows if r[0] == 1 and valid_v(r)]  # with or without a weight
     assert mean["unweighted"] == pytest.approx(sum(r[1] for r in sound) / len(sound))
     assert mean["reserved_kept"] == pytest.approx(sum(r[1] * r[3] for r in used) / sum(r[3] for r in used))
     assert mean["retained_codes"] == [97]
@@ -159,6 +159,33 @@ def test_batch_equals_single(data, rows):
     assert found[domains[2].key]["reserved_kept"] == pytest.approx(brute.quantile(kept, 0.37))
 
 
+def test_close_quantiles_are_two_domains(data):
+    domains = [Domain("v", None, "quantile", q) for q in (0.33333331, 0.33333339)]
+    found = batch_estimates(data, domains, CATALOG, DESIGN)
+    assert sorted(r["q"] for r in found.collect()) == [0.33333331, 0.33333339]
+    asked = data.sparkSession.createDataFrame([(1, "quantile", "v", None, d.q) for d in domains], "id int, k string, x string, u string, z double")
+    assert join_estimates(asked, found, kind="k", variable="x", universe="u", q="z").where("estimate is not null").count() == 2
+
+
+def test_unweighted_variants_count_rows_without_weight(spark):
+    data = spark.createDataFrame([(1, float(v), 1, w, 1, v % 3) for v, w in ((2, 1.0), (4, 2.0), (6, None), (8, 3.0))], SCHEMA)
+    found = {r["kind"]: r for r in batch_estimates(data, [Domain("v", None, "mean"), Domain("v", None, "quantile", 0.5)], CATALOG, DESIGN).collect()}
+    plain = dict(universe=None, valid=range(0, 30), design=DESIGN, weighted=False)
+    assert found["mean"]["unweighted"] == E.mean(data, "v", **plain).first()[0] == 5.0
+    assert found["quantile"]["unweighted"] == Q.quantile(data, "v", 0.5, **plain).first()[0] == 5.0
+
+
+def test_a_variable_has_its_own_weight(spark):
+    rows = [(1, 1.0, 1, 1.0, 1, 1, 9.0), (2, 2.0, 1, 3.0, 1, 2, 1.0)]
+    data = spark.createDataFrame(rows, SCHEMA + ", w2 double")
+    catalog = Catalog([Variable("x", "yes or no", None, "all", (1, 2), (1,), "w2")])
+    survey = Survey(data, catalog, DESIGN)
+    for found in (survey.prevalence("x"), survey.prevalence_ci("x"), batch_estimates(data, [Domain("x", None, "prevalence")], catalog, DESIGN)):
+        row = found.first().asDict()
+        assert row.get("estimate", row.get("value_pct")) == pytest.approx(90.0)
+    assert survey.table("x", "g").first()["estimate"] == pytest.approx(90.0) and survey.table("x", "g").first()["weight"] == "w2"
+
+
 def test_batches_are_cut(data, monkeypatch):
     from tallyproof.operators import batch
     domains = [Domain("x", f"g == {i}", "prevalence") for i in (1, 2, 3)]
@@ -180,13 +207,14 @@ def test_table_cells_equal_single_estimates(data):
 def test_table_errors(data, spark):
     many = spark.createDataFrame([(1, 1.0, i, 1.0, 1, 1) for i in range(100, 130)], SCHEMA)
     args = dict(catalog=CATALOG, design=DESIGN)
-    with pytest.raises(ValueError, match="more than 20"):
-        TB.grouped_table(many, "x", "g", **args)
-    with pytest.raises(ValueError, match="unknown grouping column"):
+    with pytest.raises(ValueError, match="would have 30 rows, 20"):
+        TB.grouped_table(many, "x", "g", cap=20, **args)
+    assert TB.grouped_table(many, "x", "g", **args).count() == 30
+    with pytest.raises(ValueError, match="cannot group by"):
         TB.grouped_table(data, "x", "nothing", **args)
     with pytest.raises(ValueError, match="unknown statistic"):
         TB.grouped_table(data, "x", "g", stat="mode", **args)
-    with pytest.raises(ValueError, match="no substantive groups"):
+    with pytest.raises(ValueError, match="nothing to tabulate"):
         TB.grouped_table(data, "x", "g", universe="x == 55", **args)
     with pytest.raises(KeyError):
         TB.grouped_table(data, "nothing", "g", **args)

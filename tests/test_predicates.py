@@ -7,21 +7,19 @@ COLUMNS = {"ever_a", "med_a", "pre_a", "sex_a", "wt_a", "age_a"}
 
 
 @pytest.mark.parametrize("expr", [
-    "ever_a == 1", "(ever_a == 1) | (pre_a == 1)", "sex_a == 2", "ever_a == 1 & sex_a == 2", "ever_a == 999",
-    "(sex_a == 1) & (ever_a == 1)", "ever_a != 2", "wt_a >= 100.5", "ever_a==-1", "((ever_a < 3))", None,
+    None, "age_a<=30", " wt_a > 0.25 ", "((pre_a == -2))", "age_a > 17 & age_a <= 64 | sex_a != 1", "(med_a < 2 | (pre_a >= 1 & age_a != 40))",
 ])
 def test_accepted(expr):
     P.validate_universe(expr, COLUMNS)
 
 
 @pytest.mark.parametrize("expr", [
-    "ever_a.__class__", "@__import__('os')", "sex_a == 1 or eval('1')", "ever_a", "foo(1)", "__import__",
-    "ever_a == 1; import os", "sex_a == '1'", "ever_a == 1 and sex_a == 2", "unknown_a > 40", "ever_a == 1)", "1 == 1",
-    "", "   ", "(ever_a == 1", "ever_a == 1 sex_a == 2", "ever_a == 1 &", "ever_a = 1", "ever_a == 1.", "()",
-    "ever_a == sex_a", "ever_a == 1 | | sex_a == 2", 7,
+    "", "  ", "()", "age_a", "30 < age_a", "age_a < pre_a", "age_a < '30'", "age_a < 30.", "age_a = 30", "shoe_a < 30", "age_a < 30 pre_a < 2",
+    "age_a < 30 &", "age_a < 30 & & pre_a < 2", "(age_a < 30", "age_a < 30)", "not age_a < 30", "age_a < 30 or pre_a < 2", "abs(age_a) < 30",
+    "age_a.real < 30", "age_a < 30; drop table t", 12.5,
 ])
 def test_rejected(expr):
-    with pytest.raises(ValueError, match="universe rejected|must be a string"):
+    with pytest.raises(ValueError, match="universe"):
         P.validate_universe(expr, COLUMNS)
 
 
@@ -62,7 +60,7 @@ def test_predicate_reaches_the_scan(spark, tmp_path):
 
 def test_text_column_is_refused(spark):
     data = spark.createDataFrame([("x",)], "a string")
-    with pytest.raises(ValueError, match="not numeric"):
+    with pytest.raises(ValueError, match="numbers only"):
         P.universe_filter(data, "a == 1")
 
 
@@ -73,7 +71,3 @@ def test_ranges_hold_whole_numbers_only(spark):
     assert data.where(P.in_codes(data, "v", ())).count() == 0
     assert data.where(P.integer_like(data, "v")).count() == 2
 
-
-def test_universe_columns():
-    assert P.universe_columns("(b == 1) | (a == 2) & b > 3") == ["b", "a"]
-    assert P.universe_columns(None) == []

@@ -91,15 +91,17 @@ def test_scan_reads_only_needed_columns(spark, small):
     assert "l_returnflag" not in schema and "l_tax" not in schema
 
 
-def test_public_catalog(spark):
-    from tallyproof.catalogs import ADULT_2023, ADULT_DESIGN, ADULT_WAVES
-    from tallyproof.operators import tables
-
-    assert len(list(ADULT_2023)) == 9 and ADULT_WAVES.resolve("bmi", 2023).variable == "BMICAT_A"
-    with pytest.raises(KeyError):
-        ADULT_WAVES.resolve("bmi", 1900)
-    rows = [(1, 50, 2.0, 1, 1), (1, 97, 5.0, 1, 2), (2, None, 1.0, 1, 3), (1, 40, 2.0, 1, 3)]
-    data = spark.createDataFrame(rows, "DIBEV_A int, DIBAGETC_A int, WTFA_A double, PSTRAT int, PPSU int")
-    got = tables.subpopulation_stat(data, "DIBAGETC_A", universe="DIBEV_A == 1", stat="mean", catalog=ADULT_2023,
-                                    design=ADULT_DESIGN).first()
-    assert (got["estimate"], got["n"]) == (45.0, 2)
+def test_csv_columns_are_found_by_name(spark, tmp_path):
+    """The file has its columns in another order than the schema."""
+    from pyspark.sql import types as T
+
+    (tmp_path / "t.csv").write_text("b,c,a\n1,x,2\n3,y,4\n")
+    schema = T.StructType([T.StructField("a", T.IntegerType()), T.StructField("b", T.DoubleType())])
+    path = str(tmp_path / "t.csv")
+    assert [tuple(r) for r in M.scan_csv(spark, path, ["a"], schema).collect()] == [(2,), (4,)]
+    assert [tuple(r) for r in M.scan_csv(spark, path, None, schema).collect()] == [(2, 1.0), (4, 3.0)]
+    copy = M.materialize_parquet(spark, path, str(tmp_path / "copy"), schema=schema)
+    assert sorted(r["a"] for r in spark.read.parquet(copy).collect()) == [2, 4]
+    (tmp_path / "bad.csv").write_text("a,b\n1,word\n")
+    with pytest.raises(Exception, match="MALFORMED|word"):
+        M.scan_csv(spark, str(tmp_path / "bad.csv"), None, schema).collect()

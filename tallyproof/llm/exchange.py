@@ -33,6 +33,17 @@ def unpack(data: bytes) -> list[np.ndarray]:
     return pickle.loads(zstandard.ZstdDecompressor().decompress(data))
 
 
+def pack_message(values: list[np.ndarray]) -> bytes:
+    """As ``pack``, for ascending keys first: their differences are stored byte plane by byte plane, so the high ones vanish."""
+    steps = np.diff(values[0], prepend=np.uint64(0))
+    return pack([np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T), *values[1:]])
+
+
+def unpack_message(data: bytes) -> list[np.ndarray]:
+    planes, *rest = unpack(data)
+    return [np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).reshape(-1), dtype=np.uint64), *rest]
+
+
 def to_blob(batch: pa.RecordBatch) -> bytes:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
@@ -87,11 +98,11 @@ def answers(rows: DataFrame, make: Make, judge: Judge, parts: int) -> DataFrame:
                 order = np.argsort(part, kind="stable")
                 used, at = np.unique(part[order], return_index=True)
                 ends = np.append(at[1:], len(order))[: len(at)]
-                out = [pack([x[order[a:b]] for x in values]) for a, b in zip(at.tolist(), ends.tolist(), strict=True)]
+                out = [pack_message([x[order[a:b]] for x in values]) for a, b in zip(at.tolist(), ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(np.full(len(used), name)), pa.array(out, pa.binary())], names=["p", "batch", "message"])
 
     def reply(table: pa.Table) -> pa.Table:
-        messages = [unpack(x) for x in table.column("message").to_pylist()]
+        messages = [unpack_message(x) for x in table.column("message").to_pylist()]
         sizes = [len(m[0]) for m in messages]
         name = np.repeat(table.column("batch").to_numpy(), sizes)
         said, note = judge([np.concatenate(x) for x in zip(*messages, strict=True)], name)

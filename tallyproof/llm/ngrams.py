@@ -30,6 +30,8 @@ PRIOR = 0.1
 END, BEGIN = U64(0x5851F42D4C957F2D), U64(0x14057B7EF767814F)
 #: A code holds the logarithm of a count in steps of this size; code 1 is a count of 1, code 0 none.
 STEP = 0.1
+#: Bigrams that are looked up at once.
+LOOKUPS = 1 << 16
 _LOW32 = U64(0xFFFFFFFF)
 
 
@@ -123,16 +125,23 @@ class Trie:
         return cls(EliasFano.encode(context), EliasFano.encode(np.append(at, len(keys))), EliasFano.encode((which << U64(32)) | (keys & _LOW32)), codes.astype(np.uint8))
 
     def find(self, keys: np.ndarray) -> np.ndarray:
-        """The code of each bigram, 0 if it is not there."""
+        """The code of each bigram, 0 if it is not there. A context is looked up once for a run of its bigrams."""
+        out = np.zeros(len(keys), dtype=np.uint8)
+        for a in range(0, len(keys), LOOKUPS):
+            out[a: a + LOOKUPS] = self._find(keys[a: a + LOOKUPS])
+        return out
+
+    def _find(self, keys: np.ndarray) -> np.ndarray:
         out = np.zeros(len(keys), dtype=np.uint8)
         n = self.contexts.count
-        if not n or not len(keys):
+        if not n:
             return out
-        context = keys >> U64(32)
-        at = self.contexts.successor(context, np.zeros(len(keys)), np.full(len(keys), n))
-        hit = np.flatnonzero(at < n)
-        hit = hit[self.contexts[at[hit]] == context[hit]]
-        at = at[hit]
+        context, of = np.unique(keys >> U64(32), return_inverse=True)
+        at = self.contexts.successor(context, np.zeros(len(context)), np.full(len(context), n))
+        there = at < n
+        there[there] = self.contexts[at[there]] == context[there]
+        hit = np.flatnonzero(there[of])
+        at = at[of[hit]]
         first, last = self.pointers[at].astype(np.int64), self.pointers[at + 1].astype(np.int64)
         wanted = (at.astype(U64) << U64(32)) | (keys[hit] & _LOW32)
         place = self.words.successor(wanted, first, last)
@@ -190,7 +199,7 @@ class Tokens:
 
 
 def _narrow(count: np.ndarray) -> np.ndarray:
-    return count.astype(np.uint32) if count.max(initial=0) < 1 << 32 else count
+    return count.astype(np.min_scalar_type(int(count.max(initial=0))))
 
 
 def word_counts(values: list[np.ndarray], _: np.ndarray) -> tuple[np.ndarray, int]:
@@ -201,17 +210,16 @@ def word_counts(values: list[np.ndarray], _: np.ndarray) -> tuple[np.ndarray, in
 
 
 def build_part(keys: np.ndarray, counts: np.ndarray) -> Trie:
-    """The trie of a part: bigrams with their training counts, in any order and repeated."""
-    keys, inverse = np.unique(keys, return_inverse=True)
-    total = np.bincount(inverse, weights=counts.astype(np.float64), minlength=len(keys))
-    seen = total > 0
-    return Trie.build(keys[seen], to_code(total[seen]))
+    """The trie of a part: distinct ascending bigrams with their training counts; those without any are left out."""
+    seen = counts > 0
+    return Trie.build(keys[seen], to_code(counts[seen]))
 
 
 def pair_codes(values: list[np.ndarray], _: np.ndarray) -> tuple[np.ndarray, int]:
-    trie = build_part(values[0], values[1])
-    trie = Trie.from_buffer(np.frombuffer(trie.to_bytes(), dtype=U64))
-    return trie.find(values[0]), len(trie.codes)
+    keys, inverse = np.unique(values[0], return_inverse=True)
+    data = build_part(keys, np.bincount(inverse, weights=values[1], minlength=len(keys))).to_bytes()
+    trie = Trie.from_buffer(np.frombuffer(data, dtype=U64))
+    return trie.find(keys)[inverse], len(trie.codes)
 
 
 def _rows(docs: DataFrame, id_col: str, text: str, learn: str) -> DataFrame:
@@ -228,7 +236,7 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text",
     from by default. Words are compared by 64-bit hashes, the parts of a bigram by 32 bits each. Empty table: no rows.
     """
     slices_ = store_slices(_rows(docs, id_col, text, learn or f"{id_text(id_col)} % 10 != 0"), "text", 2 * SLICE_BYTES)
-    parts = parts_for(slices_, 4)
+    parts = parts_for(slices_, 2)
 
     def ask_words(batch: pa.RecordBatch, name: int, _: list) -> list[np.ndarray]:
         keys, count, _ = Tokens(batch).words()
@@ -285,7 +293,7 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text",
 def train(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", learn: str = "true") -> DataFrame:
     """The bigram model of a corpus as tries: (p, bigrams, trie binary), one for each range of hashes, for other programs to map."""
     slices_ = store_slices(_rows(docs, id_col, text, learn), "text", 2 * SLICE_BYTES)
-    parts = parts_for(slices_, 4)
+    parts = parts_for(slices_, 2)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -297,8 +305,9 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", learn:
                     yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([keys[part == p].tobytes()]), pa.array([count[part == p].tobytes()])], names=["p", "keys", "counts"])
 
     def build(table: pa.Table) -> pa.Table:
-        keys = np.frombuffer(b"".join(table.column("keys").to_pylist()), dtype=U64)
-        trie = build_part(keys, np.frombuffer(b"".join(table.column("counts").to_pylist()), dtype=np.int64))
+        keys, inverse = np.unique(np.frombuffer(b"".join(table.column("keys").to_pylist()), dtype=U64), return_inverse=True)
+        counts = np.frombuffer(b"".join(table.column("counts").to_pylist()), dtype=np.int64)
+        trie = build_part(keys, np.bincount(inverse, weights=counts, minlength=len(keys)))
         return pa.table({"p": table.column("p")[:1], "bigrams": pa.array([len(trie.codes)], pa.int64()), "trie": pa.array([trie.to_bytes()], pa.binary())})
 
     return slices_.mapInArrow(send, "p int, keys binary, counts binary").groupBy("p").applyInArrow(build, "p int, bigrams long, trie binary")

@@ -542,8 +542,8 @@ def _doc_tables() -> list[str]:
 
     meta = ", ".join(f"({text(v.name)}, {text(v.universe_text)}, {text(v.label)}, {text(v.notes)})" for v in CATALOG)
     lines = "chr(10)"
-    related = (f"CASE WHEN links <> '' THEN concat_ws({lines}, '## Related', array_to_string(list_transform("
-               f"string_split(links, '; '), lambda x: '- [' || x || '](./' || x || '.md)'), {lines}), '') END")
+    related = (f"CASE WHEN links <> '' THEN concat_ws({lines}, '', 'See ' || array_to_string(list_transform("
+               f"string_split(links, '; '), lambda x: '[' || x || '](./' || x || '.md)'), ', ')) END")
     return _claim_tables() + _trend_claims()[1:] + [
         f"meta(variable, universe_text, variable_label, notes) AS (VALUES {meta})",
         """repro AS (SELECT *, CASE WHEN right_universe IS NULL OR right_universe LIKE '%' || variable || '%'
@@ -570,44 +570,37 @@ def _doc_tables() -> list[str]:
         f"""cdocs AS (SELECT id, 'variable_definition' AS type, label AS title, description,
           concat_ws(',', variable, CASE WHEN claimed IS NOT NULL THEN kind END) AS tags, variable, statistic, kind,
           right_value AS value, unit, detail, verdict,
-          concat_ws({lines}, '---', 'type: variable_definition', 'title: "' || replace(label, '"', '''') || '"',
-            'description: "' || description || '"',
-            'tags: [' || concat_ws(', ', variable, CASE WHEN claimed IS NOT NULL THEN kind END) || ']',
-            'timestamp: "{STAMP}"', 'id: ' || id, 'variable: ' || variable,
-            'question_universe: "' || universe_text || '"', 'analytical_universe: "' || analytical_universe || '"',
-            'weight: wt', 'source: "{SOURCE}"',
-            CASE WHEN claimed IS NOT NULL THEN concat_ws({lines}, 'statistic: "' || statistic || '"', 'kind: ' || kind,
-              'value: ' || shown, 'unit: "' || unit || '"',
-              CASE WHEN q IS NOT NULL THEN printf('quantile_q: %.2f', q) END) END,
-            'verdict: ' || verdict,
-            CASE WHEN claimed IS NOT NULL THEN concat_ws({lines}, printf('claimed: %.2f', claimed),
-              printf('delta: %.2f', delta), 'detail: "' || detail || '"') END,
-            CASE WHEN claimed IS NOT NULL AND kind = 'prevalence' THEN concat_ws({lines},
-              printf('ci_95: [%.2f, %.2f]', lci, uci), printf('se: %.2f', se), printf('deff: %.2f', deff)) END,
+          concat_ws({lines}, '---', 'id: ' || id, 'type: variable_definition', 'variable: ' || variable,
+            'title: "' || replace(label, '"', '''') || '"',
+            CASE WHEN claimed IS NOT NULL THEN concat_ws({lines}, 'value: ' || shown, 'unit: "' || unit || '"',
+              'statistic: "' || statistic || '"', 'detail: "' || detail || '"') END,
+            CASE WHEN claimed IS NOT NULL AND kind = 'prevalence' THEN
+              printf('spread: {{low: %.2f, high: %.2f, se: %.2f, deff: %.2f}}', lci, uci, se, deff) END,
+            'asked_of: "' || universe_text || '"', 'figures_about: "' || analytical_universe || '"',
+            'source: "{SOURCE}, weight wt"',
+            'checked: "{STAMP} ' || verdict || coalesce(printf(', off by %.2f', CASE WHEN claimed IS NOT NULL THEN delta END), '') || '"',
             '---') AS front_matter,
-          concat_ws({lines}, '# ' || label, '', {link('prose')}, '',
-            CASE WHEN claimed IS NOT NULL THEN concat_ws({lines}, '## Verified statistic', '',
-              '**' || statistic || ': ' || shown || unit_text || '**', '',
-              CASE WHEN kind = 'prevalence' THEN printf('- 95%% CI: [%.2f, %.2f] (design-based, Taylor linearization)',
-                lci, uci) END,
-              '- Basis: ' || detail, '- Recomputed from {SOURCE}; verdict ' || verdict || '.', '', '## Reproduce', '',
-              '    ' || estimate_call, '    ' || rows_call, '') END,
+          concat_ws({lines}, '# ' || label,
+            CASE WHEN claimed IS NOT NULL THEN concat_ws({lines}, '', shown || unit_text || ' is the answer to: ' || statistic,
+              'In full: ' || detail) END,
+            '', {link('prose')},
+            CASE WHEN claimed IS NOT NULL THEN concat_ws({lines}, '', '| To get | Run |', '| --- | --- |',
+              '| the figure | `' || estimate_call || '` |', '| some rows | `' || rows_call || '` |') END,
             {related}) AS body FROM docs0)""",
         f"""tdocs AS (SELECT id, 'metric' AS type, 'Condition, two waves' AS title,
           'Weighted share with the condition' AS description, 'trend,{OLD_WAVE},{NEW_WAVE}' AS tags,
           CAST(NULL AS VARCHAR) AS variable, 'Weighted share with the condition' AS statistic, 'trend' AS kind,
           CAST(NULL AS DOUBLE) AS value, '%' AS unit,
           printf('{{{OLD_WAVE}: %.2f, {NEW_WAVE}: %.2f}}', right_old, right_new) AS detail, verdict,
-          concat_ws({lines}, '---', 'type: metric', 'title: "Condition, two waves"',
-            'description: "Weighted share with the condition"', 'timestamp: "{STAMP}"', 'id: ' || id,
-            'canonical: ' || canonical, 'years: [{OLD_WAVE}, {NEW_WAVE}]',
-            printf('values: {{{OLD_WAVE}: %.2f, {NEW_WAVE}: %.2f}}', right_old, right_new), 'verdict: ' || verdict,
-            'links: [ever_a]', '---') AS front_matter,
-          concat_ws({lines}, '# Condition, two waves', '',
-            'Share with the condition in both waves, see [ever_a](./ever_a.md).', '', '## Verified trend', '',
-            printf('- {OLD_WAVE}: %.2f%%', right_old), printf('- {NEW_WAVE}: %.2f%%', right_new), '',
-            '- Each wave was recomputed with its own column and weight; verdict ' || verdict || '.', '',
-            '## Related', '- [ever_a](./ever_a.md)', '') AS body FROM tverdicts WHERE verdict <> 'FAIL')""",
+          concat_ws({lines}, '---', 'id: ' || id, 'type: metric', 'measure: ' || canonical, 'title: "Condition, two waves"',
+            'statistic: "Weighted share with the condition"',
+            printf('values: {{{OLD_WAVE}: %.2f, {NEW_WAVE}: %.2f}}', right_old, right_new), 'source: "{SOURCE}"',
+            'checked: "{STAMP} ' || verdict || '"', '---') AS front_matter,
+          concat_ws({lines}, '# Condition, two waves', '', '| Wave | Share |', '| --- | --- |',
+            printf('| {OLD_WAVE} | %.2f%% |', right_old), printf('| {NEW_WAVE} | %.2f%% |', right_new), '',
+            'Share with the condition in both waves, see [ever_a](./ever_a.md).',
+            'Columns and weights are those of each wave.', '', 'See [ever_a](./ever_a.md)') AS body
+          FROM tverdicts WHERE verdict <> 'FAIL')""",
         "docs AS (SELECT * FROM cdocs UNION ALL SELECT * FROM tdocs)",
     ]
 
@@ -754,12 +747,12 @@ def _search() -> None:
         round(score, 6) AS score FROM hits""")
     ORACLES["search_results_text"] = with_(base, """SELECT q.question_id, coalesce(string_agg('[' || s.id || '] ' || s.title
         || chr(10) || '  ' || CASE WHEN figure IS NOT NULL THEN figure || ' (' || detail || ')' ELSE first_line END,
-        chr(10) || chr(10) ORDER BY rnk), 'NO_VERIFIED_CONCEPTS_FOUND') AS results
+        chr(10) || chr(10) ORDER BY rnk), '(nothing found)') AS results
         FROM questions q LEFT JOIN shown s ON q.question_id = s.qid GROUP BY q.question_id""")
     ORACLES["answer_extractive"] = with_(base, """SELECT q.question_id,
         CASE WHEN count(s.id) = 0 THEN 'refused' ELSE 'answered' END AS mode,
         coalesce(max(CASE WHEN figure IS NOT NULL THEN figure || '. (' || detail || ')' ELSE title || ': ' || first_line END)
-          FILTER (rnk = 1), 'No verified concept matches that question.') AS answer,
+          FILTER (rnk = 1), 'Nothing published answers this.') AS answer,
         max(citation) FILTER (rnk = 1) AS source,
         coalesce(string_agg(citation, '; ' ORDER BY rnk), '') AS citations
         FROM questions q LEFT JOIN shown s ON q.question_id = s.qid GROUP BY q.question_id""")

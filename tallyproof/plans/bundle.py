@@ -13,6 +13,7 @@ from ..operators import verify as V
 from ..operators.batch import batch_estimates
 from ..session import scratch_dir, written
 from ..sources import bundle as B
+from ..sources.microdata import last_modified
 from .claims import claims, trend_claims
 from .micro import CATALOG, DESIGN, WAVES, micro, wave_frames
 
@@ -40,7 +41,12 @@ class Bundle:
     path: str
 
 
-_published: dict[tuple[str, str], Bundle] = {}
+_published: dict[tuple[str, str, float | None], Bundle] = {}
+
+
+def _version(spark: SparkSession, sf_dir: str) -> tuple[str, str, float | None]:
+    """The application, the data and when it last changed: a bundle of older data is not reused."""
+    return spark.sparkContext.applicationId, sf_dir, last_modified(spark, f"{sf_dir}/lineitem.parquet")
 
 
 def compile_bundle(spark: SparkSession, sf_dir: str) -> Bundle:
@@ -67,13 +73,13 @@ def compile_bundle(spark: SparkSession, sf_dir: str) -> Bundle:
 def republish(spark: SparkSession, sf_dir: str) -> Bundle:
     """Compile the bundle anew and let later reads use it."""
     bundle = compile_bundle(spark, sf_dir)
-    _published[spark.sparkContext.applicationId, sf_dir] = bundle
+    _published[_version(spark, sf_dir)] = bundle
     return bundle
 
 
 def published(spark: SparkSession, sf_dir: str) -> Bundle:
     """The bundle of this application, compiled on first use and read from its tables after that."""
-    return _published.get((spark.sparkContext.applicationId, sf_dir)) or republish(spark, sf_dir)
+    return _published.get(_version(spark, sf_dir)) or republish(spark, sf_dir)
 
 
 def questions(spark: SparkSession) -> DataFrame:

@@ -701,10 +701,10 @@ def _index_tables(docs: str, key: str, body: str, stop: list[str]) -> list[str]:
     return [
         f"tokens AS (SELECT {key} AS doc, unnest(regexp_extract_all(lower({body}), '[\\p{{L}}\\p{{N}}_]{{2,}}')) AS term "
         f"FROM {docs})",
-        f"counts AS (SELECT doc, term, count(*) AS tf FROM tokens WHERE term NOT IN ({words}) GROUP BY doc, term)",
-        f"idf AS (SELECT term, ln((1 + (SELECT count(*) FROM {docs})) / (1.0 + count(*))) + 1 AS idf FROM counts GROUP BY term)",
-        "raws AS (SELECT doc, c.term, tf, tf * idf AS raw FROM counts c JOIN idf i ON c.term = i.term)",
-        "norms AS (SELECT doc, sqrt(sum(raw * raw)) AS norm FROM raws GROUP BY doc)",
+        f"counts AS MATERIALIZED (SELECT doc, term, count(*) AS tf FROM tokens WHERE term NOT IN ({words}) GROUP BY doc, term)",
+        f"idf AS MATERIALIZED (SELECT term, ln((1 + (SELECT count(*) FROM {docs})) / (1.0 + count(*))) + 1 AS idf FROM counts GROUP BY term)",
+        "raws AS MATERIALIZED (SELECT doc, c.term, tf, tf * idf AS raw FROM counts c JOIN idf i ON c.term = i.term)",
+        "norms AS MATERIALIZED (SELECT doc, sqrt(sum(raw * raw)) AS norm FROM raws GROUP BY doc)",
         "postings AS (SELECT r.doc, term, tf, raw / norm AS weight FROM raws r JOIN norms n ON r.doc = n.doc)",
     ]
 

@@ -8,7 +8,6 @@ which adds what it found to the rows that the last one passed on.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -299,10 +298,6 @@ def items_sha256(ids: str) -> str:
     return f"sha2(array_join({ids}, ','), 256)"
 
 
-#: What an empty list of items hashes to.
-NO_ITEMS = hashlib.sha256(b"").hexdigest()
-
-
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, and the longest match."""
     found, out = match_benchmark(docs.select("doc_id", "text"), benchmark.select("item_id", "text"))

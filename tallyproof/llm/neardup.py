@@ -1,15 +1,17 @@
 """Near-duplicate texts by HyperMinHash: compressed registers, banding, corrected estimates, exact verification.
 
 Steps: (1) one pass over the texts makes the set of hashed shingles of each, its 128-bit digest, ``BUCKETS`` registers
-(leading zeros and mantissa of the smallest hash of a bucket) and the band keys of the registers; (2) texts with equal
-sets become one node; (3) nodes that share a band key are candidates: each is paired with the pivot of its bucket, and
+(leading zeros and mantissa of the smallest hash of a bucket) and its band keys: those of the registers, or for sets of
+up to ``SMALL`` shingles, which leave most buckets empty, those of one smallest hash for each of as many hash functions
+(sets near that size have both kinds, so that no pair falls between them); (2) texts with equal sets become one node; (3) nodes that share a band key are candidates: each is paired with the pivot of its bucket, and
 the pair's similarity is estimated from the registers; (4) pairs that may reach the threshold are verified on their full
 sets; (5) members of a pivot's buckets that are still in different components are compared on their full sets, block by
 block. So each candidate pair is verified, ruled out by its estimate, or joined already, and a large group of near
 copies costs a pass over its members where its pivot is like them.
 
-Chances: with 51 bands of 5 registers a pair at similarity 0.75 shares no band once in a million; the margin below the
-threshold is five standard deviations of the estimate.
+Chances: with 51 bands of 5 a pair at similarity 0.75 shares no band once in a million by hash functions; by registers,
+which depend on each other, about once in 100,000 (a model of 4000 pairs of 64 and 48, 128 and 96, 256 and 192 shingles:
+1.2, 1.1 and 1.0 in 100,000). The margin below the threshold is five standard deviations of the estimate.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ BANDS = 51
 MANTISSA = 10
 MARGIN = 5.0
 PROBES = 32
+#: Sets of up to so many shingles have keys of hash functions.
+SMALL = 64
 #: Rows of a block in which members of a bucket are compared.
 BLOCK = 512
 
@@ -38,6 +42,8 @@ _rng = np.random.default_rng(20240608)
 _ODD = _rng.integers(1, 2**62, 16, dtype=np.int64).astype(U64) * U64(2) + U64(1)
 _PERM = np.stack([_rng.permutation(BUCKETS) for _ in range(PROBES + 1)])
 _BAND = _rng.integers(1, 2**62, BANDS, dtype=np.int64).astype(U64)
+_SMALL_BAND = _rng.integers(1, 2**62, BANDS, dtype=np.int64).astype(U64)
+_SMALL_ODD = _rng.integers(1, 2**62, BANDS * ROWS, dtype=np.int64).astype(U64) * U64(2) + U64(1)
 
 
 def shingle_sets(column: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -111,13 +117,39 @@ def filled(regs: np.ndarray) -> np.ndarray:
 
 def band_keys(regs: np.ndarray) -> np.ndarray:
     """BANDS keys (int64) of each row of filled registers."""
-    part = regs[:, : BANDS * ROWS].reshape(len(regs), BANDS, ROWS).astype(U64)
-    key = np.broadcast_to(_BAND, part.shape[:2]).copy()
+    return _keys(regs[:, : BANDS * ROWS].astype(U64), _BAND)
+
+
+def small_keys(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """BANDS keys (int64) of each set of hashes (none empty): each register is the smallest value of one hash function of
+    its own, so registers of two sets agree with their similarity, independently of each other, however small they are."""
+    least = np.empty((len(at) - 1, BANDS * ROWS), dtype=U64)
+    if len(least):
+        for j, odd in enumerate(_SMALL_ODD):
+            least[:, j] = np.minimum.reduceat(h * odd, at[:-1])
+    return _keys(least, _SMALL_BAND)
+
+
+def _keys(values: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    part = values.reshape(len(values), BANDS, ROWS)
+    key = np.broadcast_to(seeds, part.shape[:2]).copy()
     for j in range(ROWS):
         key = mix(key + part[:, :, j] * _ODD[j])
     return key.view(np.int64)
 
 
+def candidate_keys(h: np.ndarray, at: np.ndarray, regs: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of all sets end to end, and where each set's begin: of hash functions up to ``SMALL`` shingles, of registers
+    for all that can reach the threshold with a larger set."""
+    n = np.diff(at)
+    small, large = (n > 0) & (n <= SMALL), 100 * n >= percent * (SMALL + 1)
+    few = small_keys(h[np.repeat(small, n)], np.concatenate([[0], np.cumsum(n[small])]))
+    many = band_keys(filled(regs[large]))
+    owner = np.concatenate([np.repeat(np.flatnonzero(small), BANDS), np.repeat(np.flatnonzero(large), BANDS)])
+    keys = np.concatenate([few.reshape(-1), many.reshape(-1)])[np.argsort(owner, kind="stable")]
+    return keys, np.concatenate([[0], np.cumsum(BANDS * (small.astype(np.int64) + large))])
+
+
 def _collisions() -> tuple[np.ndarray, np.ndarray]:
     """Chance that the registers of a bucket agree for two disjoint sets, by elements per bucket (powers of two)."""
     zeros = np.arange(40)[:, None]
@@ -146,7 +178,7 @@ def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) ->
     return np.maximum(same - by_chance, 0) / full, full
 
 
-def signatures(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def signatures(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """Stored (doc_id, n_shingles, f1, f2, regs, keys): a digest of each set, its registers and its band keys."""
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -156,11 +188,10 @@ def signatures(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text") -
                 total = np.concatenate([np.zeros((2, 1), dtype=U64), np.cumsum(np.stack([mix(h + _ODD[9]), mix(h ^ _ODD[10])]), axis=1, dtype=U64)], axis=1)
                 digest = (total[:, at[1:]] - total[:, at[:-1]]).view(np.int64)
                 regs = registers(h, at)
-                keys = band_keys(filled(regs))
-                keys_at = np.concatenate([[0], np.cumsum(np.where(n > 0, BANDS, 0))])
+                keys, keys_at = candidate_keys(h, at, regs, percent)
                 yield pa.RecordBatch.from_arrays([
                     part.column(0), pa.array(n), pa.array(digest[0]), pa.array(digest[1]),
-                    pa.array([x.tobytes() for x in regs], pa.binary()), list_array(pa.array(keys[n > 0].reshape(-1)), keys_at),
+                    pa.array([x.tobytes() for x in regs], pa.binary()), list_array(pa.array(keys), keys_at),
                 ], names=["doc_id", "n_shingles", "f1", "f2", "regs", "keys"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
@@ -292,7 +323,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "tex
     without id takes part in its text's node, or is kept with a null component where no row of that text has an id. Other
     columns are not read. Empty table: no rows.
     """
-    sign = signatures(docs, id_col=id_col, text=text)
+    sign = signatures(docs, id_col=id_col, text=text, percent=percent)
     classes = sign.where("n_shingles > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("node"))
     nodes = stored(sign.join(classes, ["f1", "f2"]).where("doc_id = node").select("node", "n_shingles", "regs", "keys"), "nodes")
     bands = nodes.select("node", F.explode("keys").alias("key"))

@@ -81,6 +81,32 @@ def test_filled_registers_agree_for_small_sets():
     assert (full > 0).all() and (full[0] == full[1]).all() and (neardup.band_keys(full)[0] == neardup.band_keys(full)[1]).all()
 
 
+def test_short_texts_lose_no_link(table):
+    """Pairs of 3 to 16 shingles at or just above the threshold, against brute force."""
+    rows = []
+    for k in range(600):
+        size = (4, 5, 8, 12, 16)[k % 5]
+        words = [f"s{k}x{i}" for i in range(size + 4)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[: len(words) - size // 4]))]
+    sets = {d: brute.shingles(t) for d, t in rows}
+    want = brute.components(sets, brute.near_links(sets))
+    assert len(set(want.values())) == 600
+    assert {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(table(rows)).collect()} == want
+
+
+def test_pairs_about_the_size_at_which_keys_change():
+    rng = np.random.default_rng(12)
+    for large in range(neardup.SMALL - 2, neardup.SMALL * 4 // 3 + 3):
+        for _ in range(5):
+            a = rng.integers(0, 2**64, large, dtype=np.uint64)
+            sets = [np.sort(a), np.sort(a[: -(-3 * large // 4)])]
+            h, at = np.concatenate(sets), np.array([0, large, large + len(sets[1])])
+            keys, keys_at = neardup.candidate_keys(h, at, neardup.registers(h, at))
+            assert np.intersect1d(keys[: keys_at[1]], keys[keys_at[1]:]).size, large
+    keys, keys_at = neardup.candidate_keys(a[:0], np.zeros(3, dtype=np.int64), np.zeros((2, neardup.BUCKETS), dtype=np.uint16))
+    assert not len(keys) and keys_at.tolist() == [0, 0, 0]
+
+
 def test_overlaps():
     rng = np.random.default_rng(3)
     sets = [np.unique(rng.integers(0, 300, n).astype(np.uint64)) for n in (0, 5, 200, 250)]

@@ -7,7 +7,7 @@ ends with the page. Not visible: comments, ``head`` and everything that never sh
 options), elements with ``hidden``, ``aria-hidden="true"`` or a style of ``display:none`` or ``visibility:hidden``, and closed ``details`` but
 for their summary. Rendering: white space is collapsed outside ``pre`` and ``textarea``; blocks begin on lines of their own,
 paragraphs, headings, lists and tables with an empty line between; items have a mark or number and are indented by depth;
-the cells of a table are padded to the width of their column.
+the cells of a table are padded to the width of their column, and what a table holds outside its cells comes before it.
 """
 
 from __future__ import annotations
@@ -204,22 +204,57 @@ class Lines:
         return self.lines
 
 
-def rows_of(table: Node) -> Iterator[Node]:
-    for child in table.children:
-        if isinstance(child, Node) and not hidden(child):
-            if child.name == "tr":
-                yield child
-            elif child.name in {"tbody", "thead", "tfoot"}:
-                yield from rows_of(child)
+def table_parts(table: Node) -> tuple[Node, list[Node], list[list[Node]]]:
+    """What a table shows before it, its captions, and the cells of each row.
+
+    Other elements within a table but outside its cells (forms, blocks, wrappers of any depth) are passed through: rows,
+    cells and captions in them belong to the table, also if the element itself is hidden, and what else they hold comes
+    before the table, as does text outside cells. A cell without a row begins one.
+    """
+    before, captions, rows = Node("div"), [], []
+    stack = [(iter(table.children), before, False, [None])]  # children, where the rest goes, inside a tr, the open row
+    while stack:
+        children, rest, in_row, row = stack[-1]
+        child = next(children, None)
+        if child is None:
+            stack.pop()
+        elif isinstance(child, str):
+            rest.children.append(child)
+        elif child.name in {"tr", "tbody", "thead", "tfoot", "td", "th", "caption", "colgroup"}:
+            if hidden(child):
+                continue
+            if child.name == "caption":
+                captions.append(child)
+            elif child.name in {"td", "th"}:
+                if row[0] is None:
+                    row[0] = []
+                    rows.append(row[0])
+                row[0].append(child)
+            else:
+                if not in_row:
+                    row[0] = None
+                own = [[]] if child.name == "tr" else [None]
+                if child.name == "tr":
+                    rows.append(own[0])
+                stack.append((iter(child.children), rest, child.name == "tr", own))
+        elif child.name == "table" or child.name in VOID or child.name in RAW:
+            rest.children.append(child)
+        elif child.name not in UNSEEN:
+            shell = Node(child.name, child.attributes)
+            rest.children.append(shell)
+            stack.append((iter(child.children), shell, in_row, row))
+    return before, captions, rows
 
 
 def table_lines(table: Node, depth: int) -> list[str]:
     """Cells padded to the width of their column, two blanks between columns; a cell of several lines takes several."""
-    out: list[str] = []
-    for child in table.children:
-        if isinstance(child, Node) and child.name == "caption" and not hidden(child):
-            out += rendered(child, depth + 1)
-    grid = [[rendered(cell, depth + 1) for cell in row.children if isinstance(cell, Node) and cell.name in {"td", "th"} and not hidden(cell)] for row in rows_of(table)]
+    before, captions, rows = table_parts(table)
+    out = rendered(before, depth + 1)
+    if out:
+        out.append("")
+    for child in captions:
+        out += rendered(child, depth + 1)
+    grid = [[rendered(cell, depth + 1) for cell in row] for row in rows]
     width = [max((len(x) for row in grid if k < len(row) for x in row[k]), default=0) for k in range(max(map(len, grid), default=0))]
     for row in grid:
         for k in range(max((len(cell) for cell in row), default=0)):

@@ -174,6 +174,24 @@ def test_visible_text(page, text):
     assert html.visible_text(page) == text
 
 
+@pytest.mark.parametrize("page, text", [
+    ("<table><form><tr><td>x</td></tr></form></table>", "x"), ("<table><tr><form><td>a</td><td>b</td></form></tr></table>", "a  b"),
+    ("<table><center><tr><td>a<tr><td>b</center></table>", "a\nb"), ("<table><div><form><tbody><tr><td>a</table>", "a"), ("<table><form><td>a<td>b<tr><td>c</table>", "a  b\nc"),
+    ("u<table>note<tr><td>a</table>v", "u\n\nnote\n\na\n\nv"), ("<table><tr>t<td>a</td>u</tr></table>", "tu\n\na"), ("<table><tr><td>a</td></tr><div>b <i>c</i><p>d</div></table>", "b c\n\nd\n\na"),
+    ("<table><div hidden>n<tr><td>a</table>", "a"), ("<table><input type=submit value=Go><tr><td>a</table>", "Go\n\na"), ("<table><template><tr><td>n</template><tr hidden><td>n<tr><td>a</table>", "a"),
+    ("<table><b>x<table><tr><td>y</table></b><tr><td>a</table>", "x\n\ny\n\na"), ("<table><tr><td>a</tr><td>b<tr><td>c</table>", "a\nb\nc"),
+])
+def test_nothing_visible_is_lost_in_tables(page, text):
+    assert html.visible_text(page) == text
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from("<table> </table> <tr> </tr> <td> </td> <form> </form> <div> </div> <center> <tbody> <caption> <b> </b> <p> <ul> <li> w w w".split(" ")), max_size=30))
+def test_all_words_of_tables_come_out(parts):
+    parts = [f" w{k} " if x == "w" else x for k, x in enumerate(parts)]
+    assert sorted(x for x in html.visible_text("".join(parts)).split() if x[0] == "w") == sorted(x.strip() for x in parts if x[1] == "w")
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.sampled_from("<p> </p> <li> <ul> </ul> <table> <tr> <td> </table> <div> </div> <b a='x'> </b> <!-- --> <script> </script> <pre> <ol> x y &amp; < > ' \" \n <details> <br>".split(" ")), max_size=40))
 def test_any_page_gives_text(parts):

@@ -13,7 +13,7 @@ the cells of a table are padded to the width of their column, and what a table h
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator
 from html import unescape
 
 import pyarrow as pa
@@ -246,15 +246,33 @@ def table_parts(table: Node) -> tuple[Node, list[Node], list[list[Node]]]:
     return before, captions, rows
 
 
-def table_lines(table: Node, depth: int) -> list[str]:
+#: A step of rendering: a generator that yields the steps it needs and returns its lines.
+Step = Generator["Step", "list[str] | None", "list[str] | None"]
+
+#: Lists, definitions and tables nested deeper within each other than this are neither indented nor aligned further, as the
+#: text of a page of many levels would grow with their square. Their text, marks and visibility are as everywhere.
+INDENTED = 150
+
+
+def table_lines(table: Node, level: int) -> Step:
     """Cells padded to the width of their column, two blanks between columns; a cell of several lines takes several."""
     before, captions, rows = table_parts(table)
-    out = rendered(before, depth + 1)
+    out = yield rendered(before, level)
     if out:
         out.append("")
     for child in captions:
-        out += rendered(child, depth + 1)
-    grid = [[rendered(cell, depth + 1) for cell in row] for row in rows]
+        out += yield rendered(child, level)
+    grid = []
+    for row in rows:
+        cells = []
+        for cell in row:
+            cells.append((yield rendered(cell, level)))
+        grid.append(cells)
+    if level > INDENTED:
+        for row in grid:
+            for cell in row:
+                out += cell
+        return out
     width = [max((len(x) for row in grid if k < len(row) for x in row[k]), default=0) for k in range(max(map(len, grid), default=0))]
     for row in grid:
         for k in range(max((len(cell) for cell in row), default=0)):
@@ -262,28 +280,26 @@ def table_lines(table: Node, depth: int) -> list[str]:
     return [x for x in out if x] if not any(out) else out
 
 
-#: Elements nested deeper than this are rendered as running text (pages that never close a tag).
-DEEPEST = 150
+def run(step: Step) -> list[str] | None:
+    """The result of a step. Open steps are kept in a list, so pages may be nested to any depth."""
+    open_, value = [step], None
+    while open_:
+        try:
+            open_.append(open_[-1].send(value))
+            value = None
+        except StopIteration as end:
+            open_.pop()
+            value = end.value
+    return value
 
 
-def rendered(node: Node, depth: int = 0) -> list[str]:
+def rendered(node: Node, level: int = 0) -> Step:
     lines = Lines()
-    _render(node, lines, depth, False)
+    yield _render(node, lines, level, False)
     return lines.done()
 
 
-def _render(node: Node, lines: Lines, depth: int, verbatim: bool) -> None:
-    if depth > DEEPEST:
-        stack = list(reversed(node.children))
-        while stack:
-            x = stack.pop()
-            if isinstance(x, str):
-                lines.text(x)
-            elif not hidden(x):
-                if x.name in BLOCKS or x.name in {"br", "tr"}:
-                    lines.block(1)
-                stack += reversed(x.children)
-        return
+def _render(node: Node, lines: Lines, level: int, verbatim: bool) -> Step:
     seen_summary = False
     number = None
     if node.name == "ol":
@@ -309,7 +325,7 @@ def _render(node: Node, lines: Lines, depth: int, verbatim: bool) -> None:
             lines.text(f" {child.attributes.get('value', '')} ")
         elif name == "table":
             lines.block(2)
-            lines.add(table_lines(child, depth + 1))
+            lines.add((yield table_lines(child, level + 1)))
             lines.block(2)
         elif name == "li":
             lines.block(1)
@@ -320,37 +336,41 @@ def _render(node: Node, lines: Lines, depth: int, verbatim: bool) -> None:
                 number += 1
             else:
                 mark = "- "
-            inner = rendered(child, depth + 1)
-            lines.add([(mark if k == 0 else " " * len(mark) if x else "") + x for k, x in enumerate(inner)])
+            inner = yield rendered(child, level + 1)
+            if level < INDENTED:
+                inner[1:] = [" " * len(mark) + x if x else x for x in inner[1:]]
+            inner[:1] = [mark + x for x in inner[:1]]
+            lines.add(inner)
             lines.block(1)
         elif name in {"ul", "ol", "menu", "dir"} and node.name == "li":
             lines.block(1)
-            _render(child, lines, depth + 1, verbatim)
+            yield _render(child, lines, level, verbatim)
             lines.block(1)
         elif name == "dd":
             lines.block(1)
-            lines.add([("    " + x) if x else x for x in rendered(child, depth + 1)])
+            inner = yield rendered(child, level + 1)
+            lines.add(["    " + x if x else x for x in inner] if level < INDENTED else inner)
             lines.block(1)
         elif name in {"pre", "textarea"}:
             lines.block(2 if name == "pre" else 1)
-            _render(child, lines, depth + 1, True)
+            yield _render(child, lines, level, True)
             lines.block(2 if name == "pre" else 1)
         elif name in {"td", "th"}:  # outside a table
             lines.text(" ")
-            _render(child, lines, depth + 1, verbatim)
+            yield _render(child, lines, level, verbatim)
             lines.text(" ")
         elif name in BLOCKS or name == "tr":
             gap = 2 if name in SPACED_BLOCKS else 1
             lines.block(gap)
-            _render(child, lines, depth + 1, verbatim)
+            yield _render(child, lines, level, verbatim)
             lines.block(gap)
         else:
-            _render(child, lines, depth + 1, verbatim)
+            yield _render(child, lines, level, verbatim)
 
 
 def visible_text(page: str | None) -> str:
     """The text of a page, as lines; empty for null, empty or textless pages."""
-    return "\n".join(rendered(tree(page))) if page else ""
+    return "\n".join(run(rendered(tree(page)))) if page else ""
 
 
 def extract_text(pages: DataFrame, *, html: str = "html") -> tuple[DataFrame, str]:

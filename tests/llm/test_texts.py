@@ -203,6 +203,25 @@ def test_deep_pages():
     assert html.visible_text("<div>" * 20_000 + "x") == "x" and html.visible_text("<table><tr><td>" * 3000 + "y").strip() == "y"
 
 
+@pytest.mark.parametrize("open_", ["<b>", "<font>", "<span>", "<div>", "<b><div>"])
+def test_the_same_rules_hold_at_every_depth(open_):
+    part = ("<ul><li>a<li>b<ul><li>c</ul></ul><table><tr><td>long<td>x<tr><td>y<td>z</table><pre>p\n  q</pre><input type=submit value=Go>"
+            "<details><summary>s</summary>closed</details><ol start=3><li>d</ol>")
+    want = html.visible_text(part)
+    assert "- a\n- b\n  - c" in want and "long  x\ny     z" in want and "closed" not in want
+    for depth in (149, 151, 5000):
+        assert html.visible_text(open_ * depth + part) == want
+
+
+def test_deep_lists_and_tables_keep_text_and_marks():
+    n = 3000
+    got = html.visible_text("".join(f"<ul><li>w{k}" for k in range(n)))
+    assert [x.split() for x in got.split("\n")] == [["-", f"w{k}"] for k in range(n)] and len(got) < 400 * n
+    got = html.visible_text("".join(f"<table><tr><td>w{k}<td>v{k}" for k in range(n)))
+    assert sorted(got.split()) == sorted(f"{x}{k}" for k in range(n) for x in "vw")
+    assert html.visible_text("<dl><dd>x" * n).split() == ["x"] * n and html.visible_text("<ul><li>" * 300 + "<details><summary>s</summary>n").split() == ["-"] * 300 + ["s"]
+
+
 def test_page_table(table):
     rows = [(1, "<p>a", "t"), (2, None, "t"), (2, None, "t"), (None, "", "t")]
     frame = table(rows, "page_id long, html string, visible_text string")

@@ -12,12 +12,9 @@ from pyspark.sql import functions as F
 from tallyproof.llm import decontamination, language, neardup, packing, repeats
 from tallyproof.llm.common import id_text, importable, new_name, stored
 
-#: Texts whose language is less sure than this go; what is merely hard to tell apart lies above it.
-LEAST_SURE = 0.2
-
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language: those without text or letters go, and those of which nothing can be told.
+    """Documents with a language: those without text or letters go, and those that are like no learned language.
 
     The model learns from rows whose crc32(doc_id) mod 5 is not 0. If it knows no language (no labelled rows), only
     texts without a letter go.
@@ -26,7 +23,7 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = language.fit(docs.where(f"{id_text()} % 5 != 0").select("doc_id", "text", "lang"))
     found, out = language.identify(docs, model)
     if model.families:
-        found = found.where((F.col(f"{out}.lang") != language.UNKNOWN) & (F.col(f"{out}.score") >= LEAST_SURE))
+        found = found.where(F.col(f"{out}.lang") != language.UNKNOWN)
     else:
         found = found.where(F.col("text").rlike(r"\p{L}"))
     return found.select(*[F.col(f"`{x}`") for x in docs.columns])

@@ -3,7 +3,8 @@
 Features are hashed byte n-grams of the letters of a text (2 to 4 bytes, ASCII lower-cased, all else one space), as
 square roots of their counts, scaled to length 1. The models are fitted on a bounded sample of labelled rows, about
 ``PER_LANGUAGE`` of each language, chosen by a hash of the id; what reaches the driver is that sample's features. All
-texts are then scored where they lie.
+texts are then scored where they lie. A text that is like none of the learned languages is ``und``: by the mean logarithm
+of how much more often its n-grams are in the language than by chance, against what the learned rows reach themselves.
 """
 
 from __future__ import annotations
@@ -25,6 +26,12 @@ PER_LANGUAGE = 500
 DIMENSIONS = 1 << 13
 GRAMS = (2, 3, 4)
 UNKNOWN = "und"
+#: A text is like a language from this share of the median of its learned rows on, or from the likeness all but LOWEST of them reach.
+LIKE = 0.4
+LOWEST = 0.005
+#: Shorter texts (bytes of letters) and languages of fewer learned rows are not judged.
+LEAST_LETTERS = 35
+LEAST_ROWS = 20
 
 #: Branches of languages by ISO 639-1 code. A language that is not listed is a family of its own.
 FAMILIES = {
@@ -93,6 +100,25 @@ def has_letter(column: pa.Array) -> np.ndarray:
     return out
 
 
+def letters(column: pa.Array) -> np.ndarray:
+    """Bytes of letters of each text."""
+    raw, at = texts_of(column)
+    return np.diff(np.concatenate([[0], np.cumsum(_LETTERS[raw] != 32)])[at])
+
+
+def gram_model(x: np.ndarray) -> np.ndarray:
+    """Logarithm of how much more often than by chance each n-gram is in the rows; a tenth is left to n-grams not seen."""
+    return np.log(0.9 * DIMENSIONS * (x * x).mean(axis=0) + 0.1).astype(np.float32)
+
+
+def least_likeness(x: np.ndarray) -> float:
+    """The likeness from which on a text counts as like the rows, each half of which is judged by the other."""
+    if len(x) < LEAST_ROWS:
+        return -np.inf
+    own = np.concatenate([(x[k::2] * x[k::2]) @ gram_model(x[1 - k::2]) for k in (0, 1)])
+    return float(min(LIKE * np.median(own), np.quantile(own, LOWEST)))
+
+
 def linear_svm(x: np.ndarray, y: np.ndarray, *, c: float = 10.0, epochs: int = 30, seed: int = 7) -> np.ndarray:
     """Weights (last: bias) of an L1-loss linear SVM by dual coordinate descent; y is +1 or -1, both present.
 
@@ -124,6 +150,17 @@ class Model:
     languages: dict[str, list[str]] = field(default_factory=dict)
     pairs: list[tuple[str, str]] = field(default_factory=list)
     weights: np.ndarray = field(default_factory=lambda: np.zeros((DIMENSIONS + 1, 0), dtype=np.float32))
+    #: For each language: its n-grams, and the likeness that its texts reach (-inf: not judged).
+    grams: dict[str, np.ndarray] = field(default_factory=dict)
+    least: dict[str, float] = field(default_factory=dict)
+
+    def like(self, rows: np.ndarray, lang: list[str]) -> np.ndarray:
+        """Which rows are like any language that is judged, or were given one that is not."""
+        judged = [name for name in self.grams if self.least[name] > -np.inf]
+        if not judged:
+            return np.ones(len(rows), dtype=bool)
+        value = (rows * rows) @ np.stack([self.grams[name] for name in judged], axis=1)
+        return (value >= np.array([self.least[name] for name in judged])).any(axis=1) | ~np.isin(np.array(lang, dtype=str), judged)
 
     def predict(self, rows: np.ndarray) -> tuple[list[str], np.ndarray]:
         """Language and score of each feature row. Ties of votes go to the larger sum of margins, then to the first name."""
@@ -172,12 +209,13 @@ def fit(labelled: DataFrame, *, text: str = "text", lang: str = "lang", key: str
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
+                size = letters(part.column(0))
                 for first, x in gram_rows(part.column(0)):
                     out = [(np.flatnonzero(r).astype(np.uint16), r[r > 0]) for r in x]
-                    yield pa.RecordBatch.from_arrays([part.column(1).slice(first, len(x)), part.column(2).slice(first, len(x)),
-                                                      pa.array([i.tobytes() for i, _ in out]), pa.array([v.tobytes() for _, v in out])], names=["lang", "h", "i", "v"])
+                    yield pa.RecordBatch.from_arrays([part.column(1).slice(first, len(x)), part.column(2).slice(first, len(x)), pa.array(size[first: first + len(x)]),
+                                                      pa.array([i.tobytes() for i, _ in out]), pa.array([v.tobytes() for _, v in out])], names=["lang", "h", "n", "i", "v"])
 
-    found = sorted(sample.mapInArrow(features, "lang string, h long, i binary, v binary").collect(), key=lambda r: (r["lang"], r["h"], bytes(r["i"])))
+    found = sorted(sample.mapInArrow(features, "lang string, h long, n long, i binary, v binary").collect(), key=lambda r: (r["lang"], r["h"], bytes(r["i"])))
     x = np.zeros((len(found), DIMENSIONS), dtype=np.float32)
     for r, row in zip(x, found, strict=True):
         r[np.frombuffer(row["i"], dtype=np.uint16)] = np.frombuffer(row["v"], dtype=np.float32)
@@ -195,14 +233,16 @@ def fit(labelled: DataFrame, *, text: str = "text", lang: str = "lang", key: str
         at = np.flatnonzero((y == a) | (y == b))
         columns.append(linear_svm(x[at], np.where(y[at] == a, 1, -1)))
     weights = np.stack(columns, axis=1) if columns else np.zeros((DIMENSIONS + 1, 0), dtype=np.float32)
-    return Model(families, dict(languages), pairs, weights)
+    long = np.array([r["n"] for r in found]) >= LEAST_LETTERS
+    names = sorted(set(y.tolist()))
+    return Model(families, dict(languages), pairs, weights, {n: gram_model(x[y == n]) for n in names}, {n: least_likeness(x[(y == n) & long]) for n in names})
 
 
 def identify(docs: DataFrame, model: Model, *, text: str = "text") -> tuple[DataFrame, str]:
     """``docs`` with one more column, and its name: a struct of lang and score (0 to 1).
 
-    A text that is null or has no letter is ``und`` with score 0, as is every text if the model knows no language. Only
-    the text is read. The score is the family's share times the least sure of its language's duels.
+    A text that is null, has no letter or is like no learned language is ``und`` with score 0, as is every text if the model
+    knows no language. Only the text is read. The score is the family's share times the least sure of its language's duels.
     """
     out = new_name("language", docs.columns)
     schema = T.StructType([*docs.schema.fields, T.StructField(out, T.StructType([T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType())]))])
@@ -212,12 +252,13 @@ def identify(docs: DataFrame, model: Model, *, text: str = "text") -> tuple[Data
         for batch in batches:
             for part in slices(batch, text):
                 column = part.column(part.schema.get_field_index(text))
-                names, scores = [], []
+                names, scores, like = [], [], []
                 for _, x in gram_rows(column):
                     lang, score = sent.value.predict(x)
                     names += lang
                     scores.append(score)
-                known = has_letter(column)
+                    like.append(sent.value.like(x, lang))
+                known = has_letter(column) & (np.concatenate(like) | (letters(column) < LEAST_LETTERS))
                 names = [n if k else UNKNOWN for n, k in zip(names, known.tolist(), strict=True)]
                 value = pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(np.where(known, np.concatenate(scores), 0.0))], names=["lang", "score"])
                 yield pa.RecordBatch.from_arrays([*part.columns, value], names=schema.names)

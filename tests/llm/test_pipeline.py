@@ -6,6 +6,7 @@ import corpus_pipeline
 from tallyproof.llm import packing, tokens
 from tallyproof.llm.common import stored
 from tests.llm import brute
+from tests.llm.test_texts import STRANGE, sentences
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, gone_id int, found int"
 
@@ -42,6 +43,13 @@ def test_stages(spark, folder):
     assert set(cut) - set(after["benchmark decontamination"]) == {40}
 
 
+def test_junk_and_languages_never_learned_go(spark):
+    clean = sentences()
+    rows = clean + [(9000 + i, t, None) for i, t in enumerate(STRANGE)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r["doc_id"] for r in corpus_pipeline.languages(spark, docs, "").collect()} == {r[0] for r in clean}
+
+
 def test_run_packs_what_is_left(spark, folder):
     path, _, _ = folder
     rows = corpus_pipeline.run(spark, path).collect()

@@ -111,6 +111,20 @@ def test_held_out_accuracy(table):
     assert all(got[d]["lang_pred"] == lang and 0.5 < got[d]["score"] <= 1 for d, _, lang in held)
 
 
+STRANGE = [" ".join(f"{x:x}zq" for x in range(10**6, 10**6 + 40)), "qwrtz xkcdv bnmpf ghjkl " * 8, "x" * 500,
+           "nopea ruskea kettu hyppii laiskan koiran yli ja juoksee kotiin pitkin polkua jossa perhe odottaa", "Быстрая лиса прыгает через ленивую собаку и бежит домой через лес"]
+
+
+@pytest.mark.parametrize("known", [("en",), ("en", "fr"), ("en", "de", "fr", "es")])
+def test_what_is_like_no_language_is_unknown(table, known):
+    """However many languages are learned: junk and languages never learned are unknown, clean texts are not."""
+    clean = [r for r in sentences() if r[2] in known]
+    odd = [(9000 + i, t, None) for i, t in enumerate(STRANGE)]
+    got = {r["doc_id"]: r for r in language.predictions(table(clean + odd, "doc_id long, text string, lang string")).collect()}
+    assert all(got[d]["lang_pred"] == lang and got[d]["score"] > 0.5 for d, _, lang in clean)
+    assert {d: (got[d]["lang_pred"], got[d]["score"]) for d, _, _ in odd} == {d: ("und", 0.0) for d, _, _ in odd}
+
+
 def test_odd_texts_and_labels(table):
     odd = [(5000 + i, t, None) for i, (_, t) in enumerate(ODD)] + [(6000, "12 34 ...", "en"), (6001, "le chat", None), (None, "der hund", "de")]
     got = {r["doc_id"]: r for r in language.predictions(table(sentences() + odd, "doc_id long, text string, lang string")).collect()}

@@ -7,11 +7,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyproof.llm import decontamination, embeddings, html, idfiles, language, licenses, neardup, ngrams, packing, repeats
+from tallyproof.llm import clusters, decontamination, embeddings, html, idfiles, language, licenses, neardup, ngrams, packing, quality, repeats, spelling, sql
 from tallyproof.llm.common import importable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op12_quality_rules": sql.quality_sql(), "op13_centroid_clusters": sql.clusters_sql()}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,3 +76,18 @@ def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.page_texts(table(spark, sf_dir, "pages"))
+
+
+@query
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.clustered(table(spark, sf_dir, "embeddings"))

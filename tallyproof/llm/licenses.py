@@ -2,17 +2,19 @@
 tag is read as a licence expression and evaluated by a shunting-yard parser.
 
 Words are [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+ after lower-casing A-Z, so "GPL-3.0-only" is the words gpl 3 0 only. Each licence
-has a rank from 0 (no conditions) to 1 (all rights reserved). In an expression, ``or`` takes the lower rank, ``and`` the higher
+has a rank from 0 (no conditions) to 1 (all rights reserved). After an SPDX tag every identifier is an operand, known or not: known ones belong to a
+family by their first parts (GPL-3.0-or-later to gpl), others have their own label and the rank ``UNKNOWN``. In an expression, ``or`` takes the lower rank, ``and`` the higher
 one, and ``with`` an exception takes a step off the licence before it. The score of a text is the highest rank of its
 expressions and of the names and phrases outside them; 0 if there is none.
 """
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import cache
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,8 +47,24 @@ EXCEPTIONS = ("classpath exception", "gcc exception", "linking exception", "llvm
 #: Words passed over between the parts of an expression.
 FILLERS = set("the terms of version v license licence under either both a an only later clause exception 0 1 2 3 4 5".split())
 RELIEF = 0.3
+#: Families of SPDX identifiers that are not in NAMES by the same words, with their ranks.
+FAMILIES = {
+    "aal": 0.2, "adsl": 0.2, "afl": 0.2, "antlr-pd": 0.0, "artistic": 0.3, "beerware": 0.2, "blueoak": 0.2, "bsd": 0.2, "bsd-4-clause": 0.3, "bsl": 0.2, "busl": 0.9,
+    "bzip2": 0.2, "cc-pddc": 0.0, "cc0": 0.0, "cddl": 0.5, "cecill": 0.7, "cecill-b": 0.2, "cecill-c": 0.6, "clartistic": 0.3, "cpal": 0.8, "cpl": 0.5, "curl": 0.2, "ecl": 0.2,
+    "ecos": 0.6, "efl": 0.2, "elastic": 0.9, "epl": 0.5, "eudatagrid": 0.2, "eupl": 0.7, "fsfap": 0.1, "ftl": 0.2, "gfdl": 0.7, "hpnd": 0.2, "icu": 0.2, "ijg": 0.2, "intel": 0.2,
+    "ipl": 0.5, "isc": 0.2, "jason": 0.3, "json": 0.3, "lppl": 0.4, "libpng": 0.2, "libtiff": 0.2, "miros": 0.2, "mit": 0.2, "mit-0": 0.0, "mpl": 0.5, "ms-pl": 0.4, "ms-rl": 0.6, "mulanpsl": 0.2, "ncsa": 0.2,
+    "nasa": 0.5, "nist-pd": 0.0, "nposl": 0.8, "odbl": 0.5, "odc-by": 0.3, "ofl": 0.3, "openldap": 0.2, "openssl": 0.3, "osl": 0.7, "pddl": 0.0, "php": 0.3, "postgresql": 0.2, "psf": 0.2, "python": 0.2,
+    "qpl": 0.6, "rpl": 0.8, "rpsl": 0.7, "ruby": 0.3, "sissl": 0.5, "sleepycat": 0.7, "smlnj": 0.2, "spl": 0.5, "sspl": 0.9, "tcl": 0.2, "unicode": 0.2, "unlicense": 0.0, "upl": 0.2, "vim": 0.4, "w3c": 0.2,
+    "watcom": 0.6, "wtfpl": 0.0, "x11": 0.2, "xnet": 0.2, "zend": 0.3, "zlib": 0.2, "zpl": 0.2, "0bsd": 0.0,
+}
+UNKNOWN = 0.5
+SPDX = "spdx license identifier"
+_LONGEST = max(x.count(" ") + 1 for x in NAMES)
 _STRENGTH = {"or": 1, "and": 2, "with": 3}
 
+_WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
+_SPDX_TOKEN = re.compile(rb"[()]|[0-9A-Za-z][0-9A-Za-z.+:_-]*")
+
 _TABLE = bytes(c if ALNUM[c] else 32 for c in (x + 32 if 65 <= x <= 90 else x for x in range(256)))
 _TABLE_PARENS = bytes(x if x in b"()\n" else _TABLE[x] for x in range(256))
 
@@ -126,17 +144,17 @@ def rank_of(tokens: list[str | float]) -> float | None:
     return values[-1] if values else None
 
 
-def read_expression(line: str, first: int) -> tuple[list[str | float], list[str], int]:
-    """Tokens and labels of the expression from word ``first`` of a line of words and parentheses on; words it takes."""
-    words = line.split()
-    tokens, labels, at, end = [], [], first, first
+def read_expression(text: bytes) -> tuple[list[str | float], list[str], int]:
+    """Tokens and labels of the expression in running words that a text begins with; words it takes."""
+    words = [w.decode("latin-1") for w in text.translate(_TABLE_PARENS).replace(b"(", b" ( ").replace(b")", b" ) ").split()]
+    tokens, labels, at, end = [], [], 0, 0
     while at < len(words):
         word = words[at]
-        if word in "()" or word in _STRENGTH:
+        if word in ("(", ")") or word in _STRENGTH:
             tokens.append(word)
             at += 1
             continue
-        name = next((" ".join(words[at: at + n]) for n in range(8, 0, -1) if " ".join(words[at: at + n]) in NAMES), None)
+        name = next((" ".join(words[at: at + n]) for n in range(_LONGEST, 0, -1) if " ".join(words[at: at + n]) in NAMES), None)
         if name:
             label, rank = NAMES[name]
             tokens.append(rank)
@@ -151,6 +169,52 @@ def read_expression(line: str, first: int) -> tuple[list[str | float], list[str]
             at += 1
         else:
             break
+    return tokens, labels, sum(w not in ("(", ")") for w in words[:end])
+
+
+def identifier(name: str) -> tuple[str, float] | None:
+    """Label and rank of an SPDX identifier in lower case: by the longest run of its first parts that is a name or a family."""
+    parts = name.rstrip("+").split("-")
+    for n in range(len(parts), 0, -1):
+        words = " ".join(parts[:n]).replace(".", " ")
+        if words in NAMES:
+            return NAMES[words]
+        family = "-".join(parts[:n])
+        if family in FAMILIES:
+            return family, FAMILIES[family]
+    return None
+
+
+def read_spdx(text: bytes, every: bool) -> tuple[list[str | float], list[str], int]:
+    """As ``read_expression`` for identifiers: with ``every``, unknown ones are operands too, else they end the expression.
+
+    It ends where an identifier follows another without an operator, or a parenthesis closes that none opened.
+    """
+    tokens, labels, end, depth, expect = [], [], 0, 0, True
+    for found in _SPDX_TOKEN.finditer(text):
+        token = found.group().decode("ascii").lower().rstrip(".:_-")
+        if token == "(" and expect:
+            depth += 1
+            tokens.append(token)
+        elif token == ")" and depth and not expect:
+            depth -= 1
+            tokens.append(token)
+        elif token in _STRENGTH and not expect:
+            tokens.append(token)
+            expect = True
+        elif token in ("(", ")") or token in _STRENGTH or not expect:
+            break
+        else:
+            if tokens and tokens[-1] == "with":
+                tokens.append(0.0)
+            else:
+                known = identifier(token) or ((token, UNKNOWN) if every else None)
+                if known is None:
+                    break
+                labels.append(known[0])
+                tokens.append(known[1])
+            expect = False
+            end = len(_WORD.findall(text, 0, found.end()))
     return tokens, labels, end
 
 
@@ -162,32 +226,24 @@ def scan(text: bytes) -> tuple[int, list[tuple[int, int, str, str]], list[tuple[
         return n, [], [], 0.0
     finds = [(a, k, p, NAMES[p][0]) for a, k, p in hits if p in NAMES and (p in BASE or p not in ONLY_TAGGED)]
     expressions, covered, score = [], set(), 0.0
-    tags = [(a, k) for a, k, p in hits if p in TAGS]
+    tags = [(a, k, p) for a, k, p in hits if p in TAGS]
     if tags:
-        # the text again with parentheses and line ends: an expression ends with its line
-        marked = text.translate(_TABLE_PARENS).replace(b"(", b" ( ").replace(b")", b" ) ").decode("latin-1")
-        lines, base = [], 0
-        for part in marked.split("\n"):
-            words = part.split()
-            plain = sum(w not in "()" for w in words)
-            lines.append((base, plain, words))
-            base += plain
-        starts = np.array([x[0] for x in lines])
-        for a, k in tags:
-            if a in covered:
-                continue
+        # an expression ends with its line
+        lines = text.split(b"\n")
+        starts, places = [0], {}
+        for x in lines:
+            starts.append(starts[-1] + len(x.translate(_TABLE).split()))
+        for a, k, p in tags:
             at = a + k
-            first, plain, words = lines[int(np.searchsorted(starts, at, side="right")) - 1]
-            if at >= first + plain:
+            if a in covered or at >= n:
                 continue
-            index, seen = 0, first
-            while seen < at:
-                seen += words[index] not in "()"
-                index += 1
-            tokens, labels, end = read_expression(" ".join(words), index)
+            row = bisect_right(starts, at) - 1
+            if row not in places:
+                places[row] = [0, *(m.end() for m in _WORD.finditer(lines[row]))]
+            rest = lines[row][places[row][at - starts[row]]:]
+            tokens, labels, used = read_spdx(rest, True) if p == SPDX else max(read_expression(rest), read_spdx(rest, False), key=lambda x: x[2])
             rank = rank_of(tokens)
             if rank is not None and labels:
-                used = sum(w not in "()" for w in words[index:end])
                 covered.update(range(at, at + used))
                 expressions.append((at, labels, rank))
                 score = max(score, rank)

@@ -3,18 +3,24 @@ blocks, lists and tables apart.
 
 The tree: start tags close what they imply closed (a paragraph before a block, an item before the next item, a cell
 before the next cell), end tags close up to their element, end tags without one are passed over, and all that is open
-ends with the page. Not visible: comments, ``head`` and everything that never shows (scripts, styles, templates, form
-options), elements with ``hidden``, ``aria-hidden="true"`` or a style of ``display:none`` or ``visibility:hidden``, and closed ``details`` but
-for their summary. Rendering: white space is collapsed outside ``pre`` and ``textarea``; blocks begin on lines of their own,
-paragraphs, headings, lists and tables with an empty line between; items have a mark or number and are indented by depth;
-the cells of a table are padded to the width of their column, and what a table holds outside its cells comes before it.
+ends with the page. Tags are read in one pass by the attribute states of the HTML standard, so a quote inside an unquoted value
+ends nothing, and a tag that the page ends in is no text. Not visible: comments, ``head`` and everything that never shows
+(scripts, styles, templates, form options), elements with ``hidden`` or a style of ``display:none`` (the last declaration
+counts, ``!important`` ones first), closed dialogs, and closed ``details`` but for their summary. ``visibility`` is inherited
+until an element sets it anew; what it hides in a table leaves its cell empty. Rendering: white space is collapsed outside ``pre``
+and ``textarea``; blocks begin on lines of their own, paragraphs, headings, lists and tables with an empty line between; items
+have a mark or number and are indented by depth; the cells of a table are padded to the width of their columns, also those that
+span several columns or rows, and what a table holds outside its cells comes before it.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Generator, Iterator
+from functools import cache
 from html import unescape
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,7 +32,7 @@ from tallyproof.llm.common import new_name, slices
 #: Elements by how they behave.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title xmp iframe noembed noframes".split())
-UNSEEN = set("script style template head title meta link noscript iframe object audio video canvas svg math datalist option optgroup noembed noframes".split())
+UNSEEN = set("script style template head title meta link noscript iframe object audio video canvas desc metadata defs annotation annotation-xml datalist option optgroup noembed noframes".split())
 BLOCKS = set("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
              "header hgroup hr html legend li main menu nav ol p pre search section summary table ul".split())
 SPACED_BLOCKS = set("blockquote dl figure h1 h2 h3 h4 h5 h6 hr menu ol p pre table ul".split())
@@ -43,10 +49,14 @@ IMPLIED = {
 _HEAD = set("base link meta noscript script style template title".split())
 _FENCES = {"table", "td", "th", "caption", "button", "template", "html"}
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|</?[a-zA-Z][^\s/>]*(?:[^>\"']|\"[^\"]*\"|'[^']*')*>", re.S)
-_NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
-_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
-_HIDING = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.I)
+#: Inputs whose value is not shown as text.
+UNSEEN_INPUTS = set("hidden password checkbox radio file image color range".split())
+
+_NAME = re.compile(r"[^ \t\n\f\r/>]+")
+_KEY = re.compile(r"[^ \t\n\f\r/>][^ \t\n\f\r/>=]*")
+_BETWEEN = re.compile(r"[ \t\n\f\r/]*")
+_EQUALS = re.compile(r"[ \t\n\f\r]*=[ \t\n\f\r]*")
+_UNQUOTED = re.compile(r"[^ \t\n\f\r>]*")
 _SPACE = re.compile(r"[ \t\n\f\r]+")
 
 
@@ -57,6 +67,76 @@ class Node:
         self.name, self.attributes, self.children = name, attributes or {}, []
 
 
+def tag_at(page: str, at: int) -> tuple[str, dict[str, str], int]:
+    """Name, attributes (the first of each name) and end of the tag whose name begins at ``at``; end -1 if the page ends in it."""
+    name = _NAME.match(page, at)
+    attributes: dict[str, str] = {}
+    at = name.end()
+    while True:
+        at = _BETWEEN.match(page, at).end()
+        if at >= len(page):
+            return name.group().lower(), attributes, -1
+        if page[at] == ">":
+            return name.group().lower(), attributes, at + 1
+        key = _KEY.match(page, at)
+        value, at = "", key.end()
+        equals = _EQUALS.match(page, at)
+        if equals:
+            at = equals.end()
+            quote = page[at: at + 1]
+            if quote in ("'", '"'):
+                end = page.find(quote, at + 1)
+                if end < 0:
+                    return name.group().lower(), attributes, -1
+                value, at = page[at + 1: end], end + 1
+            else:
+                found = _UNQUOTED.match(page, at)
+                value, at = found.group(), found.end()
+        attributes.setdefault(key.group().lower(), unescape(value) if "&" in value else value)
+
+
+def tokens(page: str) -> Iterator[tuple[int, int, str, str, dict[str, str]]]:
+    """Start, end, kind (text, start or end), name or text, and attributes of what a page holds between its texts, in order.
+
+    Comments and declarations come as empty text. After a start tag of ``RAW`` its text and end tag are one more token.
+    """
+    at, size = 0, len(page)
+    while True:
+        at = page.find("<", at)
+        if at < 0 or at + 1 >= size:
+            return
+        mark, letter = page[at + 1], page[at + 2: at + 3]
+        if mark.isascii() and mark.isalpha():
+            name, attributes, end = tag_at(page, at + 1)
+            yield at, size if end < 0 else end, "start" if end >= 0 else "text", name if end >= 0 else "", attributes
+            if end >= 0 and name in RAW:
+                stop = _raw_end(name).search(page, end)
+                close = tag_at(page, stop.start() + 2)[2] if stop else -1
+                text = page[end: stop.start() if stop else size]
+                yield end, size if close < 0 else close, "raw", text, {}
+                end = close
+        elif mark == "/" and letter.isascii() and letter.isalpha():
+            name, _, end = tag_at(page, at + 2)
+            yield at, size if end < 0 else end, "end" if end >= 0 else "text", name if end >= 0 else "", {}
+        elif mark in "!?/":
+            cdata = page.startswith("<![CDATA[", at)
+            close = "-->" if page.startswith("<!--", at) else "]]>" if cdata else ">"
+            found = page.find(close, at + 2 if close != "]]>" else at + 9)
+            end = found + len(close) if found >= 0 else -1
+            yield at, size if end < 0 else end, "text", page[at + 9: size if found < 0 else found] if cdata else "", {}
+        else:
+            at += 1
+            continue
+        if end < 0:
+            return
+        at = end
+
+
+@cache
+def _raw_end(name: str) -> re.Pattern[str]:
+    return re.compile(rf"</{name}(?=[ \t\n\f\r/>])", re.I)
+
+
 def tree(page: str) -> Node:
     """The elements of a page. Children are nodes and texts; whatever the page holds, a tree comes out."""
     root = Node("html")
@@ -88,20 +168,19 @@ def tree(page: str) -> Node:
             if open_[depth].name in fences:
                 return
 
-    for token in _TOKEN.finditer(page):
-        if token.start() < at:
+    raw_of = root
+    for start, stop, kind, tag, attributes in tokens(page):
+        if start > at:
+            open_[-1].children.append(unescape(page[at: start]))
+        at = stop
+        if kind == "text":
+            if tag:
+                open_[-1].children.append(tag)
             continue
-        if token.start() > at:
-            open_[-1].children.append(unescape(page[at: token.start()]))
-        at = token.end()
-        raw = token.group()
-        name = _NAME.match(raw)
-        if not name:
-            if raw.startswith("<![CDATA["):
-                open_[-1].children.append(raw[9:-3] if raw.endswith("]]>") else raw[9:])
+        if kind == "raw":
+            raw_of.children.append(unescape(tag) if raw_of.name in {"textarea", "title"} else tag)
             continue
-        tag = name.group(1).lower()
-        if raw[1] == "/":
+        if kind == "end":
             if tag == "p" and not counts.get("p"):
                 open_[-1].children.append(Node("p"))
             if tag == "br":
@@ -115,11 +194,6 @@ def tree(page: str) -> Node:
                     if open_[depth].name in fences:
                         break
             continue
-        inner = raw[len(tag) + 1: -1]
-        attributes = {}
-        if inner.strip(" /"):
-            for key, value in _ATTRIBUTE.findall(inner):
-                attributes.setdefault(key.lower(), unescape(value.strip("\"'")) if value else "")
         if tag == "html":
             continue
         if counts.get("head") and tag not in _HEAD and open_[-1].name == "head":
@@ -134,11 +208,8 @@ def tree(page: str) -> Node:
         if tag in VOID:
             open_[-1].children.append(node)
         elif tag in RAW:
-            stop = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-            text = page[at: stop.start() if stop else end]
-            node.children.append(unescape(text) if tag in {"textarea", "title"} else text)
             open_[-1].children.append(node)
-            at = stop.end() if stop else end
+            raw_of = node
         else:
             push(node)
     if at < end:
@@ -146,10 +217,33 @@ def tree(page: str) -> Node:
     return root
 
 
+def styles(text: str) -> dict[str, str]:
+    """The declarations of a style attribute that hold: the last of each property, important ones before others."""
+    plain, important = {}, {}
+    for part in text.lower().split(";"):
+        key, colon, value = part.partition(":")
+        value = value.strip()
+        if colon and value:
+            if value.endswith("important") and value[:-9].rstrip().endswith("!"):
+                important[key.strip()] = value[:-9].rstrip()[:-1].rstrip()
+            else:
+                plain[key.strip()] = value
+    return plain | important
+
+
 def hidden(node: Node) -> bool:
+    """Is the element, with all it holds, left out of the page?"""
     a = node.attributes
-    return (node.name in UNSEEN or "hidden" in a or a.get("aria-hidden", "").lower() == "true" or bool(_HIDING.search(a.get("style", "")))
-            or (node.name == "input" and a.get("type", "").lower() not in {"submit", "button", "reset"}))
+    if node.name in UNSEEN or node.name == "dialog" and "open" not in a or node.name == "input" and a.get("type", "").lower().strip() in UNSEEN_INPUTS:
+        return True
+    display = styles(a["style"]).get("display") if "style" in a else None
+    return display == "none" if display else "hidden" in a
+
+
+def seen(node: Node, inherited: bool) -> bool:
+    """Does the element's own text show, by its ``visibility`` or that of what it is in?"""
+    value = styles(node.attributes["style"]).get("visibility") if "style" in node.attributes else None
+    return {"visible": True, "hidden": False, "collapse": False}.get(value, inherited)
 
 
 class Lines:
@@ -254,29 +348,75 @@ Step = Generator["Step", "list[str] | None", "list[str] | None"]
 INDENTED = 150
 
 
-def table_lines(table: Node, level: int) -> Step:
-    """Cells padded to the width of their column, two blanks between columns; a cell of several lines takes several."""
+def span(cell: Node, name: str, most: int) -> int:
+    text = cell.attributes.get(name, "1").strip()
+    return min(most, int(text)) if re.fullmatch(r"\d{1,9}", text) else 1
+
+
+def grid_places(rows: list[list[Node]]) -> list[list[tuple[int, int]]]:
+    """First column and column after the last of each cell, numbered by the columns in which any cell begins.
+
+    Cells that reach down from rows above keep their columns; a row span of 0 reaches to the end. Spans are at most 1000 columns.
+    """
+    places, reaching = [], []  # reaching: first column, column after the last, row after the last, ascending
+    for k, row in enumerate(rows):
+        reaching = [x for x in reaching if x[2] > k]
+        column, at, own, more = 0, 0, [], []
+        for cell in row:
+            while at < len(reaching) and reaching[at][0] <= column:
+                column = max(column, reaching[at][1])
+                at += 1
+            wide, deep = max(1, span(cell, "colspan", 1000)), span(cell, "rowspan", 65534) or len(rows)
+            own.append((column, column + wide))
+            if deep > 1:
+                more.append((column, column + wide, k + deep))
+            column += wide
+        if more:
+            reaching = sorted(reaching + more)
+        places.append(own)
+    starts = sorted({a for own in places for a, _ in own})
+    return [[(bisect_left(starts, a), bisect_left(starts, b)) for a, b in own] for own in places]
+
+
+def table_lines(table: Node, level: int, shown: bool) -> Step:
+    """Cells padded to the width of their columns, two blanks between columns; a cell of several lines takes several."""
     before, captions, rows = table_parts(table)
-    out = yield rendered(before, level)
+    out = yield rendered(before, level, shown)
     if out:
         out.append("")
     for child in captions:
-        out += yield rendered(child, level)
+        out += yield rendered(child, level, shown)
     grid = []
     for row in rows:
         cells = []
         for cell in row:
-            cells.append((yield rendered(cell, level)))
+            cells.append((yield rendered(cell, level, shown)))
         grid.append(cells)
     if level > INDENTED:
         for row in grid:
             for cell in row:
                 out += cell
         return out
-    width = [max((len(x) for row in grid if k < len(row) for x in row[k]), default=0) for k in range(max(map(len, grid), default=0))]
-    for row in grid:
+    places = grid_places(rows)
+    width = [0] * max((b for own in places for _, b in own), default=0)
+    wide = []
+    for row, own in zip(grid, places, strict=True):
+        for cell, (a, b) in zip(row, own, strict=True):
+            size = max(map(len, cell), default=0)
+            if b - a == 1:
+                width[a] = max(width[a], size)
+            else:
+                wide.append((b - a, a, b, size))
+    for _, a, b, size in sorted(wide):  # the last column of a span takes what the others leave
+        width[b - 1] = max(width[b - 1], size - sum(width[a: b - 1]) - 2 * (b - a - 1))
+    left = [0, *accumulate(x + 2 for x in width)]
+    for row, own in zip(grid, places, strict=True):
         for k in range(max((len(cell) for cell in row), default=0)):
-            out.append("  ".join((cell[k] if k < len(cell) else "").ljust(width[j]) for j, cell in enumerate(row)).rstrip())
+            line = ""
+            for cell, (a, _) in zip(row, own, strict=True):
+                if k < len(cell) and cell[k]:
+                    line = line.ljust(left[a]) + cell[k]
+            out.append(line.rstrip())
     return [x for x in out if x] if not any(out) else out
 
 
@@ -293,13 +433,14 @@ def run(step: Step) -> list[str] | None:
     return value
 
 
-def rendered(node: Node, level: int = 0) -> Step:
+def rendered(node: Node, level: int = 0, shown: bool = True) -> Step:
     lines = Lines()
-    yield _render(node, lines, level, False)
+    yield _render(node, lines, level, False, shown)
     return lines.done()
 
 
-def _render(node: Node, lines: Lines, level: int, verbatim: bool) -> Step:
+def _render(node: Node, lines: Lines, level: int, verbatim: bool, shown: bool) -> Step:
+    shown = seen(node, shown)
     seen_summary = False
     number = None
     if node.name == "ol":
@@ -309,7 +450,8 @@ def _render(node: Node, lines: Lines, level: int, verbatim: bool) -> Step:
         if node.name == "details" and "open" not in node.attributes and (isinstance(child, str) or child.name != "summary" or seen_summary):
             continue
         if isinstance(child, str):
-            lines.verbatim(child) if verbatim else lines.text(child)
+            if shown:
+                lines.verbatim(child) if verbatim else lines.text(child)
             continue
         seen_summary |= child.name == "summary"
         if hidden(child):
@@ -322,10 +464,11 @@ def _render(node: Node, lines: Lines, level: int, verbatim: bool) -> Step:
         elif name == "hr":
             lines.block(2)
         elif name == "input":
-            lines.text(f" {child.attributes.get('value', '')} ")
+            if seen(child, shown):
+                lines.text(f" {child.attributes.get('value', '')} ")
         elif name == "table":
             lines.block(2)
-            lines.add((yield table_lines(child, level + 1)))
+            lines.add((yield table_lines(child, level + 1, seen(child, shown))))
             lines.block(2)
         elif name == "li":
             lines.block(1)
@@ -336,7 +479,7 @@ def _render(node: Node, lines: Lines, level: int, verbatim: bool) -> Step:
                 number += 1
             else:
                 mark = "- "
-            inner = yield rendered(child, level + 1)
+            inner = yield rendered(child, level + 1, shown)
             if level < INDENTED:
                 inner[1:] = [" " * len(mark) + x if x else x for x in inner[1:]]
             inner[:1] = [mark + x for x in inner[:1]]
@@ -344,28 +487,28 @@ def _render(node: Node, lines: Lines, level: int, verbatim: bool) -> Step:
             lines.block(1)
         elif name in {"ul", "ol", "menu", "dir"} and node.name == "li":
             lines.block(1)
-            yield _render(child, lines, level, verbatim)
+            yield _render(child, lines, level, verbatim, shown)
             lines.block(1)
         elif name == "dd":
             lines.block(1)
-            inner = yield rendered(child, level + 1)
+            inner = yield rendered(child, level + 1, shown)
             lines.add(["    " + x if x else x for x in inner] if level < INDENTED else inner)
             lines.block(1)
         elif name in {"pre", "textarea"}:
             lines.block(2 if name == "pre" else 1)
-            yield _render(child, lines, level, True)
+            yield _render(child, lines, level, True, shown)
             lines.block(2 if name == "pre" else 1)
-        elif name in {"td", "th"}:  # outside a table
+        elif name in {"td", "th", "text"}:  # outside a table; in a drawing
             lines.text(" ")
-            yield _render(child, lines, level, verbatim)
+            yield _render(child, lines, level, verbatim, shown)
             lines.text(" ")
         elif name in BLOCKS or name == "tr":
             gap = 2 if name in SPACED_BLOCKS else 1
             lines.block(gap)
-            yield _render(child, lines, level, verbatim)
+            yield _render(child, lines, level, verbatim, shown)
             lines.block(gap)
         else:
-            yield _render(child, lines, level, verbatim)
+            yield _render(child, lines, level, verbatim, shown)
 
 
 def visible_text(page: str | None) -> str:

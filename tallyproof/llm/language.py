@@ -3,8 +3,9 @@
 Features are hashed byte n-grams of the letters of a text (2 to 4 bytes, ASCII lower-cased, all else one space), as
 square roots of their counts, scaled to length 1. The models are fitted on a bounded sample of labelled rows, about
 ``PER_LANGUAGE`` of each language, chosen by a hash of the id; what reaches the driver is that sample's features. All
-texts are then scored where they lie. A text that is like none of the learned languages is ``und``: by the mean logarithm
-of how much more often its n-grams are in the language than by chance, against what the learned rows reach themselves.
+texts are then scored where they lie, and told to be like a learned language or not: by the mean logarithm of how much more
+often their n-grams are in the language than by chance, against what the learned rows reach themselves. That does not change
+the prediction.
 """
 
 from __future__ import annotations
@@ -239,13 +240,14 @@ def fit(labelled: DataFrame, *, text: str = "text", lang: str = "lang", key: str
 
 
 def identify(docs: DataFrame, model: Model, *, text: str = "text") -> tuple[DataFrame, str]:
-    """``docs`` with one more column, and its name: a struct of lang and score (0 to 1).
+    """``docs`` with one more column, and its name: a struct of lang, score (0 to 1) and like (is it like any learned language).
 
-    A text that is null, has no letter or is like no learned language is ``und`` with score 0, as is every text if the model
-    knows no language. Only the text is read. The score is the family's share times the least sure of its language's duels.
+    A text that is null or has no letter is ``und`` with score 0 and like nothing, as is every text if the model knows no
+    language. Only the text is read. The score is the family's share times the least sure of its language's duels. Texts of less
+    than ``LEAST_LETTERS`` bytes of letters cannot be told to be unlike and count as like.
     """
     out = new_name("language", docs.columns)
-    schema = T.StructType([*docs.schema.fields, T.StructField(out, T.StructType([T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType())]))])
+    schema = T.StructType([*docs.schema.fields, T.StructField(out, T.StructType([T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("like", T.BooleanType())]))])
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,17 +260,18 @@ def identify(docs: DataFrame, model: Model, *, text: str = "text") -> tuple[Data
                     names += lang
                     scores.append(score)
                     like.append(sent.value.like(x, lang))
-                known = has_letter(column) & (np.concatenate(like) | (letters(column) < LEAST_LETTERS))
+                known = has_letter(column) & bool(sent.value.families)
+                alike = known & (np.concatenate(like) | (letters(column) < LEAST_LETTERS))
                 names = [n if k else UNKNOWN for n, k in zip(names, known.tolist(), strict=True)]
-                value = pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(np.where(known, np.concatenate(scores), 0.0))], names=["lang", "score"])
+                value = pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(np.where(known, np.concatenate(scores), 0.0)), pa.array(alike)], names=["lang", "score", "like"])
                 yield pa.RecordBatch.from_arrays([*part.columns, value], names=schema.names)
 
     return docs.mapInArrow(predict, schema), out
 
 
 def predictions(docs: DataFrame, *, per_language: int = PER_LANGUAGE) -> DataFrame:
-    """One row per document: doc_id, held_out, lang_pred, score. Rows with crc32(doc_id) mod 5 = 0 are never learned from."""
+    """One row per document: doc_id, held_out, lang_pred, score, like. Rows with crc32(doc_id) mod 5 = 0 are never learned from."""
     held = f"coalesce({id_text()} % 5 = 0, false)"
     model = fit(docs.where(f"{id_text()} % 5 != 0").select("doc_id", "text", "lang"), per_language=per_language)
     found, out = identify(docs.select("doc_id", F.expr(held).alias("held_out"), "text"), model)
-    return found.select("doc_id", "held_out", F.col(f"{out}.lang").alias("lang_pred"), F.col(f"{out}.score").alias("score"))
+    return found.select("doc_id", "held_out", F.col(f"{out}.lang").alias("lang_pred"), F.col(f"{out}.score").alias("score"), F.col(f"{out}.like").alias("like"))

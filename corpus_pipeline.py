@@ -23,7 +23,7 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = language.fit(docs.where(f"{id_text()} % 5 != 0").select("doc_id", "text", "lang"))
     found, out = language.identify(docs, model)
     if model.families:
-        found = found.where(F.col(f"{out}.lang") != language.UNKNOWN)
+        found = found.where(F.col(f"{out}.like"))
     else:
         found = found.where(F.col("text").rlike(r"\p{L}"))
     return found.select(*[F.col(f"`{x}`") for x in docs.columns])

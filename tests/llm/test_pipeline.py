@@ -19,15 +19,16 @@ def folder(spark, tmp_path_factory):
     item = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
     rows = [(d, t, "en", "s", len(t), 0, 0) for d, t in clean.items()]
     rows += [(20, clean[1] + " more", "en", "s", None, 0, 0), (21, None, "en", None, None, 0, 0), (22, "12 34", None, "s", 5, 0, 0)]
-    rows += [(30, "other words first " + passage + " tail one", "en", "s", 1, 0, 0), (31, "start " + passage + " goes on", "en", "s", 2, 0, 0),
+    own = {d: " ".join(f"the{d} cat{i % 7} and{d} v{d}x{i}" for i in range(30)) for d in (30, 31)}  # the passage is less than 3/4 of either text
+    rows += [(30, f"other words first {passage} tail one {own[30]}", "en", "s", 1, 0, 0), (31, f"start {passage} goes on {own[31]}", "en", "s", 2, 0, 0),
              (40, "here " + item + " too", "en", "s", 3, 0, 0)]
     spark.createDataFrame(rows, SCHEMA).write.parquet(f"{path}/documents.parquet")
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
-    return path, {r[0]: r[1] for r in rows}, passage
+    return path, {r[0]: r[1] for r in rows}, f"start goes on {own[31]}"
 
 
 def test_stages(spark, folder):
-    path, texts, passage = folder
+    path, texts, rest = folder
     docs = spark.read.parquet(f"{path}/documents.parquet")
     after = {}
     for name, stage in corpus_pipeline.STAGES[:-1]:
@@ -38,7 +39,7 @@ def test_stages(spark, folder):
     assert set(after["language"]) - set(after["near duplicates"]) == {20}
     cut = after["repeated passages"]
     assert set(cut) == set(after["near duplicates"])
-    assert {d: r["text"] for d, r in cut.items() if r["text"] != texts[d]} == {31: "start goes on"} and cut[31]["n_chars"] == len("start goes on")
+    assert {d: r["text"] for d, r in cut.items() if r["text"] != texts[d]} == {31: rest} and cut[31]["n_chars"] == len(rest)
     assert cut[40]["n_chars"] == 3
     assert set(cut) - set(after["benchmark decontamination"]) == {40}
 
@@ -51,11 +52,11 @@ def test_junk_and_languages_never_learned_go(spark):
 
 
 def test_run_packs_what_is_left(spark, folder):
-    path, _, _ = folder
+    path, _, rest = folder
     rows = corpus_pipeline.run(spark, path).collect()
     assert {r["doc_id"] for r in rows} == {*range(1, 9), 30, 31}
     assert all(r["offset"] + r["length"] <= packing.CAPACITY for r in rows)
-    ids = tokens.encoder(tokens.default_path()).tokenizer.encode("start goes on", add_special_tokens=False).ids + [0]
+    ids = tokens.encoder(tokens.default_path()).tokenizer.encode(rest, add_special_tokens=False).ids + [0]
     import numpy as np
     assert next(r["ids_crc32"] for r in rows if r["doc_id"] == 31) == zlib.crc32(np.array(ids, dtype="<u4").tobytes())
 

@@ -1,4 +1,6 @@
 import hashlib
+import re
+import time
 import zlib
 
 import numpy as np
@@ -116,13 +118,13 @@ STRANGE = [" ".join(f"{x:x}zq" for x in range(10**6, 10**6 + 40)), "qwrtz xkcdv
 
 
 @pytest.mark.parametrize("known", [("en",), ("en", "fr"), ("en", "de", "fr", "es")])
-def test_what_is_like_no_language_is_unknown(table, known):
-    """However many languages are learned: junk and languages never learned are unknown, clean texts are not."""
+def test_what_is_like_no_learned_language(table, known):
+    """However many languages are learned: junk and languages never learned are told from clean texts, and still get a learned language."""
     clean = [r for r in sentences() if r[2] in known]
     odd = [(9000 + i, t, None) for i, t in enumerate(STRANGE)]
     got = {r["doc_id"]: r for r in language.predictions(table(clean + odd, "doc_id long, text string, lang string")).collect()}
-    assert all(got[d]["lang_pred"] == lang and got[d]["score"] > 0.5 for d, _, lang in clean)
-    assert {d: (got[d]["lang_pred"], got[d]["score"]) for d, _, _ in odd} == {d: ("und", 0.0) for d, _, _ in odd}
+    assert all(got[d]["lang_pred"] == lang and got[d]["score"] > 0.5 and got[d]["like"] for d, _, lang in clean)
+    assert all(got[d]["lang_pred"] in known and got[d]["score"] > 0 and not got[d]["like"] for d, _, _ in odd)
 
 
 def test_odd_texts_and_labels(table):
@@ -163,6 +165,27 @@ def test_license_finds_equal_brute_force(table):
     assert (by[23]["labels"], by[23]["score"]) == ("gpl,mit", 0.2) and (by[24]["labels"], by[24]["score"]) == ("cc-by,cc-by-nc", 0.9)
 
 
+@pytest.mark.parametrize("text, labels, score", [
+    ("pàgina pàgina pàgina\nSPDX-License-Identifier: MIT", "mit", 0.2), ("Реферат охрана GPL-3.0-only OR MIT\nSPDX-License-Identifier: GPL-3.0-only OR MIT", "gpl,mit", 0.7),
+    ("Реферат охрана\nSPDX-License-Identifier: GPL-3.0-only OR MIT", "gpl,mit", 0.2), ("хххх хаха\nlicense: MIT", "mit", 0.2), ("日本語 à\x85\xa0b license: MIT", "mit", 0.2),
+    ("SPDX-License-Identifier: Artistic-2.0 OR MIT", "artistic,mit", 0.2), ("SPDX-License-Identifier: LicenseRef-x OR GPL-3.0", "gpl,licenseref-x", 0.5),
+    ("SPDX-License-Identifier: BUSL-1.1", "busl", 0.9), ("SPDX-License-Identifier: NOASSERTION", "noassertion", 0.5), ("// SPDX-License-Identifier: (GPL-2.0+ WITH Classpath-exception-2.0) AND BSD-3-Clause-Clear */ x", "bsd,gpl", 0.4),
+    ("SPDX-License-Identifier: MIT Copyright AGPL-3.0", "agpl,mit", 0.8), ("SPDX-License-Identifier: mit and (EUPL-1.2 or (zlib", "eupl,mit,zlib", 0.2), ("SPDX-License-Identifier:\n", "", 0.0),
+    ("license: see the file", "", 0.0), ("License: Apache License 2.0 or MIT", "apache,mit", 0.2), ("license: EPL-2.0 OR Ruby", "epl,ruby", 0.3), ("SPDX-License-Identifier: CC-BY-NC-SA-4.0", "cc-by,cc-by-nc,cc-by-nc-sa", 0.9),
+])
+def test_tags_in_any_script_and_unknown_identifiers(text, labels, score):
+    n, finds, expressions, got = licenses.scan(text.encode())
+    assert n == len(brute.words(text, brute.ALNUM))
+    assert ",".join(sorted({x[3] for x in finds} | {x for _, names, _ in expressions for x in names})) == labels and got == pytest.approx(score)
+
+
+def test_license_columns(table):
+    frame = table([(1, "license: MIT", "x"), (1, "license: MIT", "x"), (None, None, None)], "doc_id long, text string, licenses string")
+    out, name = licenses.scan_licenses(frame)
+    assert name == "licenses_" and out.columns == [*frame.columns, name] and out.count() == 3
+    assert licenses.license_digest(table([])).count() == 0
+
+
 @pytest.mark.parametrize("tokens, want", [
     ([0.2], 0.2), ([0.2, "or", 0.7], 0.2), ([0.2, "and", 0.7], 0.7), ([0.9, "or", 0.2, "and", 0.5], 0.5), (["(", 0.9, "or", 0.2, ")", "and", 0.5], 0.5),
     ([0.9, "and", "(", 0.2, "or", 0.5, ")"], 0.9), ([0.7, "with", 0.0], 0.4), ([0.2, "and", 0.7, "with", 0.0], 0.4), ([], None), (["or", "and"], None),
@@ -179,10 +202,10 @@ def test_expressions(tokens, want):
     ("a<br>b<br><br>c", "a\nb\n\nc"), ("<p>one  <b>tw</b>o &amp; &lt;3</p>", "one two & <3"),
     ("<ul><li>a<li>b<ul><li>c</ul><li>d</ul>", "- a\n- b\n  - c\n- d"), ("<ol start=9><li>a<li>b</ol>", "9. a\n10. b"),
     ("<table><tr><th>Name<th>N<tr><td>longer<td>1</table>", "Name    N\nlonger  1"), ("<table><tr><td>a</td></tr><tr><td>b<p>c</td><td>d</td></tr></table>", "a\nb  d\n\nc"),
-    ("<script>a</script><style>b</style><p hidden>c</p><p style='color:red;display : none'>d</p><i aria-hidden=true>e</i>f", "f"),
+    ("<script>a</script><style>b</style><p hidden>c</p><p style='color:red;display : none'>d</p><i aria-hidden=true>e</i>f", "ef"),
     ("<details><summary>s</summary>closed</details><details open><summary>t</summary>open</details>", "s\nt\nopen"),
-    ("<pre>a\n  b</pre>", "a\n  b"), ("<title>t</title><body>b", "b"), ("<head><meta charset=x><p>b", "b"), ("</p></div></x>a", "a"), ("<p", "<p"), ("a < b", "a < b"),
-    ("<dl><dt>t<dd>d</dl>", "t\n    d"), ("<input value=x><input type=submit value=Go>", "Go"), ("<td>a<td>b", "a b"),
+    ("<pre>a\n  b</pre>", "a\n  b"), ("<title>t</title><body>b", "b"), ("<head><meta charset=x><p>b", "b"), ("</p></div></x>a", "a"), ("<p", ""), ("a < b", "a < b"),
+    ("<dl><dt>t<dd>d</dl>", "t\n    d"), ("<input value=x><input type=submit value=Go><input type=hidden value=h><input type=password value=p>", "x Go"), ("<td>a<td>b", "a b"),
 ])
 def test_visible_text(page, text):
     assert html.visible_text(page) == text
@@ -210,7 +233,30 @@ def test_all_words_of_tables_come_out(parts):
 @given(st.lists(st.sampled_from("<p> </p> <li> <ul> </ul> <table> <tr> <td> </table> <div> </div> <b a='x'> </b> <!-- --> <script> </script> <pre> <ol> x y &amp; < > ' \" \n <details> <br>".split(" ")), max_size=40))
 def test_any_page_gives_text(parts):
     text = html.visible_text("".join(parts))
-    assert text == text.rstrip("\n") and "script" not in text.replace("<script", "").replace("</script", "") or text
+    assert text == text.rstrip("\n") and not re.search(r"</?(p|li|ul|table|tr|td|div|pre|ol|br)>|<!--", text)
+
+
+@pytest.mark.parametrize("page, text", [
+    ('<a href="x"">Hello</a>', "Hello"), ("<p title=it's>Hello</p>", "Hello"), ("<p title='a>b' class=\"c>d\">e", "e"), ("<p a = 'b' c=/d/ / e>f", "f"), ("<p =a>b", "b"),
+    ("<p a=>b", "b"), ("<p 'x>b", "b"), ("a<p title='never ends>b", "a"), ("a</>b</ c>d<?e>f<!g>h", "abdfh"), ("a<!-->b<!-- -- -->c", "abc"), ("a<!-- b", "a"),
+    ("E = <math><mi>m</mi><msup><mi>c</mi><mn>2</mn></msup></math>", "E = mc2"), ("<svg><title>no</title><defs>no</defs><text>one</text><text>two</text></svg>", "one two"),
+    ("<p hidden style='display:block'>a</p><p style='display:none;display:block'>b</p><p style='display:none!important;display:block'>c</p>", "a\n\nb"),
+    ("<div style='visibility:hidden'>a<i style='visibility:visible'>b</i>c</div>d", "b\nd"), ("<dialog>a</dialog><dialog open>b</dialog>", "b"),
+    ("<script>if (a</b) '</scripts>'</script>x", "x"), ("<textarea>&lt;a></textarea><TITLE>t</TITLE >y", "<a>\ny"),
+    ("<table><tr><td colspan=2>wide cell<td>x<tr><td>a<td>b<td>c</table>", "wide cell  x\na  b       c"),
+    ("<table><tr><td rowspan=2>tall<td>a<tr><td>b<tr><td>c<td>d</table>", "tall  a\n      b\nc     d"),
+    ("<table><tr><td>a<td rowspan=0>r<tr><td>b<tr><td>c<td>d</table>", "a  r\nb\nc     d"), ("<table><tr><td colspan=999999999>a<tr><td>b</table>", "a\nb"),
+    ("<table><tr><td style='visibility:hidden'>gone<td>a<tr><td>bb<td>c</table>", "    a\nbb  c"),
+])
+def test_tags_visibility_and_spans(page, text):
+    assert html.visible_text(page) == text
+
+
+@pytest.mark.parametrize("part", ["<a 'x ", "<a ", "<a b=\"", "<!-- ", "<script>", "a <", "</", "<a b = ", "<td rowspan=3>", "<![CDATA["])
+def test_long_odd_pages_take_time_in_proportion(part):
+    start = time.process_time()
+    html.visible_text(part * (1_000_000 // len(part)))
+    assert time.process_time() - start < 10
 
 
 def test_deep_pages():

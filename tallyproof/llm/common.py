@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from tallyproof.session import written
 
 SLICE_BYTES = 2 << 20
+BATCH_BYTES = 4 << 20
+BATCH_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
 U64 = np.uint64
 
 #: Lower-cases A-Z and leaves every other byte alone.
@@ -156,8 +158,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def importable(spark: SparkSession) -> None:
-    """Let Python workers on this machine find the package wherever they start. A cluster is given it with --py-files."""
+    """Let Python workers on this machine find the package wherever they start. A cluster is given it with --py-files.
+
+    Batches that Spark hands to Python end at ``BATCH_BYTES`` (rows are never cut), unless the session asks for less: texts of
+    10,000 rows would lie in memory several times over on both sides.
+    """
     spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
+    limit = spark.conf.get(BATCH_LIMIT, None)
+    if limit is None or not limit.rstrip("b").isdigit() or not 0 < int(limit.rstrip("b")) <= BATCH_BYTES:
+        spark.conf.set(BATCH_LIMIT, f"{BATCH_BYTES}b")
 
 
 def id_text(column: str = "doc_id") -> str:

@@ -15,7 +15,8 @@ import pyarrow as pa
 
 from tallyproof.llm.common import hash_spans, runs, texts_of
 
-KEPT_BYTES = 16 << 20
+#: As keys of a dictionary, short texts take some twenty times their bytes.
+KEPT_BYTES = 2 << 20
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True

@@ -112,18 +112,25 @@ def psu_totals(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def stratified_ratio(psus: DataFrame, by: Sequence[str] = (), carry: Sequence[str] = ()) -> DataFrame:
-    """Ratio R = Σwy/Σw and its between-PSU variance from PSU totals, without joining R back.
+    """Ratio R = Σwy/Σw and its between-PSU variance from PSU totals.
 
-    The residual total of a PSU is s_wy - R*s_w, so its variance within a stratum follows from two variances
-    and a covariance that do not depend on R. Strata with one PSU add nothing. PSUs without a design key
-    count in R but not in the variance. ``carry`` names further PSU columns to sum up.
+    The residual total of a PSU is s_wy - R*s_w. With the ratio P of a stratum as pilot it is e + (P - R)*s_w, where e = s_wy - P*s_w, so its
+    variance follows from moments of e and s_w. Both are as small as the residuals themselves, while those of s_wy and s_w would cancel where
+    totals are large against residuals. P and R are sums over PSU and stratum rows: no data row is read again. Strata with one PSU add
+    nothing. PSUs without a design key count in R but not in the variance. ``carry`` names further PSU columns to sum up.
     """
     usable = "(h IS NOT NULL AND a IS NOT NULL AND n > 0)"
-    top, bottom = f"CASE WHEN {usable} THEN s_wy END", f"CASE WHEN {usable} THEN s_w END"
-    strata = psus.groupBy(*by, "h").agg(*map(F.expr, [
+    names = ", ".join(f"`{c}`" for c in by)
+    stratum = f"OVER (PARTITION BY {names + ', ' if by else ''}h)"
+    group = f"OVER (PARTITION BY {names})" if by else "OVER ()"
+    pilot = f"coalesce(try_divide(sum(CASE WHEN {usable} THEN s_wy END) {stratum}, sum(CASE WHEN {usable} THEN s_w END) {stratum}), 0D)"
+    around = psus.withColumn("pilot", F.expr(pilot))
+    rest, bottom = f"CASE WHEN {usable} THEN s_wy - pilot * s_w END", f"CASE WHEN {usable} THEN s_w END"
+    strata = around.groupBy(*by, "h").agg(*map(F.expr, [
         f"count_if({usable}) AS n_psu",
-        f"coalesce(count_if({usable}) * var_samp({top}), 0D) AS m_tt",
-        f"coalesce(count_if({usable}) * covar_samp({top}, {bottom}), 0D) AS m_tb",
+        "max(pilot) AS pilot",
+        f"coalesce(count_if({usable}) * var_samp({rest}), 0D) AS m_ee",
+        f"coalesce(count_if({usable}) * covar_samp({rest}, {bottom}), 0D) AS m_eb",
         f"coalesce(count_if({usable}) * var_samp({bottom}), 0D) AS m_bb",
         "sum(s_wy) AS s_wy",
         "sum(s_w) AS s_w",
@@ -131,11 +138,10 @@ def stratified_ratio(psus: DataFrame, by: Sequence[str] = (), carry: Sequence[st
         f"sum(CASE WHEN NOT {usable} THEN n END) AS n_dropped_design",
         "sum(n_dropped_weight) AS n_dropped_weight",
         *[f"sum({c}) AS {c}" for c in carry],
-    ]))
-    r = "try_divide(sum(s_wy), sum(s_w))"
-    spread = f"greatest(sum(m_tt) - 2 * {r} * sum(m_tb) + {r} * {r} * sum(m_bb), 0D)"
+    ])).withColumn("r", F.expr(f"try_divide(sum(s_wy) {group}, sum(s_w) {group})"))
+    spread = "greatest(sum(m_ee + 2 * (pilot - r) * m_eb + (pilot - r) * (pilot - r) * m_bb), 0D)"
     return strata.groupBy(*by).agg(*map(F.expr, [
-        f"{r} AS ratio",
+        "max(r) AS ratio",
         f"try_divide({spread}, sum(s_w) * sum(s_w)) AS variance",
         "coalesce(sum(n), 0) AS n",
         "coalesce(sum(s_w), 0D) AS denominator_weighted",

@@ -240,3 +240,23 @@ def test_skewed_psu(spark):
     data = spark.createDataFrame(rows, SCHEMA)
     got = E.mean_ci(data, "v", universe=None, valid=range(0, 30), design=DESIGN).first()
     close(got, brute.ratio_ci([(r[1], r[3], r[4], r[5]) for r in rows]))
+
+
+def test_variance_of_totals_that_are_large_against_their_residuals(spark):
+    """50 PSUs in two strata, weights of about 10**12, residuals of about 1: exact fractions tell what is right."""
+    from fractions import Fraction
+
+    from tallyproof.operators.estimates import stratified_ratio
+
+    rng = random.Random(12)
+    rows = [(i % 2, i, float(rng.randrange(10**12, 2 * 10**12))) for i in range(50)]
+    rows = [(h, a, w, 0.5 * w + rng.randrange(-8, 9) / 8) for h, a, w in rows]
+    psus = spark.createDataFrame([(h, a, t, w, 1, 0) for h, a, w, t in rows], "h int, a int, s_wy double, s_w double, n long, n_dropped_weight long")
+    got = stratified_ratio(psus).first()
+    top, bottom = sum(Fraction(r[3]) for r in rows), sum(Fraction(r[2]) for r in rows)
+    spread = Fraction(0)
+    for h in (0, 1):
+        e = [Fraction(t) - top / bottom * Fraction(w) for k, _, w, t in rows if k == h]
+        mean = sum(e) / len(e)
+        spread += Fraction(len(e), len(e) - 1) * sum((x - mean) ** 2 for x in e)
+    assert got["variance"] == pytest.approx(float(spread / bottom**2), rel=1e-3) and got["variance"] > 0

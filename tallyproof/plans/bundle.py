@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,7 @@ from ..operators import docs as D
 from ..operators import trends as TR
 from ..operators import verify as V
 from ..operators.batch import batch_estimates
-from ..session import scratch_dir, written
+from ..session import shared_dir, written
 from ..sources import bundle as B
 from ..sources.microdata import last_modified
 from .claims import claims, trend_claims
@@ -38,48 +39,49 @@ class Bundle:
     trend_claims: DataFrame
     trend_verdicts: DataFrame
     docs: DataFrame
-    path: str
+    snapshot: B.Snapshot
 
 
-_published: dict[tuple[str, str, float | None], Bundle] = {}
+TABLES = ("claims", "estimates", "verdicts", "trend_claims", "trend_verdicts")
 
 
-def _version(spark: SparkSession, sf_dir: str) -> tuple[str, str, float | None]:
-    """The application, the data and when it last changed: a bundle of older data is not reused."""
-    return spark.sparkContext.applicationId, sf_dir, last_modified(spark, f"{sf_dir}/lineitem.parquet")
+def _root(spark: SparkSession, sf_dir: str) -> str:
+    """The folder for the bundle of this application and data: data that has changed has another."""
+    about = f"{spark.sparkContext.applicationId} {sf_dir} {last_modified(spark, f'{sf_dir}/lineitem.parquet')}"
+    return shared_dir(spark, f"bundles/{hashlib.md5(about.encode()).hexdigest()}")
 
 
-def compile_bundle(spark: SparkSession, sf_dir: str) -> Bundle:
-    """Verify all claims and publish what holds. Verdicts and documents are written as tables."""
-    stated = claims(spark, sf_dir)
+def compile_bundle(spark: SparkSession, sf_dir: str, path: str) -> B.Snapshot:
+    """Verify all claims and publish what holds, with verdicts and documents as tables of one version."""
+    stated = written(claims(spark, sf_dir), "claims")
     data = micro(spark, sf_dir)
-    estimates = batch_estimates(data, V.claim_domains(stated, data, CATALOG), CATALOG, DESIGN)
-    estimates = written(estimates, "estimates")
+    estimates = written(batch_estimates(data, V.claim_domains(stated, data, CATALOG), CATALOG, DESIGN), "estimates")
     verdicts = written(V.judge(stated, estimates, CATALOG), "verdicts")
 
-    stated_trends = trend_claims(spark, sf_dir)
+    stated_trends = written(trend_claims(spark, sf_dir), "trend_claims")
     waves = wave_frames(spark, sf_dir)
     trend_verdicts = written(TR.verify_trends(stated_trends, waves, WAVES), "trend_verdicts")
 
     docs = D.concept_docs(verdicts, stated, CATALOG, stamp=STAMP, source=SOURCE)
     if TR.waves_missing(stated_trends, waves).isEmpty():
         docs = docs.unionByName(D.trend_docs(trend_verdicts, stated_trends, stamp=STAMP, source=SOURCE))
-    path = f"{scratch_dir(spark)}/bundle"
-    B.publish_bundle(docs, verdicts, path)
-    B.append_audit_log(V.audit_log(verdicts, trend_verdicts, F.lit(STAMP)), path)
-    return Bundle(stated, estimates, verdicts, stated_trends, trend_verdicts, B.scan_bundle(spark, path), path)
+    log = V.audit_log(verdicts, trend_verdicts, F.lit(STAMP))
+    return B.publish_bundle(docs, verdicts, log, path, dict(zip(TABLES, (stated, estimates, verdicts, stated_trends, trend_verdicts), strict=True)))
+
+
+def _opened(found: B.Snapshot) -> Bundle:
+    return Bundle(*[found.table(name) for name in TABLES], found.table("published"), found)
 
 
 def republish(spark: SparkSession, sf_dir: str) -> Bundle:
-    """Compile the bundle anew and let later reads use it."""
-    bundle = compile_bundle(spark, sf_dir)
-    _published[_version(spark, sf_dir)] = bundle
-    return bundle
+    """Compile the bundle anew; its version is the one that later reads use."""
+    return _opened(compile_bundle(spark, sf_dir, _root(spark, sf_dir)))
 
 
 def published(spark: SparkSession, sf_dir: str) -> Bundle:
-    """The bundle of this application, compiled on first use and read from its tables after that."""
-    return _published.get(_version(spark, sf_dir)) or republish(spark, sf_dir)
+    """The current version for these data, compiled where there is none."""
+    found = B.snapshot(spark, _root(spark, sf_dir))
+    return _opened(found) if found else republish(spark, sf_dir)
 
 
 def questions(spark: SparkSession) -> DataFrame:

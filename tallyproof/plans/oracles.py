@@ -480,6 +480,8 @@ def _claim_tables() -> list[str]:
 def _claims() -> None:
     base = _claim_tables()
     caught = "verdict = 'FAIL' AND lint_ok"
+    ORACLES["malformed_claims"] = """SELECT 'P' || p_partkey AS id, CASE WHEN p_partkey % 7 IN (1, 2, 3) THEN 'malformed' ELSE 'read' END AS status,
+        CASE WHEN p_partkey % 7 NOT IN (1, 2, 3) THEN CAST(p_size AS DOUBLE) END AS claimed FROM part"""
     ORACLES["load_claims"] = with_(base, """SELECT id, variable, kind, unit, method_universe, mw AS method_weighted,
         claimed, CAST(tolerance AS DOUBLE) AS tolerance, claimed_low, claimed_high, links, seeded_defect FROM claims""")
     ORACLES["batch_estimate"] = with_(base, """SELECT domain_key, split_part(domain_key, '|', 2) AS variable,

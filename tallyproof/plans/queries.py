@@ -23,6 +23,7 @@ from ..operators import verify as V
 from ..operators.batch import batch_estimates
 from ..session import scratch_dir
 from ..sources import bundle as B
+from ..sources import claims as CL
 from ..sources import microdata as M
 from ..survey import Survey
 from . import claims as C
@@ -146,6 +147,22 @@ def load_trend_claims(spark, sf_dir):
         "seeded_defect")
 
 
+@query
+def malformed_claims(spark, sf_dir):
+    """Claims written from parts, of which some are cut off, mistyped or no object: the values read and the lines reported."""
+    key = F.col("p_partkey").cast("string")
+    whole = F.concat(F.lit('{"id": "P'), key, F.lit('", "variable": "part", "claim": {"value": '), F.col("p_size").cast("string"), F.lit("}}"))
+    kind = F.col("p_partkey") % 7
+    line = (F.when(kind == 1, F.concat(F.lit('{"id": "P'), key, F.lit('", "vari')))
+            .when(kind == 2, F.concat(F.lit('{"id": "P'), key, F.lit('", "claim": {"value": "much"}}')))
+            .when(kind == 3, F.concat(F.lit('["P'), key, F.lit('"]'))).otherwise(whole))
+    path = f"{scratch_dir(spark)}/lines"
+    spark.read.parquet(f"{sf_dir}/part.parquet").select(line.alias("value")).write.text(path)
+    read = CL.load_claims(spark, path).select("id", F.lit("read").alias("status"), "claimed")
+    return read.unionByName(CL.malformed_records(spark, path).select(
+        F.regexp_extract("line", r"P\d+", 0).alias("id"), F.lit("malformed").alias("status"), F.lit(None).cast("double").alias("claimed")))
+
+
 @query
 def load_variables(spark, sf_dir):
     """The metadata table against the data: substantive, reserved and missing answers per column."""
@@ -180,20 +197,20 @@ def load_wave_variables(spark, sf_dir):
 def publish_bundle(spark, sf_dir):
     """The whole chain: claims, verification, documents, both zones written and read back."""
     bundle = republish(spark, sf_dir)
-    held = spark.read.parquet(f"{bundle.path}/quarantine")
+    held = bundle.snapshot.table("quarantine")
     return bundle.docs.select("id", F.lit("published").alias("zone"), "verdict").unionByName(
         held.select("id", F.lit("quarantine").alias("zone"), "verdict"))
 
 
 @query
 def audit_log(spark, sf_dir):
-    return spark.read.parquet(f"{published(spark, sf_dir).path}/audit")
+    return published(spark, sf_dir).snapshot.table("audit")
 
 
 @query
 def scan_bundle(spark, sf_dir):
     bundle = published(spark, sf_dir)
-    parsed = D.parse_documents(D.raw_documents(B.scan_bundle(spark, bundle.path)))
+    parsed = D.parse_documents(D.raw_documents(B.scan_bundle(spark, bundle.snapshot.path)))
     return parsed.select("id", "title", "type", "variable", "value", F.length("body").alias("body_length"))
 
 
@@ -684,7 +701,7 @@ def grounded_table(spark, sf_dir):
 @query
 def tfidf_index(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return tidy(S.tfidf_index(docs, "doc_id", "text").postings)
+    return tidy(S.tfidf_index(docs, "doc_id", "text").postings.drop("block"))
 
 
 @query

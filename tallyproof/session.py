@@ -29,7 +29,12 @@ def local_session(cores: int | str = "*", *, app: str = "tallyproof", **conf: st
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A new folder name below the cluster's shared checkpoint folder.
+    """A new folder name below the cluster's shared checkpoint folder."""
+    return shared_dir(spark, uuid.uuid4().hex)
+
+
+def shared_dir(spark: SparkSession, name: str) -> str:
+    """A folder below the cluster's shared checkpoint folder.
 
     Only where the session names none and runs on one machine is a local temporary folder taken, and the session
     told of it. On a cluster executors would not see such a folder, so there the setting is required.
@@ -41,7 +46,7 @@ def scratch_dir(spark: SparkSession) -> str:
             raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder that all executors of {master} share")
         root = tempfile.mkdtemp(prefix="tallyproof-")
         spark.conf.set(CHECKPOINT_KEY, root)
-    return f"{root.rstrip('/')}/tallyproof/{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/tallyproof/{name}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -21,11 +21,35 @@ TREND_SCHEMA = """
         values_pct: map<string, double>, tolerance_pct: double>
 """
 
+_CORRUPT = "_malformed"
+
 # Tolerances of claims that state none, in the unit of the claim.
 DEFAULT_TOLERANCE = 0.5
 DEFAULT_TREND_TOLERANCE = 0.3
 
 
+def parsed_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """(file, line, record, malformed) of JSON lines; blank lines are none.
+
+    A line is malformed that is no JSON object, or in which any field does not fit the schema; it gives no record, so that no field is
+    silently missing.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("line")).where(F.trim("line") != "")
+    whole = F.from_json("line", f"{schema.strip()}, {_CORRUPT} string", {"columnNameOfCorruptRecord": _CORRUPT})
+    found = lines.withColumn("record", whole)
+    malformed = F.col("record").isNull() | F.col(f"record.{_CORRUPT}").isNotNull() | ~F.ltrim("line").startswith("{")
+    return found.select("file", "line", F.when(~malformed, F.col("record").dropFields(_CORRUPT)).alias("record"), malformed.alias("malformed"))
+
+
+def records_of(parsed: DataFrame) -> DataFrame:
+    return parsed.where(~F.col("malformed")).select("record.*")
+
+
+def malformed_records(spark: SparkSession, path: str, schema: str = "") -> DataFrame:
+    """The lines of claims (or of the records of another schema) that cannot be read, for the quarantine: file, line."""
+    return parsed_records(spark, path, schema or CLAIM_SCHEMA).where("malformed").select("file", "line")
+
+
 def flat_claims(records: DataFrame) -> DataFrame:
     """Defaults and older keys resolved: ``value`` goes before ``value_pct``, ``tolerance`` before
     ``tolerance_pct``. A record without a claimed value is descriptive."""
@@ -54,8 +78,8 @@ def flat_claims(records: DataFrame) -> DataFrame:
 
 
 def load_claims(spark: SparkSession, path: str) -> DataFrame:
-    """Claims from JSON lines."""
-    return flat_claims(spark.read.schema(CLAIM_SCHEMA).json(path))
+    """Claims from JSON lines. Lines that cannot be read whole are no claims: see ``malformed_records``."""
+    return flat_claims(records_of(parsed_records(spark, path, CLAIM_SCHEMA)))
 
 
 def _by_year(values: Column) -> Column:
@@ -83,4 +107,4 @@ def flat_trend_claims(records: DataFrame) -> DataFrame:
 
 def load_trend_claims(spark: SparkSession, path: str) -> DataFrame:
     """Trend claims from JSON lines; years are the keys of the value and variable maps."""
-    return flat_trend_claims(spark.read.schema(TREND_SCHEMA).json(path))
+    return flat_trend_claims(records_of(parsed_records(spark, path, TREND_SCHEMA)))

@@ -7,7 +7,7 @@ from tallyproof.operators import requests as R
 from tallyproof.operators import rows as RW
 from tallyproof.operators import trends as TR
 from tallyproof.operators import verify as V
-from tallyproof.sources.claims import load_claims, load_trend_claims
+from tallyproof.sources.claims import TREND_SCHEMA, load_claims, load_trend_claims, malformed_records
 
 from . import brute
 from .test_estimates import CATALOG, DESIGN, SCHEMA, make_rows, valid_v
@@ -199,3 +199,16 @@ def test_a_wave_without_a_column_is_an_error(spark, data):
     with pytest.raises(ValueError, match="wave 2 has no column w2"):
         TR.trend_prevalence({1: data, 2: data}, "m", waves)
     assert {r["wave"] for r in TR.trend_prevalence({1: data}, "m", waves).collect()} == {1}
+
+
+def test_malformed_lines_are_reported_and_never_half_read(spark, tmp_path):
+    lines = [json.dumps(claim("a", "x", 5.0)), '{"id": "b", "variable": "x", "claim": {"value": "much"}}', '{"id": "c", "vari', "[1]", '"text"', "null", "", "  ",
+             '{"id": "d", "variable": "x", "links": "one"}', json.dumps({"id": "e", "variable": "x"})]
+    path = tmp_path / "claims.json"
+    path.write_text("\n".join(lines))
+    assert {r["id"] for r in load_claims(spark, str(path)).collect()} == {"a", "e"}
+    bad = malformed_records(spark, str(path)).collect()
+    assert sorted(r["line"] for r in bad) == sorted(lines[1:6] + [lines[8]]) and all(r["file"].endswith("claims.json") for r in bad)
+    (tmp_path / "trends.json").write_text('{"id": "t", "years": [1]}\n{"id": "u", "years": 5}')
+    assert [r["id"] for r in load_trend_claims(spark, str(tmp_path / "trends.json")).collect()] == ["t"]
+    assert malformed_records(spark, str(tmp_path / "trends.json"), TREND_SCHEMA).count() == 1

@@ -7,6 +7,7 @@ from tallyproof.catalog import Catalog, compact_codes, unknown_variables
 from tallyproof.operators import estimates as E
 from tallyproof.plans.micro import CATALOG, DESIGN, micro
 from tallyproof.session import scratch_dir
+from tallyproof.sources import bundle as B
 from tallyproof.sources import microdata as M
 
 
@@ -105,3 +106,27 @@ def test_csv_columns_are_found_by_name(spark, tmp_path):
     (tmp_path / "bad.csv").write_text("a,b\n1,word\n")
     with pytest.raises(Exception, match="MALFORMED|word"):
         M.scan_csv(spark, str(tmp_path / "bad.csv"), None, schema).collect()
+
+
+def _version(spark, number):
+    docs = spark.createDataFrame([(f"d{number}",)], "id string")
+    verdicts = spark.createDataFrame([("a", "FAIL"), ("b", "PASS")], "id string, verdict string")
+    return docs, verdicts, spark.createDataFrame([(f"run {number}",)], "note string")
+
+
+def test_a_bundle_is_published_whole_or_not_at_all(spark, tmp_path):
+    path = str(tmp_path / "bundle")
+    assert B.snapshot(spark, path) is None
+    with pytest.raises(FileNotFoundError):
+        B.scan_bundle(spark, path)
+    first = B.publish_bundle(*_version(spark, 1), path)
+    assert [r["id"] for r in first.table("quarantine").collect()] == ["a"]
+    docs, verdicts, log = _version(spark, 2)
+    broken = log.select(F.raise_error(F.lit("lost")).alias("note"))
+    with pytest.raises(Exception, match="lost"):  # between the tables of a version
+        B.publish_bundle(docs, verdicts, broken, path)
+    assert B.snapshot(spark, path) == first and [r["id"] for r in B.scan_bundle(spark, path).collect()] == ["d1"]
+    second = B.publish_bundle(docs, verdicts, log, path)
+    assert (first.number, second.number) == (1, 2) and [r["id"] for r in B.scan_bundle(spark, path).collect()] == ["d2"]
+    assert [r["id"] for r in first.table("published").collect()] == ["d1"]  # a reader of the version before goes on
+    assert sorted((r["number"], r["note"]) for r in B.scan_audit(spark, path).collect()) == [(1, "run 1"), (2, "run 2")]

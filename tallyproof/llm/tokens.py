@@ -15,8 +15,7 @@ import pyarrow as pa
 
 from tallyproof.llm.common import hash_spans, runs, texts_of
 
-#: As keys of a dictionary, short texts take some twenty times their bytes.
-KEPT_BYTES = 2 << 20
+KEPT_BYTES = 6 << 20
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -53,7 +52,10 @@ def stretches(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 class Encoder:
-    """Encodes string columns; what it has seen is kept (at most about ``KEPT_BYTES`` of text, then it starts anew)."""
+    """Encodes string columns; what it has seen is kept (at most about ``KEPT_BYTES`` of text, then it starts anew).
+
+    Stretches are known by 64-bit hash and length, in sorted arrays: as keys of a dictionary they would take four times the memory.
+    """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -68,7 +70,7 @@ class Encoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.slot: dict[bytes, int] = {}
+        self.keys, self.slot, self.size = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
         self.ids, self.count, self.bytes = np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.int64), 0
 
     def _whole(self, texts: list[str]) -> list[list[int]]:
@@ -84,30 +86,33 @@ class Encoder:
             return np.fromiter((i for x in every for i in x), dtype=np.uint32, count=int(bounds[-1])), bounds
         start = stretches(raw, at)
         end = np.append(start[1:], len(raw)) if len(start) else start
-        _, one, same = np.unique(hash_spans(raw, start, end), return_index=True, return_inverse=True)
+        keys, one, same = np.unique(hash_spans(raw, start, end), return_index=True, return_inverse=True)
         if self.bytes > KEPT_BYTES:
             self._clear()
-        slot, slots, fresh = self.slot, [], []
-        for a, b in zip(start[one].tolist(), end[one].tolist(), strict=True):
-            key = data[a:b]
-            k = slot.get(key)
-            if k is None:
-                k = slot[key] = len(slot)
-                fresh.append(key)
-            slots.append(k)
-        if fresh:
+        start_, end_ = start[one], end[one]
+        at_ = np.searchsorted(self.keys, keys)
+        slots = np.full(len(keys), -1, dtype=np.int64)
+        inside = np.flatnonzero(at_ < len(self.keys))
+        known = inside[(self.keys[at_[inside]] == keys[inside]) & (self.size[at_[inside]] == (end_ - start_)[inside])]
+        slots[known] = self.slot[at_[known]]
+        fresh = np.flatnonzero(slots < 0)
+        if len(fresh):
             count, ids = [], []
-            for i in range(0, len(fresh), 4096):
-                for x in self._whole([x.decode() for x in fresh[i: i + 4096]]):
+            texts = [data[a:b].decode() for a, b in zip(start_[fresh].tolist(), end_[fresh].tolist(), strict=True)]
+            for i in range(0, len(texts), 4096):
+                for x in self._whole(texts[i: i + 4096]):
                     count.append(len(x))
                     ids += x
-            self.bytes += sum(map(len, fresh))
+            slots[fresh] = len(self.count) + np.arange(len(fresh))
+            self.keys, self.slot = np.insert(self.keys, at_[fresh], keys[fresh]), np.insert(self.slot, at_[fresh], slots[fresh])
+            self.size = np.insert(self.size, at_[fresh], (end_ - start_)[fresh])
+            self.bytes += int((end_ - start_)[fresh].sum())
             self.count = np.concatenate([self.count, np.array(count, dtype=np.int64)])
             self.ids = np.concatenate([self.ids, np.array(ids, dtype=np.uint32)])
             self.first = np.cumsum(self.count) - self.count
         if not len(start):
             return np.zeros(0, dtype=np.uint32), np.zeros(len(at), dtype=np.int64)
-        of = np.array(slots, dtype=np.int64)[same.reshape(-1)]
+        of = slots[same.reshape(-1)]
         count = self.count[of]
         ids = self.ids[runs(self.first[of], count)]
         total = np.concatenate([[0], np.cumsum(count)])

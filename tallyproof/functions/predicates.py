@@ -16,6 +16,8 @@ _PIECE = re.compile(
 )
 _REDUCIBLE = re.compile(r"\(c\)|c[&|]c")
 _JOINTS = {"&": " AND ", "|": " OR ", "(": "(", ")": ")"}
+#: A predicate with more alternatives than this is not taken apart (see ``universe_terms``).
+MOST_TERMS = 64
 _INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
 
@@ -71,6 +73,37 @@ def universe_sql(df: DataFrame, expr: str | None) -> str:
     )
 
 
+def universe_terms(df: DataFrame, expr: str | None) -> set[frozenset[str]]:
+    """The predicate as alternatives: it holds for a row when all comparisons of one alternative hold.
+
+    Comparisons are SQL text, and none of them is negated, so one that is NULL may count as false. No predicate is one empty
+    alternative. A predicate of more than ``MOST_TERMS`` alternatives is one comparison of its own: the whole text.
+    """
+    if expr is None:
+        return {frozenset()}
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    levels: list[tuple[set, set]] = [(set(), {frozenset()})]  # per open parenthesis: alternatives so far, the one being read
+    for piece in _pieces(expr, kinds):
+        so_far, current = levels.pop()
+        if piece["joint"] == "(":
+            levels += [(so_far, current), (set(), {frozenset()})]
+        elif piece["joint"] == "|":
+            levels.append((so_far | current, {frozenset()}))
+        elif piece["joint"] == "&":
+            levels.append((so_far, current))
+        else:
+            if piece["joint"] == ")":
+                found = so_far | current
+                so_far, current = levels.pop()
+            else:
+                found = {frozenset([_comparison(piece, kinds[piece["column"]])])}
+            if len(found) * len(current) > MOST_TERMS:
+                return {frozenset([f"({universe_sql(df, expr)})"])}
+            levels.append((so_far, {a | b for a in current for b in found}))
+    so_far, current = levels.pop()
+    return so_far | current
+
+
 def universe_filter(df: DataFrame, expr: str | None) -> Column:
     """The predicate as a column for ``where``."""
     return F.expr(universe_sql(df, expr))

@@ -1,93 +1,136 @@
-"""Many estimates from one scan: every row is counted into all the domains it belongs to.
+"""Any number of estimates from one scan.
 
-A domain is one statistic over one universe. Domains are taken in batches of bounded size; a batch costs one
-scan of the data, and its result tables have one row per domain.
+A domain is one statistic of a variable over one universe, perhaps by a grouping column. Universes are taken apart into
+comparisons, and a data row gets one bit for each distinct comparison. Rows are summed up by variable, grouping column, bits and
+PSU; a domain is then a set of alternatives over the bits, kept as rows and joined to the bits that occur. So a data row is
+copied once for each variable and grouping column in use, never once for each domain.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..catalog import Catalog, Design
-from ..functions.predicates import codes_sql, finite_sql, integer_sql, universe_sql
+from ..functions.predicates import codes_sql, finite_sql, integer_sql, universe_terms
 from ..session import written
 from .estimates import Z95, stratified_ratio
-from .quantiles import interpolate, number_sql, running_weight, woodruff
+from .quantiles import interpolate, running_weight, woodruff
+from .tables import group_sql
 
-BATCH = 50
+WORD = 62  # comparisons in one whole number
 
 
 @dataclass(frozen=True)
 class Domain:
-    """``kind`` is prevalence, mean or quantile; ``q`` is set for quantiles only."""
+    """``kind`` is prevalence, mean or quantile; ``q`` is set for quantiles only. ``groupby`` names a grouping column."""
 
     variable: str
     universe: str | None
     kind: str
     q: float | None = None
+    groupby: str | None = None
 
     @property
     def key(self) -> str:
-        """A short name for reading; domains are told apart by their four fields."""
+        """A short name for reading; domains are told apart by their fields."""
         q = "" if self.q is None else f"{self.q:.6f}"
-        return f"{self.kind}|{self.variable}|{self.universe or ''}|{q}"
+        by = "" if self.groupby is None else f"|{self.groupby}"
+        return f"{self.kind}|{self.variable}|{self.universe or ''}|{q}{by}"
 
 
-def join_estimates(rows: DataFrame, estimates: DataFrame, *, kind: str, variable: str, universe: str, q: str, how: str = "left") -> DataFrame:
-    """``rows`` with the estimate of the domain that their columns name; missing values are equal to each other."""
+def join_estimates(
+    rows: DataFrame, estimates: DataFrame, *, kind: str, variable: str, universe: str, q: str, groupby: str | None = None, how: str = "left"
+) -> DataFrame:
+    """``rows`` with the estimates of the domain that their columns name; missing values are equal to each other."""
     names = {"kind": kind, "variable": variable, "universe": universe, "q": q}
+    if groupby is not None:
+        names["groupby"] = groupby
     found = estimates.select(*[F.col(c).alias(f"estimate_{c}") if c in names else F.col(c) for c in estimates.columns])
     same = [F.col(f"estimate_{c}").eqNullSafe(F.col(own)) for c, own in names.items()]
-    return rows.join(found, same[0] & same[1] & same[2] & same[3], how).drop(*[f"estimate_{c}" for c in names])
+    return rows.join(found, reduce(and_, same), how).drop(*[f"estimate_{c}" for c in names])
+
+
+@dataclass(frozen=True)
+class _Item:
+    """What a data row is counted under: a variable as a share, as a value, or its reserved codes; by a grouping column or not."""
+
+    variable: str
+    role: str
+    groupby: str | None
 
 
-def _member(inside: str, place: int, y: str, valid: str, run: str, w: str) -> str:
-    return (f"CASE WHEN {inside} THEN struct({place} AS domain, {y} AS y, {valid} AS valid, "
-            f"CAST({run} AS DOUBLE) AS run, CAST({w} AS DOUBLE) AS w) END")
+def _item(domain: Domain) -> _Item:
+    return _Item(domain.variable, "share" if domain.kind == "prevalence" else "value", domain.groupby)
 
 
-def _membership(df: DataFrame, domain: Domain, place: int, catalog: Catalog, design: Design) -> str:
-    """What a row contributes to a domain, as SQL text; NULL if it does not belong.
+def _member(df: DataFrame, place: int, item: _Item, mask: str, by_value: bool, catalog: Catalog, design: Design) -> str:
+    """What a row contributes to an item, as SQL text; NULL if it does not belong.
 
-    For means and quantiles reserved codes belong too, marked as not valid: the same pass then tells what the
+    Values outside the code list belong to means and quantiles too, marked as not valid: the same pass then tells what the
     estimate would be if they were kept.
     """
-    meta, name = catalog[domain.variable], domain.variable
-    w = finite_sql(df, meta.design(design).weight)
+    meta, name = catalog[item.variable], item.variable
     valid = f"coalesce({codes_sql(df, name, meta.valid)}, false)"
-    inside = f"({universe_sql(df, domain.universe)})"
-    if domain.kind == "prevalence":
-        yes = f"CASE WHEN {codes_sql(df, name, meta.affirmative)} THEN 1D ELSE 0D END"
-        return _member(f"{inside} AND {valid}", place, yes, "true", "NULL", w)
-    value = finite_sql(df, name)
-    run = value if domain.kind == "quantile" else "NULL"
-    return _member(f"{inside} AND {integer_sql(df, name)}", place, value, valid, run, w)
+    value, whole = finite_sql(df, name), integer_sql(df, name)
+    weight, run, group = finite_sql(df, meta.design(design).weight), value if by_value else "NULL", "0L"
+    if item.role == "share":
+        inside, y, valid = valid, f"CASE WHEN {codes_sql(df, name, meta.affirmative)} THEN 1D ELSE 0D END", "true"
+    elif item.role == "value":
+        inside, y = whole, value
+    else:
+        inside, y, valid, weight = f"{whole} AND NOT {valid}", value, "false", "NULL"
+    if item.groupby is not None:
+        inside = f"({inside}) AND ({group_sql(df, item.groupby, catalog)})"
+        group = f"CAST(`{item.groupby}` AS BIGINT)"
+    return (f"CASE WHEN {inside} THEN struct({place} AS item, {group} AS grp, {mask} AS mask, {y} AS y, {valid} AS valid, "
+            f"CAST({run} AS DOUBLE) AS run, CAST({weight} AS DOUBLE) AS w) END")
 
 
-def _retained_codes(df: DataFrame, name: str, place: int, catalog: Catalog) -> str:
-    """Reserved codes that occur anywhere in the column, as a domain of its own."""
-    reserved = f"NOT coalesce({codes_sql(df, name, catalog[name].valid)}, false)"
-    value = finite_sql(df, name)
-    return _member(f"{integer_sql(df, name)} AND {reserved}", place, value, "false", value, "NULL")
+def _words(bits: set[int]) -> dict[int, int]:
+    """Bits by number as words of ``WORD`` bits."""
+    words: dict[int, int] = {}
+    for bit in bits:
+        words[bit // WORD] = words.get(bit // WORD, 0) | 1 << bit % WORD
+    return words
 
 
-def _batch(df: DataFrame, domains: Sequence[Domain], catalog: Catalog, design: Design, z: float) -> DataFrame:
+def _estimates(df: DataFrame, domains: Sequence[Domain], catalog: Catalog, design: Design, z: float) -> DataFrame:
+    spark = df.sparkSession
+    universes = {u: universe_terms(df, u) for u in {d.universe for d in domains}}
+    bit = {text: i for i, text in enumerate(sorted({c for terms in universes.values() for term in terms for c in term}))}
     continuous = sorted({d.variable for d in domains if d.kind != "prevalence"})
-    code_place = {v: len(domains) + i for i, v in enumerate(continuous)}
-    members = [_membership(df, d, i, catalog, design) for i, d in enumerate(domains)]
-    members += [_retained_codes(df, v, i, catalog) for v, i in code_place.items()]
-    exploded = df.selectExpr(
-        f"`{design.stratum}` AS h", f"`{design.psu}` AS a",
-        f"inline(array({', '.join(members)}))",
-    ).where("domain IS NOT NULL")
-    # One row per domain, PSU and (for quantiles) value: small, and every estimate below comes from it.
+    items = sorted({_item(d) for d in domains}, key=lambda i: (i.variable, i.role, i.groupby or ""))
+    items += [_Item(v, "codes", None) for v in continuous]
+    place = {item: i for i, item in enumerate(items)}
+    by_value = {_item(d) for d in domains if d.kind == "quantile"} | {i for i in items if i.role == "codes"}
+    # An item is keyed only by the comparisons that its own domains make.
+    used: dict[_Item, set[int]] = {item: set() for item in items}
+    for d in domains:
+        used[_item(d)].update(bit[c] for term in universes[d.universe] for c in term)
+    used_words = {item: sorted(_words(bits).items()) for item, bits in used.items()}
+
+    flags = [f"CASE WHEN {text} THEN {1 << i % WORD}L ELSE 0L END" for text, i in bit.items()]
+    words = [" + ".join(flags[i:i + WORD]) for i in range(0, len(flags), WORD)]
+    members = [
+        _member(df, place[item], item,
+                f"CAST(array({', '.join(f'word_{word} & {part}L' for word, part in used_words[item])}) AS ARRAY<BIGINT>)",
+                item in by_value, catalog, design)
+        for item in items
+    ]
+    flagged = df.selectExpr("*", *[f"{word} AS word_{i}" for i, word in enumerate(words)])
+    counted = flagged.selectExpr(
+        f"`{design.stratum}` AS h", f"`{design.psu}` AS a", f"inline(array({', '.join(members)}))",
+    ).where("item IS NOT NULL")
+    # One row per item, group, outcome of the comparisons, PSU and (for quantiles) value: every estimate below comes from it.
     cells = written(
-        exploded.groupBy("domain", "h", "a", "run").agg(*map(F.expr, [
+        counted.groupBy("item", "grp", "mask", "h", "a", "run").agg(*map(F.expr, [
             "coalesce(sum(CASE WHEN valid THEN w * y END), 0D) AS s_wy",
             "coalesce(sum(CASE WHEN valid THEN w END), 0D) AS s_w",
             "coalesce(sum(CASE WHEN valid THEN y END), 0D) AS s_y",  # the unweighted variants need no weight
@@ -102,57 +145,74 @@ def _batch(df: DataFrame, domains: Sequence[Domain], catalog: Catalog, design: D
         ])),
         "domain_cells",
     )
-    spark = df.sparkSession
+
+    def needed(item: _Item, term: frozenset[str]) -> list[int]:
+        have = _words({bit[c] for c in term})
+        return [have.get(word, 0) for word, _ in used_words[item]]
+
+    terms = spark.createDataFrame(
+        [(i, place[_item(d)], d.kind, d.q, needed(_item(d), term)) for i, d in enumerate(domains) for term in universes[d.universe]],
+        "domain int, item int, kind string, q double, need array<bigint>",
+    )
     labels = spark.createDataFrame(
-        [(i, d.key, d.variable, d.universe, d.kind, d.q, code_place.get(d.variable)) for i, d in enumerate(domains)],
-        "domain int, domain_key string, variable string, universe string, kind string, q double, code_domain int",
+        [(i, d.key, d.variable, d.universe, d.kind, d.q, d.groupby) for i, d in enumerate(domains)],
+        "domain int, domain_key string, variable string, universe string, kind string, q double, groupby string",
     )
-
-    per_psu = cells.where(F.col("run").isNull())
-    half = f"{z!r}D * sqrt(variance)"
-    ratios = stratified_ratio(per_psu, ["domain"], carry=["s_y", "n_all", "kept_wy", "kept_w"]).selectExpr(
-        "domain", "ratio AS estimate", "sqrt(variance) AS se", f"ratio - {half} AS lci", f"ratio + {half} AS uci",
-        "CASE WHEN ratio * (1 - ratio) > 0 THEN variance * n / (ratio * (1 - ratio)) END AS deff",
-        "try_divide(s_y, n_all) AS unweighted", "try_divide(kept_wy, kept_w) AS reserved_kept",
-        "n", "denominator_weighted", "n_psu", "n_strata",
+    # Outcomes meet domains before cells do: both tables are small, and a cell then joins by equal keys only.
+    holds = (
+        cells.select("item", "mask").distinct().join(terms, "item")
+        .where("forall(zip_with(mask, need, (m, n) -> (m & n) = n), x -> x)")
+        .select("domain", "kind", "q", "item", "mask").distinct()
     )
-    estimates = ratios
-    quantile_domains = [d for d in domains if d.kind == "quantile"]
-    if quantile_domains:
-        estimates = ratios.unionByName(_quantiles(cells, domains, catalog, z))
+    inside = cells.join(holds, ["item", "mask"])
+    sums = [f"sum({c}) AS {c}" for c in ("s_wy", "s_w", "s_y", "n_all", "n", "n_dropped_weight", "kept_wy", "kept_w")]
+    half = f"{z!r}D * sqrt(variance)"
+    parts = []
+    if any(d.kind != "quantile" for d in domains):
+        per_psu = inside.where("kind != 'quantile'").groupBy("domain", "grp", "h", "a").agg(*map(F.expr, sums))
+        ratios = stratified_ratio(per_psu, ["domain", "grp"], carry=["s_y", "n_all", "kept_wy", "kept_w"])
+        parts.append(ratios.selectExpr(
+            "domain", "grp", "ratio AS estimate", "sqrt(variance) AS se", f"ratio - {half} AS lci", f"ratio + {half} AS uci",
+            "CASE WHEN ratio * (1 - ratio) > 0 THEN variance * n / (ratio * (1 - ratio)) END AS deff",
+            "try_divide(s_y, n_all) AS unweighted", "try_divide(kept_wy, kept_w) AS reserved_kept",
+            "n", "denominator_weighted", "n_psu", "n_strata",
+        ))
+    if any(d.kind == "quantile" for d in domains):
+        codes = max((catalog[d.variable].valid for d in domains if d.kind == "quantile"), key=len)
+        by_run = inside.where("kind = 'quantile'").groupBy("domain", "grp", "q", "h", "a", "run").agg(*map(F.expr, [
+            *sums, "min(low) AS low", "max(high) AS high", "bool_or(valid) AS valid"]))
+        parts.append(_quantiles(by_run.withColumnRenamed("run", "y"), codes, z))
+    estimates = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    code_items = spark.createDataFrame([(place[i], i.variable) for i in items if i.role == "codes"], "item int, variable string")
     retained = (
-        cells.where(F.col("domain") >= len(domains))
-        .groupBy(F.col("domain").alias("code_domain"))
+        cells.join(code_items, "item").groupBy("variable")
         .agg(F.array_sort(F.collect_set(F.col("run").cast("bigint"))).alias("retained_codes"))
     )
     scale = "CASE WHEN kind = 'prevalence' THEN 100D ELSE 1D END"
     scaled = ("estimate", "se", "lci", "uci", "unweighted", "reserved_kept")
     return (
         labels.join(estimates, "domain")
-        .join(retained, "code_domain", "left")
+        .join(retained, "variable", "left")
         .selectExpr(
             "domain_key", "variable", "universe", "kind", "q", *[f"{scale} * {c} AS {c}" for c in scaled],
             "CASE WHEN kind = 'prevalence' THEN deff END AS deff",
             "n", "denominator_weighted", "n_psu", "n_strata",
-            "coalesce(retained_codes, CAST(array() AS array<bigint>)) AS retained_codes",
+            "CASE WHEN kind = 'prevalence' OR retained_codes IS NULL THEN CAST(array() AS array<bigint>) ELSE retained_codes END AS retained_codes",
+            "groupby", "CASE WHEN groupby IS NOT NULL THEN grp END AS group_value",
         )
+        .where(F.col("n") > 0)
     )
 
 
-def _quantiles(cells: DataFrame, domains: Sequence[Domain], catalog: Catalog, z: float) -> DataFrame:
+def _quantiles(cells: DataFrame, codes: Sequence[int], z: float) -> DataFrame:
     """Quantile domains: the weighted point with its interval, and the two flawed points."""
-    wanted = [(i, d.q) for i, d in enumerate(domains) if d.kind == "quantile"]
-    codes = max((catalog[d.variable].valid for d in domains if d.kind == "quantile"), key=len)
-    q = f"element_at(map({', '.join(f'{i}, {number_sql(value)}' for i, value in wanted)}), domain)"
-    by_value = cells.where(F.col("run").isNotNull() & (F.col("domain") < len(domains))).withColumnRenamed("run", "y")
-    mass = by_value.where("valid").select(
-        "domain", "h", "a", "y", F.col("s_w").alias("s"), "n", "n_dropped_weight"
-    )
-    runs = by_value.groupBy("domain", "y").agg(*map(F.expr, [
+    keys = ["domain", "grp", "q"]
+    mass = cells.where("valid").select(*keys, "h", "a", "y", F.col("s_w").alias("s"), "n", "n_dropped_weight")
+    runs = cells.groupBy(*keys, "y").agg(*map(F.expr, [
         "sum(s_w) AS s", "sum(n_all) AS count", "sum(kept_w) AS kept", "min(low) AS low",
         "max(high) AS high",
     ]))
-    summed = running_weight(runs, ["domain"], codes, ("s", "count", "kept"))
+    summed = running_weight(runs, keys, codes, ("s", "count", "kept"))
 
     def marks(name: str, mass: str, low: str, high: str) -> tuple[str, str]:
         """First and last midpoint on the scale of one kind of mass; none where that mass is missing."""
@@ -162,16 +222,16 @@ def _quantiles(cells: DataFrame, domains: Sequence[Domain], catalog: Catalog, z:
         )
 
     knots = summed.selectExpr(
-        "domain", "y", *marks("k", "s", "low", "high"), *marks("u", "count", "1D", "1D"),
+        *keys, "y", *marks("k", "s", "low", "high"), *marks("u", "count", "1D", "1D"),
         *marks("a", "kept", "low", "high"),
     )
     flawed = [
-        interpolate(q, "y", "u_first", "u_last").alias("unweighted"),
-        interpolate(q, "y", "a_first", "a_last").alias("reserved_kept"),
+        interpolate("q", "y", "u_first", "u_last").alias("unweighted"),
+        interpolate("q", "y", "a_first", "a_last").alias("reserved_kept"),
     ]
-    points = woodruff(mass, knots, q, ["domain"], flawed, z)
+    points = woodruff(mass, knots, "q", keys, flawed, z)
     return points.select(
-        "domain", "estimate", "se", "lci", "uci", F.lit(None).cast("double").alias("deff"), "unweighted",
+        "domain", "grp", "estimate", "se", "lci", "uci", F.lit(None).cast("double").alias("deff"), "unweighted",
         "reserved_kept", "n", "denominator_weighted", "n_psu", "n_strata",
     )
 
@@ -192,21 +252,30 @@ ESTIMATE_SCHEMA = T.StructType(
         T.StructField("retained_codes", T.ArrayType(T.LongType())),
     ]
 )
+GROUPED_SCHEMA = T.StructType(
+    [*ESTIMATE_SCHEMA, T.StructField("groupby", T.StringType()), T.StructField("group_value", T.LongType())])
 
 
-def batch_estimates(
+def grouped_estimates(
     df: DataFrame, domains: Iterable[Domain], catalog: Catalog, design: Design, z: float = Z95
 ) -> DataFrame:
-    """One row per domain that has substantive rows; shares in percent, others in the variable's unit.
+    """One row per domain and group value that has substantive rows, ``group_value`` NULL for domains without grouping.
 
-    Runs one scan of the data per ``BATCH`` domains when called. The flawed variants ``unweighted`` and
-    ``reserved_kept`` come from the same scan.
+    Shares are in percent, others in the variable's unit. One scan of the data runs when this is called, whatever the number of
+    domains and of grouping columns; the flawed variants ``unweighted`` and ``reserved_kept`` come from the same scan. Domains
+    themselves are descriptions and stay on the driver.
     """
     todo = sorted(set(domains), key=lambda d: (d.key, d.q or 0.0))
     if not todo:
-        return df.sparkSession.createDataFrame([], ESTIMATE_SCHEMA)
-    parts = [_batch(df, todo[i:i + BATCH], catalog, design, z) for i in range(0, len(todo), BATCH)]
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.unionByName(part)
-    return found.where(F.col("n") > 0)
+        return df.sparkSession.createDataFrame([], GROUPED_SCHEMA)
+    return _estimates(df, todo, catalog, design, z)
+
+
+def batch_estimates(
+    df: DataFrame, domains: Iterable[Domain], catalog: Catalog, design: Design, z: float = Z95
+) -> DataFrame:
+    """``grouped_estimates`` of domains without grouping, one row for each that has substantive rows."""
+    todo = set(domains)
+    if any(d.groupby is not None for d in todo):
+        raise ValueError("a domain has a grouping column, use grouped_estimates")
+    return grouped_estimates(df, todo, catalog, design, z).drop("groupby", "group_value")

@@ -685,6 +685,33 @@ def _documents() -> None:
     ORACLES["grounded_table"] = with_(
         [MICRO, f"d AS ({rows('ever_a = 1 AND qty NOT IN (7, 8, 9) AND ' + VALID['age_a'], 'age_a', 'CAST(qty AS BIGINT)')})", taylor("d")],
         """SELECT g AS group_value, round(r, 6) AS estimate, round(se, 6) AS se, round(lci, 6) AS lci, round(uci, 6) AS uci, n FROM t""")
+    reserved = "NOT IN (7, 8, 9, 77, 88, 96, 97, 98, 99, 996, 997, 998, 999)"
+
+    def group(column: str) -> str:
+        return f"CAST({column} AS BIGINT)"
+
+    ORACLES["grounded_tables"] = with_(
+        [MICRO,
+         f"d1 AS ({rows(f'ever_a = 1 AND sex_a {reserved} AND ' + VALID['med_a'], yes('med_a'), group('sex_a'))})", taylor("d1", "t1"),
+         f"d2 AS ({rows(f'ever_a = 1 AND qty {reserved} AND ' + VALID['age_a'], 'age_a', group('qty'))})", taylor("d2", "t2"),
+         f"d3 AS ({rows(f'(sex_a = 1 OR qty > 25) AND pstrat {reserved} AND ' + VALID['inc_a'], 'inc_a', group('pstrat'))})", taylor("d3", "t3"),
+         f"d4 AS ({rows('ever_a IN (1, 2) AND ' + VALID['ht_a'], 'ht_a', group('ever_a'))})", taylor("d4", "t4"),
+         f"d5 AS ({rows(f'qty <= 10 AND ppsu {reserved} AND ' + VALID['inc_a'], 'inc_a', group('ppsu'))})", *woodruff("d5", "0.5", "w5"),
+         f"d6 AS ({rows(VALID['ht_a'], 'ht_a')})", taylor("d6", "t6"),
+         """found AS (SELECT 't1' AS request_id, g, 100 * r AS estimate, 100 * lci AS lci, 100 * uci AS uci, 100 * se AS se, n, tw FROM t1
+           UNION ALL SELECT 't5', g, point, lci, uci, se, n, tw FROM w5
+           UNION ALL SELECT 't6', NULL, r, lci, uci, se, n, tw FROM t6 """
+         + " ".join(f"UNION ALL SELECT '{t}', g, r, lci, uci, se, n, tw FROM {t}" for t in ("t2", "t3", "t4")) + ")",
+         "asked(request_id, variable, universe, stat, q, groupby) AS (VALUES " + ", ".join(
+             f"({text(r[0])}, {text(r[1])}, {text(r[2])}, {text(r[3])}, {'0.5' if r[3] == 'quantile' else 'NULL'}, {text(r[5])})"
+             for r in Q.TABLE_REQUESTS) + ")"],
+        """SELECT a.request_id, variable, universe, stat, CAST(q AS DOUBLE) AS q, groupby, g AS group_value,
+        CASE a.request_id WHEN 't7' THEN 'no column of numbers to group by: no_column'
+          WHEN 't8' THEN 'nothing to tabulate: no row that counts has a group value of qty'
+          WHEN 't9' THEN 'sex_a is not backed by a published document' END AS reason,
+        CASE WHEN f.request_id IS NULL THEN 'refused' ELSE 'answered' END AS status, round(estimate, 6) AS estimate,
+        round(lci, 6) AS lci, round(uci, 6) AS uci, round(se, 6) AS se, n, round(tw, 4) AS denominator_weighted
+        FROM asked a LEFT JOIN found f ON a.request_id = f.request_id""")
 
 
 # The English stop words of Spark ML that consist of word characters only.

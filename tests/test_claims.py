@@ -5,6 +5,7 @@ import pytest
 from tallyproof import WaveCatalog, WaveVariable
 from tallyproof.operators import requests as R
 from tallyproof.operators import rows as RW
+from tallyproof.operators import tables as TB
 from tallyproof.operators import trends as TR
 from tallyproof.operators import verify as V
 from tallyproof.sources.claims import TREND_SCHEMA, load_claims, load_trend_claims, malformed_records
@@ -166,6 +167,25 @@ def test_requests(spark, data):
     assert "universe" in got["e"]["reason"] and "unknown statistic" in got["f"]["reason"] and "between" in got["g"]["reason"]
 
 
+def test_requests_for_tables(spark, data):
+    asked = spark.createDataFrame([
+        ("a", "v", "x == 1", "mean", None, "g"), ("b", "x", None, "prevalence", None, "h"), ("c", "v", None, "quantile", None, ""),
+        ("d", "x", None, "prevalence", None, "nothing"), ("e", "x", "g == 55", "prevalence", None, "g"), ("f", "h", None, "mean", None, "g"),
+        ("g", "v", None, "mean", None, "p")], R.TABLE_REQUEST_SCHEMA)
+    backed = spark.createDataFrame([("x",), ("v",)], "variable string")
+    got = R.grounded_tables(data, asked, backed, CATALOG, DESIGN).collect()
+    for key, variable, groupby, options in (("a", "v", "g", dict(stat="mean", universe="x == 1")), ("b", "x", "h", {}), ("g", "v", "p", dict(stat="mean"))):
+        table = TB.grouped_table(data, variable, groupby, catalog=CATALOG, design=DESIGN, **options).collect()
+        mine = {r["group_value"]: r for r in got if r["request_id"] == key}
+        assert len(mine) == len(table) > 1
+        for r in table:
+            assert mine[r["group_value"]]["status"] == "answered" and mine[r["group_value"]]["n"] == r["n"]
+            assert mine[r["group_value"]]["estimate"] == pytest.approx(r["estimate"])
+    rest = {r["request_id"]: r for r in got if r["request_id"] in "cdef"}
+    assert rest["c"]["status"] == "answered" and rest["c"]["group_value"] is None
+    assert "group by" in rest["d"]["reason"] and "nothing to tabulate" in rest["e"]["reason"] and "not backed" in rest["f"]["reason"]
+
+
 def test_rows(data):
     got = RW.inspect_rows(data, ["g", "x"], universe="x == 1", limit=5)
     assert got.columns == ["g", "x"] and got.count() == 5

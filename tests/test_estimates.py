@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 
@@ -6,7 +7,8 @@ from tallyproof import Catalog, Design, Survey, Variable
 from tallyproof.operators import estimates as E
 from tallyproof.operators import quantiles as Q
 from tallyproof.operators import tables as TB
-from tallyproof.operators.batch import Domain, batch_estimates, join_estimates
+from tallyproof.operators.batch import Domain, batch_estimates, grouped_estimates, join_estimates
+from tallyproof.session import written
 
 from . import brute
 
@@ -186,13 +188,55 @@ def test_a_variable_has_its_own_weight(spark):
     assert survey.table("x", "g").first()["estimate"] == pytest.approx(90.0) and survey.table("x", "g").first()["weight"] == "w2"
 
 
-def test_batches_are_cut(data, monkeypatch):
+def test_many_domains_share_one_scan(data, rows, monkeypatch):
     from tallyproof.operators import batch
-    domains = [Domain("x", f"g == {i}", "prevalence") for i in (1, 2, 3)]
-    whole = {r["domain_key"]: r["estimate"] for r in batch_estimates(data, domains, CATALOG, DESIGN).collect()}
-    monkeypatch.setattr(batch, "BATCH", 1)
-    cut = {r["domain_key"]: r["estimate"] for r in batch_estimates(data, domains, CATALOG, DESIGN).collect()}
-    assert cut == pytest.approx(whole) and len(cut) == 3
+    tables = []
+    monkeypatch.setattr(batch, "written", lambda df, name: tables.append(name) or written(df, name))
+    universes = [f"(g {op} {i} | h == {i % 6}) & (p != {i % 4} | v >= {i}) & h <= {9 - i % 7}" for i in range(80) for op in ("==", "<", "!=")]
+    domains = [Domain("x", u, "prevalence") for u in universes] + [Domain("v", u, "mean") for u in universes]
+    found = {(r["universe"], r["kind"]): r for r in batch_estimates(data, domains, CATALOG, DESIGN).collect()}
+    assert tables == ["domain_cells"]
+
+    def holds(text, r):
+        names = dict(x=r[0], v=r[1], g=r[2], w=r[3], h=r[4], p=r[5])
+
+        def one(m):
+            value, op, number = names[m[1]], m[2], int(m[3])
+            if brute.missing(value):
+                return str(op == "!=")
+            return str(eval(f"{value} {op} {number}"))
+        return eval(re.sub(r"([a-z]) (==|!=|<=|>=|<|>) (\d+)", one, text).replace("|", " or ").replace("&", " and "))
+
+    for u in universes:
+        inside = [r for r in rows if holds(u, r)]
+        shares = [(1.0 if r[0] == 1 else 0.0, r[3], r[4], r[5]) for r in inside if r[0] in (1, 2)]
+        values = [(r[1], r[3], r[4], r[5]) for r in inside if valid_v(r)]
+        for kind, used, scale in (("prevalence", shares, 100), ("mean", values, 1)):
+            if sum(not brute.missing(r[1]) for r in used) == 0:
+                assert (u, kind) not in found
+                continue
+            if sum(r[1] for r in used if not brute.missing(r[1])) == 0:
+                continue
+            want = brute.ratio_ci(used)
+            close(found[u, kind].asDict(), {k: v * (scale if k in ("estimate", "se", "lci", "uci") else 1) for k, v in want.items()})
+
+
+def test_domains_by_group_equal_tables(data):
+    domains = [Domain("v", "x == 1", "mean", None, "g"), Domain("v", None, "quantile", 0.3, "h"), Domain("x", None, "prevalence", None, "g"),
+               Domain("x", None, "prevalence"), Domain("v", None, "mean", None, "x")]
+    found = grouped_estimates(data, domains, CATALOG, DESIGN).collect()
+    keys = ("estimate", "se", "lci", "uci", "n", "denominator_weighted")
+    for d in domains[:3] + domains[4:]:
+        table = TB.grouped_table(data, d.variable, d.groupby, catalog=CATALOG, design=DESIGN, stat=d.kind, q=d.q or 0.5, universe=d.universe)
+        want = {r["group_value"]: r.asDict() for r in table.collect() if r["n"]}
+        got = {r["group_value"]: r.asDict() for r in found if r["domain_key"] == d.key}
+        assert got.keys() == want.keys() and want
+        for g in want:
+            close(got[g], want[g], keys)
+    alone = [r for r in found if r["groupby"] is None]
+    assert len(alone) == 1 and alone[0]["group_value"] is None
+    with pytest.raises(ValueError, match="grouped_estimates"):
+        batch_estimates(data, domains, CATALOG, DESIGN)
 
 
 def test_table_cells_equal_single_estimates(data):

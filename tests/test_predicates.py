@@ -71,3 +71,12 @@ def test_ranges_hold_whole_numbers_only(spark):
     assert data.where(P.in_codes(data, "v", ())).count() == 0
     assert data.where(P.integer_like(data, "v")).count() == 2
 
+
+
+def test_alternatives(codes):
+    assert P.universe_terms(codes, None) == {frozenset()}
+    assert P.universe_terms(codes, "(a == 1 | b < 2) & id > 1 | a == 9") == {
+        frozenset({"`a` = 1", "`id` > 1"}), frozenset({"`b` < 2", "`id` > 1"}), frozenset({"`a` = 9"})}
+    many = " & ".join(f"(a == {i} | id == {i})" for i in range(8))  # 2 ** 8 alternatives
+    whole, = P.universe_terms(codes, many)
+    assert whole == {f"({P.universe_sql(codes, many)})"}

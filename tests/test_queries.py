@@ -8,7 +8,7 @@ from check import TABLES, canonical
 
 QUICK = ("scan_waves load_variables filter_universe validate_universe prevalence_registry quantile_weighted "
          "ci_prevalence ci_mean ci_quantile table_mean_by group_cap empirical_domain observed_codes tfidf_topk "
-         "interp_lookup first_sentence render_concept_docs verify_trend").split()
+         "interp_lookup first_sentence render_concept_docs verify_trend batch_estimate grounded_tables").split()
 
 
 @pytest.fixture(scope="module")

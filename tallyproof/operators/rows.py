@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..catalog import Catalog
-from ..functions.predicates import universe_filter
+from ..functions.predicates import codes_sql, integer_sql, universe_filter
 from ..functions.text import codes_text
 
 WARNING = "These are single answers without weights. They show how the data is coded and estimate nothing."
@@ -75,3 +75,22 @@ def rows_with_meanings(
         rows.select(F.lit("row").alias("part"), place.alias("place"), shown.alias("text")),
     ]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def code_counts(df: DataFrame, variables: Sequence[str], catalog: Catalog) -> DataFrame:
+    """One row per variable and whole-number code that occurs: ``rows`` that hold it, and whether it is ``valid``.
+
+    All variables share one scan, and counts are summed up before the shuffle, so a code of most rows costs one row per task and a
+    column of many millions of codes as many rows, never a list. Missing values and fractions are no codes. Codes of
+    a variable that are valid but never occur are in no row.
+    """
+    unknown = sorted(set(variables) - set(df.columns))
+    if unknown or not variables:
+        raise ValueError(f"which columns? no such columns: {', '.join(unknown)}" if unknown else "which columns?")
+    found = [
+        f"CASE WHEN {integer_sql(df, v)} THEN struct('{v}' AS variable, CAST(`{v}` AS BIGINT) AS code, "
+        f"coalesce({codes_sql(df, v, catalog[v].valid)}, false) AS valid) END"
+        for v in dict.fromkeys(variables)
+    ]
+    seen = df.selectExpr(f"inline(array({', '.join(found)}))").where("variable IS NOT NULL")
+    return seen.groupBy("variable", "code", "valid").agg(F.count("*").alias("rows"))

@@ -3,59 +3,72 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..catalog import WaveCatalog, WaveVariable
 from ..functions.predicates import as_flag, finite, in_codes
-from ..sources.microdata import wave_columns
+from ..session import written
+from ..sources.microdata import WaveTable, wave_columns
 
 # A domain of at most this many codes, none above this value, is categorical.
 CATEGORICAL_CODES = 12
 CATEGORICAL_MAX = 20
 
 
-def wave_answers(frames: Mapping[int, DataFrame], entries: Iterable[WaveVariable]) -> DataFrame:
+#: Waves as a table each, or all of them in one table partitioned by wave.
+Waves = Mapping[int, DataFrame] | WaveTable
+
+
+def _answer(df: DataFrame, e: WaveVariable, here: Column) -> Column:
+    """A row's answer to a measure, NULL if it has none."""
+    return F.when(
+        here & in_codes(df, e.variable, e.valid),
+        F.struct(
+            F.lit(e.canonical).alias("canonical"),
+            finite(df, e.variable).alias("v"),
+            as_flag(in_codes(df, e.variable, e.affirmative)).alias("yes"),
+            finite(df, e.weight).alias("w"),
+        ),
+    )
+
+
+def wave_answers(waves: Waves, entries: Iterable[WaveVariable]) -> DataFrame:
     """Substantive answers of all waves, each measure read from its own column, weight and codes.
 
-    One scan per wave: a row carries all its measures, exploded just before the aggregation. A wave that lacks the column
-    or the weight of one of its measures is an error: no share can be made up for it.
+    A row carries all its measures, exploded just before the aggregation. Waves in one table take one scan of the partitions
+    that hold a measure asked for, separate tables one each. A wave that lacks the column or the weight of one of its
+    measures is an error: no share can be made up for it.
     """
-    parts = []
-    for wave, df in sorted(frames.items()):
-        here = [e for e in entries if e.wave == wave]
-        lacking = sorted({c for e in here for c in (e.variable, e.weight)} - set(df.columns))
+    together = isinstance(waves, WaveTable)
+    asked: dict[int, list[WaveVariable]] = {}
+    for e in entries:
+        if e.wave in waves.columns if together else e.wave in waves:
+            asked.setdefault(e.wave, []).append(e)
+    for wave, here in sorted(asked.items()):
+        have = waves.columns[wave] if together else set(waves[wave].columns)
+        lacking = sorted({c for e in here for c in (e.variable, e.weight)} - set(have))
         if lacking:
             raise ValueError(f"wave {wave} has no column {', '.join(lacking)}")
-        if not here:
-            continue
-        answers = F.array_compact(
-            F.array(*[
-                F.when(
-                    in_codes(df, e.variable, e.valid),
-                    F.struct(
-                        F.lit(e.canonical).alias("canonical"),
-                        finite(df, e.variable).alias("v"),
-                        as_flag(in_codes(df, e.variable, e.affirmative)).alias("yes"),
-                        finite(df, e.weight).alias("w"),
-                    ),
-                )
-                for e in here
-            ])
-        )
-        parts.append(df.select(F.lit(wave).alias("wave"), F.inline(answers)))
-    if not parts:
+    if not asked:
         raise ValueError("no wave holds any of the columns asked for")
-    answers = parts[0]
-    for part in parts[1:]:
-        answers = answers.unionByName(part)
-    return answers
-
-
-def value_table(frames: Mapping[int, DataFrame], entries: Iterable[WaveVariable]) -> DataFrame:
+    if together:
+        answers = [_answer(waves.rows, e, F.col("wave") == e.wave) for wave in sorted(asked) for e in asked[wave]]
+        rows = waves.rows.where(F.col("wave").isin(*sorted(asked)))
+        return rows.select("wave", F.inline(F.array_compact(F.array(*answers))))
+    parts = [
+        waves[wave].select(F.lit(wave).alias("wave"),
+                           F.inline(F.array_compact(F.array(*[_answer(waves[wave], e, F.lit(True)) for e in here]))))
+        for wave, here in sorted(asked.items())
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def value_table(waves: Waves, entries: Iterable[WaveVariable]) -> DataFrame:
     """Counts and weight per measure, wave and value. Bounded by the code lists; enough for shares and domains."""
-    return wave_answers(frames, entries).groupBy("canonical", "wave", "v").agg(
+    return wave_answers(waves, entries).groupBy("canonical", "wave", "v").agg(
         F.max("yes").alias("yes"),
         F.sum("w").alias("s_w"),
         F.count("w").alias("n"),
@@ -63,11 +76,11 @@ def value_table(frames: Mapping[int, DataFrame], entries: Iterable[WaveVariable]
     )
 
 
-def _wave_summary(frames: Mapping[int, DataFrame], catalog: WaveCatalog) -> DataFrame:
+def _wave_summary(waves: Waves, catalog: WaveCatalog) -> DataFrame:
     """Share and domain per measure and wave, from one aggregation."""
     share = F.try_divide(F.sum(F.col("yes") * F.col("s_w")), F.sum("s_w"))
     categorical = (F.count("v") <= CATEGORICAL_CODES) & (F.max("v") <= CATEGORICAL_MAX)
-    found = value_table(frames, catalog).groupBy("canonical", "wave").agg(
+    found = value_table(waves, catalog).groupBy("canonical", "wave").agg(
         (100 * share).alias("value_pct"),
         F.sum("n").alias("n_denominator"),
         F.coalesce(F.sum("s_w"), F.lit(0.0)).alias("denominator_weighted"),
@@ -76,7 +89,7 @@ def _wave_summary(frames: Mapping[int, DataFrame], catalog: WaveCatalog) -> Data
         F.count("v").alias("cardinality"),
         F.when(categorical, "categorical").otherwise("continuous").alias("seen_encoding"),
     )
-    declared = catalog.as_frame(next(iter(frames.values())).sparkSession)
+    declared = catalog.as_frame(found.sparkSession)
     declared = declared.select("canonical", "wave", "variable", "encoding")
     return declared.join(found, ["canonical", "wave"], "left").select(
         "canonical", "wave", "variable",
@@ -89,13 +102,13 @@ def _wave_summary(frames: Mapping[int, DataFrame], catalog: WaveCatalog) -> Data
     )
 
 
-def trend_prevalence(frames: Mapping[int, DataFrame], canonical: str, catalog: WaveCatalog) -> DataFrame:
+def trend_prevalence(waves: Waves, canonical: str, catalog: WaveCatalog) -> DataFrame:
     """Weighted share per wave, each wave with its own variable, weight and codes; NULL where no answer has a weight."""
     entries = [e for e in catalog if e.canonical == canonical]
     if not entries:
         raise KeyError(f"{canonical!r} is not in the wave catalog")
     share = F.try_divide(F.sum(F.col("w") * F.col("yes")), F.sum("w"))
-    return wave_answers(frames, entries).groupBy("wave").agg(
+    return wave_answers(waves, entries).groupBy("wave").agg(
         (100 * share).alias("value_pct"),
         F.count_if((F.col("yes") == 1.0) & F.col("w").isNotNull()).alias("n_numerator"),
         F.count("w").alias("n_denominator"),
@@ -103,9 +116,9 @@ def trend_prevalence(frames: Mapping[int, DataFrame], canonical: str, catalog: W
     )
 
 
-def empirical_domain(frames: Mapping[int, DataFrame], catalog: WaveCatalog) -> DataFrame:
+def empirical_domain(waves: Waves, catalog: WaveCatalog) -> DataFrame:
     """Range, number of distinct values and encoding of each measure in each wave."""
-    return _wave_summary(frames, catalog).select(
+    return _wave_summary(waves, catalog).select(
         "canonical", "wave", "variable", "encoding", "lo", "hi", "cardinality"
     )
 
@@ -122,9 +135,9 @@ def _used_columns(claims: DataFrame, catalog: WaveCatalog) -> DataFrame:
     return years.withColumn("used", F.nullif(used, F.lit(""))).join(right, ["canonical", "year"], "left")
 
 
-def rename_gap(claims: DataFrame, frames: Mapping[int, DataFrame], catalog: WaveCatalog) -> DataFrame:
+def rename_gap(claims: DataFrame, waves: Waves, catalog: WaveCatalog) -> DataFrame:
     """Claimed columns that a wave does not have, with the column that should have been used."""
-    have = wave_columns(claims.sparkSession, frames).select(
+    have = wave_columns(claims.sparkSession, waves).select(
         F.col("wave").alias("year"), F.col("column").alias("used")
     )
     return (
@@ -162,17 +175,18 @@ def _messages(rows: DataFrame, text: Column) -> DataFrame:
     return rows.groupBy("id").agg(F.transform(ordered, lambda m: m["text"]).alias("messages"))
 
 
-def verify_trends(claims: DataFrame, frames: Mapping[int, DataFrame], catalog: WaveCatalog) -> DataFrame:
+def verify_trends(claims: DataFrame, waves: Waves, catalog: WaveCatalog) -> DataFrame:
     """A verdict per trend claim: renamed columns, then the encoding guard, then the values.
 
-    When the guard refuses, no values are computed for the claim. Yearly values are compared after rounding.
+    The data are read once, into a written summary of a row per measure and wave; calling this runs that scan. When the guard
+    refuses, no values are computed for the claim. Yearly values are compared after rounding.
     """
     spark = claims.sparkSession
-    summary = _wave_summary(frames, catalog)
+    summary = written(_wave_summary(waves, catalog), "wave_summary")  # a few rows that three steps below read
     known = spark.createDataFrame([(c,) for c in sorted({e.canonical for e in catalog})], "canonical string")
 
     gaps = _messages(
-        rename_gap(claims, frames, catalog),
+        rename_gap(claims, waves, catalog),
         F.format_string("%d: column %s is not in this wave, it was renamed; the right column is %s",
                         "year", "used", F.coalesce("right_variable", F.lit("unknown"))),
     ).withColumnRenamed("messages", "gap")
@@ -224,8 +238,8 @@ def verify_trends(claims: DataFrame, frames: Mapping[int, DataFrame], catalog: W
     )
 
 
-def waves_missing(claims: DataFrame, frames: Mapping[int, DataFrame]) -> DataFrame:
+def waves_missing(claims: DataFrame, waves: Waves) -> DataFrame:
     """Years that trend claims need and no wave provides; trends are published only when there are none."""
     needed = claims.select(F.explode("years").alias("year")).distinct()
-    have = claims.sparkSession.createDataFrame([(w,) for w in frames], "year int")
+    have = claims.sparkSession.createDataFrame([(w,) for w in waves], "year int")
     return needed.join(have, "year", "left_anti")

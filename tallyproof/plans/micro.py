@@ -50,10 +50,13 @@ WAVES = WaveCatalog(
 )
 
 
-def micro(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Coded microdata from ``lineitem``: yes/no items, skip patterns, reserved codes, weights and a design."""
+def micro(spark: SparkSession, sf_dir: str, shipped: str = "true") -> DataFrame:
+    """Coded microdata from ``lineitem``: yes/no items, skip patterns, reserved codes, weights and a design.
+
+    ``shipped`` is a condition on ``l_shipdate``, which the scan can apply by itself.
+    """
     k, disc = F.col("k"), F.col("disc")
-    base = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
+    base = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where(shipped).select(
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("k"),
         F.year("l_shipdate").alias("yr"),
         F.col("l_discount").alias("disc"),
@@ -85,14 +88,14 @@ def micro(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def wave_frames(spark: SparkSession, sf_dir: str) -> dict[int, DataFrame]:
     """Two waves of one survey, every row in one of them: the later one renamed a column and recoded another."""
-    data = micro(spark, sf_dir)
+    first_new = f"DATE'{OLD_WAVE + 1}-01-01'"
     unknown, qty = F.col("resp_id") % 71 == 0, F.col("qty")
-    old = data.where(F.col("yr") <= OLD_WAVE).select(
+    old = micro(spark, sf_dir, f"l_shipdate < {first_new}").select(
         F.when((F.col("ever_a") == 2) & (F.col("pre_a") == 1), 3).otherwise(F.col("ever_a")).alias("ever1"),
         F.when(unknown, 9999).otherwise(1500 + qty * 50).alias("bmi"),
         F.col("wt").alias("wt_sa"), "pstrat", "ppsu",
     )
-    new = data.where(F.col("yr") > OLD_WAVE).select(
+    new = micro(spark, sf_dir, f"l_shipdate >= {first_new}").select(
         "ever_a",
         F.when(unknown, 9).when(qty <= 8, 1).when(qty <= 25, 2).when(qty <= 38, 3).otherwise(4).alias("bmicat_a"),
         "wt", "pstrat", "ppsu",

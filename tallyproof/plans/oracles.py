@@ -342,6 +342,7 @@ def _trends() -> None:
     base = _trend_claims()
     ORACLES["trend_prevalence"] = with_(base, """SELECT wave, round(pct, 6) AS value_pct, n1 AS n_numerator,
         n AS n_denominator, round(tw, 4) AS denominator_weighted FROM shares WHERE canonical = 'condition_ever'""")
+    ORACLES["partition_waves"] = ORACLES["trend_prevalence"]
     ORACLES["load_trend_claims"] = with_(base, f"""SELECT id, canonical, '{OLD_WAVE},{NEW_WAVE}' AS years,
         single_variable, old_variable, new_variable, old_value, new_value, CAST(0.3 AS DOUBLE) AS tolerance,
         seeded_defect FROM tclaims""")
@@ -513,6 +514,9 @@ def _claims() -> None:
         coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (NOT ({VALID[v].replace(v, 'c')})), '') AS retained
         FROM (SELECT DISTINCT {v} AS c FROM micro WHERE {v} IS NOT NULL)""" for v in ("age_a", "ht_a", "inc_a"))
     ORACLES["observed_codes"] = with_([MICRO], observed)
+    ORACLES["code_counts"] = with_([MICRO], " UNION ALL ".join(
+        f"""SELECT '{v}' AS variable, CAST({v} AS BIGINT) AS code, {VALID[v]} AS valid, count(*) AS rows FROM micro
+        WHERE {v} IS NOT NULL GROUP BY {v}""" for v in ("ever_a", "med_a", "age_a", "ht_a", "inc_a")))
     ORACLES["caught_count"] = with_(base, f"""SELECT count(*) AS claims, count(*) FILTER (verdict = 'PASS') AS passed,
         count(*) FILTER (verdict = 'FAIL') AS failed, count(*) FILTER (verdict = 'DESCRIPTIVE') AS descriptive,
         count(*) FILTER ({caught}) AS caught, count(*) FILTER (verdict = 'FAIL' AND NOT seeded_defect) AS real_failures

@@ -462,6 +462,13 @@ def trend_prevalence(spark, sf_dir):
     return tidy(TR.trend_prevalence(wave_frames(spark, sf_dir), "condition_ever", WAVES))
 
 
+@query
+def partition_waves(spark, sf_dir):
+    """The shares of both waves from one scan of their copy partitioned by wave."""
+    waves = M.partition_waves(wave_frames(spark, sf_dir), f"{scratch_dir(spark)}/waves")
+    return tidy(TR.trend_prevalence(waves, "condition_ever", WAVES))
+
+
 @query
 def rename_gap(spark, sf_dir):
     return TR.rename_gap(C.trend_claims(spark, sf_dir), wave_frames(spark, sf_dir), WAVES)
@@ -586,6 +593,12 @@ def observed_codes(spark, sf_dir):
         F.array_join(F.array_except("observed", "valid_codes").cast("array<string>"), ",").alias("retained"))
 
 
+@query
+def code_counts(spark, sf_dir):
+    """Every code of five columns with its rows, valid or not."""
+    return RW.code_counts(micro(spark, sf_dir), ["ever_a", "med_a", "age_a", "ht_a", "inc_a"], CATALOG)
+
+
 @query
 def caught_count(spark, sf_dir):
     return V.caught_count(published(spark, sf_dir).verdicts)

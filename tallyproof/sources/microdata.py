@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -92,9 +93,43 @@ def scan_waves(frames: Mapping[int, DataFrame], columns: Sequence[str] | None =
     return waves
 
 
-def wave_columns(spark: SparkSession, frames: Mapping[int, DataFrame]) -> DataFrame:
+@dataclass(frozen=True)
+class WaveTable:
+    """All waves as one table with a ``wave`` column, and the names of the columns that each wave has."""
+
+    rows: DataFrame
+    columns: Mapping[int, frozenset[str]]
+
+    def __iter__(self) -> Iterator[int]:
+        return iter(sorted(self.columns))
+
+
+def partition_waves(frames: Mapping[int, DataFrame], path: str) -> WaveTable:
+    """Write all waves as one Parquet table partitioned by ``wave``, a list of their columns beside it, and open it.
+
+    A column that a wave does not have is NULL there; columns of one name take the wider type of the two. A wave whose own
+    data has a column ``wave`` is an error.
+    """
+    clash = sorted(w for w, df in frames.items() if "wave" in df.columns)
+    if clash:
+        raise ValueError(f"waves with a column named wave: {', '.join(map(str, clash))}")
+    spark = next(iter(frames.values())).sparkSession
+    scan_waves(frames).write.partitionBy("wave").parquet(f"{path}/rows")
+    wave_columns(spark, frames).coalesce(1).write.parquet(f"{path}/columns")
+    return open_waves(spark, path)
+
+
+def open_waves(spark: SparkSession, path: str) -> WaveTable:
+    """A table written by ``partition_waves``; only the short list of columns is read here."""
+    names: dict[int, set[str]] = {}
+    for row in spark.read.parquet(f"{path}/columns").collect():
+        names.setdefault(row["wave"], set()).add(row["column"])
+    rows = spark.read.parquet(f"{path}/rows")
+    return WaveTable(rows, {wave: frozenset(columns) for wave, columns in names.items()})
+
+
+def wave_columns(spark: SparkSession, waves: Mapping[int, DataFrame] | WaveTable) -> DataFrame:
     """One row per wave and column, from the schemas alone."""
+    have = waves.columns if isinstance(waves, WaveTable) else {wave: df.columns for wave, df in waves.items()}
     return spark.createDataFrame(
-        [(wave, column) for wave, df in sorted(frames.items()) for column in df.columns],
-        "wave int, column string",
-    )
+        [(wave, column) for wave in sorted(have) for column in sorted(have[wave])], "wave int, column string")

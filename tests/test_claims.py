@@ -8,6 +8,7 @@ from tallyproof.operators import rows as RW
 from tallyproof.operators import tables as TB
 from tallyproof.operators import trends as TR
 from tallyproof.operators import verify as V
+from tallyproof.sources import microdata as M
 from tallyproof.sources.claims import TREND_SCHEMA, load_claims, load_trend_claims, malformed_records
 
 from . import brute
@@ -149,6 +150,36 @@ def test_trends(spark, tmp_path, waves):
     assert [r["year"] for r in TR.waves_missing(stated, {2: waves[2]}).collect()] == [1]
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_waves_in_one_table(spark, tmp_path, waves):
+    table = M.partition_waves(waves, f"{tmp_path}/waves")
+    again = M.open_waves(spark, f"{tmp_path}/waves")
+    assert list(again) == [1, 2] and again.columns == {1: {"old_x", "old_size", "old_w"}, 2: {"x", "size", "w"}} == table.columns
+    for measure in ("yes", "size"):
+        found = TR.trend_prevalence(again, measure, WAVES)
+        assert sorted(found.collect()) == sorted(TR.trend_prevalence(waves, measure, WAVES).collect())
+        plan = plan_of(found)
+        assert plan.count("FileScan") == 1 and "PartitionFilters: [isnotnull(wave" in plan or "PartitionFilters: [wave" in plan
+    assert sorted(TR.empirical_domain(again, WAVES).collect()) == sorted(TR.empirical_domain(waves, WAVES).collect())
+    only = WaveCatalog([e for e in WAVES if e.wave == 2])
+    assert [r["wave"] for r in TR.trend_prevalence(again, "yes", only).collect()] == [2]
+    stated = load(spark, tmp_path, [
+        trend("right", "yes", {"1": 25.2, "2": 25.0}, per_year={"1": "old_x", "2": "x"}),
+        trend("renamed", "yes", {"1": 25.0, "2": 25.0}, single="x"),
+        trend("later", "yes", {"1": 25.0, "3": 25.0}, per_year={"1": "old_x", "3": "x"}, years=(1, 3))], load_trend_claims)
+    key = lambda r: r["id"]
+    assert sorted(TR.verify_trends(stated, again, WAVES).collect(), key=key) == sorted(TR.verify_trends(stated, waves, WAVES).collect(), key=key)
+    assert [r["year"] for r in TR.waves_missing(stated, again).collect()] == [3]
+    lacking = WaveCatalog([WaveVariable("yes", 2, "old_x", "w", (1, 2), (1,), "categorical")])
+    with pytest.raises(ValueError, match="wave 2 has no column old_x"):
+        TR.trend_prevalence(again, "yes", lacking)
+    with pytest.raises(ValueError, match="named wave: 7"):
+        M.partition_waves({7: waves[1].withColumnRenamed("old_x", "wave")}, f"{tmp_path}/other")
+
+
 def test_domain_falls_back_to_the_declared_encoding(spark, waves):
     empty = {1: waves[1].where("old_size = 0"), 2: waves[2]}
     got = {(r["canonical"], r["wave"]): r for r in TR.empirical_domain(empty, WAVES).collect()}
@@ -197,6 +228,19 @@ def test_rows(data):
         RW.inspect_rows(data, ["x"], universe="x.__class__", limit=1)
 
 
+def test_codes_are_rows(data):
+    got = {(r["variable"], r["code"]): (r["rows"], r["valid"]) for r in RW.code_counts(data, ["x", "v", "x"], CATALOG).collect()}
+    want = {}
+    for r in make_rows():
+        for name, value, valid in (("x", r[0], r[0] in (1, 2)), ("v", r[1], valid_v(r))):
+            if not brute.missing(value) and value == int(value):
+                want[name, int(value)] = (want.get((name, int(value)), (0, valid))[0] + 1, valid)
+    assert got == want and got["v", 97][1] is False
+    assert RW.code_counts(data.where("false"), ["x"], CATALOG).isEmpty()
+    with pytest.raises(ValueError, match="nothing"):
+        RW.code_counts(data, ["nothing"], CATALOG)
+
+
 def test_rows_with_meanings(spark, data):
     backed = spark.createDataFrame([("v",)], "variable string")
     got = RW.rows_with_meanings(data, ["v", "x", "nothing"], CATALOG, backed, limit=4, universe="x == 2", order_by=["v"]).collect()

@@ -228,10 +228,10 @@ def test_rows(data):
         RW.inspect_rows(data, ["x"], universe="x.__class__", limit=1)
 
 
-def test_codes_are_rows(data):
+def test_codes_are_rows(data, rows):
     got = {(r["variable"], r["code"]): (r["rows"], r["valid"]) for r in RW.code_counts(data, ["x", "v", "x"], CATALOG).collect()}
     want = {}
-    for r in make_rows():
+    for r in rows:
         for name, value, valid in (("x", r[0], r[0] in (1, 2)), ("v", r[1], valid_v(r))):
             if not brute.missing(value) and value == int(value):
                 want[name, int(value)] = (want.get((name, int(value)), (0, valid))[0] + 1, valid)

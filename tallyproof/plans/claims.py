@@ -1,181 +1,273 @@
-"""Claims about the microdata, with figures taken from right and from flawed methods.
+"""Claims about the deliveries, with figures taken from right and from flawed methods.
 
-Figures are computed from the data at hand, so the claims are right or wrong in the same way at every scale.
+A few claims stand for the whole survey. Beside them every supplier reports one figure of one year and one trend, so claims grow with the
+tables. Figures are computed from the data at hand; which supplier reports what, and with which flaw, follows from its number.
 """
 
 from __future__ import annotations
 
+import hashlib
+from dataclasses import astuple, dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.batch import Domain, batch_estimates
 from ..operators.trends import trend_prevalence
-from ..session import scratch_dir
+from ..operators.verify import CI_SLACK
+from ..session import shared_dir
 from ..sources.claims import load_claims, load_trend_claims
-from .micro import CATALOG, DESIGN, NEW_WAVE, OLD_WAVE, WAVES, micro, wave_frames
-
-EVER = "ever_a == 1"
-
-DOMAINS = [
-    Domain("ever_a", None, "prevalence"),
-    Domain("pre_a", None, "prevalence"),
-    Domain("med_a", EVER, "prevalence"),
-    Domain("med_a", "(ever_a == 1) | (pre_a == 1)", "prevalence"),
-    Domain("age_a", EVER, "mean"),
-    Domain("age_a", EVER, "quantile", 0.5),
-    Domain("age_a", EVER, "quantile", 0.25),
-    Domain("ht_a", None, "mean"),
-    Domain("inc_a", None, "mean"),
-    Domain("inc_a", None, "quantile", 0.25),
-]
+from ..sources.microdata import last_modified
+from .micro import CATALOG, DESIGN, EARLY, LATE, MAY_CLAIM, MIDDLE, PAID_BACK, SENT_BACK, WAVES, micro, wave_frames
+
+YEARS = tuple(range(1995, 2002))
+
+
+@dataclass(frozen=True)
+class Spec:
+    """A claim as its author words it. ``source`` and ``figure`` say where its number comes from, ``shift`` what is added to it, ``width``
+    the part of the right interval that it states. In reports of suppliers the year is added to universes, label and source."""
+
+    id: str
+    variable: str
+    label: str
+    universe: str | None
+    seeded: bool
+    link: str | None
+    prose: str
+    statistic: str | None = None
+    kind: str | None = None
+    q: float | None = None
+    unit: str | None = None
+    method: str | None = None
+    weighted: bool | None = None
+    tolerance: float | None = None
+    source: str | None = None
+    figure: str | None = None
+    shift: float = 0.0
+    width: float | None = None
+
+
+SPEC_SCHEMA = (
+    "id string, variable string, label string, universe string, seeded boolean, link string, prose string, statistic string, "
+    "kind string, q double, unit string, method string, weighted boolean, tolerance double, source string, figure string, shift double, "
+    "width double"
+)
+NAIVE = "naive"  # refunds among all lines, no weights
+
+
+def _spec(cid, domain: Domain, label, statistic, *, seeded=False, link=None, prose=None, unit=None, tolerance=0.3, figure="estimate",
+          weighted=True, method=..., asked=..., source=None, **more) -> Spec:
+    return Spec(
+        cid, domain.variable, label, domain.universe if asked is ... else asked, seeded, link, f"{label}." if prose is None else prose,
+        statistic, domain.kind, domain.q, unit, domain.universe if method is ... else method, weighted, tolerance, source or domain.key, figure, **more)
+
+
+SHARE_BACK = Domain("outcome", None, "prevalence")
+REFUNDED = Domain("refund", PAID_BACK, "prevalence")
+REFUNDED_ASKED = Domain("refund", MAY_CLAIM, "prevalence")
+WAIT_MEAN = Domain("wait", SENT_BACK, "mean")
+WAIT_MEDIAN = Domain("wait", SENT_BACK, "quantile", 0.5)
+SPEND_MEAN = Domain("spend", None, "mean")
+SPEND_LOW = Domain("spend", None, "quantile", 0.25)
+CUT_MEAN = Domain("cut", None, "mean")
+CUT_DEEP = Domain("cut", None, "prevalence")
+PAID_SHARE = Domain("paid", None, "prevalence")
 
-# id, variable, label, analytical universe, seeded, links, prose, statistic, kind, q, unit, method universe,
-# weighted, tolerance, source of the figure (domain number, column), half-width factor of the claimed interval
 SPECS = [
-    ("ever_a", "ever_a", "Ever had the condition", None, False, ["med_a", "age_a"],
-     "Share of all respondents who ever had the condition. Treatment is asked in [[med_a]].",
-     "Weighted share with the condition", "prevalence", None, None, None, True, 0.3, (0, "estimate"), 1.0),
-    ("pre_a", "pre_a", 'Early form, "pre"', None, False, ["ever_a"],
-     "Code 1 means the early form was found. It is a separate item from [[ever_a]].",
-     None, None, None, None, None, None, None, None, None),
-    ("med_a", "med_a", "Medication among people with the condition", EVER, False, ["ever_a", "pre_a"],
-     "Takes medication, among people with the condition ([[ever_a]] == 1).",
-     "Weighted share on medication among people with the condition", "prevalence", None, "%", EVER, True, 0.5,
-     (2, "estimate"), None),
-    ("med_a_all", "med_a", "Medication among everybody asked", None, False, ["med_a", "no_such_doc"],
-     "Takes medication, among everybody asked.", "Weighted share on medication among those asked", "prevalence",
-     None, "%", "(ever_a == 1) | (pre_a == 1)", True, 0.5, (3, "estimate"), None),
-    ("age_a", "age_a", "Mean age when first told", EVER, False, ["ever_a"],
-     "Mean age when first told about the condition, see [[ever_a]].", "Weighted mean age when first told", "mean",
-     None, "years", EVER, True, 0.3, (4, "estimate"), None),
-    ("age_a_median", "age_a", "Median age when first told", EVER, False, ["age_a"],
-     "Half of the people with the condition were told by this age.", "Weighted median age when first told",
-     "quantile", 0.5, "years", EVER, True, 0.3, (5, "estimate"), None),
-    ("ht_a", "ht_a", "Mean height", None, False, [],
-     "Mean height of all respondents.", "Weighted mean height", "mean", None, "inches", None, True, 0.1,
-     (7, "estimate"), None),
-    ("inc_a", "inc_a", "Mean income", None, False, [],
-     "Mean income of all respondents.", "Weighted mean income", "mean", None, "thousand", None, True, 0.3,
-     (8, "estimate"), None),
-    ("med_a_naive", "med_a", "Medication, whole sample", EVER, True, ["ever_a"],
-     "Share on medication.", "Share on medication among people with the condition", "prevalence", None, "%", None,
-     False, 0.5, ("naive", None), None),
-    ("inc_a_unweighted", "inc_a", "Mean income, plain average", None, True, ["ever_a"],
-     "Average income.", "Mean income", "mean", None, "thousand", None, False, 0.3, (8, "unweighted"), None),
-    ("inc_a_q1_unweighted", "inc_a", "First quartile of income, plain", None, True, ["ever_a"],
-     "First quartile of income.", "First quartile of income", "quantile", 0.25, "thousand", None, True, 0.3,
-     (9, "unweighted"), None),
-    ("ht_a_rawcodes", "ht_a", "Mean height, reserved codes kept", None, True, [],
-     "Average of the height column.", "Mean height", "mean", None, "inches", None, True, 0.1,
-     (7, "reserved_kept"), None),
-    ("ever_a_tightci", "ever_a", "Share with an interval that is too narrow", None, True, ["med_a"],
-     "The share is right, its interval is not.", "Weighted share with the condition", "prevalence", None, "%", None,
-     True, 0.3, (0, "estimate"), 0.4),
-    ("pre_a_wrong", "pre_a", "A wrong share under the right method", None, True, ["ever_a"],
-     "Share with the early form.", "Weighted share with the early form", "prevalence", None, "%", None, True, 0.5,
-     (1, "doubled"), None),
-    ("pre_a_noprose", "pre_a", "A record without text", None, True, [], " ",
-     None, None, None, None, None, None, None, None, None),
+    _spec("sent_back", SHARE_BACK, "Goods sent back", "Weighted share of lines sent back", width=1.0, link="refunded",
+          prose="Share of all lines whose goods were sent back. Whether money was returned is in [[refunded]]."),
+    Spec("paid_lines", "paid", 'Paid lines, "closed"', None, False, "sent_back",
+         "Code 1 is a line that is paid in full. What became of the goods is in [[sent_back]]."),
+    _spec("refunded", REFUNDED, "Refunds among goods sent back", "Weighted share refunded among paid goods sent back", unit="%", tolerance=0.5,
+          link="sent_back", prose="Some or all money was returned, among paid lines sent back ([[sent_back]])."),
+    _spec("refunded_asked", REFUNDED_ASKED, "Refunds among all that may ask", "Weighted share refunded among those that may ask", asked=None,
+          unit="%", tolerance=0.5, link="no_such_doc"),
+    _spec("wait_mean", WAIT_MEAN, "Mean weeks until settled", "Weighted mean of weeks until a case was settled", unit="weeks", link="sent_back"),
+    _spec("wait_median", WAIT_MEDIAN, "Median weeks until settled", "Weighted median of weeks until a case was settled", unit="weeks", link="wait_mean"),
+    _spec("spend_mean", SPEND_MEAN, "Mean amount of a line", "Weighted mean amount of a line", unit="hundred"),
+    _spec("cut_mean", CUT_MEAN, "Mean discount", "Mean discount of a unit", unit="points", tolerance=0.05),
+    _spec("cut_deep", CUT_DEEP, "Deep discounts", "Share of units with a deep discount", unit="%", link="cut_mean"),
+    _spec("refunded_whole", REFUNDED, "Refunds, all lines", "Share refunded among paid goods sent back", seeded=True, unit="%", tolerance=0.5,
+          method=None, weighted=False, source=NAIVE, link="sent_back"),
+    _spec("spend_plain", SPEND_MEAN, "Mean amount, plain average", "Mean amount of a line", seeded=True, unit="hundred", weighted=False,
+          figure="unweighted", link="sent_back"),
+    _spec("spend_low_plain", SPEND_LOW, "First quartile of amounts, plain", "First quartile of amounts", seeded=True, unit="hundred",
+          figure="unweighted", link="spend_mean"),
+    _spec("wait_open", WAIT_MEAN, "Mean weeks, open cases kept", "Mean of the weeks column", seeded=True, unit="weeks", figure="reserved_kept"),
+    _spec("sent_back_narrow", SHARE_BACK, "Goods sent back, narrow interval", "Weighted share of lines sent back", seeded=True, unit="%", width=0.3,
+          link="refunded", prose="The share is right, its interval is not."),
+    _spec("paid_off", PAID_SHARE, "A wrong share under the right method", "Weighted share of paid lines", seeded=True, unit="%", shift=4.25,
+          link="paid_lines"),
+    Spec("cut_blank", "cut", "A record without text", None, True, None, " "),
+]
+
+# What a supplier may report: for each figure the sound report and its flawed ones.
+REPORTS = [
+    [_spec("sent_back", SHARE_BACK, "Goods sent back", "Weighted share of lines sent back", unit="%", **({"link": "sent_back"} | flaw))
+     for flaw in (dict(width=1.0), dict(shift=-3.5, seeded=True), dict(width=0.3, seeded=True), dict(link="no_such_doc"))],
+    [_spec("refunded", REFUNDED, "Refunds among goods sent back", "Weighted share refunded among paid goods sent back", unit="%", tolerance=0.5,
+           **({"link": "refunded"} | flaw)) for flaw in ({}, dict(method=None, weighted=False, source=NAIVE, seeded=True))],
+    [_spec("wait_mean", WAIT_MEAN, "Mean weeks until settled", "Weighted mean of weeks until a case was settled", unit="weeks", tolerance=0.1,
+           **({"link": "wait_mean"} | flaw)) for flaw in (dict(figure="reserved_kept", seeded=True), {}, dict(shift=2.5, seeded=True))],
+    [_spec("wait_median", WAIT_MEDIAN, "Median weeks until settled", "Weighted median of weeks until a case was settled", unit="weeks",
+           **({"link": "wait_median"} | flaw)) for flaw in ({}, dict(shift=-3.0, seeded=True))],
+    [_spec("spend_mean", SPEND_MEAN, "Mean amount of a line", "Weighted mean amount of a line", unit="hundred", **({"link": "spend_mean"} | flaw))
+     for flaw in (dict(figure="unweighted", weighted=False, seeded=True), {})],
+    [_spec("spend_low", SPEND_LOW, "First quartile of amounts", "Weighted first quartile of amounts", unit="hundred", **({"link": "spend_mean"} | flaw))
+     for flaw in ({}, dict(figure="unweighted", seeded=True))],
+    [_spec("cut_mean", CUT_MEAN, "Mean discount", "Mean discount of a unit", unit="points", tolerance=0.05, **({"link": "cut_mean"} | flaw))
+     for flaw in ({}, dict(shift=0.75, seeded=True), {})],
+    [_spec("paid", PAID_SHARE, "Paid lines", "Weighted share of paid lines", unit="%", **({"link": "paid_lines"} | flaw))
+     for flaw in ({}, dict(width=0.3, seeded=True), dict(shift=5.5, seeded=True))],
 ]
+for _flaws in REPORTS:
+    assert len({s.id for s in _flaws}) == 1
+
+
+def of_year(universe: str | None, year: int) -> str:
+    return f"yr == {year}" if universe is None else f"{universe} & yr == {year}"
+
+
+BASE_DOMAINS = [SHARE_BACK, REFUNDED, REFUNDED_ASKED, WAIT_MEAN, WAIT_MEDIAN, SPEND_MEAN, SPEND_LOW, CUT_MEAN, CUT_DEEP, PAID_SHARE]
+YEAR_DOMAINS = [SHARE_BACK, REFUNDED, WAIT_MEAN, WAIT_MEDIAN, SPEND_MEAN, SPEND_LOW, CUT_MEAN, PAID_SHARE]
+DOMAINS = BASE_DOMAINS + [Domain(d.variable, of_year(d.universe, y), d.kind, d.q) for d in YEAR_DOMAINS for y in YEARS]
+
+
+def _suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("s"))
+
+
+def _specs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All claims without their numbers: those for the whole survey, and one report per supplier."""
+    whole = spark.createDataFrame([astuple(s) for s in SPECS], SPEC_SCHEMA)
+    choices = spark.createDataFrame(
+        [(i, j, len(flaws), *astuple(s)) for i, flaws in enumerate(REPORTS) for j, s in enumerate(flaws)],
+        f"report int, flaw int, flaws int, {SPEC_SCHEMA}")
+    s, n = F.col("s"), len(REPORTS)
+    reports = _suppliers(spark, sf_dir).withColumn("yr", YEARS[0] + s % len(YEARS)).join(
+        choices, (s % n == F.col("report")) & (F.floor(s / n) % F.col("flaws") == F.col("flaw")))
+    this_year = F.concat(F.lit("yr == "), "yr")
+
+    def with_year(name: str):
+        return F.coalesce(F.concat(name, F.lit(" & "), this_year), this_year)
+
+    naive = F.col("source") == NAIVE
+    key = F.concat_ws("|", "kind", "variable", with_year("universe"), F.when(F.col("q").isNull(), "").otherwise(F.format_string("%.6f", "q")))
+    return whole.unionByName(reports.select(
+        F.concat("id", F.lit("_s"), s).alias("id"), "variable",
+        F.concat("label", F.lit(", "), "yr", F.lit(", supplier "), s).alias("label"),
+        with_year("universe").alias("universe"), "seeded", "link",
+        F.concat(F.lit("Reported by supplier "), s, F.lit(" for "), "yr", F.lit(". Compare [["), F.col("link"), F.lit("]].")).alias("prose"),
+        "statistic", "kind", "q", "unit",
+        F.when(naive, this_year).otherwise(with_year("method")).alias("method"),
+        "weighted", "tolerance",
+        F.when(naive, F.concat(F.lit(f"{NAIVE}|"), "yr")).otherwise(key).alias("source"),
+        "figure", "shift", "width",
+    ))
 
 
 def claim_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The claims as their authors would write them: nested, some with the older keys."""
     data = micro(spark, sf_dir)
+    kinds = ("estimate", "unweighted", "reserved_kept")
+    each = F.inline(F.array(*[F.struct(F.lit(c).alias("figure"), F.col(c).alias("value")) for c in kinds]))
     estimates = batch_estimates(data, DOMAINS, CATALOG, DESIGN)
-    doubled = F.array(*[
-        F.struct(F.lit(c).alias("figure"), v.alias("value"))
-        for c, v in [("estimate", F.col("estimate")), ("unweighted", F.col("unweighted")),
-                     ("reserved_kept", F.col("reserved_kept")), ("doubled", 2 * F.col("estimate"))]
-    ])
-    figures = estimates.select(F.col("domain_key").alias("source"), ((F.col("uci") - F.col("lci")) / 2).alias("half"),
-                               F.inline(doubled))
-    naive = data.agg(
-        F.lit("naive").alias("source"), F.lit(None).cast("double").alias("half"), F.lit("naive").alias("figure"),
-        (100 * F.count_if(F.col("med_a") == 1) / F.count("*")).alias("value"),
-    )
-    figures = figures.unionByName(naive)
-    rows = []
-    for spec in SPECS:
-        origin = spec[14]
-        source = figure = None
-        if origin is not None:
-            source, figure = ("naive", "naive") if origin[0] == "naive" else (DOMAINS[origin[0]].key, origin[1])
-        rows.append((*spec[:14], source, figure, spec[15]))
-    specs = spark.createDataFrame(
-        rows,
-        "id string, variable string, label string, analytical_universe string, seeded_defect boolean, "
-        "links array<string>, prose string, statistic string, kind string, quantile_q double, unit string, "
-        "universe_expr string, weighted boolean, tolerance double, source string, figure string, width double",
-    )
-    claimed = F.round("value", 2)
+    figures = estimates.select(F.col("domain_key").alias("source"), ((F.col("uci") - F.col("lci")) / 2).alias("half"), each)
+    per_year = data.rollup("yr").agg(
+        (100 * F.count_if(F.col("refund").isin(1, 2)) / F.count("*")).alias("value"), F.grouping("yr").alias("whole"))
+    naive = per_year.select(
+        F.when(F.col("whole") == 1, NAIVE).otherwise(F.concat(F.lit(f"{NAIVE}|"), "yr")).alias("source"), F.lit(None).cast("double").alias("half"),
+        F.lit("estimate").alias("figure"), "value")
+    specs = _specs(spark, sf_dir).join(figures.unionByName(naive), ["source", "figure"], "left")
+    claimed = F.round(F.col("value") + F.col("shift"), 2)
     old_keys = F.col("kind") == "prevalence"
-    interval = F.when(F.col("width").isNotNull(), F.array(
-        F.round(F.col("value") - F.col("width") * F.col("half"), 2),
-        F.round(F.col("value") + F.col("width") * F.col("half"), 2)))
+    around = F.col("value") + F.col("shift")
+    reach = F.col("width") * F.col("half")
+    interval = F.when(F.col("width").isNotNull(), F.array(F.round(around - reach, 2), F.round(around + reach, 2)))
+    # A narrow interval is a defect only where it is narrower by more than the slack of the check.
+    shows = F.col("width").isNull() | ((1 - F.col("width")) * F.col("half") > CI_SLACK)
     claim = F.struct(
-        "statistic", "kind", "quantile_q", "unit",
-        F.struct("universe_expr", "weighted").alias("method"),
+        "statistic", "kind", F.col("q").alias("quantile_q"), "unit",
+        F.struct(F.col("method").alias("universe_expr"), "weighted").alias("method"),
         F.when(~old_keys, claimed).alias("value"), F.when(old_keys, claimed).alias("value_pct"),
         F.when(~old_keys, F.col("tolerance")).alias("tolerance"),
         F.when(old_keys, F.col("tolerance")).alias("tolerance_pct"),
         interval.alias("ci_95"),
     )
-    return specs.join(figures, ["source", "figure"], "left").select(
-        "id", "variable", "label", "analytical_universe", "seeded_defect", "links", "prose",
+    return specs.select(
+        "id", "variable", "label", F.col("universe").alias("analytical_universe"),
+        (F.col("seeded") & shows).alias("seeded_defect"), F.array_compact(F.array("link")).alias("links"), "prose",
         F.when(F.col("source").isNotNull(), claim).alias("claim"),
     )
 
 
+def _once(spark: SparkSession, sf_dir: str, name: str, make) -> str:
+    """The folder of lines that ``make`` gives for these data, written once per application: authors state their claims once."""
+    about = [spark.sparkContext.applicationId, sf_dir, *[last_modified(spark, f"{sf_dir}/{t}.parquet") for t in ("lineitem", "supplier")]]
+    path = shared_dir(spark, f"{name}/{hashlib.md5(repr(about).encode()).hexdigest()}")
+    if last_modified(spark, f"{path}/_SUCCESS") is None:
+        make().write.mode("overwrite").text(path)
+    return path
+
+
+def claims_path(spark: SparkSession, sf_dir: str) -> str:
+    """The claims as JSON lines. The reports of some suppliers arrive a second time, cut off."""
+    def lines():
+        lost = _suppliers(spark, sf_dir).where("s % 10 = 7")
+        whole = claim_records(spark, sf_dir).select(F.to_json(F.struct("*")).alias("value"))
+        return whole.unionByName(lost.select(F.concat(F.lit('{"id": "again_s'), "s", F.lit('", "claim": {"val')).alias("value")))
+
+    return _once(spark, sf_dir, "claims", lines)
+
+
 def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The claims, written as JSON lines and loaded from there."""
-    path = f"{scratch_dir(spark)}/claims"
-    claim_records(spark, sf_dir).write.json(path)
-    return load_claims(spark, path)
+    """The claims, loaded from JSON lines."""
+    return load_claims(spark, claims_path(spark, sf_dir))
+
+
+# Trends that suppliers report: measure, the one column name used for all years (or none), flawed, title, then for every year the column
+# that was used, the wave whose figure is stated (or none) and what is added to it.
+TRENDS = [
+    ("sent_back", None, False, "Goods sent back", [(EARLY, "result", EARLY, 0.0), (MIDDLE, "result", MIDDLE, 0.0), (LATE, "outcome", LATE, 0.0)]),
+    ("paid_up", "paid", False, "Paid lines", [(EARLY, "paid", EARLY, 0.0), (LATE, "paid", LATE, 0.0)]),
+    ("sent_back", "outcome", True, "Goods sent back, one name", [(EARLY, "outcome", LATE, 0.0), (MIDDLE, "outcome", LATE, 0.0), (LATE, "outcome", LATE, 0.0)]),
+    ("discount", None, True, "Mean discount", [(EARLY, "cut_pm", None, 50.5), (MIDDLE, "cut", None, 20.25), (LATE, "cut", None, 5.0)]),
+    ("paid_up", "paid", True, "Paid lines, a dip", [(EARLY, "paid", EARLY, 0.0), (MIDDLE, "paid", MIDDLE, -6.5), (LATE, "paid", LATE, 0.0)]),
+]
+TREND_STATISTIC = "Weighted share in each wave"
 
 
 def trend_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three trend claims: one sound, one that joins by a single column name, one over a recoded column."""
-    shares = trend_prevalence(wave_frames(spark, sf_dir), "condition_ever", WAVES)
-    right = shares.agg(
-        F.max(F.when(F.col("wave") == OLD_WAVE, F.round("value_pct", 2))).alias("old"),
-        F.max(F.when(F.col("wave") == NEW_WAVE, F.round("value_pct", 2))).alias("new"),
-    )
-    years = F.array(F.lit(OLD_WAVE), F.lit(NEW_WAVE))
-    keys = years.cast("array<string>")
-
-    def per_year(old, new):
-        return F.map_from_arrays(keys, F.array(old, new))
-
-    def record(key, canonical, title, seeded, prose, statistic, columns, single, values):
-        return F.struct(
-            F.lit(key).alias("id"), F.lit(canonical).alias("canonical"), years.alias("years"),
-            F.lit(title).alias("title"), F.lit(seeded).alias("seeded_defect"), F.array(F.lit("ever_a")).alias("links"),
-            F.lit(prose).alias("prose"),
-            F.struct(
-                F.lit(statistic).alias("statistic"),
-                F.struct(columns.cast("map<string,string>").alias("per_year_variable"),
-                         F.lit(single).cast("string").alias("single_variable")).alias("method"),
-                values.alias("values_pct"), F.lit(0.3).alias("tolerance_pct"),
-            ).alias("claim"),
-        )
-
-    none = F.lit(None)
-    records = F.array(
-        record("trend_condition", "condition_ever", "Condition, two waves", False,
-               "Share with the condition in both waves, see [[ever_a]].", "Weighted share with the condition",
-               per_year(F.lit("ever1"), F.lit("ever_a")), None, per_year(F.col("old"), F.col("new"))),
-        record("trend_condition_naive", "condition_ever", "Condition, one column name", True,
-               "The share did not change.", "Weighted share with the condition", none, "ever_a",
-               per_year(F.col("new"), F.col("new"))),
-        record("trend_mass_naive", "body_mass", "Mean body mass, two waves", True,
-               "The mean fell.", "Mean body mass", per_year(F.lit("bmi"), F.lit("bmicat_a")), None,
-               per_year(F.lit(27.5), F.lit(2.5))),
+    """One trend claim per supplier: sound ones, joins by one column name, a measure whose scale changed, a figure that is off."""
+    waves = wave_frames(spark, sf_dir)
+    shares = [trend_prevalence(waves, m, WAVES).select(F.lit(m).alias("canonical"), F.col("wave").alias("stated"), "value_pct")
+              for m in ("sent_back", "paid_up")]
+    parts = spark.createDataFrame(
+        [(i, *t[:4], place, *part) for i, t in enumerate(TRENDS) for place, part in enumerate(t[4])],
+        "report int, canonical string, single string, seeded boolean, title string, place int, year int, used string, stated int, shift double")
+    stated = parts.join(shares[0].unionByName(shares[1]), ["canonical", "stated"], "left").withColumn(
+        "value", F.round(F.coalesce("value_pct", F.lit(0.0)) + F.col("shift"), 2))
+    ordered = F.array_sort(F.collect_list(F.struct("place", "year", "used", "value")))
+    reports = stated.groupBy("report", "canonical", "single", "seeded", "title").agg(ordered.alias("parts"))
+    keys = F.transform("parts", lambda p: p["year"].cast("string"))
+    mapped = F.when(F.col("single").isNull(), F.map_from_arrays(keys, F.transform("parts", lambda p: p["used"])))
+    who = _suppliers(spark, sf_dir)
+    return who.join(reports, F.col("s") % len(TRENDS) == F.col("report")).select(
+        F.concat(F.lit("trend_s"), "s").alias("id"), "canonical",
+        F.transform("parts", lambda p: p["year"]).alias("years"),
+        F.concat("title", F.lit(", supplier "), "s").alias("title"), F.col("seeded").alias("seeded_defect"),
+        F.array(F.lit("sent_back")).alias("links"),
+        F.concat(F.lit("Share in several waves by supplier "), "s", F.lit(", see [[sent_back]].")).alias("prose"),
+        F.struct(
+            F.lit(TREND_STATISTIC).alias("statistic"),
+            F.struct(mapped.alias("per_year_variable"), F.col("single").alias("single_variable")).alias("method"),
+            F.map_from_arrays(keys, F.transform("parts", lambda p: p["value"])).alias("values_pct"),
+            F.lit(0.3).alias("tolerance_pct"),
+        ).alias("claim"),
     )
-    return right.select(F.inline(records))
 
 
 def trend_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{scratch_dir(spark)}/trend_claims"
-    trend_records(spark, sf_dir).write.json(path)
+    path = _once(spark, sf_dir, "trend_claims", lambda: trend_records(spark, sf_dir).select(F.to_json(F.struct("*")).alias("value")))
     return load_trend_claims(spark, path)

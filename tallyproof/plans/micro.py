@@ -1,4 +1,8 @@
-"""The given tables in the shape of survey microdata, and the catalogs that describe them."""
+"""The given tables as a questionnaire about deliveries, and the catalogs that describe it.
+
+Every order line is one answer sheet. What became of the goods, whether the line is paid, its discount and its amount are what the tables
+hold; the follow-up questions are asked only of the lines that they concern. Some sheets lack a weight or a place in the sample.
+"""
 
 from __future__ import annotations
 
@@ -7,97 +11,93 @@ from pyspark.sql import functions as F
 
 from ..catalog import Catalog, Design, Variable, WaveCatalog, WaveVariable
 
-DESIGN = Design(weight="wt", stratum="pstrat", psu="ppsu")
-#: Waves are periods named by their last year: the old questionnaire up to 1997, the new one after that.
-OLD_WAVE, NEW_WAVE = 1997, 2001
+DESIGN = Design(weight="wt", stratum="stratum", psu="cluster")
+#: Questionnaires by the last year in which each was used.
+EARLY, MIDDLE, LATE = 1996, 1998, 2001
+
+SENT_BACK = "outcome == 3"
+PAID_BACK = "outcome == 3 & paid == 1"
+MAY_CLAIM = "outcome >= 2 & outcome <= 3 & paid == 1"
 
 CATALOG = Catalog(
     [
-        Variable(
-            "ever_a", "Ever had the condition", None, "All respondents.", (1, 2), (1,), "wt",
-            "Code 1 is yes.", ("med_a", "age_a", "pre_a"),
-        ),
-        Variable(
-            "pre_a", "Ever had the early condition", None, "All respondents.", (1, 2), (1,), "wt", "", ("ever_a",),
-        ),
-        Variable(
-            "med_a", "Takes medication now", "(ever_a == 1) | (pre_a == 1)",
-            "Respondents with the condition or its early form.", (1, 2), (1,), "wt",
-            "Shares among people with the condition need the narrower universe ever_a == 1.", ("ever_a",),
-        ),
-        Variable(
-            "age_a", "Age when first told", "ever_a == 1", "Respondents with the condition.", range(0, 96), (), "wt",
-            "Codes 96 to 99 are reserved.", ("ever_a",),
-        ),
-        Variable(
-            "inc_a", "Income in thousands", None, "All respondents.", range(0, 300), (), "wt",
-            "High incomes were sampled with other chances than low ones, so plain averages are off.", (),
-        ),
-        Variable(
-            "ht_a", "Height in inches", None, "All respondents.", range(59, 77), (), "wt",
-            "Codes 96 to 99 are reserved.", (),
-        ),
+        Variable("outcome", "What became of the goods", None, "All lines.", (1, 2, 3), (3,), "wt",
+                 "1 kept, 2 exchanged, 3 sent back.", ("refund", "wait")),
+        Variable("paid", "Line is paid in full", None, "All lines.", (0, 1), (1,), "wt", "", ("refund",)),
+        Variable("refund", "Money returned", MAY_CLAIM, "Paid lines whose goods were exchanged or sent back.", (0, 1, 2), (1, 2), "wt",
+                 "0 none, 1 part, 2 all; shares among goods sent back need outcome == 3 & paid == 1.", ("outcome", "paid")),
+        Variable("wait", "Weeks until the case was settled", SENT_BACK, "Lines whose goods were sent back.", range(1, 51), (), "wt",
+                 "88 stands for cases that are still open.", ("outcome",)),
+        Variable("spend", "Amount of the line in hundreds", None, "All lines.", range(0, 1100), (), "wt",
+                 "Large amounts were sampled more often; 9990 is not stated.", ()),
+        Variable("cut", "Discount in percent", None, "All lines.", range(0, 11), (8, 9, 10), "wt_units",
+                 "Weighted by units; 8 and more is a deep discount.", ()),
     ]
 )
 
 WAVES = WaveCatalog(
     [
-        WaveVariable("condition_ever", OLD_WAVE, "ever1", "wt_sa", (1, 2, 3), (1,), "categorical"),
-        WaveVariable("condition_ever", NEW_WAVE, "ever_a", "wt", (1, 2), (1,), "categorical"),
-        WaveVariable("body_mass", OLD_WAVE, "bmi", "wt_sa", range(1000, 9999), (), "continuous"),
-        WaveVariable("body_mass", NEW_WAVE, "bmicat_a", "wt", (1, 2, 3, 4), (), "categorical"),
+        WaveVariable("sent_back", EARLY, "result", "w_line", (1, 2, 3), (1,), "categorical"),
+        WaveVariable("sent_back", MIDDLE, "result", "w_line", (1, 2, 3), (1,), "categorical"),
+        WaveVariable("sent_back", LATE, "outcome", "wt", (1, 2, 3), (3,), "categorical"),
+        WaveVariable("paid_up", EARLY, "paid", "w_line", (0, 1), (1,), "categorical"),
+        WaveVariable("paid_up", MIDDLE, "paid", "w_line", (0, 1), (1,), "categorical"),
+        WaveVariable("paid_up", LATE, "paid", "wt", (0, 1), (1,), "categorical"),
+        WaveVariable("discount", EARLY, "cut_pm", "w_units", range(0, 101), (), "continuous"),
+        WaveVariable("discount", LATE, "cut", "wt_units", range(0, 11), (), "categorical"),  # not asked in between
     ]
 )
 
 
 def micro(spark: SparkSession, sf_dir: str, shipped: str = "true") -> DataFrame:
-    """Coded microdata from ``lineitem``: yes/no items, skip patterns, reserved codes, weights and a design.
-
-    ``shipped`` is a condition on ``l_shipdate``, which the scan can apply by itself.
-    """
-    k, disc = F.col("k"), F.col("disc")
+    """One answer sheet per row of ``lineitem``. ``shipped`` is a condition on ``l_shipdate``, which the scan can apply by itself."""
+    k = F.col("k")
     base = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where(shipped).select(
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("k"),
         F.year("l_shipdate").alias("yr"),
-        F.col("l_discount").alias("disc"),
+        F.quarter("l_shipdate").alias("q"),
+        F.col("l_suppkey").alias("supplier"),
+        F.round(F.col("l_discount") * 100).cast("int").alias("cut"),
+        F.round(F.col("l_tax") * 100).cast("int").alias("tax"),
         F.col("l_quantity").cast("int").alias("qty"),
         F.col("l_returnflag").alias("flag"),
-        F.col("l_linestatus").alias("status"),
-        (F.col("l_extendedprice") / 100).alias("wt"),
-        (F.col("l_suppkey") % 20).cast("int").alias("pstrat"),
-        (F.col("l_orderkey") % 5).cast("int").alias("ppsu"),
-    )
-    gates = base.select(
-        "*",
-        F.when(k % 97 == 0, 7).when(k % 89 == 0, 9)
-        .when((F.col("flag") == "R") | ((F.col("pstrat") * 7 + F.col("ppsu") * 3) % 11 == 0), 1)
-        .otherwise(2).alias("ever_a"),
-        F.when(disc >= 0.08, 1).otherwise(2).alias("pre_a"),
-        F.when(k % 101 == 0, 7).when(F.col("status") == "F", 1).otherwise(2).alias("sex_a"),
+        F.when(F.col("l_linestatus") == "F", 1).otherwise(0).alias("paid"),
+        F.col("l_extendedprice").alias("price"),
+        ((F.col("l_partkey") * 7 + F.col("l_orderkey")) % 50 + 1).cast("int").alias("weeks"),
+        (F.col("l_partkey") % 15).cast("int").alias("stratum"),
+        (F.col("l_orderkey") % 4).cast("int").alias("place"),
     )
-    ever, pre = F.col("ever_a") == 1, F.col("pre_a") == 1
-    return gates.select(
-        k.alias("resp_id"), "yr", "ever_a", "pre_a",
-        F.when(ever | pre, F.when(k % 83 == 0, 8).when(disc >= 0.06, 1).otherwise(2)).alias("med_a"),
-        F.when(ever, F.when(k % 53 == 0, 97).when(k % 59 == 0, 99).otherwise(18 + F.col("qty"))).alias("age_a"),
-        F.when(k % 47 == 0, 97).otherwise(59 + (k % 18).cast("int")).alias("ht_a"),
-        F.when(k % 61 == 0, 997).otherwise(F.floor(F.col("wt") / 10).cast("int")).alias("inc_a"),
-        "sex_a", "qty", "wt", "pstrat", "ppsu",
+    sheets = base.withColumn(
+        "outcome", F.when(k % 37 == 0, 9).when(F.col("flag") == "N", 1).when(F.col("flag") == "A", 2).otherwise(3))
+    concerned = F.col("outcome").between(2, 3) & (F.col("paid") == 1)
+    refund = F.when(k % 43 == 0, 7).when(F.col("tax") <= 2, 0).when(F.col("tax") <= 5, 1).otherwise(2)
+    return sheets.select(
+        k.alias("resp_id"), "yr", "supplier", "outcome", "paid",
+        F.when(concerned, refund).alias("refund"),
+        F.when(F.col("outcome") == 3, F.when(k % 53 == 0, 88).otherwise(F.col("weeks"))).alias("wait"),
+        F.when(k % 61 == 0, 9990).otherwise(F.floor(F.col("price") / 100).cast("int")).alias("spend"),
+        "cut",
+        F.when(k % 101 == 0, 9).otherwise(F.col("q")).alias("quarter"),
+        "qty",
+        F.when(k % 113 != 0, F.col("price") / 100).alias("wt"),
+        F.when(k % 109 != 0, F.col("qty").cast("double")).alias("wt_units"),
+        "stratum",
+        F.when(k % 127 != 0, F.col("place")).alias("cluster"),
     )
 
 
 def wave_frames(spark: SparkSession, sf_dir: str) -> dict[int, DataFrame]:
-    """Two waves of one survey, every row in one of them: the later one renamed a column and recoded another."""
-    first_new = f"DATE'{OLD_WAVE + 1}-01-01'"
-    unknown, qty = F.col("resp_id") % 71 == 0, F.col("qty")
-    old = micro(spark, sf_dir, f"l_shipdate < {first_new}").select(
-        F.when((F.col("ever_a") == 2) & (F.col("pre_a") == 1), 3).otherwise(F.col("ever_a")).alias("ever1"),
-        F.when(unknown, 9999).otherwise(1500 + qty * 50).alias("bmi"),
-        F.col("wt").alias("wt_sa"), "pstrat", "ppsu",
-    )
-    new = micro(spark, sf_dir, f"l_shipdate >= {first_new}").select(
-        "ever_a",
-        F.when(unknown, 9).when(qty <= 8, 1).when(qty <= 25, 2).when(qty <= 38, 3).otherwise(4).alias("bmicat_a"),
-        "wt", "pstrat", "ppsu",
-    )
-    return {OLD_WAVE: old, NEW_WAVE: new}
+    """Three questionnaires, every row in one of them. The last one turned the order of one question's answers round and renamed it;
+    the discount was first asked in thousandths, then not at all, then in percent."""
+    def between(after: int | None, last: int | None) -> str:
+        parts = [f"l_shipdate >= DATE'{after + 1}-01-01'"] if after else []
+        return " AND ".join(parts + ([f"l_shipdate < DATE'{last + 1}-01-01'"] if last else []))
+
+    early, middle, late = (micro(spark, sf_dir, between(*ends)) for ends in ((None, EARLY), (EARLY, MIDDLE), (MIDDLE, None)))
+    result = F.when(F.col("outcome") == 9, 9).otherwise(4 - F.col("outcome")).alias("result")
+    line = F.col("wt").alias("w_line")
+    return {
+        EARLY: early.select(result, "paid", (F.col("cut") * 10).alias("cut_pm"), line, F.col("wt_units").alias("w_units"), "stratum", "cluster"),
+        MIDDLE: middle.select(result, "paid", line, "stratum", "cluster"),
+        LATE: late.select("outcome", "paid", "cut", "wt", "wt_units", "stratum", "cluster"),
+    }

@@ -27,33 +27,31 @@ from ..sources import claims as CL
 from ..sources import microdata as M
 from ..survey import Survey
 from . import claims as C
-from .bundle import published, questions, republish
-from .micro import CATALOG, DESIGN, WAVES, micro, wave_frames
+from .bundle import data_stamp, published, questions, republish
+from .micro import CATALOG, DESIGN, EARLY, LATE, MAY_CLAIM, MIDDLE, PAID_BACK, SENT_BACK, WAVES, micro, wave_frames
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
-EVER = "ever_a == 1"
-ASKED = "(ever_a == 1) | (pre_a == 1)"
-SLICE = ("resp_id", "yr", "ever_a", "pre_a", "med_a", "age_a", "ht_a", "sex_a", "wt", "pstrat", "ppsu", "not_there")
-MIXED = "(med_a != 2) & (ever_a == 1) | pre_a == 1 & age_a >= 30"
+SLICE = ("resp_id", "yr", "outcome", "paid", "refund", "wait", "cut", "quarter", "wt", "stratum", "cluster", "not_there")
+MIXED = "(refund != 2) & (outcome == 3) | paid == 1 & wait >= 30"
 PROBES = (
-    "inc_a<=120",
-    "((ht_a > 62))",
-    "ht_a > 62 & ht_a <= 70 | sex_a != 1",
-    "inc_a != 12.5",
-    "wt >= 300 | (qty < 3 & med_a == 2)",
+    "spend<=400",
+    "((cut > 6))",
+    "cut > 2 & cut <= 7 | quarter != 4",
+    "spend != 12.5",
+    "wt >= 300 | (qty < 3 & refund == 2)",
     "qty = 3",
     "(qty == 3",
     "qty == 3 & ",
-    "qty == ht_a",
+    "qty == cut",
     "not qty == 3",
     "3 == qty",
     "size(qty) > 1",
-    "shoe_a == 3",
+    "boots == 3",
     "qty == 3; drop table t",
 )
-INSPECTED = ("med_a", "sex_a", "age_a", "inc_a", "no_column")
+INSPECTED = ("refund", "quarter", "wait", "spend", "no_column")
 LOOKUPS = (0.1, 0.5, 0.9)
 
 
@@ -91,8 +89,8 @@ def _csv_copy(spark: SparkSession, sf_dir: str) -> tuple[str, T.StructType]:
 @query
 def scan_csv(spark, sf_dir):
     path, schema = _csv_copy(spark, sf_dir)
-    data = M.scan_csv(spark, path, ["ever_a", "wt", "not_there"], schema)
-    return tidy(data.groupBy("ever_a").agg(F.count("*").alias("n"), F.sum("wt").alias("sum_wt")))
+    data = M.scan_csv(spark, path, ["outcome", "wt", "not_there"], schema)
+    return tidy(data.groupBy("outcome").agg(F.count("*").alias("n"), F.sum("wt").alias("sum_wt")))
 
 
 @query
@@ -108,9 +106,9 @@ def materialize_parquet(spark, sf_dir):
     copy = f"{scratch_dir(spark)}/micro_parquet"
     M.materialize_parquet(spark, path, copy, schema=schema)
     M.materialize_parquet(spark, path, copy, schema=schema)  # fresh: nothing is rebuilt
-    return tidy(M.scan_parquet(spark, copy).groupBy("sex_a").agg(
-        F.count("*").alias("n"), F.count("med_a").alias("n_med"), F.sum("wt").alias("sum_wt"),
-        F.sum("age_a").alias("age_total")))
+    return tidy(M.scan_parquet(spark, copy).groupBy("quarter").agg(
+        F.count("*").alias("n"), F.count("refund").alias("n_refund"), F.sum("wt").alias("sum_wt"),
+        F.sum("wait").alias("wait_total")))
 
 
 @query
@@ -119,14 +117,14 @@ def load_microdata(spark, sf_dir):
     copy = M.materialize_parquet(spark, path, f"{scratch_dir(spark)}/micro_parquet", schema=schema)
     data = M.load_microdata(spark, path, copy, SLICE, schema)
     return data.groupBy("yr").agg(
-        F.count("*").alias("n"), F.count("age_a").alias("n_age"), F.sum("ht_a").alias("height_total"))
+        F.count("*").alias("n"), F.count("wait").alias("n_wait"), F.sum("cut").alias("cut_total"))
 
 
 @query
 def scan_waves(spark, sf_dir):
     waves = M.scan_waves(wave_frames(spark, sf_dir))
     return waves.groupBy("wave").agg(
-        F.count("*").alias("n"), *[F.count(c).alias(f"n_{c}") for c in ("ever1", "ever_a", "bmi", "bmicat_a")])
+        F.count("*").alias("n"), *[F.count(c).alias(f"n_{c}") for c in ("result", "outcome", "cut_pm", "cut", "paid")])
 
 
 @query
@@ -139,12 +137,10 @@ def load_claims(spark, sf_dir):
 
 @query
 def load_trend_claims(spark, sf_dir):
-    old, new = F.lit(C.OLD_WAVE), F.lit(C.NEW_WAVE)
     return C.trend_claims(spark, sf_dir).select(
-        "id", "canonical", joined("years", ","), "single_variable",
-        F.col("per_year_variable")[old].alias("old_variable"), F.col("per_year_variable")[new].alias("new_variable"),
-        F.col("values_pct")[old].alias("old_value"), F.col("values_pct")[new].alias("new_value"), "tolerance",
-        "seeded_defect")
+        "id", "canonical", joined("years", ","), "single_variable", "tolerance", "seeded_defect",
+        *[F.col("per_year_variable")[F.lit(w)].alias(f"variable_{w}") for w in (EARLY, MIDDLE, LATE)],
+        *[F.col("values_pct")[F.lit(w)].alias(f"value_{w}") for w in (EARLY, MIDDLE, LATE)])
 
 
 @query
@@ -166,7 +162,7 @@ def malformed_claims(spark, sf_dir):
 @query
 def load_variables(spark, sf_dir):
     """The metadata table against the data: substantive, reserved and missing answers per column."""
-    names = [v.name for v in CATALOG] + ["sex_a"]
+    names = [v.name for v in CATALOG] + ["quarter"]
     counts = (
         micro(spark, sf_dir).select(*names).unpivot([], names, "variable", "v").groupBy("variable", "v")
         .agg(F.count("*").alias("n"))
@@ -204,7 +200,17 @@ def publish_bundle(spark, sf_dir):
 
 @query
 def audit_log(spark, sf_dir):
-    return published(spark, sf_dir).snapshot.table("audit")
+    """The log of a compile; malformed lines counted over all files, and whether the time of the run lies between the data and now."""
+    bundle = published(spark, sf_dir)
+    log = bundle.snapshot.table("audit")
+    files = log.where("section = 'malformed'")
+    lines = files.agg(F.coalesce(F.sum(F.regexp_extract("note", r"^\d+", 0).cast("bigint")), F.lit(0)).alias("lines"), F.max("run_at").alias("run_at"))
+    dash = [F.lit("-").alias(c) for c in ("claimed", "right_value", "delta")]
+    unread = lines.select(F.lit("malformed").alias("section"), F.lit("all files").alias("id"), F.lit("UNREAD").alias("verdict"), *dash,
+                          F.format_string("%d lines are no claims", "lines").alias("note"), "run_at")
+    run = F.to_timestamp("run_at")
+    timed = (run > F.to_timestamp(F.lit(data_stamp(spark, sf_dir)))) & (run <= F.current_timestamp())
+    return log.where("section != 'malformed'").unionByName(unread).withColumn("run_at", timed).withColumnRenamed("run_at", "timed")
 
 
 @query
@@ -247,20 +253,20 @@ def validate_universe(spark, sf_dir):
 @query
 def filter_valid_codes(spark, sf_dir):
     data = micro(spark, sf_dir)
-    return data.where(P.in_codes(data, "age_a", CATALOG["age_a"].valid)).groupBy("yr").agg(
-        F.count("*").alias("n"), F.sum("age_a").alias("age_total"))
+    return data.where(P.in_codes(data, "wait", CATALOG["wait"].valid)).groupBy("yr").agg(
+        F.count("*").alias("n"), F.sum("wait").alias("wait_total"))
 
 
 @query
 def substantive_rows(spark, sf_dir):
-    rows = E.substantive(micro(spark, sf_dir), "med_a", ASKED, CATALOG["med_a"].valid)
-    return tidy(rows.groupBy("med_a").agg(F.count("*").alias("n"), F.sum("wt").alias("sum_wt")))
+    rows = E.substantive(micro(spark, sf_dir), "refund", MAY_CLAIM, CATALOG["refund"].valid)
+    return tidy(rows.groupBy("refund").agg(F.count("*").alias("n"), F.sum("wt").alias("sum_wt")))
 
 
 @query
 def affirmative_flag(spark, sf_dir):
     data = micro(spark, sf_dir)
-    flag = P.as_flag(P.in_codes(data, "med_a", CATALOG["med_a"].affirmative))
+    flag = P.as_flag(P.in_codes(data, "refund", CATALOG["refund"].affirmative))
     return tidy(data.select("yr", flag.alias("flag")).groupBy("yr").agg(
         F.sum("flag").alias("sum_flag"), F.avg("flag").alias("share")))
 
@@ -268,15 +274,15 @@ def affirmative_flag(spark, sf_dir):
 @query
 def threshold_flag(spark, sf_dir):
     data = micro(spark, sf_dir)
-    rows = E.substantive(data, "age_a", EVER, CATALOG["age_a"].valid)
-    flag = P.threshold_flag(F.col("age_a"), F.lit(40.0))
-    return tidy(rows.select("sex_a", "wt", flag.alias("flag")).groupBy("sex_a").agg(
+    rows = E.substantive(data, "wait", SENT_BACK, CATALOG["wait"].valid).where("wt IS NOT NULL")
+    flag = P.threshold_flag(F.col("wait"), F.lit(20.0))
+    return tidy(rows.select("quarter", "wt", flag.alias("flag")).groupBy("quarter").agg(
         F.sum("flag").alias("sum_flag"), (F.sum(F.col("wt") * F.col("flag")) / F.sum("wt")).alias("share")))
 
 
 @query
 def drop_reserved_codes(spark, sf_dir):
-    return TB.drop_reserved_codes(micro(spark, sf_dir), "ht_a").groupBy("ht_a").agg(F.count("*").alias("n"))
+    return TB.drop_reserved_codes(micro(spark, sf_dir), "wait").groupBy("wait").agg(F.count("*").alias("n"))
 
 
 @query
@@ -288,24 +294,24 @@ def integer_like_only(spark, sf_dir):
 
 @query
 def rows_inspect(spark, sf_dir):
-    columns = ["resp_id", "age_a", "wt", "sex_a"]
-    return RW.inspect_rows(micro(spark, sf_dir), columns, universe=EVER, limit=25,
-                           order_by=["resp_id", "wt", "age_a", "sex_a"])
+    columns = ["resp_id", "wait", "wt", "quarter"]
+    return RW.inspect_rows(micro(spark, sf_dir), columns, universe=SENT_BACK, limit=25,
+                           order_by=["resp_id", "wt", "wait", "quarter"])
 
 
 @query
 def rows_with_column_summary(spark, sf_dir):
     allowed = D.verified_variables(published(spark, sf_dir).docs)
-    return RW.rows_with_meanings(micro(spark, sf_dir), INSPECTED, CATALOG, allowed, universe=EVER, limit=25,
-                                 order_by=["med_a", "sex_a", "age_a", "inc_a"])
+    return RW.rows_with_meanings(micro(spark, sf_dir), INSPECTED, CATALOG, allowed, universe=SENT_BACK, limit=25,
+                                 order_by=["refund", "quarter", "wait", "spend"])
 
 
 # --- estimates ---------------------------------------------------------------------------------------------
 
 
 def _share(spark, sf_dir, **changes):
-    settings = dict(universe=EVER, affirmative=(1,), valid=(1, 2), design=DESIGN) | changes
-    return tidy(E.prevalence(micro(spark, sf_dir), "med_a", **settings))
+    settings = dict(universe=PAID_BACK, affirmative=(1, 2), valid=(0, 1, 2), design=DESIGN) | changes
+    return tidy(E.prevalence(micro(spark, sf_dir), "refund", **settings))
 
 
 @query
@@ -325,87 +331,87 @@ def prevalence_all_in_universe(spark, sf_dir):
 
 @query
 def prevalence_registry(spark, sf_dir):
-    return tidy(survey(spark, sf_dir).prevalence("med_a"))
+    return tidy(survey(spark, sf_dir).prevalence("refund"))
 
 
 @query
 def mean_weighted(spark, sf_dir):
-    return tidy(E.mean(micro(spark, sf_dir), "inc_a", universe="sex_a == 2", valid=CATALOG["inc_a"].valid,
+    return tidy(E.mean(micro(spark, sf_dir), "spend", universe="quarter == 2", valid=CATALOG["spend"].valid,
                        design=DESIGN))
 
 
 @query
 def mean_unweighted(spark, sf_dir):
-    return tidy(E.mean(micro(spark, sf_dir), "inc_a", universe="sex_a == 2", valid=CATALOG["inc_a"].valid,
+    return tidy(E.mean(micro(spark, sf_dir), "spend", universe="quarter == 2", valid=CATALOG["spend"].valid,
                        design=DESIGN, weighted=False))
 
 
 @query
 def mean_registry(spark, sf_dir):
-    return tidy(survey(spark, sf_dir).mean("age_a"))
+    return tidy(survey(spark, sf_dir).mean("cut"))
 
 
 @query
 def quantile_weighted(spark, sf_dir):
-    return tidy(Q.quantile(micro(spark, sf_dir), "inc_a", 0.37, universe="sex_a == 2", valid=CATALOG["inc_a"].valid,
+    return tidy(Q.quantile(micro(spark, sf_dir), "spend", 0.37, universe="quarter == 2", valid=CATALOG["spend"].valid,
                            design=DESIGN))
 
 
 @query
 def quantile_unweighted(spark, sf_dir):
-    return tidy(Q.quantile(micro(spark, sf_dir), "inc_a", 0.37, universe="sex_a == 2", valid=CATALOG["inc_a"].valid,
+    return tidy(Q.quantile(micro(spark, sf_dir), "spend", 0.37, universe="quarter == 2", valid=CATALOG["spend"].valid,
                            design=DESIGN, weighted=False))
 
 
 @query
 def quantile_registry(spark, sf_dir):
-    return tidy(survey(spark, sf_dir).quantile("age_a", 0.9))
+    return tidy(survey(spark, sf_dir).quantile("wait", 0.9))
 
 
 @query
 def ci_prevalence(spark, sf_dir):
-    return tidy(E.prevalence_ci(micro(spark, sf_dir), "med_a", universe=EVER, affirmative=(1,), valid=(1, 2),
+    return tidy(E.prevalence_ci(micro(spark, sf_dir), "refund", universe=PAID_BACK, affirmative=(1, 2), valid=(0, 1, 2),
                                 design=DESIGN))
 
 
 @query
 def design_effect(spark, sf_dir):
     """Design effect of one share per wave."""
-    return tidy(E.prevalence_ci(micro(spark, sf_dir), "pre_a", universe=None, affirmative=(1,), valid=(1, 2),
+    return tidy(E.prevalence_ci(micro(spark, sf_dir), "paid", universe=None, affirmative=(1,), valid=(0, 1),
                                 design=DESIGN, by=("yr",)).select("yr", "estimate", "deff"))
 
 
 @query
 def design_counts(spark, sf_dir):
-    return tidy(E.mean_ci(micro(spark, sf_dir), "ht_a", universe="sex_a == 1", valid=CATALOG["ht_a"].valid,
+    return tidy(E.mean_ci(micro(spark, sf_dir), "cut", universe="quarter == 1", valid=CATALOG["cut"].valid,
                           design=DESIGN, by=("yr",)).select("yr", "n", "n_psu", "n_strata", "denominator_weighted"))
 
 
 @query
 def ci_prevalence_registry(spark, sf_dir):
-    return tidy(survey(spark, sf_dir).prevalence_ci("med_a"))
+    return tidy(survey(spark, sf_dir).prevalence_ci("refund"))
 
 
 @query
 def psu_variance(spark, sf_dir):
-    rows = E.measured(micro(spark, sf_dir), "inc_a", universe=None, valid=CATALOG["inc_a"].valid, design=DESIGN)
+    rows = E.measured(micro(spark, sf_dir), "spend", universe=None, valid=CATALOG["spend"].valid, design=DESIGN)
     return tidy(E.psu_variance(rows))
 
 
 @query
 def ci_mean(spark, sf_dir):
-    return tidy(E.mean_ci(micro(spark, sf_dir), "age_a", universe=EVER, valid=CATALOG["age_a"].valid, design=DESIGN))
+    return tidy(E.mean_ci(micro(spark, sf_dir), "wait", universe=SENT_BACK, valid=CATALOG["wait"].valid, design=DESIGN))
 
 
 @query
 def ci_quantile(spark, sf_dir):
-    return tidy(Q.quantile_ci(micro(spark, sf_dir), "inc_a", 0.37, universe=None, valid=CATALOG["inc_a"].valid,
+    return tidy(Q.quantile_ci(micro(spark, sf_dir), "spend", 0.37, universe=None, valid=CATALOG["spend"].valid,
                               design=DESIGN))
 
 
 @query
 def ci_srs(spark, sf_dir):
-    found = E.prevalence_ci(micro(spark, sf_dir), "med_a", universe=EVER, affirmative=(1,), valid=(1, 2),
+    found = E.prevalence_ci(micro(spark, sf_dir), "refund", universe=PAID_BACK, affirmative=(1, 2), valid=(0, 1, 2),
                             design=DESIGN)
     return tidy(found.select(
         "srs_half_width", ((F.col("uci") - F.col("lci")) / 2).alias("design_half_width")))
@@ -413,7 +419,7 @@ def ci_srs(spark, sf_dir):
 
 @query
 def subpopulation_stat(spark, sf_dir):
-    found = survey(spark, sf_dir).subpopulation("med_a", "ever_a == 1 & sex_a == 2")
+    found = survey(spark, sf_dir).subpopulation("refund", "outcome == 3 & quarter == 2")
     return tidy(found).withColumn("line", TB.estimate_text())
 
 
@@ -422,36 +428,36 @@ def subpopulation_stat(spark, sf_dir):
 
 @query
 def table_prevalence_by(spark, sf_dir):
-    return tidy(survey(spark, sf_dir).table("med_a", "sex_a", universe=EVER))
+    return tidy(survey(spark, sf_dir).table("refund", "quarter", universe=SENT_BACK))
 
 
 @query
 def table_mean_by(spark, sf_dir):
-    return tidy(survey(spark, sf_dir).table("inc_a", "ht_a", "mean"))
+    return tidy(survey(spark, sf_dir).table("spend", "cut", "mean"))
 
 
 @query
 def table_quantile_by(spark, sf_dir):
-    return tidy(survey(spark, sf_dir).table("inc_a", "ever_a", "quantile", 0.37))
+    return tidy(survey(spark, sf_dir).table("spend", "outcome", "quantile", 0.37))
 
 
 @query
 def group_values(spark, sf_dir):
     data = micro(spark, sf_dir)
-    return TB.group_values(data, "ht_a", CATALOG).withColumn("column", F.lit("ht_a")).unionByName(
+    return TB.group_values(data, "cut", CATALOG).withColumn("column", F.lit("cut")).unionByName(
         TB.group_values(data, "yr", CATALOG).withColumn("column", F.lit("yr")))
 
 
 @query
 def group_cap(spark, sf_dir):
     data = micro(spark, sf_dir)
-    parts = [TB.group_count(data, c, CATALOG, cap=20).withColumn("column", F.lit(c)) for c in ("sex_a", "qty")]
+    parts = [TB.group_count(data, c, CATALOG, cap=20).withColumn("column", F.lit(c)) for c in ("quarter", "qty")]
     return parts[0].unionByName(parts[1])
 
 
 @query
 def table_text(spark, sf_dir):
-    return TB.table_text(survey(spark, sf_dir).table("age_a", "sex_a", "mean", universe=EVER))
+    return TB.table_text(survey(spark, sf_dir).table("wait", "quarter", "mean", universe=SENT_BACK))
 
 
 # --- waves -------------------------------------------------------------------------------------------------
@@ -459,14 +465,14 @@ def table_text(spark, sf_dir):
 
 @query
 def trend_prevalence(spark, sf_dir):
-    return tidy(TR.trend_prevalence(wave_frames(spark, sf_dir), "condition_ever", WAVES))
+    return tidy(TR.trend_prevalence(wave_frames(spark, sf_dir), "sent_back", WAVES))
 
 
 @query
 def partition_waves(spark, sf_dir):
-    """The shares of both waves from one scan of their copy partitioned by wave."""
+    """The shares of all waves from one scan of their copy partitioned by wave."""
     waves = M.partition_waves(wave_frames(spark, sf_dir), f"{scratch_dir(spark)}/waves")
-    return tidy(TR.trend_prevalence(waves, "condition_ever", WAVES))
+    return tidy(TR.trend_prevalence(waves, "sent_back", WAVES))
 
 
 @query
@@ -490,19 +496,19 @@ def verify_trend(spark, sf_dir):
     found = TR.verify_trends(C.trend_claims(spark, sf_dir), wave_frames(spark, sf_dir), WAVES)
     return found.select(
         "id", "verdict", "lint_ok", "caught", joined("diagnosis"),
-        F.col("right_values")[F.lit(C.OLD_WAVE)].alias("right_old"),
-        F.col("right_values")[F.lit(C.NEW_WAVE)].alias("right_new"))
+        *[F.col("right_values")[F.lit(w)].alias(f"right_{w}") for w in (EARLY, MIDDLE, LATE)])
 
 
 @query
 def trend_years_available(spark, sf_dir):
-    """Can trends be published: with all waves at hand, and with one wave missing."""
+    """Can trends be published: with all waves at hand, and with the last one only. And how many claims wait for a missing wave."""
     stated, waves = C.trend_claims(spark, sf_dir), wave_frames(spark, sf_dir)
-    parts = [
-        TR.waves_missing(stated, have).agg(F.count("*").alias("missing"), (F.count("*") == 0).alias("available"))
-        .withColumn("waves", F.lit(name))
-        for name, have in (("all", waves), ("new only", {C.NEW_WAVE: waves[C.NEW_WAVE]}))
-    ]
+    years = stated.select("id", F.explode("years").alias("year"))
+    parts = []
+    for name, have in (("all", waves), ("last only", {LATE: waves[LATE]})):
+        waiting = TR.waves_missing(stated, have).join(years, "year").agg(
+            F.count_distinct("year").alias("missing"), F.count_distinct("id").alias("waiting"))
+        parts.append(waiting.select("missing", (F.col("missing") == 0).alias("available"), "waiting", F.lit(name).alias("waves")))
     return parts[0].unionByName(parts[1])
 
 
@@ -584,7 +590,7 @@ def closest_variant(spark, sf_dir):
 @query
 def observed_codes(spark, sf_dir):
     """All codes that occur per continuous column, and those outside the valid ones."""
-    names = ["age_a", "ht_a", "inc_a"]
+    names = ["wait", "cut", "spend"]
     codes = micro(spark, sf_dir).select(*names).unpivot([], names, "variable", "v").where(F.col("v").isNotNull())
     seen = codes.distinct().groupBy("variable").agg(F.array_sort(F.collect_set("v")).alias("observed"))
     meta = CATALOG.as_frame(spark).select("variable", "valid_codes")
@@ -596,7 +602,7 @@ def observed_codes(spark, sf_dir):
 @query
 def code_counts(spark, sf_dir):
     """Every code of five columns with its rows, valid or not."""
-    return RW.code_counts(micro(spark, sf_dir), ["ever_a", "med_a", "age_a", "ht_a", "inc_a"], CATALOG)
+    return RW.code_counts(micro(spark, sf_dir), ["outcome", "refund", "wait", "cut", "spend"], CATALOG)
 
 
 @query
@@ -682,14 +688,14 @@ def verified_variables(spark, sf_dir):
 
 
 REQUESTS = [
-    ("r1", "med_a", "ever_a == 1 & sex_a == 2", "prevalence", None),
-    ("r2", "sex_a", None, "mean", None),
-    ("r3", "med_a", "ever_a == 999", "prevalence", None),
-    ("r4", "age_a", "ever_a.__class__", "mean", None),
-    ("r5", "inc_a", None, "quantile", 0.6),
-    ("r6", "age_a", None, "mode", None),
-    ("r7", "ht_a", "sex_a == 1", "mean", None),
-    ("r8", "age_a", "ever_a == 1", "quantile", None),
+    ("r1", "refund", "outcome == 3 & quarter == 2", "prevalence", None),
+    ("r2", "quarter", None, "mean", None),
+    ("r3", "refund", "outcome == 999", "prevalence", None),
+    ("r4", "wait", "outcome + 1 == 3", "mean", None),
+    ("r5", "spend", None, "quantile", 0.6),
+    ("r6", "wait", None, "mode", None),
+    ("r7", "cut", "quarter == 1", "mean", None),
+    ("r8", "wait", SENT_BACK, "quantile", None),
 ]
 
 
@@ -704,20 +710,20 @@ def grounded_or_refuse(spark, sf_dir):
 def grounded_table(spark, sf_dir):
     """A table by a column of 50 values, for a published variable."""
     allowed = D.verified_variables(published(spark, sf_dir).docs)
-    found = R.grounded_table(micro(spark, sf_dir), allowed, "age_a", "qty", catalog=CATALOG, design=DESIGN, stat="mean", universe=EVER)
+    found = R.grounded_table(micro(spark, sf_dir), allowed, "wait", "qty", catalog=CATALOG, design=DESIGN, stat="mean", universe=SENT_BACK)
     return tidy(found.select("group_value", "estimate", "se", "lci", "uci", "n"))
 
 
 TABLE_REQUESTS = [
-    ("t1", "med_a", EVER, "prevalence", None, "sex_a"),
-    ("t2", "age_a", EVER, "mean", None, "qty"),
-    ("t3", "inc_a", "sex_a == 1 | qty > 25", "mean", None, "pstrat"),
-    ("t4", "ht_a", None, "mean", None, "ever_a"),
-    ("t5", "inc_a", "qty <= 10", "quantile", None, "ppsu"),
-    ("t6", "ht_a", None, "mean", None, None),
-    ("t7", "inc_a", None, "mean", None, "no_column"),
-    ("t8", "age_a", "ever_a == 999", "mean", None, "qty"),
-    ("t9", "sex_a", None, "mean", None, "qty"),
+    ("t1", "refund", SENT_BACK, "prevalence", None, "quarter"),
+    ("t2", "wait", SENT_BACK, "mean", None, "qty"),
+    ("t3", "spend", "quarter == 1 | qty > 25", "mean", None, "stratum"),
+    ("t4", "cut", None, "mean", None, "outcome"),
+    ("t5", "spend", "qty <= 10", "quantile", None, "cluster"),
+    ("t6", "cut", None, "mean", None, None),
+    ("t7", "spend", None, "mean", None, "no_column"),
+    ("t8", "wait", "outcome == 999", "mean", None, "qty"),
+    ("t9", "quarter", None, "mean", None, "qty"),
 ]
 
 
@@ -771,16 +777,16 @@ def answer_extractive(spark, sf_dir):
 @query
 def running_weight(spark, sf_dir):
     data = micro(spark, sf_dir)
-    rows = E.measured(data, "inc_a", universe=None, valid=CATALOG["inc_a"].valid, design=DESIGN, by=("yr",))
+    rows = E.measured(data, "spend", universe=None, valid=CATALOG["spend"].valid, design=DESIGN, by=("yr",))
     runs = Q.value_runs(Q.value_cells(rows, ["yr"]), ["yr"])
-    return tidy(Q.running_weight(runs, ["yr"], CATALOG["inc_a"].valid).select("yr", "y", "s", "c_s", "total_s"))
+    return tidy(Q.running_weight(runs, ["yr"], CATALOG["spend"].valid).select("yr", "y", "s", "c_s", "total_s"))
 
 
 @query
 def interp_lookup(spark, sf_dir):
     data = micro(spark, sf_dir)
-    rows = E.measured(data, "inc_a", universe=None, valid=CATALOG["inc_a"].valid, design=DESIGN, by=("yr",))
-    marks = Q.knots(Q.value_runs(Q.value_cells(rows, ["yr"]), ["yr"]), ["yr"], CATALOG["inc_a"].valid)
+    rows = E.measured(data, "spend", universe=None, valid=CATALOG["spend"].valid, design=DESIGN, by=("yr",))
+    marks = Q.knots(Q.value_runs(Q.value_cells(rows, ["yr"]), ["yr"]), ["yr"], CATALOG["spend"].valid)
     return tidy(marks.groupBy("yr").agg(
         *[Q.interpolate(Q.number_sql(q)).alias(f"at_{int(q * 100)}") for q in LOOKUPS]))
 
@@ -819,16 +825,16 @@ def number_text(spark, sf_dir):
 
 @query
 def year_map_text(spark, sf_dir):
-    """Mean height code per year as one text per sex code."""
-    yearly = micro(spark, sf_dir).groupBy("sex_a", "yr").agg(F.avg("ht_a").alias("mean"))
-    maps = yearly.groupBy("sex_a").agg(F.map_from_entries(F.collect_list(F.struct("yr", "mean"))).alias("years"))
-    return maps.select("sex_a", X.year_map_text(F.col("years")).alias("years"))
+    """Mean discount per year as one text per quarter."""
+    yearly = micro(spark, sf_dir).groupBy("quarter", "yr").agg(F.avg("cut").alias("mean"))
+    maps = yearly.groupBy("quarter").agg(F.map_from_entries(F.collect_list(F.struct("yr", "mean"))).alias("years"))
+    return maps.select("quarter", X.year_map_text(F.col("years")).alias("years"))
 
 
 @query
 def codes_text(spark, sf_dir):
-    """The codes that occur in a short and in a long code list, per sex code."""
+    """The codes that occur in a short and in a long code list, per quarter."""
     data = micro(spark, sf_dir)
-    sets = data.groupBy("sex_a").agg(
-        F.array_sort(F.collect_set("ever_a")).alias("short"), F.collect_set("qty").alias("long"))
-    return sets.select("sex_a", X.codes_text(F.col("short")).alias("short"), X.codes_text(F.col("long")).alias("long"))
+    sets = data.groupBy("quarter").agg(
+        F.array_sort(F.collect_set("outcome")).alias("short"), F.collect_set("qty").alias("long"))
+    return sets.select("quarter", X.codes_text(F.col("short")).alias("short"), X.codes_text(F.col("long")).alias("long"))

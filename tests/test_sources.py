@@ -23,12 +23,12 @@ def test_csv_equals_parquet(spark, csv, tmp_path):
     path, schema = csv
     copy = M.materialize_parquet(spark, path, f"{tmp_path}/copy", schema=schema)
     one, two = M.scan_csv(spark, path, schema=schema), M.scan_parquet(spark, copy)
-    settings = dict(universe="ever_a == 1", affirmative=(1,), valid=(1, 2), design=DESIGN)
-    first = E.prevalence_ci(one, "med_a", **settings).first().asDict()
-    second = E.prevalence_ci(two, "med_a", **settings).first().asDict()
+    settings = dict(universe="outcome == 3", affirmative=(1, 2), valid=(0, 1, 2), design=DESIGN)
+    first = E.prevalence_ci(one, "refund", **settings).first().asDict()
+    second = E.prevalence_ci(two, "refund", **settings).first().asDict()
     assert first == pytest.approx(second)
     inferred = M.scan_csv(spark, path)
-    assert E.prevalence_ci(inferred, "med_a", **settings).first().asDict() == pytest.approx(second)
+    assert E.prevalence_ci(inferred, "refund", **settings).first().asDict() == pytest.approx(second)
 
 
 def test_projection_is_requested_and_present(spark, csv):
@@ -74,7 +74,7 @@ def test_catalog_round_trip(spark):
     assert {v.name: v for v in again} == {v.name: v for v in CATALOG}
     with pytest.raises(KeyError, match="known"):
         CATALOG["nothing"]
-    asked = spark.createDataFrame([("ever_a",), ("nothing",)], "variable string")
+    asked = spark.createDataFrame([("outcome",), ("nothing",)], "variable string")
     assert [r[0] for r in unknown_variables(asked, CATALOG.as_frame(spark)).collect()] == ["nothing"]
     assert compact_codes([3, 4, 5]) == range(3, 6) and compact_codes([1, 2]) == (1, 2) and compact_codes([1, 3, 4]) == (1, 3, 4)
 
@@ -86,7 +86,7 @@ def test_scratch_follows_the_session(spark):
 
 def test_scan_reads_only_needed_columns(spark, small):
     data = micro(spark, small)
-    plan = E.mean(data, "ht_a", universe="sex_a == 2", valid=range(59, 77), design=DESIGN)
+    plan = E.mean(data, "cut", universe="quarter == 2", valid=range(0, 11), design=DESIGN)
     text = plan._jdf.queryExecution().executedPlan().toString()
     schema = text[text.index("ReadSchema"):]
     assert "l_returnflag" not in schema and "l_tax" not in schema

@@ -85,14 +85,14 @@ SPECS = [
           unit="%", tolerance=0.5, link="no_such_doc"),
     _spec("wait_mean", WAIT_MEAN, "Mean weeks until settled", "Weighted mean of weeks until a case was settled", unit="weeks", link="sent_back"),
     _spec("wait_median", WAIT_MEDIAN, "Median weeks until settled", "Weighted median of weeks until a case was settled", unit="weeks", link="wait_mean"),
-    _spec("spend_mean", SPEND_MEAN, "Mean amount of a line", "Weighted mean amount of a line", unit="hundred"),
+    _spec("spend_mean", SPEND_MEAN, "Mean amount of a line", "Weighted mean amount of a line", unit="thousand"),
     _spec("cut_mean", CUT_MEAN, "Mean discount", "Mean discount of a unit", unit="points", tolerance=0.05),
     _spec("cut_deep", CUT_DEEP, "Deep discounts", "Share of units with a deep discount", unit="%", link="cut_mean"),
     _spec("refunded_whole", REFUNDED, "Refunds, all lines", "Share refunded among paid goods sent back", seeded=True, unit="%", tolerance=0.5,
           method=None, weighted=False, source=NAIVE, link="sent_back"),
-    _spec("spend_plain", SPEND_MEAN, "Mean amount, plain average", "Mean amount of a line", seeded=True, unit="hundred", weighted=False,
+    _spec("spend_plain", SPEND_MEAN, "Mean amount, plain average", "Mean amount of a line", seeded=True, unit="thousand", weighted=False,
           figure="unweighted", link="sent_back"),
-    _spec("spend_low_plain", SPEND_LOW, "First quartile of amounts, plain", "First quartile of amounts", seeded=True, unit="hundred",
+    _spec("spend_low_plain", SPEND_LOW, "First quartile of amounts, plain", "First quartile of amounts", seeded=True, unit="thousand",
           figure="unweighted", link="spend_mean"),
     _spec("wait_open", WAIT_MEAN, "Mean weeks, open cases kept", "Mean of the weeks column", seeded=True, unit="weeks", figure="reserved_kept"),
     _spec("sent_back_narrow", SHARE_BACK, "Goods sent back, narrow interval", "Weighted share of lines sent back", seeded=True, unit="%", width=0.3,
@@ -112,9 +112,9 @@ REPORTS = [
            **({"link": "wait_mean"} | flaw)) for flaw in (dict(figure="reserved_kept", seeded=True), {}, dict(shift=2.5, seeded=True))],
     [_spec("wait_median", WAIT_MEDIAN, "Median weeks until settled", "Weighted median of weeks until a case was settled", unit="weeks",
            **({"link": "wait_median"} | flaw)) for flaw in ({}, dict(shift=-3.0, seeded=True))],
-    [_spec("spend_mean", SPEND_MEAN, "Mean amount of a line", "Weighted mean amount of a line", unit="hundred", **({"link": "spend_mean"} | flaw))
+    [_spec("spend_mean", SPEND_MEAN, "Mean amount of a line", "Weighted mean amount of a line", unit="thousand", **({"link": "spend_mean"} | flaw))
      for flaw in (dict(figure="unweighted", weighted=False, seeded=True), {})],
-    [_spec("spend_low", SPEND_LOW, "First quartile of amounts", "Weighted first quartile of amounts", unit="hundred", **({"link": "spend_mean"} | flaw))
+    [_spec("spend_low", SPEND_LOW, "First quartile of amounts", "Weighted first quartile of amounts", unit="thousand", **({"link": "spend_mean"} | flaw))
      for flaw in ({}, dict(figure="unweighted", seeded=True))],
     [_spec("cut_mean", CUT_MEAN, "Mean discount", "Mean discount of a unit", unit="points", tolerance=0.05, **({"link": "cut_mean"} | flaw))
      for flaw in ({}, dict(shift=0.75, seeded=True), {})],
@@ -206,9 +206,10 @@ def _once(spark: SparkSession, sf_dir: str, name: str, make) -> str:
     """The folder of lines that ``make`` gives for these data, written once per application: authors state their claims once."""
     about = [spark.sparkContext.applicationId, sf_dir, *[last_modified(spark, f"{sf_dir}/{t}.parquet") for t in ("lineitem", "supplier")]]
     path = shared_dir(spark, f"{name}/{hashlib.md5(repr(about).encode()).hexdigest()}")
-    if last_modified(spark, f"{path}/_SUCCESS") is None:
-        make().write.mode("overwrite").text(path)
-    return path
+    if last_modified(spark, f"{path}/whole") is None:  # written last, so a folder that is not whole is made anew
+        make().write.mode("overwrite").text(f"{path}/lines")
+        spark.range(1).coalesce(1).write.mode("overwrite").json(f"{path}/whole")
+    return f"{path}/lines"
 
 
 def claims_path(spark: SparkSession, sf_dir: str) -> str:

@@ -28,8 +28,8 @@ CATALOG = Catalog(
                  "0 none, 1 part, 2 all; shares among goods sent back need outcome == 3 & paid == 1.", ("outcome", "paid")),
         Variable("wait", "Weeks until the case was settled", SENT_BACK, "Lines whose goods were sent back.", range(1, 51), (), "wt",
                  "88 stands for cases that are still open.", ("outcome",)),
-        Variable("spend", "Amount of the line in hundreds", None, "All lines.", range(0, 1100), (), "wt",
-                 "Large amounts were sampled more often; 9990 is not stated.", ()),
+        Variable("spend", "Amount of the line in thousands", None, "All lines.", range(0, 106), (), "wt",
+                 "Large amounts were sampled more often; 999 is not stated.", ()),
         Variable("cut", "Discount in percent", None, "All lines.", range(0, 11), (8, 9, 10), "wt_units",
                  "Weighted by units; 8 and more is a deep discount.", ()),
     ]
@@ -75,7 +75,7 @@ def micro(spark: SparkSession, sf_dir: str, shipped: str = "true") -> DataFrame:
         k.alias("resp_id"), "yr", "supplier", "outcome", "paid",
         F.when(concerned, refund).alias("refund"),
         F.when(F.col("outcome") == 3, F.when(k % 53 == 0, 88).otherwise(F.col("weeks"))).alias("wait"),
-        F.when(k % 61 == 0, 9990).otherwise(F.floor(F.col("price") / 100).cast("int")).alias("spend"),
+        F.when(k % 61 == 0, 999).otherwise(F.floor(F.col("price") / 1000).cast("int")).alias("spend"),
         "cut",
         F.when(k % 101 == 0, 9).otherwise(F.col("q")).alias("quarter"),
         "qty",

@@ -18,7 +18,7 @@ MICRO = """micro AS (
 SELECT k AS resp_id, yr, supplier, outcome, paid,
   CASE WHEN outcome IN (2, 3) AND paid = 1 THEN CASE WHEN k % 43 = 0 THEN 7 WHEN tax <= 2 THEN 0 WHEN tax <= 5 THEN 1 ELSE 2 END END AS refund,
   CASE WHEN outcome = 3 THEN CASE WHEN k % 53 = 0 THEN 88 ELSE weeks END END AS wait,
-  CASE WHEN k % 61 = 0 THEN 9990 ELSE CAST(floor(price / 100) AS INT) END AS spend,
+  CASE WHEN k % 61 = 0 THEN 999 ELSE CAST(floor(price / 1000) AS INT) END AS spend,
   cut, CASE WHEN k % 101 = 0 THEN 9 ELSE q END AS quarter, qty,
   CASE WHEN k % 113 <> 0 THEN price / 100 END AS wt, CASE WHEN k % 109 <> 0 THEN CAST(qty AS DOUBLE) END AS wt_units,
   stratum, CASE WHEN k % 127 <> 0 THEN place END AS cluster FROM (
@@ -70,7 +70,7 @@ wave_columns(wave, used) AS {_values([(w, c) for w, names in WAVE_COLUMNS.items(
 
 VALID = {
     "outcome": "outcome IN (1, 2, 3)", "paid": "paid IN (0, 1)", "refund": "refund IN (0, 1, 2)",
-    "wait": "wait BETWEEN 1 AND 50", "spend": "spend BETWEEN 0 AND 1099", "cut": "cut BETWEEN 0 AND 10",
+    "wait": "wait BETWEEN 1 AND 50", "spend": "spend BETWEEN 0 AND 105", "cut": "cut BETWEEN 0 AND 10",
 }
 YES = {"outcome": "outcome = 3", "paid": "paid = 1", "refund": "refund IN (1, 2)", "cut": "cut IN (8, 9, 10)"}
 WEIGHT = {"cut": "wt_units"}
@@ -175,7 +175,7 @@ def _filters() -> None:
     mixed = "(((refund IS NULL OR refund <> 2) AND outcome = 3) OR (paid = 1 AND wait >= 30))"
     ORACLES["filter_universe"] = with_([MICRO], f"""SELECT yr, count(*) AS n, round(sum(wt), 4) AS sum_wt FROM micro
         WHERE {mixed} GROUP BY yr""")
-    counted = ["spend <= 400", "cut > 6", "(cut > 2 AND cut <= 7) OR quarter <> 4", "spend <> 12.5",
+    counted = ["spend <= 40", "cut > 6", "(cut > 2 AND cut <= 7) OR quarter <> 4", "spend <> 12.5",
                "wt >= 300 OR (qty < 3 AND refund = 2)"]
     parts = [f"SELECT CAST({i} AS INT) AS probe, true AS accepted, count(*) FILTER ({c}) AS n FROM micro"
              for i, c in enumerate(counted)]

@@ -36,7 +36,7 @@ QUERIES: dict[str, Query] = {}
 SLICE = ("resp_id", "yr", "outcome", "paid", "refund", "wait", "cut", "quarter", "wt", "stratum", "cluster", "not_there")
 MIXED = "(refund != 2) & (outcome == 3) | paid == 1 & wait >= 30"
 PROBES = (
-    "spend<=400",
+    "spend<=40",
     "((cut > 6))",
     "cut > 2 & cut <= 7 | quarter != 4",
     "spend != 12.5",

@@ -24,7 +24,7 @@ SOURCE = "answer sheets on deliveries"
 
 # id, question; the last one shares no word with any document
 QUESTIONS = [
-    (1, "Which share of paid goods sent back was refunded?"),
+    (1, "How large is the share of lines sent back?"),
     (2, "median weeks until a case was settled"),
     (3, "How large is the mean discount of a unit?"),
     (4, "share in several waves"),

@@ -51,7 +51,7 @@ def test_answers_come_from_published_documents(spark, bundle):
     hits = S.search_documents(bundle.docs, questions(spark))
     answers = {r["question_id"]: r for r in S.answer_extractive(hits, questions(spark)).collect()}
     first = answers[1]["source"].split()[0]
-    assert first.startswith("refunded") and answers[5]["mode"] == "refused"
+    assert first.startswith("sent_back") and answers[5]["mode"] == "refused"
     value = bundle.docs.where(F.col("id") == first).first()["value"]
     assert f"{value:.2f}%" in answers[1]["answer"]
     texts = {r["question_id"]: r["results"] for r in S.search_results_text(hits, questions(spark)).collect()}

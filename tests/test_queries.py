@@ -38,5 +38,6 @@ def test_every_query_has_sql():
 
 def test_flagship(spark):
     got = entry(spark).first()
-    assert (got["estimate"], got["se"], got["n"]) == (45.977655, 1.021539, 2339)
-    assert got["deff"] == 0.982698
+    assert (got["estimate"], got["se"], got["n"]) == (68.086224, 2.121998, 898)
+    assert got["n_dropped_weight"] > 0 and got["n_dropped_design"] > 0
+    assert got["deff"] == 1.860924

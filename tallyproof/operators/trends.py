@@ -22,17 +22,27 @@ CATEGORICAL_MAX = 20
 Waves = Mapping[int, DataFrame] | WaveTable
 
 
-def _answer(df: DataFrame, e: WaveVariable, here: Column) -> Column:
-    """A row's answer to a measure, NULL if it has none."""
-    return F.when(
-        here & in_codes(df, e.variable, e.valid),
-        F.struct(
-            F.lit(e.canonical).alias("canonical"),
-            finite(df, e.variable).alias("v"),
-            as_flag(in_codes(df, e.variable, e.affirmative)).alias("yes"),
-            finite(df, e.weight).alias("w"),
-        ),
-    )
+def _answer(df: DataFrame, e: WaveVariable) -> list[Column]:
+    """A row's answer to a measure."""
+    return [
+        F.lit(e.canonical).alias("canonical"),
+        finite(df, e.variable).alias("v"),
+        as_flag(in_codes(df, e.variable, e.affirmative)).alias("yes"),
+        finite(df, e.weight).alias("w"),
+    ]
+
+
+def _answers(df: DataFrame, wave: Column, asked: Iterable[tuple[WaveVariable, Column]]) -> DataFrame:
+    """The substantive answers of the rows of a table; ``asked`` has each measure with the test for the rows it was asked of.
+
+    One measure is a filter. Of several, a row has one struct each, NULL where it has no answer.
+    """
+    asked = [(e, here & in_codes(df, e.variable, e.valid)) for e, here in asked]
+    if len(asked) == 1:
+        (e, given), = asked
+        return df.where(given).select(wave.alias("wave"), *_answer(df, e))
+    found = F.inline(F.array(*[F.when(given, F.struct(*_answer(df, e))) for e, given in asked]))
+    return df.select(wave.alias("wave"), found).where(F.col("canonical").isNotNull())
 
 
 def wave_answers(waves: Waves, entries: Iterable[WaveVariable]) -> DataFrame:
@@ -55,14 +65,9 @@ def wave_answers(waves: Waves, entries: Iterable[WaveVariable]) -> DataFrame:
     if not asked:
         raise ValueError("no wave holds any of the columns asked for")
     if together:
-        answers = [_answer(waves.rows, e, F.col("wave") == e.wave) for wave in sorted(asked) for e in asked[wave]]
         rows = waves.rows.where(F.col("wave").isin(*sorted(asked)))
-        return rows.select("wave", F.inline(F.array_compact(F.array(*answers))))
-    parts = [
-        waves[wave].select(F.lit(wave).alias("wave"),
-                           F.inline(F.array_compact(F.array(*[_answer(waves[wave], e, F.lit(True)) for e in here]))))
-        for wave, here in sorted(asked.items())
-    ]
+        return _answers(rows, F.col("wave"), [(e, F.col("wave") == wave) for wave in sorted(asked) for e in asked[wave]])
+    parts = [_answers(waves[wave], F.lit(wave), [(e, F.lit(True)) for e in here]) for wave, here in sorted(asked.items())]
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -174,8 +174,8 @@ def claim_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     each = F.inline(F.array(*[F.struct(F.lit(c).alias("figure"), F.col(c).alias("value")) for c in kinds]))
     estimates = batch_estimates(data, DOMAINS, CATALOG, DESIGN)
     figures = estimates.select(F.col("domain_key").alias("source"), ((F.col("uci") - F.col("lci")) / 2).alias("half"), each)
-    per_year = data.rollup("yr").agg(
-        (100 * F.count_if(F.col("refund").isin(1, 2)) / F.count("*")).alias("value"), F.grouping("yr").alias("whole"))
+    counts = data.groupBy("yr").agg(F.count_if(F.col("refund").isin(1, 2)).alias("yes"), F.count("*").alias("n"))
+    per_year = counts.rollup("yr").agg((100 * F.sum("yes") / F.sum("n")).alias("value"), F.grouping("yr").alias("whole"))
     naive = per_year.select(
         F.when(F.col("whole") == 1, NAIVE).otherwise(F.concat(F.lit(f"{NAIVE}|"), "yr")).alias("source"), F.lit(None).cast("double").alias("half"),
         F.lit("estimate").alias("figure"), "value")

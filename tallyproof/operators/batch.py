@@ -70,8 +70,8 @@ def _item(domain: Domain) -> _Item:
     return _Item(domain.variable, "share" if domain.kind == "prevalence" else "value", domain.groupby)
 
 
-def _member(df: DataFrame, place: int, item: _Item, mask: str, by_value: bool, catalog: Catalog, design: Design) -> str:
-    """What a row contributes to an item, as SQL text; NULL if it does not belong.
+def _member(df: DataFrame, item: _Item, by_value: bool, catalog: Catalog, design: Design) -> dict[str, str]:
+    """What a row contributes to an item, as SQL texts by name; ``inside`` tells whether it belongs.
 
     Values outside the code list belong to means and quantiles too, marked as not valid: the same pass then tells what the
     estimate would be if they were kept.
@@ -89,8 +89,18 @@ def _member(df: DataFrame, place: int, item: _Item, mask: str, by_value: bool, c
     if item.groupby is not None:
         inside = f"({inside}) AND ({group_sql(df, item.groupby, catalog)})"
         group = f"CAST(`{item.groupby}` AS BIGINT)"
-    return (f"CASE WHEN {inside} THEN struct({place} AS item, {group} AS grp, {mask} AS mask, {y} AS y, {valid} AS valid, "
-            f"CAST({run} AS DOUBLE) AS run, CAST({weight} AS DOUBLE) AS w) END")
+    return {"inside": f"coalesce({inside}, false)", "grp": group, "y": y, "valid": valid, "run": f"CAST({run} AS DOUBLE)", "w": f"CAST({weight} AS DOUBLE)"}
+
+
+def _chosen(texts: Sequence[str]) -> str:
+    """The text of a row's item, as SQL; items are numbered as the texts are, and equal texts share a branch."""
+    places: dict[str, list[int]] = {}
+    for i, text in enumerate(texts):
+        places.setdefault(text, []).append(i)
+    if len(places) == 1:
+        return texts[0]
+    cases = " ".join(f"WHEN __item IN ({', '.join(map(str, which))}) THEN {text}" for text, which in places.items())
+    return f"CASE {cases} END"
 
 
 def _words(bits: set[int]) -> dict[int, int]:
@@ -118,41 +128,46 @@ def _estimates(df: DataFrame, domains: Sequence[Domain], catalog: Catalog, desig
 
     flags = [f"CASE WHEN {text} THEN {1 << i % WORD}L ELSE 0L END" for text, i in bit.items()]
     words = [" + ".join(flags[i:i + WORD]) for i in range(0, len(flags), WORD)]
-    members = [
-        _member(df, place[item], item,
-                f"CAST(array({', '.join(f'word_{word} & {part}L' for word, part in used_words[item])}) AS ARRAY<BIGINT>)",
-                item in by_value, catalog, design)
-        for item in items
-    ]
+    members = [_member(df, item, item in by_value, catalog, design) for item in items]
+    # Words of an item's mask as columns of their own, as many as the item with the most has: plain numbers group faster than arrays.
+    masks = [f"mask_{i}" for i in range(max(map(len, used_words.values())))]
+    for item, member in zip(items, members, strict=True):
+        own = [f"word_{word} & {part}L" for word, part in used_words[item]]
+        member.update(zip(masks, own + ["0L"] * (len(masks) - len(own)), strict=True))
     flagged = df.selectExpr("*", *[f"{word} AS word_{i}" for i, word in enumerate(words)])
-    counted = flagged.selectExpr(
-        f"`{design.stratum}` AS h", f"`{design.psu}` AS a", f"inline(array({', '.join(members)}))",
-    ).where("item IS NOT NULL")
-    # One row per item, group, outcome of the comparisons, PSU and (for quantiles) value: every estimate below comes from it.
+    copies = flagged.selectExpr("*", f"explode(array({', '.join(map(str, range(len(items))))})) AS __item")
+    counted = copies.where(_chosen([m["inside"] for m in members])).selectExpr(
+        f"`{design.stratum}` AS h", f"`{design.psu}` AS a", "__item AS item", *[f"{_chosen([m[c] for m in members])} AS {c}" for c in ("grp", *masks, "y", "valid", "run", "w")])
+    # One row per item, group, outcome of the comparisons, PSU, valid or not, and (for quantiles) value: every estimate below comes from it.
     cells = written(
-        counted.groupBy("item", "grp", "mask", "h", "a", "run").agg(*map(F.expr, [
-            "coalesce(sum(CASE WHEN valid THEN w * y END), 0D) AS s_wy",
-            "coalesce(sum(CASE WHEN valid THEN w END), 0D) AS s_w",
-            "coalesce(sum(CASE WHEN valid THEN y END), 0D) AS s_y",  # the unweighted variants need no weight
-            "CAST(count_if(valid) AS DOUBLE) AS n_all",
-            "count_if(valid AND w IS NOT NULL) AS n",
-            "count_if(valid AND w IS NULL) AS n_dropped_weight",
+        counted.groupBy("item", "grp", *masks, "h", "a", "run", "valid").agg(*map(F.expr, [
             "sum(w * y) AS kept_wy",
             "sum(w) AS kept_w",
+            "sum(y) AS y",  # the unweighted variants need no weight
+            "count(*) AS rows",
+            "count(w) AS with_weight",
             "min(CASE WHEN w > 0 THEN w END) AS low",
             "max(CASE WHEN w > 0 THEN w END) AS high",
-            "bool_or(valid) AS valid",
-        ])),
+        ])).selectExpr(
+            "item", "grp", *masks, "h", "a", "run", "valid", "kept_wy", "kept_w", "low", "high",
+            "IF(valid, coalesce(kept_wy, 0D), 0D) AS s_wy",
+            "IF(valid, coalesce(kept_w, 0D), 0D) AS s_w",
+            "IF(valid, coalesce(y, 0D), 0D) AS s_y",
+            "IF(valid, CAST(rows AS DOUBLE), 0D) AS n_all",
+            "IF(valid, with_weight, 0L) AS n",
+            "IF(valid, rows - with_weight, 0L) AS n_dropped_weight",
+        ),
         "domain_cells",
     )
 
     def needed(item: _Item, term: frozenset[str]) -> list[int]:
         have = _words({bit[c] for c in term})
-        return [have.get(word, 0) for word, _ in used_words[item]]
+        parts = [have.get(word, 0) for word, _ in used_words[item]]
+        return parts + [0] * (len(masks) - len(parts))
 
     terms = spark.createDataFrame(
-        [(i, place[_item(d)], d.kind, d.q, needed(_item(d), term)) for i, d in enumerate(domains) for term in universes[d.universe]],
-        "domain int, item int, kind string, q double, need array<bigint>",
+        [(i, place[_item(d)], d.kind, d.q, *needed(_item(d), term)) for i, d in enumerate(domains) for term in universes[d.universe]],
+        ", ".join(["domain int, item int, kind string, q double", *[f"need_{m} bigint" for m in masks]]),
     )
     labels = spark.createDataFrame(
         [(i, d.key, d.variable, d.universe, d.kind, d.q, d.groupby) for i, d in enumerate(domains)],
@@ -160,11 +175,11 @@ def _estimates(df: DataFrame, domains: Sequence[Domain], catalog: Catalog, desig
     )
     # Outcomes meet domains before cells do: both tables are small, and a cell then joins by equal keys only.
     holds = (
-        cells.select("item", "mask").distinct().join(terms, "item")
-        .where("forall(zip_with(mask, need, (m, n) -> (m & n) = n), x -> x)")
-        .select("domain", "kind", "q", "item", "mask").distinct()
+        cells.select("item", *masks).distinct().join(terms, "item")
+        .where(" AND ".join(["true", *[f"{m} & need_{m} = need_{m}" for m in masks]]))
+        .select("domain", "kind", "q", "item", *masks).distinct()
     )
-    inside = cells.join(holds, ["item", "mask"])
+    inside = cells.join(holds, ["item", *masks])
     sums = [f"sum({c}) AS {c}" for c in ("s_wy", "s_w", "s_y", "n_all", "n", "n_dropped_weight", "kept_wy", "kept_w")]
     half = f"{z!r}D * sqrt(variance)"
     parts = []

@@ -6,7 +6,7 @@ hold; the follow-up questions are asked only of the lines that they concern. Som
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..catalog import Catalog, Design, Variable, WaveCatalog, WaveVariable
@@ -49,6 +49,12 @@ WAVES = WaveCatalog(
 )
 
 
+def _whole(value: Column) -> Column:
+    """``round(value)`` as a whole number, halves away from zero, without the decimal number that ``round`` makes of every value."""
+    part = value - value.cast("int")
+    return value.cast("int") + F.when(part.between(0.5, 1), 1).when(part.between(-1, -0.5), -1).otherwise(0)
+
+
 def micro(spark: SparkSession, sf_dir: str, shipped: str = "true") -> DataFrame:
     """One answer sheet per row of ``lineitem``. ``shipped`` is a condition on ``l_shipdate``, which the scan can apply by itself."""
     k = F.col("k")
@@ -57,8 +63,8 @@ def micro(spark: SparkSession, sf_dir: str, shipped: str = "true") -> DataFrame:
         F.year("l_shipdate").alias("yr"),
         F.quarter("l_shipdate").alias("q"),
         F.col("l_suppkey").alias("supplier"),
-        F.round(F.col("l_discount") * 100).cast("int").alias("cut"),
-        F.round(F.col("l_tax") * 100).cast("int").alias("tax"),
+        _whole(F.col("l_discount") * 100).alias("cut"),
+        _whole(F.col("l_tax") * 100).alias("tax"),
         F.col("l_quantity").cast("int").alias("qty"),
         F.col("l_returnflag").alias("flag"),
         F.when(F.col("l_linestatus") == "F", 1).otherwise(0).alias("paid"),

@@ -304,3 +304,50 @@ def test_variance_of_totals_that_are_large_against_their_residuals(spark):
         mean = sum(e) / len(e)
         spread += Fraction(len(e), len(e) - 1) * sum((x - mean) ** 2 for x in e)
     assert got["variance"] == pytest.approx(float(spread / bottom**2), rel=1e-3) and got["variance"] > 0
+
+
+def test_waves_and_sheets_are_read_by_plain_expressions(spark, small):
+    """Neither lambdas over arrays nor decimal rounding per row, and cells grouped by plain numbers only: what keeps a pass fast."""
+    from tallyproof.operators import batch as B
+    from tallyproof.operators import trends as TR
+    from tallyproof.plans.claims import DOMAINS
+    from tallyproof.plans.micro import CATALOG, DESIGN, WAVES, micro, wave_frames
+
+    def plan(df):
+        return df._jdf.queryExecution().optimizedPlan().toString()
+
+    waves = wave_frames(spark, small)
+    assert "lambda" not in plan(TR.value_table(waves, WAVES))
+    assert "inline" not in plan(TR.trend_prevalence(waves, "sent_back", WAVES))
+    assert "round(" not in plan(micro(spark, small))
+    seen, keep = [], B.written
+    B.written = lambda df, name: seen.append(df) or keep(df, name)
+    try:
+        B.batch_estimates(micro(spark, small), DOMAINS, CATALOG, DESIGN)
+    finally:
+        B.written = keep
+    assert not [f.name for f in seen[0].schema.fields if f.dataType.typeName() in ("array", "struct", "map")]
+
+
+def test_whole_numbers_are_those_of_round(spark):
+    from tallyproof.plans.micro import _whole
+
+    values = [None, 0.0, -0.0, 0.49999999999999994, 0.5, 1.5, 2.5, -0.5, -1.5, -0.49999999999999994, 28.499999999999996, 28.5, 7.000000000000001, 1e9 + 0.5]
+    rows = spark.createDataFrame([(v,) for v in values], "v double").selectExpr("v", "cast(round(v) as int) AS expected")
+    for row in rows.withColumn("found", _whole(rows.v)).collect():
+        assert row["found"] == row["expected"], row
+
+
+def test_many_comparisons_take_several_words(spark):
+    """More comparisons than one whole number has bits: masks of an item fill more than one column."""
+    from tallyproof.catalog import Catalog, Design, Variable
+    from tallyproof.operators.batch import Domain, batch_estimates
+
+    data = spark.range(400).selectExpr("cast(id % 100 as int) AS age", "cast(id % 2 as int) AS yes", "1D AS w", "cast(id % 3 as int) AS h", "cast(id % 5 as int) AS a")
+    catalog = Catalog([Variable("yes", "Yes", None, "All.", (0, 1), (1,), "w")])
+    domains = [Domain("yes", f"age < {n}", "prevalence") for n in range(1, 80)] + [Domain("yes", None, "mean")]
+    found = {r["universe"]: r for r in batch_estimates(data, domains, catalog, Design("w", "h", "a")).collect()}
+    assert len(found) == 80 and found[None]["n"] == 400
+    for n in range(1, 80):
+        assert found[f"age < {n}"]["n"] == 4 * n
+        assert abs(found[f"age < {n}"]["estimate"] - 100 * (n // 2) / n) < 1e-9

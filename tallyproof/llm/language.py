@@ -120,22 +120,21 @@ def least_likeness(x: np.ndarray) -> float:
     return float(min(LIKE * np.median(own), np.quantile(own, LOWEST)))
 
 
-def linear_svm(x: np.ndarray, y: np.ndarray, *, c: float = 10.0, epochs: int = 30, seed: int = 7) -> np.ndarray:
+def linear_svm(x: np.ndarray, at: np.ndarray, y: np.ndarray, *, c: float = 10.0, epochs: int = 30, seed: int = 7) -> np.ndarray:
     """Weights (last: bias) of an L1-loss linear SVM by dual coordinate descent; y is +1 or -1, both present.
 
-    The penalty of a class is scaled by its share, so that a rare language isn't ignored.
+    Learned from are the rows ``at`` of ``x``, whose last column is 1; no copy of them is made, as this runs in the driver. The penalty of a class is scaled by its share, so that a rare language isn't ignored.
     """
-    x = np.hstack([x, np.ones((len(x), 1), dtype=np.float32)])
-    square = (x * x).sum(axis=1)
+    square = np.concatenate([(part * part).sum(axis=1) for part in (x[at[k: k + 256]] for k in range(0, len(at), 256))])
     limit = np.where(y > 0, c * len(y) / (2 * (y > 0).sum()), c * len(y) / (2 * (y < 0).sum()))
     alpha, w, rng = np.zeros(len(y)), np.zeros(x.shape[1], dtype=np.float32), np.random.default_rng(seed)
     for _ in range(epochs):
         moved = 0.0
         for i in rng.permutation(len(y)).tolist():
-            slope = y[i] * float(w @ x[i]) - 1
+            slope = y[i] * float(w @ x[at[i]]) - 1
             new = min(max(alpha[i] - slope / square[i], 0.0), limit[i])
             if new != alpha[i]:
-                w += np.float32((new - alpha[i]) * y[i]) * x[i]
+                w += np.float32((new - alpha[i]) * y[i]) * x[at[i]]
                 moved = max(moved, abs(new - alpha[i]))
                 alpha[i] = new
         if moved < 1e-3:
@@ -217,24 +216,27 @@ def fit(labelled: DataFrame, *, text: str = "text", lang: str = "lang", key: str
                                                       pa.array([i.tobytes() for i, _ in out]), pa.array([v.tobytes() for _, v in out])], names=["lang", "h", "n", "i", "v"])
 
     found = sorted(sample.mapInArrow(features, "lang string, h long, n long, i binary, v binary").collect(), key=lambda r: (r["lang"], r["h"], bytes(r["i"])))
-    x = np.zeros((len(found), DIMENSIONS), dtype=np.float32)
+    if not len(found):
+        return Model()
+    with_one = np.zeros((len(found), DIMENSIONS + 1), dtype=np.float32)
+    with_one[:, -1] = 1
+    x = with_one[:, :-1]
     for r, row in zip(x, found, strict=True):
         r[np.frombuffer(row["i"], dtype=np.uint16)] = np.frombuffer(row["v"], dtype=np.float32)
     y = np.array([r["lang"] for r in found])
-    if not len(found):
-        return Model()
+    long = np.array([r["n"] for r in found]) >= LEAST_LETTERS
+    del found
     languages: dict[str, list[str]] = defaultdict(list)
     for name in sorted(set(y.tolist())):
         languages[family_of(name)].append(name)
     families = sorted(languages)
     own = np.array([family_of(name) for name in y.tolist()])
-    columns = [linear_svm(x, np.where(own == f, 1, -1)) for f in families] if len(families) > 1 else []
+    columns = [linear_svm(with_one, np.arange(len(y)), np.where(own == f, 1, -1)) for f in families] if len(families) > 1 else []
     pairs = [p for f in families for p in combinations(languages[f], 2)]
     for a, b in pairs:
         at = np.flatnonzero((y == a) | (y == b))
-        columns.append(linear_svm(x[at], np.where(y[at] == a, 1, -1)))
+        columns.append(linear_svm(with_one, at, np.where(y[at] == a, 1, -1)))
     weights = np.stack(columns, axis=1) if columns else np.zeros((DIMENSIONS + 1, 0), dtype=np.float32)
-    long = np.array([r["n"] for r in found]) >= LEAST_LETTERS
     names = sorted(set(y.tolist()))
     return Model(families, dict(languages), pairs, weights, {n: gram_model(x[y == n]) for n in names}, {n: least_likeness(x[(y == n) & long]) for n in names})
 
